@@ -111,17 +111,20 @@ def lists_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; only where none is set, as in tests, one of our own."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder of the cluster.
+    """Cut lineage: write a table in the shared folder and read it back.
 
-    Only where spark.checkpoint.dir is unset, as in tests, a folder of its own is taken.
+    Any executor can read it again after another is lost, its columns can be pruned, and Spark
+    knows its size, so that joins with it are broadcast only below Spark's threshold.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

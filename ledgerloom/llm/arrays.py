@@ -78,10 +78,10 @@ class Words:
 
 def sequence_hash(words: np.ndarray) -> int:
     """One hash of a whole short sequence of word hashes, apart from those of n-grams."""
-    h = np.uint64(len(words))
+    h = np.array([len(words)], np.uint64)
     for w in words:
         h = h * _PRIME + w
-    return int(mix(np.array([h ^ np.uint64(0xA5A5A5A5)], np.uint64))[0])
+    return int(mix(h ^ np.uint64(0xA5A5A5A5))[0])
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

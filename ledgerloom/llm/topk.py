@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 LEAF = 48
 #: vectors in a block of candidates and of queries; they bound the memory of a group
-BLOCK = 8192
+BLOCK = 4096
 QUERY_BLOCK = 2048
 
 
@@ -171,7 +171,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, blocks: int | None
     query_blocks = max(1, -(-n.q // QUERY_BLOCK))
     size = F.size("v").alias("dim")
     data = vectors.select(
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
         size,
         "vec_id",

@@ -170,8 +170,8 @@ def report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents in which no window of any item occurs."""
-    found = stored(occurrences(keyed(docs), items, size).select(F.col("doc_key").alias("found_key")).distinct())
-    return docs.join(found, doc_key() == F.col("found_key"), "left_anti")
+    found = stored(occurrences(keyed(docs), items, size).select(F.col("doc_key").alias("__found")).distinct())
+    return docs.join(found, doc_key() == F.col("__found"), "left_anti")
 
 
 def proximity(docs: DataFrame, first: str, second: str, within: int) -> DataFrame:

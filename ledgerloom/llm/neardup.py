@@ -290,7 +290,16 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD)
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that a link ties to a smaller doc_id; repeated rows become one."""
-    dropped = stored(classes(docs, size, threshold).filter("not kept").select("doc_id").distinct())
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return left.filter("doc_id is null").union(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    """The documents without those that links tie to a smaller doc_id.
+
+    Of rows that repeat a doc_id the one with the least text stays.
+    """
+    found = stored(classes(docs, size, threshold))
+    dropped = stored(found.filter("not kept").select("doc_id").distinct())
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = stored(again.join(dropped, "doc_id", "left_anti"))
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")
+    )
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))

@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .arrays import _BYTE_WEIGHTS, _powers, chunks, mix
 from .linear import bounded_sample, held_out, logistic
@@ -163,6 +162,12 @@ def fit(rows: DataFrame, groups: list[list[str]] = IDENTITY_TERMS, weight: float
     return {"features": chosen, "weights": w, "bias": bias}
 
 
+def scores(model: dict, column: pa.Array) -> np.ndarray:
+    texts = [t or "" for t in column.to_pylist()]
+    out = [predict(model, part) for _, part in chunks(texts)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def predict(model: dict, texts: list[str]) -> np.ndarray:
     table = np.zeros(1 << BITS)
     table[model["features"]] = model["weights"]
@@ -171,26 +176,34 @@ def predict(model: dict, texts: list[str]) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """The input with a column `toxicity_score`; the model is at most some thousand weights."""
+    """doc_id and score of every row; the model is at most some thousand weights."""
+    rows = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = pa.array(scores(model, b.column(1)), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), score], ["doc_id", "score"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+
+
+def without_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score under the threshold, with all their columns."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            out = [predict(model, part) for _, part in chunks(texts)]
-            score = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, "toxicity_score"])
+            yield b.filter(pa.array(scores(model, b.column(at)) < threshold, pa.bool_()))
 
-    schema = StructType([*docs.schema.fields, StructField("toxicity_score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = fit(labelled(docs, labels))
-    return scored(docs.select("doc_id", "text"), model).select(
+    return scored(docs, model).select(
         "doc_id",
         held_out("doc_id", 4, 2).alias("held_out"),
-        F.col("toxicity_score").alias("score"),
-        (F.col("toxicity_score") >= THRESHOLD).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -36,46 +36,47 @@ def read_ranks(path: str) -> list[bytes]:
     return [t for _, t in pairs]
 
 
+def _slot(h: int, d: int, n: int) -> int:
+    """Place of a key with hash h under displacement d; as good as random in both."""
+    x = (h + d * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    return ((x ^ x >> 31) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) % n
+
+
 class PerfectHash:
     """Minimal perfect hash by displacement: bucket -> displacement -> the key's own slot."""
 
     def __init__(self, keys: list[bytes]):
+        if len(set(keys)) < len(keys):
+            raise ValueError("keys must be distinct")
         n = self.n = len(keys)
         self.buckets = max(1, n // 3)
-        hashed = [xxhash.xxh3_64_intdigest(k) for k in keys]
-        groups: list[list[int]] = [[] for _ in range(self.buckets)]
-        for i, h in enumerate(hashed):
-            groups[h % self.buckets].append(i)
+        groups: list[list[tuple[int, int]]] = [[] for _ in range(self.buckets)]
+        for i, k in enumerate(keys):
+            h = xxhash.xxh3_64_intdigest(k)
+            groups[h % self.buckets].append((h, i))
         self.shift, self.slot_id = [0] * self.buckets, [-1] * n
         order = sorted(range(self.buckets), key=lambda b: -len(groups[b]))
-        for place, b in enumerate(order):
-            if len(groups[b]) < 2:
-                break
-            parts = [((hashed[i] >> 20) % n, 1 + (hashed[i] >> 41) % (n - 1 or 1), i) for i in groups[b]]
-            d = 0
+        single = [b for b in order if len(groups[b]) == 1]
+        for b in order[: sum(len(g) > 1 for g in groups)]:
+            group, d = groups[b], 0
             while True:
-                slots = {(x + d * y + d * d) % n for x, y, _ in parts}
-                if len(slots) == len(parts) and all(self.slot_id[s] < 0 for s in slots):
+                slots = [_slot(h, d, n) for h, _ in group]
+                if all(self.slot_id[s] < 0 for s in slots) and len(set(slots)) == len(slots):
                     break
                 d += 1
-                if d > 50 * n:
-                    raise ValueError("no displacement found; keys must be distinct")
             self.shift[b] = d
-            for x, y, i in parts:
-                self.slot_id[(x + d * y + d * d) % n] = i
+            for s, (_, i) in zip(slots, group, strict=True):
+                self.slot_id[s] = i
         free = (s for s, i in enumerate(self.slot_id) if i < 0)
-        for b in order[place if order and len(groups[order[place]]) < 2 else len(order) :]:
-            for i in groups[b]:  # alone in its bucket: any free slot, stored as such
-                slot = next(free)
-                self.slot_id[slot], self.shift[b] = i, -slot - 1
+        for b in single:  # alone in its bucket: any free slot, stored as such
+            slot = next(free)
+            self.slot_id[slot], self.shift[b] = groups[b][0][1], -slot - 1
 
     def find(self, key: bytes) -> int:
         """The id in the slot of a key; the caller compares the key found there."""
         h = xxhash.xxh3_64_intdigest(key)
         d = self.shift[h % self.buckets]
-        if d < 0:
-            return self.slot_id[-d - 1]
-        return self.slot_id[((h >> 20) % self.n + d * (1 + (h >> 41) % (self.n - 1 or 1)) + d * d) % self.n]
+        return self.slot_id[-d - 1] if d < 0 else self.slot_id[_slot(h, d, self.n)]
 
 
 class Codec:

@@ -1,4 +1,4 @@
-"""One registry of queries and the SQL that gives the same rows."""
+"""All registered queries and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import registry, reporting  # noqa: F401  each module registers its queries
+
 FLAGSHIP = "ag03_income_statement_lines"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)

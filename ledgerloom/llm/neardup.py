@@ -5,12 +5,14 @@
    probes others in an order of its own until it finds a full one.
 2. Equal sets are one node from here on, so a group of copies costs one row.
 3. Bins are banded; each band's hash is a bucket key.  In a bucket only pairs of a centre and a
-   member are candidates, so pairs grow with members, not with their square.
+   member are candidates, so pairs grow with members, not with their square.  The centre is the
+   member that meets most others in all its buckets, such as the text that copies were made from.
 4. Candidates are confirmed on full sets, and confirmed links give components.
-5. A centre may miss links between other members.  So buckets that still hold several components
-   get further centres, taken from all but the bucket's largest component, four times as many a
-   round, until every document outside the largest one has been a centre.  Then each pair of
-   members in different components has been compared, and nothing is capped.
+5. A centre may miss links between other members.  Where a bucket still holds several components,
+   the members outside its largest one meet all others: directly in buckets of a few members, and
+   in larger ones where the two share a shingle among the rarest fifth of each, which every pair
+   at the threshold does.  So no link between two that share a bucket is lost, nothing is capped,
+   and texts that only hold a common passage do not meet.
 
 At 128 bins in 32 bands of 4 a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
@@ -24,11 +26,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import Words, byte_texts, chunks, int64, lists_of, mix, sequence_hash, stored
@@ -37,6 +39,8 @@ SHINGLE = 4
 THRESHOLD = 0.8
 BINS = 128
 BAND_ROWS = 4
+#: members of a bucket up to which those outside its largest component meet all others
+SMALL = 16
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -141,29 +145,23 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge (a, b); the component is its least node.
 
-    Alternates large-star and small-star steps, which hang each node's neighbours on its least
-    neighbour, until the edges don't change; each step is an aggregate and a join.
+    Each round every node takes the least label among its own and its neighbours', then the label of
+    its label.  Labels are written between rounds, so joins with a node of many edges can be split.
     """
-    edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = None
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
+    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
     while True:
-        both = edges.union(edges.select("b", "a"))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
-        large = stored(large.filter("a <> b").distinct())
-        least = stored(large.groupBy("b").agg(F.min("a").alias("m")))
-        small = large.join(least, "b").select("a", "b", "m")
-        edges = stored(
-            small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
-            .filter("a <> b")
-            .distinct()
-        )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
-                edges.select("a", F.col("a")).distinct()
+        near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("component").alias("near"))
+        lower = stored(
+            labels.join(near.withColumnRenamed("b", "node"), "node").select(
+                "node", "component", F.least("component", "near").alias("label")
             )
-        state = now
+        )
+        above = lower.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        new = stored(lower.join(above, "label").select("node", F.col("top").alias("component"), (F.col("top") < F.col("component")).alias("moved")))
+        labels = new.select("node", "component")
+        if new.filter("moved").isEmpty():
+            return labels
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -188,6 +186,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def with_missing(sets: DataFrame, wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """`sets` and those that are wanted beyond them."""
+    missing = stored(wanted.join(sets.select("node").distinct(), "node", "left_anti"))
+    return sets if missing.isEmpty() else sets.union(fetched(docs, missing, size))
+
+
+def split_buckets(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members are in several components, with `component` and the largest one as `main`."""
+    state = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    state = stored(state)
+    held = state.groupBy("bucket", "component").agg(F.count("*").alias("own"))
+    main = held.groupBy("bucket").agg(F.max_by("component", "own").alias("main"), F.count("*").alias("parts"))
+    return state.join(stored(main.filter("parts > 1").select("bucket", "main")), "bucket")
+
+
+def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, n): the rarest shingles of each set, as many as similar sets must share one of.
+
+    Two sets of at least the similarity share one of the first n - ceil(share n) + 1 shingles of each,
+    in any one order of all shingles.  Rarest first, what many texts hold in common stays out of it.
+    """
+    n = F.size("shingles")
+    each = sets.select("node", n.alias("n"), F.explode("shingles").alias("bucket"))
+    count = stored(each.groupBy("bucket").agg(F.count("*").alias("count")))
+    ranked = each.join(count, "bucket").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "bucket"))).alias("order"))
+    first = F.slice("order", F.lit(1), F.expr(f"n - int(ceil({percent} * n / 100.0)) + 1"))
+    return ranked.select(F.explode(first["bucket"]).alias("bucket"), "node", "n").distinct()
+
+
 def linked(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows with their set's key; nodes by set key; and the component of each node that has links.
 
@@ -201,76 +232,46 @@ def linked(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -
         .agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.min("bands").alias("bands"))
     )
     in_bands = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-    shared = stored(
-        in_bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("held")).filter("held > 1")
-    )
-    members = stored(in_bands.join(shared.select("bucket", "centre"), "bucket"))
+    shared = stored(in_bands.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1"))
+    members = stored(in_bands.join(shared, "bucket"))
     # a doc_id that stands for several sets ties their nodes together
+    named = rows.filter("set_key is not null and doc_id is not null")
     repeated = stored(
-        rows.filter("set_key is not null and doc_id is not null")
-        .groupBy("doc_id")
-        .agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"))
-        .filter("low <> high")
-        .select("doc_id")
+        named.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high").select("doc_id")
     )
-    links = stored(
-        rows.join(repeated, "doc_id")
-        .join(nodes.select("set_key", "node"), "set_key")
-        .filter("doc_id <> node")
-        .select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-        .distinct()
+    tied = named.join(repeated, "doc_id").join(nodes.select("set_key", "node"), "set_key").filter("doc_id <> node")
+    links = [] if repeated.isEmpty() else [stored(tied.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())]
+    central = stored(members.groupBy("node").agg(F.sum("held").alias("weight")))
+    order = F.shiftleft("weight", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    centres = stored(
+        members.join(central, "node")
+        .withColumn("order", order)
+        .groupBy("bucket")
+        .agg(F.max_by("node", "order").alias("c"), F.max_by("n", "order").alias("n_centre"))
     )
     percent = round(threshold * 100)
     near = f"100 * least(n, n_centre) >= {percent} * greatest(n, n_centre)"
-    parts = tried = sets = None
-    width = 1
-    while True:
-        if parts is None:
-            state = members.withColumn("component", F.col("node"))
-            centres = members.filter("node = centre").select(
-                "bucket", F.col("node").alias("c"), F.col("n").alias("n_centre"), F.col("node").alias("component_c")
-            )
-        else:
-            state = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            main = (
-                state.groupBy("bucket", "component")
-                .agg(F.count("*").alias("held"))
-                .groupBy("bucket")
-                .agg(F.max_by("component", "held").alias("main"), F.count("*").alias("parts"))
-                .filter("parts > 1")
-            )
-            state = stored(state.join(stored(main), "bucket"))
-            order = W.partitionBy("bucket").orderBy("node", "n")
-            outside = state.filter("component <> main").withColumn("place", F.row_number().over(order))
-            centres = stored(outside.filter(F.col("place") <= width)).select(
-                "bucket", F.col("node").alias("c"), F.col("n").alias("n_centre"), F.col("component").alias("component_c")
-            )
-        pairs = (
-            state.join(centres, "bucket")
-            .filter("component <> component_c")
-            .filter(near)
-            .select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-            .distinct()
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        compared = not pairs.isEmpty()
-        if compared:
-            wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            if sets is None:
-                sets = fetched(docs, wanted, size)
-            else:
-                wanted = stored(wanted.join(sets.select("node"), "node", "left_anti"))
-                if not wanted.isEmpty():
-                    sets = sets.union(fetched(docs, wanted, size))
-            links = links.union(stored(confirmed(pairs, sets, threshold)))
-            tried = pairs if tried is None else tried.union(pairs)
-        if compared or parts is None:
-            parts = stored(components(links))
-        elif outside.filter(F.col("place") > width).isEmpty():
-            return rows, nodes.select("set_key", "node"), parts
-        width *= 4
+    pair = [F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")]
+    first = stored(members.join(centres, "bucket").filter("node <> c").filter(near).select(*pair).distinct())
+    sets = fetched(docs, ends(first), size)
+    links.append(stored(confirmed(first, sets, threshold)))
+    parts = components(reduce(DataFrame.union, links))
+    mixed = stored(split_buckets(members, parts).select("bucket", "held", "node", "n"))
+    small = mixed.filter(F.col("held") <= SMALL).select("bucket", "node", "n")
+    large = stored(mixed.filter(F.col("held") > SMALL).select("node").distinct())
+    sets = with_missing(sets, large, docs, size)
+    rare = stored(small.unionByName(rare_keys(sets.join(large, "node"), percent)))
+    open_rows = stored(split_buckets(rare, parts))
+    outside = open_rows.filter("component <> main").select(
+        "bucket", F.col("node").alias("c"), F.col("n").alias("n_centre"), F.col("component").alias("component_c")
+    )
+    second = open_rows.join(outside, "bucket").filter("component <> component_c").filter(near).select(*pair).distinct()
+    second = stored(second.join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        sets = with_missing(sets, ends(second), docs, size)
+        links.append(stored(confirmed(second, sets, threshold)))
+        parts = components(reduce(DataFrame.union, links))
+    return rows, nodes.select("set_key", "node"), parts
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import _BYTE_WEIGHTS, _powers, chunks, mix
+from .arrays import _BYTE_WEIGHTS, _powers, chunks, mix, stored
 from .linear import bounded_sample, held_out, logistic
 
 #: labelled rows to learn from, at most (about)
-SAMPLE = 20_000
+SAMPLE = 15_000
 #: features kept
 KEPT = 1000
 BITS = 20
@@ -91,9 +91,11 @@ def counterfactuals(text: str, groups: list[list[str]]) -> list[str]:
 
 def labelled(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, sample: int = SAMPLE) -> DataFrame:
     """A bounded sample of (text, label) whose ids aren't held out."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = docs.select("doc_id", "text").filter(~held_out("doc_id", modulus, remainder))
-    return bounded_sample(rows.join(known, "doc_id").select("doc_id", "text", "label"), sample, F.col("doc_id"))
+    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id", modulus, remainder))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    # ids are sampled before texts are met, so that few enough are left for Spark to broadcast them
+    chosen = bounded_sample(known, sample, F.col("doc_id"))
+    return stored(docs.select("doc_id", "text").join(chosen, "doc_id"))
 
 
 def fit(rows: DataFrame, groups: list[list[str]] = IDENTITY_TERMS, weight: float = 1.0, kept: int = KEPT) -> dict:

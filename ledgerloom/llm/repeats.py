@@ -11,7 +11,7 @@
    passages of `least` words around it.  Those that occur twice or more are joined to maximal
    spans.
 
-Copies of a whole text are grouped first, and each group is extended once.
+Copies of a whole text count as one text and are one span from end to end.
 
 Defined results: null texts and texts of fewer words have no spans; repeats within one text alone
 do not count; a null doc_id is a document
@@ -156,22 +156,17 @@ def in_two_texts(rows: DataFrame, key: str) -> DataFrame:
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """text_key and spans array<struct<start, end>> of the texts with passages that other documents hold.
 
-    `docs` needs columns doc_id and text; positions count words.
+    `docs` needs a column text; positions count words.
     """
     if least < SPAN + GRAM:
         raise ValueError(f"passages must have {SPAN + GRAM} words or more")
-    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
-    keys = rows.select("doc_id", "text_key")
-    copied = stored(
-        keys.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
-    )
-    later = stored(keys.join(copied, "text_key").filter("doc_id <> first_id").select("doc_id", "text_key"))
-    once = rows.join(later, ["doc_id", "text_key"], "left_anti")
-    packed = stored(suffixes(once, least))
+    rows = docs.select(text_key().alias("text_key"), "text")
+    packed = stored(suffixes(rows, least))
     found = unpacked(packed, "keys", "key", "places", "place")
     kept = found.join(in_two_texts(found, "key"), "key", "left_semi")
     places = stored(kept.groupBy("text_key").agg(F.collect_set("place").alias("places")))
-    marked = once.join(places, "text_key").select("text_key", "text", "places")
+    # one plan at every size: texts are dealt by key once, never broadcast against
+    marked = rows.hint("merge").join(places, "text_key").select("text_key", "text", "places")
     candidates = stored(passages(marked, least))
     around = unpacked(candidates, "hashes", "hash", "starts", "start")
     again = around.join(in_two_texts(around, "hash"), "hash", "left_semi")
@@ -179,8 +174,8 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spans = starts.select("text_key", joined_spans(F.col("starts"), least).alias("spans"))
     # a text that whole documents share is one span from end to end
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
-    copies = packed.join(copied, "text_key").filter(F.col("n_words") >= least).select("text_key", whole.alias("spans"))
-    copies = stored(copies.dropDuplicates(["text_key"]))
+    copied = packed.groupBy("text_key").agg(F.count("*").alias("copies"), F.max("n_words").alias("n_words"))
+    copies = stored(copied.filter((F.col("copies") > 1) & (F.col("n_words") >= least)).select("text_key", whole.alias("spans")))
     return stored(spans.join(copies, "text_key", "left_anti")).union(copies)
 
 

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files at a path, with the schema of what is there and `ts` as an instant."""
-    folder, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    there = spark.read.parquet(path)
+    source = spark.readStream.schema(there.schema)
+    if all(f.endswith(path.rpartition("/")[2]) for f in there.inputFiles()):  # a file, not a folder of them
+        folder, _, name = path.rpartition("/")
+        rows = source.option("pathGlobFilter", name).parquet(folder)
+    else:
+        rows = source.parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

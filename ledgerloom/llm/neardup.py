@@ -7,12 +7,15 @@
 3. Bins are banded; each band's hash is a bucket key.  In a bucket only pairs of a centre and a
    member are candidates, so pairs grow with members, not with their square.  The centre is the
    member that meets most others in all its buckets, such as the text that copies were made from.
-4. Candidates are confirmed on full sets, and confirmed links give components.
+4. Candidates are confirmed on full sets, and confirmed links give components.  Each node is first
+   held against its most central centre; these links point upwards, so they are a forest, which
+   pointer doubling resolves.  Other centres are asked only about nodes still apart from them.
 5. A centre may miss links between other members.  Where a bucket still holds several components,
    the members outside its largest one meet all others: directly in buckets of a few members, and
    in larger ones where the two share a shingle among the rarest fifth of each, which every pair
-   at the threshold does.  So no link between two that share a bucket is lost, nothing is capped,
-   and texts that only hold a common passage do not meet.
+   at the threshold does.  A pair meets at its first common key alone, and only if what follows
+   there in both sets can still make the similarity.  So no link between two that share a bucket
+   is lost, nothing is capped, and texts that only hold a common passage do not meet.
 
 At 128 bins in 32 bands of 4 a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
@@ -41,6 +44,8 @@ BINS = 128
 BAND_ROWS = 4
 #: members of a bucket up to which those outside its largest component meet all others
 SMALL = 16
+#: first keys of a node that its rows carry, so that a pair is known to meet at its first common one
+HEAD = 32
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -164,6 +169,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def forest(pointers: DataFrame) -> DataFrame:
+    """(node, component) from pointers (node, c) without cycles, one a node; the component is its least node."""
+    up = stored(pointers.select("node", F.col("c").alias("root")))
+    while True:
+        above = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = stored(
+            up.join(above, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        )
+        up = new.select("node", "root")
+        if new.filter("moved").isEmpty():
+            break
+    least = stored(up.groupBy("root").agg(F.min("node").alias("low")).select("root", F.least("root", "low").alias("component")))
+    return stored(up.join(least, "root").select("node", "component").union(least.select("root", "component")))
+
+
+def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, x, y) of the pairs whose components x and y differ."""
+    left = parts.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    right = parts.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    labelled = pairs.join(left, "a", "left").join(right, "b", "left")
+    return labelled.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; each component so far counts as one node of theirs."""
+    edges = stored(apart(links, parts).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    if edges.isEmpty():
+        return parts
+    tops = components(edges)
+    new = tops.join(parts.select("node").distinct(), "node", "left_anti")
+    known = parts.select("node", "component").union(new.select("node", F.col("node").alias("component")))
+    tops = tops.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return stored(known.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
 def fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, shingles) of the wanted nodes, each distinct set once."""
     ids = stored(wanted.withColumnRenamed("node", "doc_id"))
@@ -172,16 +212,16 @@ def fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The rows with pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     percent = round(threshold * 100)
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
+        .select(*pairs.columns, F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
         .filter(f"100 * both >= {percent} * (nx + ny - both)")
-        .select("a", "b")
+        .select(*pairs.columns)
         .distinct()
     )
 
@@ -206,17 +246,39 @@ def split_buckets(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, node, n): the rarest shingles of each set, as many as similar sets must share one of.
+    """(bucket, node, n, pos, head): the rarest shingles of each set, as many as similar sets must share one of.
 
     Two sets of at least the similarity share one of the first n - ceil(share n) + 1 shingles of each,
     in any one order of all shingles.  Rarest first, what many texts hold in common stays out of it.
+    `pos` is a shingle's place in that order; those that no other set holds are left out.
     """
     n = F.size("shingles")
     each = sets.select("node", n.alias("n"), F.explode("shingles").alias("bucket"))
     count = stored(each.groupBy("bucket").agg(F.count("*").alias("count")))
     ranked = each.join(count, "bucket").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "bucket"))).alias("order"))
     first = F.slice("order", F.lit(1), F.expr(f"n - int(ceil({percent} * n / 100.0)) + 1"))
-    return ranked.select(F.explode(first["bucket"]).alias("bucket"), "node", "n").distinct()
+    placed = F.transform(first, lambda x, i: F.struct(x["bucket"].alias("bucket"), i.alias("pos"), x["count"].alias("count")))
+    met = F.filter(placed, lambda x: x["count"] > 1)
+    rows = ranked.select("node", "n", met.alias("met"))
+    return rows.select("node", "n", F.slice("met.bucket", 1, HEAD).alias("head"), F.inline("met")).select("bucket", "node", "n", "pos", "head")
+
+
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components that meet in a bucket, each at its first common key.
+
+    `rows` has bucket, node, n, pos, head, component and main.  Keys stand in one order in all heads.
+    Where heads share a key, the first one is the pair's first of all: what stands before it in
+    either set is not in the other, so at most what is left from there on is common.
+    """
+    outside = rows.filter("component <> main").select(
+        "bucket", *(F.col(c).alias(f"{c}_c") for c in ("node", "n", "pos", "head", "component"))
+    )
+    first = F.try_element_at(F.array_intersect("head", "head_c"), F.lit(1))
+    most = F.when(first.isNull(), F.least("n", "n_c")).otherwise(F.least(F.col("n") - F.col("pos"), F.col("n_c") - F.col("pos_c")))
+    met = rows.join(outside, "bucket").filter("component <> component_c")
+    met = met.filter(F.coalesce(first, F.col("bucket")) == F.col("bucket"))
+    met = met.filter(100 * most >= percent * (F.col("n") + F.col("n_c") - most))
+    return met.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -225,6 +287,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -
     A node is the least doc_id of those that share a set.
     """
     docs = docs.select("doc_id", "text")
+    percent = round(threshold * 100)
     rows = stored(sketches(docs, size))
     nodes = stored(
         rows.filter("set_key is not null and doc_id is not null")
@@ -243,34 +306,37 @@ def linked(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -
     links = [] if repeated.isEmpty() else [stored(tied.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())]
     central = stored(members.groupBy("node").agg(F.sum("held").alias("weight")))
     order = F.shiftleft("weight", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    ordered = members.join(central, "node").select("bucket", "node", "n", order.alias("order"))
     centres = stored(
-        members.join(central, "node")
-        .withColumn("order", order)
-        .groupBy("bucket")
-        .agg(F.max_by("node", "order").alias("c"), F.max_by("n", "order").alias("n_centre"))
+        ordered.groupBy("bucket").agg(
+            F.max_by("node", "order").alias("c"), F.max_by("n", "order").alias("n_centre"), F.max("order").alias("top")
+        )
     )
-    percent = round(threshold * 100)
     near = f"100 * least(n, n_centre) >= {percent} * greatest(n, n_centre)"
+    stars = stored(
+        ordered.join(centres, "bucket").filter("node <> c").filter(near).groupBy("node", "c").agg(F.max("order").alias("order"), F.max("top").alias("top"))
+    )
     pair = [F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")]
-    first = stored(members.join(centres, "bucket").filter("node <> c").filter(near).select(*pair).distinct())
+    # upwards only: a centre of the same order is above if its id is smaller
+    upwards = stars.filter("top > `order` or (top = `order` and c < node)")
+    highest = stored(upwards.groupBy("node").agg(F.max_by("c", "top").alias("c")))
+    first = stored(stars.select(*pair).distinct())
     sets = fetched(docs, ends(first), size)
-    links.append(stored(confirmed(first, sets, threshold)))
-    parts = components(reduce(DataFrame.union, links))
+    held = confirmed(highest.select(*pair, "node", "c"), sets, threshold)
+    parts = forest(held)
+    rest = apart(first, parts).select("a", "b").join(highest.select(*pair).distinct(), ["a", "b"], "left_anti")
+    links.append(stored(confirmed(stored(rest), sets, threshold)))
+    parts = merged(parts, reduce(DataFrame.union, (x.select("a", "b") for x in links)))
     mixed = stored(split_buckets(members, parts).select("bucket", "held", "node", "n"))
-    small = mixed.filter(F.col("held") <= SMALL).select("bucket", "node", "n")
+    small = mixed.filter(F.col("held") <= SMALL).join(nodes.select("node", F.col("bands").alias("head")), "node")
+    small = small.select("bucket", "node", "n", F.lit(0).alias("pos"), "head")
     large = stored(mixed.filter(F.col("held") > SMALL).select("node").distinct())
     sets = with_missing(sets, large, docs, size)
-    rare = stored(small.unionByName(rare_keys(sets.join(large, "node"), percent)))
-    open_rows = stored(split_buckets(rare, parts))
-    outside = open_rows.filter("component <> main").select(
-        "bucket", F.col("node").alias("c"), F.col("n").alias("n_centre"), F.col("component").alias("component_c")
-    )
-    second = open_rows.join(outside, "bucket").filter("component <> component_c").filter(near).select(*pair).distinct()
-    second = stored(second.join(first, ["a", "b"], "left_anti"))
+    keys = stored(small.unionByName(rare_keys(sets.join(large, "node"), percent)))
+    second = stored(meetings(stored(split_buckets(keys, parts)), percent).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         sets = with_missing(sets, ends(second), docs, size)
-        links.append(stored(confirmed(second, sets, threshold)))
-        parts = components(reduce(DataFrame.union, links))
+        parts = merged(parts, stored(confirmed(second, sets, threshold)))
     return rows, nodes.select("set_key", "node"), parts
 
 

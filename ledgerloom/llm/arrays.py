@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-CHUNK = 2 << 20
+#: bytes of texts whose words stand in memory at a time
+CHUNK = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_WEIGHTS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -30,6 +31,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def power_size(n: int) -> int:
+    """Size of the table of powers for n bytes; the same for all usual chunks, so that one is kept."""
+    return 1 << max(CHUNK.bit_length(), int(n).bit_length())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer, so that any bits of a hash can serve as bin or order."""
     x = x ^ (x >> np.uint64(33))
@@ -52,8 +58,7 @@ class Words:
             edge = np.concatenate(([0], edge))
         self.data, self.start, self.end = data, edge[0::2], edge[1::2]
         self.text = np.searchsorted(np.cumsum(lengths), self.start, side="right")
-        size = 1 << max(22, int(len(data)).bit_length())
-        up, down = _powers(size)
+        up, down = _powers(power_size(len(data)))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_WEIGHTS[data] * up[: len(data)])))
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + np.uint64(1))
         #: words of text t are those from first[t] up to first[t + 1]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import _BYTE_WEIGHTS, _powers, chunks, mix, stored
+from .arrays import _BYTE_WEIGHTS, _powers, chunks, mix, power_size, stored
 from .linear import bounded_sample, held_out, logistic
 
 #: labelled rows to learn from, at most (about)
@@ -58,7 +58,7 @@ def features(texts: list[str]) -> list[np.ndarray]:
     inside = np.concatenate(([False], _LETTER[data]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[0::2], edge[1::2]
-    up, down = _powers(1 << max(22, int(len(data)).bit_length()))
+    up, down = _powers(power_size(len(data)))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_WEIGHTS[data] * up[: len(data)])))
     owner = np.searchsorted(stops, start, side="right")
     found, owners = [], []
@@ -74,6 +74,13 @@ def features(texts: list[str]) -> list[np.ndarray]:
     return [both[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def described(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray]]:
+    """Label, text and features of each row of (text, label); features are made of some texts at a time."""
+    texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    for start, part in chunks(texts):
+        yield from zip(labels[start : start + len(part)], part, features(part), strict=True)
+
+
 def counterfactuals(text: str, groups: list[list[str]]) -> list[str]:
     """The text with each group name it holds swapped for the other names of its kind."""
     words = text.lower().split()
@@ -106,8 +113,7 @@ def fit(rows: DataFrame, groups: list[list[str]] = IDENTITY_TERMS, weight: float
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
         for b in batches:
-            label = b.column(1).to_pylist()
-            for y, f in zip(label, features(b.column(0).to_pylist()), strict=True):
+            for y, _, f in described(b):
                 counts[int(y > 0), f] += 1
                 n[int(y > 0)] += 1
         for y in (0, 1):
@@ -137,7 +143,7 @@ def fit(rows: DataFrame, groups: list[list[str]] = IDENTITY_TERMS, weight: float
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label, kinds, cells = [], [], []
-            for y, t, f in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), features(b.column(0).to_pylist()), strict=True):
+            for y, t, f in described(b):
                 own = np.isin(chosen, f).astype(np.int8)
                 label.append(int(y > 0)), kinds.append(0), cells.append(own.tobytes())
                 for other in features(counterfactuals(t, groups)) if groups else ():

@@ -23,8 +23,8 @@ import re
 import xxhash
 from pyspark.sql import DataFrame
 
-#: pre-tokens, and pieces between spaces, that a worker remembers; only speed and memory depend on it
-MEMO = 600_000
+#: pre-tokens, first pieces and later pieces between spaces that a worker remembers, of each; only speed and memory depend on it
+MEMO = 200_000
 _TOUCHING_SPACE = re.compile(r" \s|\s |\A | \Z")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: bytes of texts whose words stand in memory at a time
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_WEIGHTS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 

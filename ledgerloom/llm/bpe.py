@@ -121,12 +121,16 @@ class Codec:
             i = after[i]
         return out
 
+    def resolved(self, w: str) -> tuple:
+        """Ids of a pre-token: one probe of the perfect hash, else merges."""
+        b = w.encode()
+        i = self.table.find(b)
+        return (i,) if self.tokens[i] == b else tuple(self.merge(b))
+
     def word(self, w: str) -> tuple:
         ids = self.words.get(w)
         if ids is None:
-            b = w.encode()
-            i = self.table.find(b)
-            ids = (i,) if self.tokens[i] == b else tuple(self.merge(b))
+            ids = self.resolved(w)
             if len(self.words) >= MEMO:
                 self.words.clear()
             if len(w) < 64:
@@ -148,7 +152,8 @@ class Codec:
             ids = memo.get(piece)
             if ids is None:
                 found = self.split.findall(lead + piece)
-                ids = self.word(found[0]) if len(found) == 1 else tuple([i for w in found for i in self.word(w)])
+                # a piece of one pre-token is remembered as a piece alone
+                ids = self.resolved(found[0]) if len(found) == 1 else tuple([i for w in found for i in self.word(w)])
                 if len(memo) >= MEMO:
                     memo.clear()
                 if len(piece) < 64:

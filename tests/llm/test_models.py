@@ -109,6 +109,49 @@ def test_language_model(docs):
     assert all(r.n_known == r.train_tokens == 0 for r in lm.report(docs([(i, "a b") for i in none])).collect())
 
 
+def test_language_model_tells_previous_words_of_one_ending_apart(docs):
+    """Words that end alike are contexts of their own, in Latin script and others."""
+    rng, rows = random.Random(15), []
+    pairs = {"xany": "red", "bony": "blue", "дом": "red", "том": "blue"}
+    for i in range(300):
+        w = rng.choice(list(pairs))
+        rows.append((i, f"{w} {pairs[w]}"))
+    held = [i for i in range(300, 400) if crc(i, 7) == 2]
+    asked = [f"{w} {c}" for w in pairs for c in ("red", "blue")]
+    rows += list(zip(held, asked, strict=False))
+    got = {r.doc_id: r.score for r in lm.report(docs(rows)).collect()}
+    score = dict(zip(asked, (got[i] for i in held), strict=False))
+    for w, c in pairs.items():
+        other = {"red": "blue", "blue": "red"}[c]
+        assert score[f"{w} {c}"] > score[f"{w} {other}"] + 1
+
+
+def test_word_restaurants_add_up(docs, spark):
+    """What the tables of a context leave and what it passes on to its class is all of its customers."""
+    rng = random.Random(16)
+    rows = docs([(i, " ".join(rng.choices(["aa", "ba", "bb", "c"], k=20))) for i in range(40)])
+    first = lm.counted(rows, 3)
+    model, history, _ = lm.trained(first)
+    discount, tokens = lm.word_discount(first)
+    told = lm.context_tables(first, 3)
+    cells = lm.reseated(first, told.filter("part >= 0"), model, history, lm.BURN_IN, discount)
+    n, t = collections.Counter(), collections.Counter()
+    for r in cells.collect():
+        of_cell = np.zeros(len(np.frombuffer(r.fans, np.int32)), np.int64)
+        cell = np.repeat(np.arange(len(of_cell)), np.frombuffer(r.fans, np.int32))
+        for i, c, k, s in zip(cell, *(np.frombuffer(x, d) for x, d in ((r.contexts, np.uint64), (r.tokens, np.int64), (r.tables, np.int32))), strict=True):
+            assert 1 <= s <= k
+            n[int(c)] += int(k)
+            t[int(c)] += int(s)
+            of_cell[i] += s
+        assert of_cell.tolist() == np.frombuffer(r.counts, np.int64).tolist()
+    assert sum(n.values()) == tokens == 40 * 21 and len(n) == 5
+    now = {}
+    for r in lm.tables_now(told, cells, 3).collect():
+        now |= dict(zip(np.frombuffer(r.contexts, np.uint64).tolist(), np.frombuffer(r.tables, np.int64).tolist(), strict=True))
+    assert now == t and sum(t.values()) > first.count()
+
+
 def test_predictive_probabilities_sum_to_one(docs, spark):
     rng = random.Random(13)
     rows = [(i, " ".join(rng.choices(["aa", "ab", "ba", "bb", "c"], k=20))) for i in range(30)]

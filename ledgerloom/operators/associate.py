@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -51,35 +55,58 @@ def consumed(transactions: DataFrame, documents: DataFrame, keys: list[str], day
     """(tx_id, doc_id): transactions in order of (moment, tx_id) take the only free document near them.
 
     Documents and transactions have columns `cents` and `moment`.  Sorted by amount within the keys, a gap
-    of more than a cent separates islands that can't affect one another.  Each island is played in
-    order; islands and not companies are what one task holds.
+    of more than a cent separates islands that can't affect one another; within an island, so does a gap
+    of more than `days` in its sorted dates.  What is left is played in order as it streams by: a task
+    holds the free documents of the days around one transaction, however large the island is.
     """
     sides = transactions.select(*keys, "cents", "moment", F.col("tx_id").alias("id"), F.lit(1).alias("is_tx")).unionByName(
         documents.select(*keys, "cents", "moment", F.col("doc_id").alias("id"), F.lit(0).alias("is_tx"))
     )
-    amounts = sides.select(*keys, "cents").distinct()
-    order = W.partitionBy(*keys).orderBy("cents")
-    starts = F.when(F.col("cents") - F.lag("cents").over(order) <= 1, 0).otherwise(1)
-    islands = amounts.withColumn("start", starts).withColumn("island", F.sum("start").over(order)).drop("start")
-    rows = sides.join(islands, [*keys, "cents"])
-    # islands without both sides can't give a match
-    held = rows.groupBy(*keys, "island").agg(F.min("is_tx").alias("low"), F.max("is_tx").alias("high")).filter("low < high")
-    rows = rows.join(held.select(*keys, "island"), [*keys, "island"], "left_semi")
-
-    def play(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["moment", "id"], kind="stable")
-        docs = batch[batch.is_tx == 0]
-        free = {int(i): (int(c), m.normalize()) for i, c, m in zip(docs.id, docs.cents, docs.moment, strict=True)}
-        out = []
-        for r in batch[batch.is_tx == 1].itertuples():
-            day = r.moment.normalize()
-            near = [i for i, (c, m) in free.items() if abs(c - r.cents) <= 1 and abs((m - day).days) <= days]
-            if len(near) == 1:
-                out.append((r.id, near[0]))
-                del free[near[0]]
-        return pd.DataFrame(out, columns=["tx_id", "doc_id"]).astype("int64")
-
-    return rows.groupBy(*keys, "island").applyInPandas(play, "tx_id long, doc_id long")
+    sides = sides.filter("moment IS NOT NULL").withColumn("day", F.unix_date(F.to_date("moment")))
+    rows, group = sides, list(keys)
+    for along, gap, name in (("cents", 1, "island"), ("day", days, "stretch")):
+        order = W.partitionBy(*group).orderBy(along)
+        start = F.when(F.col(along) - F.lag(along).over(order) <= gap, 0).otherwise(1)
+        cut = rows.select(*group, along).distinct().withColumn("start", start).withColumn(name, F.sum("start").over(order)).drop("start")
+        rows = rows.join(cut, [*group, along])
+        group.append(name)
+        # groups without both sides can't give a match
+        held = rows.groupBy(*group).agg(F.min("is_tx").alias("low"), F.max("is_tx").alias("high")).filter("low < high")
+        rows = rows.join(held.select(*group), group, "left_semi")
+    # a document comes before the first transactions that can take it
+    enter = F.col("day") - F.when(F.col("is_tx") == 0, days).otherwise(0)
+    ordered = rows.withColumn("enter", enter).repartition(*group).sortWithinPartitions(*group, "enter", "is_tx", "moment", "id")
+
+    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, free, entered = None, {}, deque()
+        for frame in frames:
+            out = []
+            for *at, cents, day, i, is_tx in frame.itertuples(index=False, name=None):
+                if at != now:
+                    now, free, entered = at, {}, deque()
+                if not is_tx:
+                    by_day = free.setdefault(cents, {})
+                    if day not in by_day:
+                        by_day[day] = set()
+                        entered.append((day, cents))
+                    by_day[day].add(i)
+                    continue
+                while entered and entered[0][0] < day - days:
+                    past, c = entered.popleft()
+                    del free[c][past]
+                near = []
+                for c in (cents - 1, cents, cents + 1):
+                    for ids in free.get(c, {}).values():
+                        near += [(ids, d) for d in islice(ids, 2)]
+                        if len(near) > 1:
+                            break
+                if len(near) == 1:
+                    ids, d = near[0]
+                    out.append((i, d))
+                    ids.remove(d)
+            yield pd.DataFrame(out, columns=["tx_id", "doc_id"]).astype("int64")
+
+    return ordered.select(*group, "cents", "day", "id", "is_tx").mapInPandas(play, "tx_id long, doc_id long")
 
 
 def receipts(transactions: DataFrame, found: DataFrame, days: int = 3) -> DataFrame:

@@ -11,13 +11,22 @@ from .reports import TOTAL, total
 #: order of a supplier's entries; its end makes it unique
 ORDER = ["moment", "invoice", "line", "part", "quantity", "amount"]
 
+#: rows of a supplier in one range of its total, about
+SLICED = 1_000
+
 
 def running(entries: DataFrame, side: str) -> DataFrame:
     """Positive entries of a side with the running totals before and after each."""
     rows = entries.withColumn("amount", F.col(side)).filter(F.col("amount") > 0)
-    upto = W.partitionBy("supplier_id").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    after = F.sum("amount").over(upto).cast(TOTAL)
-    number = F.row_number().over(W.partitionBy("supplier_id").orderBy(*ORDER))
+    rows = rows.withColumn("day", F.to_date("moment"))
+    # totals of the days before, and within the day: no task orders more than a supplier's day
+    earlier = W.partitionBy("of").orderBy("on").rowsBetween(W.unboundedPreceding, -1)
+    days = rows.groupBy(F.col("supplier_id").alias("of"), F.col("day").alias("on")).agg(total(F.col("amount")).alias("sum"), F.count("*").alias("count"))
+    days = days.select("of", "on", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("sum"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("count"))
+    rows = rows.join(days, F.col("supplier_id").eqNullSafe(F.col("of")) & F.col("day").eqNullSafe(F.col("on")))
+    order = W.partitionBy("supplier_id", "day").orderBy(*ORDER)
+    after = (F.col("sum") + F.sum("amount").over(order.rowsBetween(W.unboundedPreceding, 0))).cast(TOTAL)
+    number = (F.col("count") + F.row_number().over(order)).cast("int")
     return rows.select("supplier_id", *ORDER, number.alias("n"), after.alias("after")).withColumn(
         "before", (F.col("after") - F.col("amount")).cast(TOTAL)
     )
@@ -36,14 +45,23 @@ def paid_state(purchases: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
+def slices_of(purchases: DataFrame, payments: DataFrame, least: int) -> DataFrame:
+    """Total of each supplier's purchases, and the ranges that it is cut into."""
+    paid = payments.groupBy("supplier_id").agg(F.count("*").alias("payments"))
+    ends = purchases.groupBy("supplier_id").agg(F.max("after").alias("top"), F.count("*").alias("purchases"))
+    rows = F.col("purchases") + F.coalesce("payments", F.lit(0))
+    slices = F.greatest(F.lit(least), F.ceil(rows / SLICED)).alias("slices")
+    return ends.join(paid, "supplier_id", "left").select("supplier_id", "top", slices)
+
+
 def pairs(purchases: DataFrame, payments: DataFrame, slices: int = 64) -> DataFrame:
     """Which payment pays how much of which purchase: overlaps of their intervals of running totals.
 
-    Intervals of a supplier are cut into `slices` equal ranges of its total; both sides are dealt to the
+    Intervals of a supplier are cut into equal ranges of its total, `slices` or one for every SLICED of its rows; both sides are dealt to the
     ranges that they touch and meet there only, so a large supplier is spread and nothing is compared with all.
     """
-    ends = purchases.groupBy("supplier_id").agg(F.max("after").alias("top"))
-    width = F.greatest(F.ceil(F.col("top") / slices), F.lit(1)).cast(TOTAL)
+    ends = slices_of(purchases, payments, slices)
+    width = F.greatest(F.ceil(F.col("top") / F.col("slices")), F.lit(1)).cast(TOTAL)
 
     def dealt(rows: DataFrame, n: str) -> DataFrame:
         cut = rows.join(ends, "supplier_id").withColumn("width", width).filter(F.col("before") < F.col("top"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import Ledger
@@ -13,8 +13,17 @@ from ..streaming import feeds
 from .registry import query
 
 
+#: transactions in one statement, about
+STATEMENT = 5_000
+
+
+def account(file: str) -> Column:
+    """The bank account that a statement's name begins with."""
+    return F.substring_index(file, "/", 1)
+
+
 def ofx_files(t: Ledger, xml: bool) -> DataFrame:
-    """A statement for each bank account, half of the blocks with Brazilian numbers and time zones."""
+    """Statements of bounded length for each bank account, half of the blocks with Brazilian numbers and time zones."""
     even = F.col("tx_id") % 2 == 0
     raw = F.when(F.col("dc") == "D", -F.col("amount")).otherwise(F.col("amount"))
     posted = F.when(even, F.concat(F.date_format(F.col("moment") - F.expr("INTERVAL 3 HOUR"), "yyyyMMddHHmmss"), F.lit("[-3:BRT]"))).otherwise(
@@ -27,8 +36,9 @@ def ofx_files(t: Ledger, xml: bool) -> DataFrame:
     block = F.concat(F.lit("<STMTTRN>\n"), body, F.lit("</STMTTRN>\n" if xml else ""))
     head = '<?xml version="1.0"?>\n<OFX><BANKTRANLIST>\n' if xml else "﻿OFXHEADER:100\n<OFX><BANKTRANLIST>\n"
     text = F.array_join(F.sort_array(F.collect_list(block)), "")
-    grouped = t.transactions.groupBy("bank_id").agg(F.concat(F.lit(head), text, F.lit("</BANKTRANLIST></OFX>")).alias("content"))
-    return grouped.select(F.col("bank_id").cast("string").alias("file"), "content")
+    rows = ledger.dealt(t.transactions, "bank_id", ["tx_id"], STATEMENT)
+    grouped = rows.groupBy("bank_id", "_part").agg(F.concat(F.lit(head), text, F.lit("</BANKTRANLIST></OFX>")).alias("content"))
+    return grouped.select(F.concat_ws("/", "bank_id", "_part").alias("file"), "content")
 
 
 OFX = """SELECT CAST(bank_id AS VARCHAR) AS file, 'F' || CAST(tx_id AS VARCHAR) AS fitid, moment,
@@ -37,19 +47,19 @@ OFX = """SELECT CAST(bank_id AS VARCHAR) AS file, 'F' || CAST(tx_id AS VARCHAR)
 
 @query("src03_ofx_sgml", OFX)
 def _(t: Ledger) -> DataFrame:
-    return ofx.transactions(ofx_files(t, False)).filter("error IS NULL").select("file", "fitid", "moment", "amount", "dc", "history")
+    return ofx.transactions(ofx_files(t, False)).filter("error IS NULL").select(account("file").alias("file"), "fitid", "moment", "amount", "dc", "history")
 
 
 @query("src04_ofx_xml", OFX)
 def _(t: Ledger) -> DataFrame:
-    return ofx.transactions(ofx_files(t, True)).filter("error IS NULL AND xml").select("file", "fitid", "moment", "amount", "dc", "history")
+    return ofx.transactions(ofx_files(t, True)).filter("error IS NULL AND xml").select(account("file").alias("file"), "fitid", "moment", "amount", "dc", "history")
 
 
 @query("src05_ofx_version", "SELECT CAST(bank_id AS VARCHAR) AS file, bank_id % 2 = 0 AS xml FROM (SELECT DISTINCT bank_id FROM transactions)")
 def _(t: Ledger) -> DataFrame:
-    even = F.col("file").cast("long") % 2 == 0
+    even = account("file").cast("long") % 2 == 0
     files = ofx_files(t, True).filter(even).union(ofx_files(t, False).filter(~even))
-    return files.select("file", ofx.is_xml(F.col("content")).alias("xml"))
+    return files.select(account("file").alias("file"), ofx.is_xml(F.col("content")).alias("xml")).distinct()
 
 
 def statement_lines(t: Ledger) -> DataFrame:

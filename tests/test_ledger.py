@@ -96,6 +96,30 @@ def test_association_consumes_in_order(spark):
     assert sorted(map(tuple, associate.consumed(a, b, ["bank_id"], 3).collect())) == sequential(txs, docs, 3)
 
 
+def test_association_of_one_amount_and_of_stretches(spark):
+    """An amount shared by all rows is no group of one task, and what dates part is played apart."""
+    rng = random.Random(2)
+    txs = {i: (day(3 * rng.randrange(200)), 10_000 + rng.randrange(2)) for i in range(250)}
+    docs = {i: (day(3 * rng.randrange(200)), 10_000 + rng.randrange(2)) for i in range(150)}
+    a = spark.createDataFrame([(1, i, m, c) for i, (m, c) in txs.items()], "bank_id long, tx_id long, moment timestamp, cents long")
+    b = spark.createDataFrame([(1, i, m, c) for i, (m, c) in docs.items()], "bank_id long, doc_id long, moment timestamp, cents long")
+    for days in (2, 3):
+        found = associate.consumed(a, b, ["bank_id"], days)
+        assert sorted(map(tuple, found.collect())) == sequential(txs, docs, days)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_suppliers_are_spread(spark):
+    rows = spark.range(100_000).selectExpr("if(id < 99990, 1, id) AS supplier_id", "id AS n")
+    parts = ledger.dealt(rows, "supplier_id", ["n"], 1_000).groupBy("supplier_id", "_part").count().filter("count > 1")
+    assert parts.count() == 100 and parts.agg(F.max("count")).first()[0] < 1_300
+    side = spark.range(1, 100_001).selectExpr("1 AS supplier_id", "cast(id AS decimal(25,2)) AS after")
+    assert fifo.slices_of(side, side, 64).first().slices == 200
+    entries = spark.range(10).selectExpr("1 AS supplier_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, id) AS moment", "'' AS invoice", "1 AS line", "1 AS part", "1 AS quantity", "cast(1 AS decimal(15,2)) AS credit")
+    got = fifo.running(entries, "credit")
+    assert [(r.n, int(r.before), int(r.after)) for r in got.orderBy("n").collect()] == [(i + 1, i, i + 1) for i in range(10)]
+
+
 def entries_of(spark, rows):
     return spark.createDataFrame(
         [(s, day(d), str(i), i, 0, 0, Decimal(c).scaleb(-2), Decimal(p).scaleb(-2)) for i, (s, d, c, p) in enumerate(rows)],

@@ -45,31 +45,43 @@ def _largest(x: np.ndarray) -> float:
     return 1.1 * float(np.linalg.norm(x.T @ (x @ v))) + 1e-12
 
 
-def logistic(x, y, ridge: float, changes=None, weight: float = 0.0, rounds: int = 250) -> tuple[np.ndarray, float]:
+class Presence:
+    """A matrix of zeros and ones, held as the places of the ones in each row; a column of ones follows them."""
+
+    def __init__(self, places: np.ndarray, counts: np.ndarray, width: int):
+        self.places, self.width, self.shape = places, width, (len(counts), width + 1)
+        self.row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.places], minlength=self.shape[0]) + w[-1]
+
+    def transposed(self, v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.places, weights=v[self.row], minlength=self.width), v.sum())
+
+
+def logistic(x: Presence, y: np.ndarray, ridge: float, penalty: np.ndarray, rounds: int = 250) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression.
 
-    `changes` are the differences of feature rows and their counterfactuals; `weight` times the
-    mean square of what the model's logit makes of them is added to the loss.
+    w' `penalty` w is added to the loss: with the mean product of the differences between feature
+    rows and their counterfactuals it is the mean square of what the model's logit makes of them.
     """
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    n = len(x1)
-    curve = _largest(x1) / 4 / n + ridge
-    if changes is not None and len(changes):
-        changes = np.hstack([changes, np.zeros((len(changes), 1), changes.dtype)])
-        curve += 2 * weight * _largest(changes) / len(changes)
-    else:
-        changes = None
-    keep = np.full(x1.shape[1], ridge)
-    keep[-1] = 0.0
-
-    def gradient(w):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w.astype(x1.dtype), -40, 40)))
-        g = x1.T @ (p - y) / n + keep * w
-        if changes is not None:
-            g = g + 2 * weight * changes.T @ (changes @ w) / len(changes)
+    n = x.shape[0]
+    v, u = np.ones(x.shape[1]), np.ones(x.width)
+    for _ in range(12):  # power steps towards the largest eigenvalues
+        v = x.transposed(x @ v)
+        v /= np.linalg.norm(v)
+        u = penalty @ u
+        u /= np.linalg.norm(u) + 1e-30
+    curve = 1.1 * (np.linalg.norm(x.transposed(x @ v)) / 4 / n + 2 * np.linalg.norm(penalty @ u)) + ridge
+    keep = np.append(np.full(x.width, ridge), 0.0)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.transposed(p - y) / n + keep * w
+        g[:-1] += 2 * penalty @ w[:-1]
         return g
 
-    w = descend(gradient, x1.shape[1], 1 / curve, rounds)
+    w = descend(gradient, x.shape[1], 1 / curve, rounds)
     return w[:-1], float(w[-1])
 
 

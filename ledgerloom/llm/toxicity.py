@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _BYTE_WEIGHTS, _powers, chunks, mix, power_size, stored
-from .linear import bounded_sample, held_out, logistic
+from .linear import Presence, bounded_sample, held_out, logistic
 
 #: labelled rows to learn from, at most (about)
 SAMPLE = 15_000
@@ -74,11 +74,12 @@ def features(texts: list[str]) -> list[np.ndarray]:
     return [both[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def described(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray]]:
-    """Label, text and features of each row of (text, label); features are made of some texts at a time."""
-    texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for start, part in chunks(texts):
-        yield from zip(labels[start : start + len(part)], part, features(part), strict=True)
+def described(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str], list[np.ndarray]]]:
+    """Labels (0 or 1), texts and their features of rows (text, label), some texts at a time."""
+    for b in batches:
+        texts, labels = b.column(0).to_pylist(), np.array(b.column(1).to_pylist()) > 0
+        for start, part in chunks(texts):
+            yield labels[start : start + len(part)].astype(np.int8), part, features(part)
 
 
 def counterfactuals(text: str, groups: list[list[str]]) -> list[str]:
@@ -105,68 +106,106 @@ def labelled(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: in
     return stored(docs.select("doc_id", "text").join(chosen, "doc_id"))
 
 
-def fit(rows: DataFrame, groups: list[list[str]] = IDENTITY_TERMS, weight: float = 1.0, kept: int = KEPT) -> dict:
-    """A model from labelled rows, whose number must be bounded."""
-    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    rows = rows.coalesce(8)
+def presence(rows: DataFrame) -> DataFrame:
+    """feature, and in how many texts of label 1 and of label 0 it stands; summed in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-        for b in batches:
-            for y, _, f in described(b):
-                counts[int(y > 0), f] += 1
-                n[int(y > 0)] += 1
-        for y in (0, 1):
-            if n[y]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([y], pa.int32()), pa.array([n[y]], pa.int64()), pa.array([counts[y].tobytes()], pa.binary())],
-                    ["label", "n", "counts"],
-                )
-
-    counts, n = np.zeros((2, 1 << BITS)), [0, 0]
-    for r in rows.mapInArrow(count, "label int, n long, counts binary").toLocalIterator():
-        counts[r.label] += np.frombuffer(r.counts, np.int32)
-        n[r.label] += r.n
-    if not all(n):
-        rate = n[1] / max(1, sum(n))
-        return {"features": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))}
-    # signed root of chi square of presence against label, for features met often enough
-    a, b = counts[1], counts[0]
-    total = sum(n)
-    expected = (a + b) * n[1] / total
-    spread = np.sqrt(expected * (n[0] / total) * (1 - (a + b) / total) + 1e-9)
-    gap = np.where(a + b >= max(5, total / 20_000), np.abs(a - expected) / spread, 0)
-    wanted = {int(f) for t in groups for f in np.unique(np.concatenate(features([w for w in t])))} if groups else set()
-    chosen = np.argsort(-gap, kind="stable")[:kept]
-    chosen = np.unique(np.concatenate((chosen[gap[chosen] > 3.0], np.array(sorted(wanted), np.int64)))).astype(np.int64)
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            label, kinds, cells = [], [], []
-            for y, t, f in described(b):
-                own = np.isin(chosen, f).astype(np.int8)
-                label.append(int(y > 0)), kinds.append(0), cells.append(own.tobytes())
-                for other in features(counterfactuals(t, groups)) if groups else ():
-                    label.append(0), kinds.append(1)
-                    cells.append((own - np.isin(chosen, other).astype(np.int8)).tobytes())
+        counts = np.zeros((2, 1 << BITS), np.int32)
+        for labels, _, found in described(batches):
+            for y, f in zip(labels, found, strict=True):
+                counts[y, f] += 1
+        there = np.flatnonzero(counts.any(axis=0))
+        for i in range(0, len(there), 50_000):
+            some = there[i : i + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label, pa.int32()), pa.array(kinds, pa.int32()), pa.array(cells, pa.binary())], ["label", "kind", "cells"]
+                [pa.array(x.astype(np.int64)) for x in (some, counts[1, some], counts[0, some])], ["feature", "bad", "good"]
             )
 
-    y, x, changes = [], [], []
-    for r in rows.mapInArrow(project, "label int, kind int, cells binary").toLocalIterator():
-        cells = np.frombuffer(r.cells, np.int8)
-        if r.kind:
-            changes.append(cells)
+    found = rows.mapInArrow(count, "feature long, bad long, good long")
+    return found.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def telling(counts: DataFrame, bad: int, good: int, kept: int) -> DataFrame:
+    """The `kept` features whose presence tells the labels apart best: signed root of chi square over 3,
+    among those met often enough."""
+    total = bad + good
+    there = F.col("bad") + F.col("good")
+    expected = there * (bad / total)
+    spread = F.sqrt(expected * (good / total) * (1 - there / total) + 1e-9)
+    gap = F.abs(F.col("bad") - expected) / spread
+    often = counts.filter(there >= max(5, total / 20_000)).select("feature", gap.alias("gap")).filter("gap > 3")
+    return often.orderBy(F.desc("gap"), "feature").limit(kept)
+
+
+def changes_of(own: np.ndarray, other: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which names' features a text has, less those that its counterfactual has."""
+    return np.isin(names, own).astype(np.int64) - np.isin(names, other)
+
+
+def swapped(rows: DataFrame, groups: list[list[str]], names: np.ndarray) -> tuple[np.ndarray, int]:
+    """Products of changes, summed over all counterfactuals, and the number of these.
+
+    A swap only moves features of the groups' names, so the sums are one small square matrix
+    however many counterfactuals the rows have.
+    """
+    size = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((size, size), np.int64), 0
+        for _, texts, found in described(batches):
+            for text, own in zip(texts, found, strict=True):
+                for _, others in chunks(counterfactuals(text, groups)):
+                    d = np.stack([changes_of(own, f, names) for f in features(others)])
+                    total += d.T @ d
+                    n += len(d)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(at, -1)), pa.array(np.append(total.ravel()[at], n))], ["cell", "amount"]
+        )
+
+    out = np.zeros(size * size)
+    n = 0
+    for r in rows.mapInArrow(run, "cell long, amount long").groupBy("cell").agg(F.sum("amount").alias("amount")).collect():
+        if r.cell < 0:
+            n = r.amount
         else:
-            y.append(r.label), x.append(cells)
-    w, bias = logistic(
-        np.stack(x).astype(np.float32),
-        np.array(y, np.float32),
-        ridge=2e-4,
-        changes=np.stack(changes).astype(np.float32) if changes else None,
-        weight=weight,
-    )
+            out[r.cell] = r.amount
+    return out.reshape(size, size), n
+
+
+def fit(rows: DataFrame, groups: list[list[str]] = IDENTITY_TERMS, weight: float = 1.0, kept: int = KEPT) -> dict:
+    """A model from labelled rows, whose number must be bounded.
+
+    Spark counts features and adds up the counterfactuals; the driver gets the `kept` features, the
+    places of those in each row, and a matrix of the size of the groups' names.
+    """
+    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    rows = rows.filter("label is not null").coalesce(8)
+    n = {r.bad: r.n for r in rows.groupBy((F.col("label") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
+    bad, good = n.get(True, 0), n.get(False, 0)
+    if not (bad and good):
+        rate = bad / max(1, bad + good)
+        return {"features": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))}
+    names = np.unique(np.concatenate([f for t in groups for f in features(t)])) if groups else np.zeros(0, np.int64)
+    best = [r.feature for r in telling(presence(rows), bad, good, kept).collect()]
+    chosen = np.unique(np.concatenate((np.array(best, np.int64), names)))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for labels, _, found in described(batches):
+            cells = [np.flatnonzero(np.isin(chosen, f, assume_unique=True)).astype(np.int16).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(labels), pa.array(cells, pa.binary())], ["label", "cells"])
+
+    y, places, counts = [], [], []
+    for r in rows.mapInArrow(project, "label byte, cells binary").collect():
+        cells = np.frombuffer(r.cells, np.int16)
+        y.append(r.label), places.append(cells), counts.append(len(cells))
+    penalty = np.zeros((len(chosen), len(chosen)))
+    if weight and len(names):
+        gram, n_changes = swapped(rows, groups, names)
+        at = np.searchsorted(chosen, names)
+        penalty[np.ix_(at, at)] = weight * gram / max(1, n_changes)
+    x = Presence(np.concatenate(places), np.array(counts), len(chosen))
+    w, bias = logistic(x, np.array(y, np.float64), ridge=2e-4, penalty=penalty)
     return {"features": chosen, "weights": w, "bias": bias}
 
 

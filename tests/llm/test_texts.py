@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -115,12 +116,11 @@ def test_bpe_small_vocabularies():
 
 
 def brute_top(rows, k):
-    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
-        if q % 100 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q and len(b) == len(a))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for q in {i for i, _ in ok if i % 100 == 0}:
+        pairs = [(-sum(x * y for x, y in zip(a, b, strict=True)), i) for p, a in ok if p == q for i, b in ok if i != q and len(b) == len(a)]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(pairs)[:k])]
     return sorted(out)
 
 
@@ -128,12 +128,25 @@ def test_top_k(spark):
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(700)]
     rows += [(i, [0.5] * 8) for i in range(700, 1000)]  # a hot vector: ties go to smaller ids
-    rows += [(1000, None), (1001, [None] * 8), (1002, [float("nan")] * 8), (1003, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (1100, [1.0, 2.0])]
+    rows += [(1000, None), (1001, [None] * 8), (1002, [float("nan")] * 8), (1003, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (1100, [1.0, 2.0]), (1200, []), (1201, [])]
+    rows += [(0, rows[0][1])] * 15 + [(400, [0.6] * 8), (400, [0.7] * 8), (7, rows[7][1])]  # repeated rows and ids
     frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
     vectors = topk.quantised(frame, "vec_id", "embedding")
-    for blocks in (1, 3):
-        got = topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10, blocks).collect()
+    for block in (None, 64):
+        got = topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10, block).collect()
         assert sorted(map(tuple, got)) == brute_top(rows, 10)
     few = topk.quantised(frame.filter("vec_id < 4"), "vec_id", "embedding")
-    assert sorted(map(tuple, topk.top_k(few, F.col("vec_id") % 100 == 0).collect())) == brute_top(rows[:4], 10)
+    assert sorted(map(tuple, topk.top_k(few, F.col("vec_id") % 100 == 0).collect())) == brute_top([r for r in rows if r[0] is not None and r[0] < 4], 10)
     assert topk.top_k(topk.quantised(frame.limit(0), "vec_id", "embedding"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_top_k_prunes_where_vectors_form_clusters(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 900
+    data = np.floor(centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 40)
+    ids, asked = np.arange(6000), np.arange(0, 6000, 50)
+    got = topk.search(data[asked], asked, np.full(len(asked), -np.inf), data, ids, 10)
+    score = data[asked] @ data.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :10]
+    assert (got[1].reshape(-1, 10) == want).all() and got[3] < 0.4 * score.size

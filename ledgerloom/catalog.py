@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import books, intake, registry, reporting, scalars  # noqa: F401  each module registers its queries
+from .plans import books, imports, intake, registry, reporting, scalars  # noqa: F401  each module registers its queries
 
 FLAGSHIP = "ag03_income_statement_lines"
 

@@ -54,6 +54,25 @@ def statement_date(c: Column, year: int) -> Column:
     ).cast("date")
 
 
+def model_date(c: Column) -> Column:
+    """dd/MM/yyyy, yyyy-MM-dd or dd-MM-yyyy."""
+    s = stripped(c)
+    return F.coalesce(
+        _try(s, r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), _try(s, r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), _try(s, r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy")
+    )
+
+
+def xml_timestamp(c: Column) -> Column:
+    """An ISO moment with an offset, one without (UTC), or a day."""
+    s = stripped(c)
+    return F.coalesce(
+        _try(s, r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$", "yyyy-MM-dd'T'HH:mm:ssXXX"),
+        _try(s, r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{4}$", "yyyy-MM-dd'T'HH:mm:ssXX"),
+        _try(s, r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+        _try(s, r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    )
+
+
 def day_bounds(c: Column, first: str | None, last: str | None) -> Column:
     """A plain date as upper bound includes the whole day; a timestamp is inclusive itself."""
     keep = F.lit(True)

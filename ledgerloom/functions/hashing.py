@@ -43,7 +43,30 @@ def ledger_code(bank_id: Column) -> Column:
     return F.concat(F.lit("1.1.B."), F.left(F.replace(bank_id, F.lit("-"), F.lit("")), F.lit(16)))
 
 
+def number_text(amount: Column) -> Column:
+    """A decimal as a float is written: without zeros at its end, but one digit after the point at least."""
+    text = amount.cast("decimal(15,2)").cast("string")
+    return F.regexp_replace(text, r"0$", "")
+
+
 def statement_fitid(date: Column, history: Column, amount: Column, index: Column) -> Column:
-    """PDF and twelve hex digits of an md5 over date, text, amount and line number."""
-    raw = F.concat(F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"), history, amount.cast("string"), index.cast("string"))
+    """PDF and twelve hex digits of an md5 over time, text, amount and line number."""
+    raw = F.concat(F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"), history, number_text(amount), index.cast("string"))
     return F.concat(F.lit("PDF"), F.upper(F.left(F.md5(raw), F.lit(12))))
+
+
+def purchase_identity(given: Column, day: Column, plain: Column, amount: Column) -> Column:
+    """A purchase's own id if its row has one, else a hash of its time in UTC, its text without case, and its amount."""
+    at = F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    own = F.concat(F.lit("externo:"), F.nullif(given, F.lit("")))
+    return F.sha2(F.coalesce(own, F.concat_ws("|", at, plain, amount.cast("decimal(15,2)").cast("string"))), 256)
+
+
+def name_uuid(space: Column, name: Column) -> Column:
+    """UUID of version 5 of a name in the space of another UUID."""
+    hashed = F.sha1(F.concat(F.unhex(F.replace(space, F.lit("-"), F.lit(""))), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(hashed, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(
+        F.substring(hashed, 1, 8), F.lit("-"), F.substring(hashed, 9, 4), F.lit("-5"), F.substring(hashed, 14, 3), F.lit("-"),
+        variant, F.substring(hashed, 18, 3), F.lit("-"), F.substring(hashed, 21, 12),
+    )

@@ -128,3 +128,28 @@ def safe_cell(c: Column) -> Column:
 
 def level(code: Column) -> Column:
     return F.size(F.split(code, r"\."))
+
+
+def account_parts(c: Column) -> Column:
+    """Bank, branch, number and digit of a text such as `BBC DIGITAL 0001 1858612 5`; null if it has no two numbers.
+
+    The bank's name ends before the first number; where there is none, the last three words are numbers.
+    """
+    words = F.filter(F.split(stripped(c), r"\s+"), lambda w: w != "")
+    first = F.array_position(F.transform(words, lambda w: w.rlike(r"^\d+$")), True)
+    at = F.when(first > 1, first - 1).when(F.size(words) >= 4, F.size(words) - 3).cast("int")
+    rest = F.slice(words, at + 1, F.size(words))
+    return F.when(
+        F.size(rest) >= 2,
+        F.struct(
+            F.array_join(F.slice(words, F.lit(1), at), " ").alias("bank"),
+            F.get(rest, 0).alias("branch"),
+            F.get(rest, 1).alias("number"),
+            F.left(F.get(rest, 2), F.lit(5)).alias("digit"),
+        ),
+    )
+
+
+def plain_case(c: Column) -> Column:
+    """Lower case with single spaces, as texts are compared without case."""
+    return F.lower(stripped(F.regexp_replace(F.replace(c, F.lit("ß"), F.lit("ss")), r"\s+", " ")))

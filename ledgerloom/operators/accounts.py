@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import level, stripped
+from . import validation
+
 DEEPEST = 5
 
 
@@ -35,30 +38,68 @@ def missing_ancestors(wanted: DataFrame, there: DataFrame) -> DataFrame:
     return each.join(codes, "above", "left_anti").groupBy("code").agg(F.min_by("above", "k").alias("missing"))
 
 
-def import_errors(rows: DataFrame, there: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """code and error of what an import must refuse: bad codes, too deep, there already, repeated, or without an ancestor."""
-    counted = rows.groupBy("code").agg(F.count("*").alias("n"))
-    known = there.select("code", F.lit(True).alias("known"))
-    error = (
-        F.when(~F.col("code").rlike(r"^\d+(\.\d+)*$"), "code")
-        .when(F.size(F.split("code", r"\.")) > deepest, "level")
-        .when(F.col("known"), "exists")
-        .when(F.col("n") > 1, "repeated")
-        .when(F.col("missing").isNotNull(), F.concat(F.lit("parent "), "missing"))
+def imported(rows: DataFrame, there: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """What becomes of each line of companies' charts, and the parent of each account that is imported.
+
+    `rows` has company_id, line, code, label, kind and kind_sa as texts, `there` company_id and code of live accounts.
+    Of good lines with one code the first counts.  An ancestor may be in the table or anywhere in the same import,
+    even in a line that is refused itself.
+    """
+    plain = rows.withColumns(
+        {
+            "code": stripped(F.coalesce("code", F.lit(""))),
+            "label": stripped(F.coalesce("label", F.lit(""))),
+            "kind": F.coalesce(F.nullif(F.lower(stripped(F.col("kind"))), F.lit("")), F.lit("despesa")),
+            "kind_sa": F.coalesce(F.nullif(F.upper(stripped(F.col("kind_sa"))), F.lit("")), F.lit("A")),
+        }
     )
-    found = counted.join(known, "code", "left").join(missing_ancestors(rows.select("code").distinct(), there), "code", "left")
-    return found.select("code", error.alias("error")).filter("error IS NOT NULL")
-
-
-def guards(accounts: DataFrame, postings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Whether an account has moved or has active rules; either keeps it from being removed."""
-    yes = F.lit(True)
-    moved = postings.select("code").distinct().withColumn("moved", yes)
-    ruled = rules.filter("active").select("code").distinct().withColumn("ruled", yes)
-    no = F.lit(False)
-    return accounts.select("code").join(moved, "code", "left").join(ruled, "code", "left").select(
-        "code", F.coalesce("moved", no).alias("moved"), F.coalesce("ruled", no).alias("ruled")
+    wrong = F.when(F.col("code") == "", "no code").when(F.col("label") == "", "no label").otherwise(F.get(validation.account(), 0))
+    plain = plain.withColumn("wrong", wrong)
+    good = plain.filter("wrong IS NULL")
+    first = good.groupBy("company_id", "code").agg(F.min("line").alias("first"))
+    known = there.select("company_id", "code").distinct()
+    codes = known.union(first.select("company_id", "code")).distinct().withColumnRenamed("code", "above")
+    each = first.filter(F.col("code").contains(".")).select("company_id", "code", F.posexplode(ancestors(F.col("code"))).alias("k", "above"))
+    missing = each.join(codes, ["company_id", "above"], "left_anti").groupBy("company_id", "code").agg(F.min_by("above", "k").alias("missing"))
+    keys = ["company_id", "code"]
+    joined = plain.join(first, keys, "left").join(known.withColumn("known", F.lit(True)), keys, "left").join(missing, keys, "left")
+    outcome = (
+        F.when(F.col("wrong").isNotNull(), F.col("wrong"))
+        .when((F.col("line") > F.col("first")) | F.col("known"), "duplicate")
+        .when(level(F.col("code")) > deepest, "level")
+        .when(F.col("missing").isNotNull(), F.concat(F.lit("parent "), "missing"))
+        .otherwise("imported")
     )
+    parent = F.when((outcome == "imported") & F.col("code").contains("."), F.regexp_replace("code", r"\.[^.]*$", ""))
+    return joined.select("company_id", "line", "code", "label", "kind", "kind_sa", outcome.alias("outcome"), parent.alias("parent"))
+
+
+def after_import(found: DataFrame, there: DataFrame) -> DataFrame:
+    """company_id, code, parent and kind_sa of a chart after an import; accounts that get children become `S`.
+
+    `there` has these columns too.
+    """
+    new = found.filter("outcome = 'imported'").select("company_id", "code", "parent", "kind_sa")
+    parents = new.filter("parent IS NOT NULL").select("company_id", F.col("parent").alias("code")).distinct().withColumn("_has", F.lit(True))
+    rows = there.select(*new.columns).unionByName(new).join(parents, ["company_id", "code"], "left")
+    return rows.withColumn("kind_sa", F.when(F.col("_has"), "S").otherwise(F.col("kind_sa"))).drop("_has")
+
+
+def guards(accounts: DataFrame, postings: DataFrame, rules: DataFrame, card_entries: DataFrame) -> DataFrame:
+    """What keeps an account of a company from being removed: live children, active rules, or movement, of cards too.
+
+    All have company_id; `accounts` has parent, the others code.
+    """
+    keys = ["company_id", "code"]
+    held = {
+        "children": accounts.filter("NOT deleted AND parent IS NOT NULL").select("company_id", F.col("parent").alias("code")),
+        "ruled": rules.filter("active").select(*keys),
+        "moved": postings.select(*keys).union(card_entries.select(*keys)),
+    }
+    rows = accounts.filter("NOT deleted").select(*keys)
+    for name, found in held.items():
+        rows = rows.join(found.distinct().withColumn(name, F.lit(True)), keys, "left")
+    return rows.select(*keys, *[F.coalesce(n, F.lit(False)).alias(n) for n in held])
 
 
 def without_collisions(rows: DataFrame) -> DataFrame:

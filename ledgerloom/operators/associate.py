@@ -1,49 +1,68 @@
-"""Receipts and invoices associated with transactions by amount and date."""
+"""Receipts and invoices associated with transactions by amount and time."""
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import digits_only
+from ..scratch import stored
+
+DAY = 86_400_000_000
+#: widths of the ranges of cents and of microseconds within which one task orders distinct values
+WIDTHS = {"cents": 1 << 16, "at": 400 * DAY}
+
 
 def cents(c: Column) -> Column:
     return (c * 100).cast("long")
 
 
+def micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
 def near_amounts(rows: DataFrame, amount: str) -> DataFrame:
     """Rows at each amount within a cent of theirs, so that a band join is a join by equality."""
     return rows.withColumn("cents", F.explode(F.array(*[cents(F.col(amount)) + d for d in (-1, 0, 1)])))
 
 
-def days_apart(a: str, b: str) -> Column:
-    return F.abs(F.datediff(a, b))
+def apart(a: str, b: str, days: int) -> Column:
+    """Whether two moments are within some days of 24 hours, to the microsecond."""
+    return F.abs(micros(F.col(a)) - micros(F.col(b))) <= days * DAY
+
+
+def free_receipts(receipts: DataFrame) -> DataFrame:
+    return receipts.filter("tx_id IS NULL AND NOT deleted").drop("tx_id", "deleted")
 
 
 def receipt_candidates(transactions: DataFrame, receipts: DataFrame, days: int = 3) -> DataFrame:
-    """Free receipts within a cent and some days of a debit of their bank account."""
-    free = near_amounts(receipts.filter("tx_id IS NULL").drop("tx_id", "company_id"), "paid")
+    """Free receipts of the company, of whatever bank account, within a cent and some days of a debit."""
+    free = near_amounts(free_receipts(receipts).drop("bank_id"), "paid")
     debits = transactions.filter("dc = 'D'").withColumn("cents", cents(F.col("amount")))
-    return debits.join(free, ["bank_id", "cents"]).filter(days_apart("moment", "paid_at") <= days)
+    return debits.join(free, ["company_id", "cents"]).filter(apart("moment", "paid_at", days))
 
 
 def directed(invoices: DataFrame, companies: DataFrame) -> DataFrame:
-    """Active invoices with the side of the money that pays them: issued ones bring credit."""
-    own = companies.select("company_id", "tax_id")
-    side = F.when(F.col("issuer") == F.col("tax_id"), "C").otherwise("D")
-    return invoices.filter("status = 'ativa'").join(own, "company_id").withColumn("dc", side).drop("status", "tax_id")
+    """Free pending invoices with the side of the money that pays them: credit where the company alone is the
+    issuer, debit where it alone is the recipient; others have no side and are left out."""
+    own = companies.select("company_id", digits_only(F.col("tax_id")).alias("own")).filter("own <> ''")
+    issues = digits_only(F.coalesce("issuer", F.lit(""))) == F.col("own")
+    receives = digits_only(F.coalesce("recipient", F.lit(""))) == F.col("own")
+    side = F.when(issues & ~receives, "C").when(receives & ~issues, "D")
+    free = invoices.filter("status = 'pendente' AND tx_id IS NULL AND NOT deleted").drop("tx_id", "deleted", "status")
+    return free.join(own, "company_id").withColumn("dc", side).drop("own").filter("dc IS NOT NULL")
 
 
 def invoice_candidates(transactions: DataFrame, invoices: DataFrame, companies: DataFrame, days: int = 7) -> DataFrame:
-    """Active invoices within a cent and some days of a transaction on their side."""
+    """Free invoices within a cent and some days of a transaction on their side."""
     sides = near_amounts(directed(invoices, companies).withColumnRenamed("amount", "billed"), "billed")
     rows = transactions.drop("status").withColumn("cents", cents(F.col("amount")))
-    return rows.join(sides, ["company_id", "dc", "cents"]).filter(days_apart("moment", "issued") <= days)
+    return rows.join(sides, ["company_id", "dc", "cents"]).filter(apart("moment", "issued", days))
 
 
 def only_candidates(pairs: DataFrame, key: str) -> DataFrame:
@@ -51,81 +70,116 @@ def only_candidates(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy("tx_id").agg(F.count("*").alias("n"), F.min(key).alias(key)).filter("n = 1").drop("n")
 
 
+def islands(rows: DataFrame, group: list[str], along: str, gap: int, name: str, width: int) -> DataFrame:
+    """Rows with the least value of their island: values of a group more than `gap` apart begin a new one.
+
+    Distinct values are ordered in ranges of `width`; what ranges need of those before them is one row each.
+    """
+    values = rows.select(*group, along).distinct().withColumn("_range", F.floor(F.col(along) / width))
+    ranges = W.partitionBy(*group).orderBy("_range")
+    ends = values.groupBy(*group, "_range").agg(F.max(along).alias("_max")).withColumn("_past", F.lag("_max").over(ranges)).drop("_max")
+    inside = W.partitionBy(*group, "_range").orderBy(along)
+    past = F.coalesce(F.lag(along).over(inside), F.col("_past"))
+    cut = values.join(ends, [*group, "_range"]).withColumn("_start", F.when(~F.coalesce(F.col(along) - past <= gap, F.lit(False)), F.col(along)))
+    cut = cut.withColumn("_own", F.last("_start", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    # a range that begins inside an island takes the last beginning of the ranges before
+    starts = cut.groupBy(*group, "_range").agg(F.max("_start").alias("_last"))
+    starts = starts.withColumn("_carried", F.last("_last", ignorenulls=True).over(ranges.rowsBetween(W.unboundedPreceding, -1)))
+    begun = cut.join(starts.drop("_last"), [*group, "_range"]).select(*group, along, F.coalesce("_own", "_carried").alias(name))
+    return rows.join(begun, [*group, along])
+
+
 def consumed(transactions: DataFrame, documents: DataFrame, keys: list[str], days: int) -> DataFrame:
     """(tx_id, doc_id): transactions in order of (moment, tx_id) take the only free document near them.
 
     Documents and transactions have columns `cents` and `moment`.  Sorted by amount within the keys, a gap
     of more than a cent separates islands that can't affect one another; within an island, so does a gap
-    of more than `days` in its sorted dates.  What is left is played in order as it streams by: a task
+    of more than `days` in its sorted times.  What is left is played in order as it streams by: a task
     holds the free documents of the days around one transaction, however large the island is.
     """
+    reach = days * DAY
     sides = transactions.select(*keys, "cents", "moment", F.col("tx_id").alias("id"), F.lit(1).alias("is_tx")).unionByName(
         documents.select(*keys, "cents", "moment", F.col("doc_id").alias("id"), F.lit(0).alias("is_tx"))
     )
-    sides = sides.filter("moment IS NOT NULL").withColumn("day", F.unix_date(F.to_date("moment")))
-    rows, group = sides, list(keys)
-    for along, gap, name in (("cents", 1, "island"), ("day", days, "stretch")):
-        order = W.partitionBy(*group).orderBy(along)
-        start = F.when(F.col(along) - F.lag(along).over(order) <= gap, 0).otherwise(1)
-        cut = rows.select(*group, along).distinct().withColumn("start", start).withColumn(name, F.sum("start").over(order)).drop("start")
-        rows = rows.join(cut, [*group, along])
+    rows = stored(sides.filter("moment IS NOT NULL AND cents IS NOT NULL").withColumn("at", micros(F.col("moment"))).drop("moment"))
+    group = list(keys)
+    for along, gap, name in (("cents", 1, "island"), ("at", reach, "stretch")):
+        rows = islands(rows, group, along, gap, name, WIDTHS[along])
         group.append(name)
         # groups without both sides can't give a match
         held = rows.groupBy(*group).agg(F.min("is_tx").alias("low"), F.max("is_tx").alias("high")).filter("low < high")
-        rows = rows.join(held.select(*group), group, "left_semi")
+        rows = stored(rows.join(held.select(*group), group, "left_semi"))
     # a document comes before the first transactions that can take it
-    enter = F.col("day") - F.when(F.col("is_tx") == 0, days).otherwise(0)
-    ordered = rows.withColumn("enter", enter).repartition(*group).sortWithinPartitions(*group, "enter", "is_tx", "moment", "id")
+    enter = F.col("at") - F.when(F.col("is_tx") == 0, reach).otherwise(0)
+    ordered = rows.withColumn("enter", enter).repartition(*group).sortWithinPartitions(*group, "enter", "is_tx", "at", "id")
 
     def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, free, entered = None, {}, deque()
+        now, free, waiting = None, {}, deque()
         for frame in frames:
             out = []
-            for *at, cents, day, i, is_tx in frame.itertuples(index=False, name=None):
-                if at != now:
-                    now, free, entered = at, {}, deque()
+            for *key, cents, at, i, is_tx in frame.itertuples(index=False, name=None):
+                if key != now:
+                    now, free, waiting = key, {}, deque()
                 if not is_tx:
-                    by_day = free.setdefault(cents, {})
-                    if day not in by_day:
-                        by_day[day] = set()
-                        entered.append((day, cents))
-                    by_day[day].add(i)
+                    free.setdefault(cents, set()).add(i)
+                    waiting.append((at + reach, cents, i))
                     continue
-                while entered and entered[0][0] < day - days:
-                    past, c = entered.popleft()
-                    del free[c][past]
-                near = []
-                for c in (cents - 1, cents, cents + 1):
-                    for ids in free.get(c, {}).values():
-                        near += [(ids, d) for d in islice(ids, 2)]
-                        if len(near) > 1:
-                            break
-                if len(near) == 1:
-                    ids, d = near[0]
-                    out.append((i, d))
-                    ids.remove(d)
+                while waiting and waiting[0][0] < at:
+                    _, c, d = waiting.popleft()
+                    free[c].discard(d)
+                # what is free now is near in time; it is near in amount within a cent
+                near = [free[c] for c in (cents - 1, cents, cents + 1) if free.get(c)]
+                if len(near) == 1 and len(near[0]) == 1:
+                    out.append((i, near[0].pop()))
             yield pd.DataFrame(out, columns=["tx_id", "doc_id"]).astype("int64")
 
-    return ordered.select(*group, "cents", "day", "id", "is_tx").mapInPandas(play, "tx_id long, doc_id long")
+    return ordered.select(*group, "cents", "at", "id", "is_tx").mapInPandas(play, "tx_id long, doc_id long")
 
 
-def receipts(transactions: DataFrame, found: DataFrame, days: int = 3) -> DataFrame:
-    free = found.filter("tx_id IS NULL").select("bank_id", cents(F.col("paid")).alias("cents"), F.col("paid_at").alias("moment"), F.col("receipt_id").alias("doc_id"))
-    debits = transactions.filter("dc = 'D'").withColumn("cents", cents(F.col("amount")))
-    return consumed(debits, free, ["bank_id"], days).withColumnRenamed("doc_id", "receipt_id")
+def receipts(matched: DataFrame, found: DataFrame, days: int = 3) -> DataFrame:
+    """Receipts that pending debits with a rule take; `matched` are the transactions with one."""
+    free = free_receipts(found).select("company_id", cents(F.col("paid")).alias("cents"), F.col("paid_at").alias("moment"), F.col("receipt_id").alias("doc_id"))
+    debits = matched.filter("dc = 'D'").withColumn("cents", cents(F.col("amount")))
+    return consumed(debits, free, ["company_id"], days).withColumnRenamed("doc_id", "receipt_id")
 
 
-def invoices(transactions: DataFrame, found: DataFrame, companies: DataFrame, days: int = 7) -> DataFrame:
+def invoices(matched: DataFrame, found: DataFrame, companies: DataFrame, days: int = 7) -> DataFrame:
+    """Invoices that pending transactions with a rule take; `matched` are the transactions with one."""
     rows = directed(found, companies).select(
         "company_id", "dc", cents(F.col("amount")).alias("cents"), F.col("issued").alias("moment"), F.col("invoice_id").alias("doc_id")
     )
-    with_cents = transactions.withColumn("cents", cents(F.col("amount")))
+    with_cents = matched.withColumn("cents", cents(F.col("amount")))
     return consumed(with_cents, rows, ["company_id", "dc"], days).withColumnRenamed("doc_id", "invoice_id")
 
 
-def transition(rows: DataFrame, event: Column) -> DataFrame:
-    """What an event makes of an invoice; cancelled ones refuse all."""
-    outcome = F.when(F.col("status") == "cancelada", "refused").when(event == "associate", "associated").otherwise("free")
-    return rows.withColumn("outcome", outcome)
-
+def requested(documents: DataFrame, transactions: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """What requests to associate, dissociate or cancel invoices or receipts come to: outcome, status and tx_id.
 
+    `requests` has the document's key, `event`, `wanted` (a transaction) and `company_id`; documents without
+    a status, as receipts, can't be cancelled.  Each request is judged by the state that is stored.
+    """
+    has_status = "status" in documents.columns
+    state = documents.filter("NOT deleted").select(key, "company_id", (F.col("status") if has_status else F.lit("")).alias("status"), "tx_id", F.lit(True).alias("known"))
+    own = transactions.select(F.col("tx_id").alias("wanted"), "company_id", F.lit(True).alias("there"))
+    rows = requests.join(state, [key, "company_id"], "left").join(own, ["wanted", "company_id"], "left")
+    taken = F.col("tx_id").isNotNull()
+    associate = F.col("event") == "associate"
+    dissociate = F.col("event") == "dissociate"
+    bound = (F.col("status") == "associada") if has_status else taken
+    outcome = (
+        F.when(F.col("known").isNull(), "unknown document")
+        .when(associate & (F.col("status") == "cancelada"), "cancelled")
+        .when(associate & taken, "conflict")
+        .when(associate & F.col("there").isNull(), "unknown transaction")
+        .when(dissociate & ~bound, "not associated")
+        .when(associate, "associated")
+        .when(dissociate, "free")
+        .when(F.lit(has_status) & (F.col("event") == "cancel"), "cancelada")
+        .otherwise("unknown event")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    out = F.col("outcome")
+    after = F.when(out == "associated", "associada").when(out == "free", "pendente").when(out == "cancelada", "cancelada").otherwise(F.col("status"))
+    tx = F.when(out == "associated", F.col("wanted")).when(~out.isin("free", "cancelada"), F.col("tx_id"))
+    columns = [key, "event", "outcome", *([after.alias("status")] if has_status else []), tx.alias("tx_id")]
+    return rows.select(*columns)

@@ -1,9 +1,8 @@
-"""Corporate cards: totals of invoices and cards, and settlement."""
+"""Corporate cards: totals of invoices and cards, and payment."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .reports import TOTAL, total
@@ -35,14 +34,29 @@ def totals(cards: DataFrame, invoices: DataFrame, entries: DataFrame) -> DataFra
     )
 
 
-def settlements(invoices: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Debits that equal an invoice's total, where invoice and transaction have no other partner."""
-    debits = transactions.filter("dc = 'D'").select(F.col("bank_id").alias("card_id"), F.col("amount").cast(TOTAL).alias("total"), "tx_id")
-    found = invoices.filter("entries > 0").join(debits, ["card_id", "total"])
-    partners = found.withColumns(
-        {
-            "a": F.count("*").over(W.partitionBy("card_id", "month")),
-            "b": F.count("*").over(W.partitionBy("tx_id")),
-        }
+def with_card(invoices: DataFrame, cards: DataFrame) -> DataFrame:
+    """Live invoices with their card."""
+    return invoices.filter("NOT deleted").drop("deleted").join(cards, "card_id")
+
+
+def settled(requests: DataFrame, invoices: DataFrame, transactions: DataFrame) -> DataFrame:
+    """What each request to pay an invoice with a transaction comes to: `paga`, or why it is refused.
+
+    `requests` has card_id, month, company_id and wanted (a transaction); `invoices` card_id, month, company_id, tx_id
+    (what paid it) and total.  Each request is judged by the state that is stored.
+    """
+    keys = ["card_id", "month", "company_id"]
+    state = invoices.select(*keys, F.col("tx_id").alias("_paid"), "total", F.lit(True).alias("_there"))
+    tx = transactions.select(F.col("tx_id").alias("wanted"), "company_id", "dc", F.col("amount").cast(TOTAL).alias("_amount"))
+    used = invoices.filter("tx_id IS NOT NULL").select(F.col("tx_id").alias("wanted")).distinct().withColumn("_used", F.lit(True))
+    rows = requests.join(state, keys, "left").join(tx, ["wanted", "company_id"], "left").join(used, "wanted", "left")
+    outcome = (
+        F.when(F.col("_there").isNull(), "unknown invoice")
+        .when(F.col("_paid").isNotNull(), "paid already")
+        .when(F.col("_amount").isNull(), "unknown transaction")
+        .when(F.col("_used"), "pays another")
+        .when(F.col("dc") != "D", "no debit")
+        .when(F.col("_amount") != F.col("total"), "other amount")
+        .otherwise("paga")
     )
-    return partners.filter("a = 1 AND b = 1").select("card_id", "month", "tx_id")
+    return rows.select(*requests.columns, outcome.alias("outcome"))

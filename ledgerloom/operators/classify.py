@@ -11,12 +11,12 @@ from ..functions.text import normal_history
 
 
 def matches(transactions: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rule of each pending transaction: exact text before contained text, longer before shorter, then by id.
+    """The active automatic rule of each pending transaction: exact text before contained text, longer before shorter, then by id.
 
     Rules meet transactions of their bank account and side only; what is compared beyond that is a residual.
     """
     pending = transactions.filter("status = 'pendente'").withColumn("norm", normal_history(F.col("history")))
-    active = rules.filter("active").select(
+    active = rules.filter("active AND kind = 'automatica'").select(
         "bank_id", "dc", "rule_id", "description", "code", "keep_history", F.col("text").alias("rule_text")
     )
     hit = pending.join(active, ["bank_id", "dc"]).filter(F.col("norm").contains(F.col("rule_text")))
@@ -73,9 +73,54 @@ def missing_counterparts(postings: DataFrame) -> DataFrame:
     )
 
 
-def summary(found: DataFrame) -> DataFrame:
-    return found.groupBy("company_id").agg(
+def summary(found: DataFrame, receipts: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Counts of a run by company: decisions, and the receipts and invoices that its transactions took."""
+    taken = [d.groupBy("tx_id").agg(F.count("*").alias(n)) for d, n in ((receipts, "r"), (invoices, "i"))]
+    rows = found.join(taken[0], "tx_id", "left").join(taken[1], "tx_id", "left")
+    return rows.groupBy("company_id").agg(
         F.count("*").alias("total"),
         F.count_if(F.col("result") == "processada").alias("processed"),
         F.count_if(F.col("result") == "sem_regra").alias("without_rule"),
+        F.count_if(F.col("result") == "erro").alias("errors"),
+        F.coalesce(F.sum("r"), F.lit(0)).alias("receipts"),
+        F.coalesce(F.sum("i"), F.lit(0)).alias("invoices"),
     )
+
+
+def decision_list(log: DataFrame, transactions: DataFrame, rules: DataFrame, result: str | None = None) -> DataFrame:
+    """Decisions, of one result if it is given, with what their transactions and rules say."""
+    rows = log.filter(F.col("result") == result) if result else log
+    tx = transactions.select("tx_id", "bank_id", "history", "amount", "dc")
+    named = rules.select("rule_id", F.col("description").alias("rule"))
+    return rows.join(tx, "tx_id", "left").join(named, "rule_id", "left")
+
+
+def manual(requests: DataFrame, log: DataFrame, transactions: DataFrame, charts: DataFrame) -> DataFrame:
+    """What each request to post a transaction by hand comes to: `associada`, or why it is refused.
+
+    `requests` has tx_id, company_id, code and description; the log has one decision of a transaction.
+    """
+    decided = log.select("tx_id", "company_id", "result")
+    tx = transactions.select("tx_id", "company_id", "bank_id", "history", "amount", "dc", "status")
+    chart = charts.filter("NOT deleted").select("company_id", "code", F.lit(True).alias("there"))
+    rows = requests.join(decided, ["tx_id", "company_id"], "left").join(tx, ["tx_id", "company_id"], "left").join(chart, ["company_id", "code"], "left")
+    outcome = (
+        F.when(F.col("result").isNull(), "unknown decision")
+        .when(F.col("result") != "sem_regra", "decided already")
+        .when(F.col("status").isNull(), "unknown transaction")
+        .when(F.col("status") != "pendente", "posted already")
+        .when(F.col("there").isNull(), "unknown account")
+        .otherwise("associada")
+    )
+    return rows.withColumn("outcome", outcome).drop("result", "status", "there")
+
+
+def manual_entries(found: DataFrame) -> DataFrame:
+    """The two postings of each request that `manual` allows."""
+    bank_code = hashing.ledger_code(hashing.uuid_of(F.col("bank_id").cast("string")))
+    other = F.when(F.col("dc") == "D", "C").otherwise("D")
+    sides = F.array(
+        F.struct(F.col("code").alias("account"), F.col("description").alias("text"), F.col("dc").alias("side")),
+        F.struct(bank_code.alias("account"), F.concat(F.lit("Contrapartida bancária: "), F.col("description")).alias("text"), other.alias("side")),
+    )
+    return found.filter("outcome = 'associada'").select("tx_id", "history", "amount", F.inline(sides))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import taxid
 from ..functions.dates import day_bounds
-from ..functions.text import digits_only
+from ..functions.text import digits_only, safe_cell
 from .reports import live
 
 
@@ -18,9 +19,10 @@ def allowed(rows: DataFrame, permits: DataFrame, user: int, module: str) -> Data
     return rows.join(mine.select("company_id"), "company_id", "left_semi")
 
 
-def errors(checks: dict[str, Column]) -> Column:
-    """Names of the checks that fail, each with a semicolon."""
-    return F.concat(*[F.when(c, F.lit(f"{n};")).otherwise("") for n, c in checks.items()])
+def permits_of(permits: DataFrame, users: DataFrame, companies: DataFrame) -> DataFrame:
+    """Who may see an active company: permits of users of the company's own tenant."""
+    own = companies.filter("active").select("company_id", "tenant_id")
+    return permits.join(own, "company_id").join(users, ["user_id", "tenant_id"]).select("company_id", "user_id", "modules", "user_name")
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -32,10 +34,21 @@ def shown_date(c: Column) -> Column:
     return F.date_format(c, "dd/MM/yyyy")
 
 
-def ledger(postings: DataFrame, accounts: DataFrame) -> DataFrame:
-    """All postings, deleted ones too."""
-    named = postings.join(accounts.select("code", "label"), "code")
-    return named.select(shown_date(F.col("moment")).alias("date"), "code", "label", "dc", "amount", F.col("tx_id").cast("string").alias("tx"))
+def iso_day(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def ledger(postings: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The ten columns of the ledger export, deleted postings too; both bounds are moments that count themselves."""
+    rows = postings
+    if first:
+        rows = rows.filter(F.col("moment") >= F.lit(first).cast("timestamp"))
+    if last:
+        rows = rows.filter(F.col("moment") <= F.lit(last).cast("timestamp"))
+    moment = F.concat(F.date_format("moment", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    return rows.select(
+        "posting_id", moment.alias("moment"), "text", "history", "dc", "amount", "rule_kind", "code", "bank_id", F.coalesce(F.col("tx_id").cast("string"), F.lit("")).alias("tx_id")
+    )
 
 
 def statement(transactions: DataFrame, banks: DataFrame, first: str, last: str) -> DataFrame:
@@ -46,12 +59,83 @@ def statement(transactions: DataFrame, banks: DataFrame, first: str, last: str)
     )
 
 
-def invoices(rows: DataFrame, companies: DataFrame, kind: str) -> DataFrame:
-    """Active invoices of a kind and whether the company issued or received them."""
-    own = companies.select("company_id", digits_only(F.col("tax_id")).alias("own"))
-    direction = F.when(digits_only(F.col("issuer")) == F.col("own"), "saida").otherwise("entrada")
-    kept = rows.filter((F.col("kind") == kind) & (F.col("status") == "ativa"))
-    return kept.join(own, "company_id").select("company_id", "invoice_id", direction.alias("direction"), "number", "amount")
+#: kind of invoice and the company's part in it, of each export: fixed values
+INVOICE_EXPORTS = {"nfe_entrada": ("nfe", "recipient"), "nfe_saida": ("nfe", "issuer"), "nfse_tomado": ("nfse", "recipient"), "nfse_prestado": ("nfse", "issuer")}
+
+
+def refused_companies(companies: DataFrame) -> DataFrame:
+    """Companies whose invoices can't be exported: without a valid tax id none would be found to be theirs."""
+    return companies.filter(~taxid.is_valid(F.col("tax_id"))).select("company_id", "tax_id")
+
+
+def invoices(rows: DataFrame, companies: DataFrame, transactions: DataFrame, name: str) -> DataFrame:
+    """An invoice export of all companies with a valid tax id: live invoices of a kind that the company issued or
+    received, with the transaction that each is associated with."""
+    kind, party = INVOICE_EXPORTS[name]
+    own = companies.filter(taxid.is_valid(F.col("tax_id"))).select("company_id", digits_only(F.col("tax_id")).alias("_own"))
+    kept = live(rows).filter(F.col("kind") == kind).join(own, "company_id")
+    kept = kept.filter(digits_only(F.coalesce(party, F.lit(""))) == F.col("_own"))
+    tx = transactions.select("tx_id", iso_day(F.col("moment")).alias("tx_day"), F.col("amount").alias("tx_amount"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return kept.join(tx, "tx_id", "left").select(
+        "company_id", F.coalesce(iso_day(F.col("issued")), F.lit("")).alias("day"), blank("number"), blank("series"), blank("issuer"),
+        blank("issuer_name"), blank("recipient"), "amount", blank("access_key"), blank("status"), blank("tx_day"), "tx_amount",
+    )
+
+
+def positions(found: DataFrame, divergent: DataFrame, pending: DataFrame, which: str = "completo") -> DataFrame:
+    """Rows of the supplier workbook in order: all, those that are open, or those that diverge.
+
+    `divergent` has supplier_id, `pending` supplier_id and open purchases, as `fifo` gives them.
+    """
+    off = divergent.select("supplier_id").distinct().withColumn("_off", F.lit(True))
+    left = pending.groupBy("supplier_id").agg(F.count("*").alias("pending"))
+    rows = found.join(off, "supplier_id", "left").join(left, "supplier_id", "left")
+    if which == "em_aberto":
+        rows = rows.filter("status = 'EM_ABERTO'")
+    elif which == "divergencias":
+        rows = rows.filter("_off")
+    return rows.orderBy(F.desc("payable"), "supplier_id").select(
+        "supplier_id", safe_cell(F.col("name")).alias("name"), "credits", "debits", "payable", safe_cell(F.col("status")).alias("status"),
+        F.coalesce("pending", F.lit(0)).alias("pending"), F.when(F.col("_off"), "Sim").otherwise("Não").alias("divergent"),
+    )
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV files with a header, each beginning with the mark of UTF-8; the mark is part of the first column's name."""
+    first, *rest = rows.columns
+    rows.withColumnRenamed(first, "\ufeff" + first).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def literal(c: Column, kind: str) -> Column:
+    """A value as SQL writes it."""
+    if kind == "string":
+        text = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    elif kind in ("date", "timestamp"):
+        text = F.concat(F.lit("'"), c.cast("string"), F.lit("'"))
+    elif kind == "boolean":
+        text = F.upper(c.cast("string"))
+    else:
+        text = c.cast("string")
+    return F.coalesce(text, F.lit("NULL"))
+
+
+def inserts(rows: DataFrame, table: str, key: str) -> DataFrame:
+    """One INSERT for each row that does nothing where its key is there."""
+    names = ", ".join(rows.columns)
+    values = F.concat_ws(", ", *[literal(F.col(c), t.partition("(")[0]) for c, t in rows.dtypes])
+    return rows.select(F.concat(F.lit(f"INSERT INTO {table} ({names}) VALUES ("), values, F.lit(f") ON CONFLICT ({key}) DO NOTHING;")).alias("statement"))
+
+
+def state(suppliers: DataFrame, entries: DataFrame, order: list[str]) -> DataFrame:
+    """The stored state of each supplier as JSON texts of its fields: its own row, and each of its entries.
+
+    One row for each supplier and each entry, in an order that can be compared and restored; amounts are texts.
+    """
+    as_text = lambda df: F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    place = F.row_number().over(W.partitionBy("supplier_id").orderBy(*order))
+    heads = suppliers.select("supplier_id", F.lit(0).alias("place"), as_text(suppliers).alias("state"))
+    return heads.unionByName(entries.select("supplier_id", place.alias("place"), as_text(entries).alias("state")))
 
 
 def conference(transactions: DataFrame, invoices: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -83,3 +167,7 @@ def attachments(rows: DataFrame) -> DataFrame:
         .otherwise("application/octet-stream")
     )
     return rows.withColumns({"type": kind, "bytes": F.unbase64("content")}).drop("content")
+
+
+def has_attachment(content: Column) -> Column:
+    return F.coalesce(F.length(content) > 0, F.lit(False))

@@ -145,3 +145,36 @@ def consolidated(entries: DataFrame) -> DataFrame:
     return rows.groupBy("supplier_id", "invoice", "series", day.alias("day"), alone.alias("alone")).agg(
         total(F.col("amount")).alias("credit"), F.count("*").alias("originals"), first["line"].alias("first_line")
     ).drop("alone")
+
+
+def totals(declared: DataFrame, entries: DataFrame) -> DataFrame:
+    """Debits and credits of each supplier: the sums of its entries, or what the file declares where they are 0."""
+    sums = entries.groupBy("supplier_id").agg(total(F.col("debit")).alias("d"), total(F.col("credit")).alias("c"))
+    pick = lambda c, n: F.when(F.col(c) > 0, F.col(c)).otherwise(F.coalesce(n, F.lit(0))).cast(TOTAL)
+    return declared.join(sums, "supplier_id", "left").select(
+        "supplier_id", pick("d", "declared_debits").alias("debits"), pick("c", "declared_credits").alias("credits")
+    )
+
+
+def open_divergences(found: DataFrame, suppliers: DataFrame, file_id: int) -> DataFrame:
+    """Unresolved divergences of the suppliers of one file."""
+    own = suppliers.filter(F.col("file_id") == file_id).select("supplier_id")
+    return found.filter("NOT resolved").join(own, "supplier_id")
+
+
+def pending(state: DataFrame) -> DataFrame:
+    """Purchases of `paid_state` that are still open."""
+    return state.filter("open > 0")
+
+
+def detail(found: DataFrame, entries: DataFrame, state: DataFrame, supplier_id: int) -> DataFrame:
+    """One supplier's position, its entries in order of time, and its pending purchases, as rows that tell what they are."""
+    own = F.col("supplier_id") == supplier_id
+    head = found.filter(own).select(F.lit("position").alias("what"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("invoice"), F.col("payable").alias("amount"), "status")
+    order = W.orderBy("moment", "invoice", "line", "part", "quantity", "credit", "debit")
+    amount = (F.col("credit") - F.col("debit")).cast(TOTAL)
+    rows = entries.filter(own).select(
+        F.lit("entry").alias("what"), F.row_number().over(order).alias("place"), "invoice", amount.alias("amount"), F.when(F.col("debit") > 0, "PAGAMENTO").otherwise("COMPRA").alias("status")
+    )
+    left = pending(state.filter(own)).select(F.lit("pending").alias("what"), F.col("n").alias("place"), "invoice", F.col("open").alias("amount"), "status")
+    return head.unionByName(rows).unionByName(left)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import Ledger
-from ..operators import accounts, associate, cards, classify, fifo, repair
+from ..operators import accounts, associate, cards, classify, exports, fifo, repair
 from .registry import query
 
 D25 = "DECIMAL(25,2)"
 MATCHED = """hit AS (SELECT t.*, r.rule_id, r.description, r.code, r.keep_history, r.text AS rule_text,
     row_number() OVER (PARTITION BY tx_id ORDER BY (lower(history) = r.text) DESC, length(r.text) DESC, r.rule_id) AS place
     FROM transactions t JOIN rules r ON t.bank_id = r.bank_id AND t.dc = r.dc AND r.active AND contains(lower(t.history), r.text)
-    WHERE t.status = 'pendente'),
+    AND r.kind = 'automatica' WHERE t.status = 'pendente'),
 matched AS (SELECT *, CASE WHEN lower(history) = rule_text THEN 'exato' ELSE 'substring' END AS strategy FROM hit WHERE place = 1)"""
 DECIDED = f"""{MATCHED}, decided AS (SELECT t.tx_id, t.company_id, CASE WHEN m.rule_id IS NULL THEN 'sem_regra' ELSE 'processada' END AS result,
     m.rule_id, m.strategy FROM transactions t LEFT JOIN matched m ON t.tx_id = m.tx_id WHERE t.status = 'pendente')"""
@@ -58,12 +58,6 @@ def _(t: Ledger) -> DataFrame:
     return classify.new_decisions(found, found.filter("tx_id % 2 = 0")).select("tx_id", "result")
 
 
-@query("cl06_run_summary", f"""WITH {DECIDED} SELECT company_id, count(*) AS total, count(*) FILTER (result = 'processada') AS processed,
-    count(*) FILTER (result = 'sem_regra') AS without_rule FROM decided GROUP BY 1""")
-def _(t: Ledger) -> DataFrame:
-    return classify.summary(decided(t))
-
-
 @query("mg01_missing_counterparts", f"""WITH p AS (SELECT * FROM postings WHERE NOT deleted), o AS (SELECT DISTINCT tx_id, CASE WHEN dc = 'D' THEN 'C' ELSE 'D' END AS dc FROM p)
     SELECT tx_id, CASE WHEN dc = 'D' THEN 'C' ELSE 'D' END AS dc, CAST(sum(amount) AS {D25}) AS amount, count(*) AS postings
     FROM p WHERE (tx_id, dc) NOT IN (SELECT (tx_id, dc) FROM o) GROUP BY 1, 2""")
@@ -71,43 +65,138 @@ def _(t: Ledger) -> DataFrame:
     return classify.missing_counterparts(t.postings.filter("NOT deleted"))
 
 
-@query("jn11_receipt_candidates", """SELECT t.tx_id, r.receipt_id FROM transactions t JOIN receipts r ON t.bank_id = r.bank_id
-    AND abs(t.amount - r.paid) <= 0.01 AND abs(date_diff('day', t.moment, r.paid_at)) <= 3 WHERE t.dc = 'D' AND r.tx_id IS NULL""")
-def _(t: Ledger) -> DataFrame:
-    return associate.receipt_candidates(t.transactions, t.receipts).select("tx_id", "receipt_id")
+RECEIPT_PAIRS = """SELECT t.tx_id, r.receipt_id FROM transactions t JOIN receipts r ON t.company_id = r.company_id AND abs(t.amount - r.paid) <= 0.01
+    AND r.paid_at BETWEEN t.moment - INTERVAL 3 DAY AND t.moment + INTERVAL 3 DAY WHERE t.dc = 'D' AND r.tx_id IS NULL AND NOT r.deleted"""
+DIRECTED = r"""directed AS (SELECT v.*, CASE WHEN a AND NOT b THEN 'C' WHEN b AND NOT a THEN 'D' END AS side FROM (
+    SELECT v.*, regexp_replace(issuer, '\D', '', 'g') = regexp_replace(c.tax_id, '\D', '', 'g') AS a, regexp_replace(recipient, '\D', '', 'g') = regexp_replace(c.tax_id, '\D', '', 'g') AS b
+    FROM invoices v JOIN companies c ON v.company_id = c.company_id WHERE v.status = 'pendente' AND v.tx_id IS NULL AND NOT v.deleted) v)"""
+INVOICE_PAIRS = """SELECT t.tx_id, i.invoice_id FROM transactions t JOIN directed i ON t.company_id = i.company_id AND t.dc = i.side AND abs(t.amount - i.amount) <= 0.01
+    AND i.issued BETWEEN t.moment - INTERVAL 7 DAY AND t.moment + INTERVAL 7 DAY"""
+
+
+def played(pairs: str, doc: str, more: str = "") -> str:
+    """SQL in which the matched transactions of a company, one after another, take the only candidate that is free."""
+    return f"""WITH RECURSIVE {MATCHED}{more}, pairs AS ({pairs}),
+    turns AS (SELECT m.tx_id, m.company_id, list({doc}) AS docs, row_number() OVER (PARTITION BY m.company_id ORDER BY any_value(m.moment), m.tx_id) AS k
+        FROM matched m JOIN pairs p ON m.tx_id = p.tx_id GROUP BY 1, 2),
+    play AS (SELECT company_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS tx_id, CAST(NULL AS BIGINT) AS {doc} FROM companies
+        UNION ALL SELECT company_id, k, CASE WHEN len(free) = 1 THEN list_append(used, free[1]) ELSE used END, tx_id, CASE WHEN len(free) = 1 THEN free[1] END
+        FROM (SELECT n.company_id, n.k, p.used, n.tx_id, list_filter(n.docs, lambda d: NOT list_contains(p.used, d)) AS free
+            FROM play p JOIN turns n ON n.company_id = p.company_id AND n.k = p.k + 1)),
+    taken AS (SELECT tx_id, {doc} FROM play WHERE {doc} IS NOT NULL)"""
 
 
-INVOICE_PAIRS = """SELECT t.tx_id, i.invoice_id FROM transactions t
-    JOIN (SELECT v.*, CASE WHEN issuer = tax_id THEN 'C' ELSE 'D' END AS side FROM invoices v JOIN companies USING (company_id) WHERE status = 'ativa') i
-    ON t.company_id = i.company_id AND t.dc = i.side AND abs(t.amount - i.amount) <= 0.01 AND abs(date_diff('day', t.moment, i.issued)) <= 7"""
+RECEIPTS_TAKEN, INVOICES_TAKEN = played(RECEIPT_PAIRS, "receipt_id"), played(INVOICE_PAIRS, "invoice_id", f", {DIRECTED}")
 
 
-@query("jn12_invoice_candidates", INVOICE_PAIRS)
+@query("jn11_receipt_candidates", RECEIPT_PAIRS)
+def _(t: Ledger) -> DataFrame:
+    return associate.receipt_candidates(t.transactions, t.receipts).select("tx_id", "receipt_id")
+
+
+@query("jn12_invoice_candidates", f"WITH {DIRECTED} {INVOICE_PAIRS}")
 def _(t: Ledger) -> DataFrame:
     return associate.invoice_candidates(t.transactions, t.invoices, t.companies).select("tx_id", "invoice_id")
 
 
-@query("as01_receipts_once", """WITH c AS (SELECT t.tx_id, r.receipt_id FROM transactions t JOIN receipts r ON t.bank_id = r.bank_id
-    AND abs(t.amount - r.paid) <= 0.01 AND abs(date_diff('day', t.moment, r.paid_at)) <= 3 WHERE t.dc = 'D' AND r.tx_id IS NULL)
-    SELECT tx_id, min(receipt_id) AS receipt_id FROM c GROUP BY tx_id HAVING count(*) = 1""")
+@query("as01_receipts_once", f"WITH c AS ({RECEIPT_PAIRS}) SELECT tx_id, min(receipt_id) AS receipt_id FROM c GROUP BY tx_id HAVING count(*) = 1")
 def _(t: Ledger) -> DataFrame:
     return associate.only_candidates(associate.receipt_candidates(t.transactions, t.receipts), "receipt_id")
 
 
-@query("as01_receipts_consumed")
+@query("as01_receipts_consumed", f"{RECEIPTS_TAKEN} SELECT * FROM taken")
+def _(t: Ledger) -> DataFrame:
+    return associate.receipts(matched(t), t.receipts)
+
+
+@query("as02_invoices_consumed", f"{INVOICES_TAKEN} SELECT * FROM taken")
+def _(t: Ledger) -> DataFrame:
+    return associate.invoices(matched(t), t.invoices, t.companies)
+
+
+@query("cl06_run_summary", f"""{RECEIPTS_TAKEN.replace("play AS", "play_r AS").replace("FROM play ", "FROM play_r ").replace("turns", "turns_r").replace("taken AS", "taken_r AS").replace("pairs AS", "pairs_r AS").replace("JOIN pairs ", "JOIN pairs_r ")},
+    {INVOICES_TAKEN.split("AS strategy FROM hit WHERE place = 1), ", 1)[1]}, {DECIDED.split("AS strategy FROM hit WHERE place = 1), ", 1)[1]}
+    SELECT company_id, count(*) AS total, count(*) FILTER (result = 'processada') AS processed, count(*) FILTER (result = 'sem_regra') AS without_rule,
+    count(*) FILTER (result = 'erro') AS errors, count(*) FILTER (tx_id IN (SELECT tx_id FROM taken_r)) AS receipts, count(*) FILTER (tx_id IN (SELECT tx_id FROM taken)) AS invoices
+    FROM decided GROUP BY 1""")
+def _(t: Ledger) -> DataFrame:
+    found = matched(t)
+    return classify.summary(decided(t), associate.receipts(found, t.receipts), associate.invoices(found, t.invoices, t.companies))
+
+
+REQUESTS = """q AS (SELECT tx_id AS doc_id, company_id, CASE tx_id % 3 WHEN 0 THEN 'associate' WHEN 1 THEN 'dissociate' ELSE 'cancel' END AS event,
+    CASE WHEN tx_id % 4 = 0 THEN -tx_id ELSE tx_id END AS wanted FROM transactions)"""
+
+
+def requests(t: Ledger, key: str) -> DataFrame:
+    k = F.col("tx_id")
+    event = F.when(k % 3 == 0, "associate").when(k % 3 == 1, "dissociate").otherwise("cancel")
+    return t.transactions.select(k.alias(key), "company_id", event.alias("event"), F.when(k % 4 == 0, -k).otherwise(k).alias("wanted"))
+
+
+@query("as03_invoice_requests", f"""WITH {REQUESTS}, o AS (SELECT doc_id AS invoice_id, event, wanted, i.status, i.tx_id, CASE
+    WHEN i.invoice_id IS NULL THEN 'unknown document' WHEN event = 'associate' AND status = 'cancelada' THEN 'cancelled' WHEN event = 'associate' AND i.tx_id IS NOT NULL THEN 'conflict'
+    WHEN event = 'associate' AND wanted NOT IN (SELECT tx_id FROM transactions) THEN 'unknown transaction' WHEN event = 'dissociate' AND status <> 'associada' THEN 'not associated'
+    WHEN event = 'associate' THEN 'associated' WHEN event = 'dissociate' THEN 'free' ELSE 'cancelada' END AS outcome
+    FROM q LEFT JOIN (SELECT * FROM invoices WHERE NOT deleted) i ON i.invoice_id = q.doc_id)
+    SELECT invoice_id, event, outcome, CASE outcome WHEN 'associated' THEN 'associada' WHEN 'free' THEN 'pendente' WHEN 'cancelada' THEN 'cancelada' ELSE status END AS status,
+    CASE WHEN outcome = 'associated' THEN wanted WHEN outcome NOT IN ('free', 'cancelada') THEN tx_id END AS tx_id FROM o""")
+def _(t: Ledger) -> DataFrame:
+    return associate.requested(t.invoices, t.transactions, requests(t, "invoice_id"), "invoice_id")
+
+
+@query("as03_receipt_requests", f"""WITH {REQUESTS}, o AS (SELECT doc_id AS receipt_id, event, wanted, r.tx_id, CASE
+    WHEN r.receipt_id IS NULL THEN 'unknown document' WHEN event = 'associate' AND r.tx_id IS NOT NULL THEN 'conflict'
+    WHEN event = 'associate' AND wanted NOT IN (SELECT tx_id FROM transactions) THEN 'unknown transaction' WHEN event = 'dissociate' AND r.tx_id IS NULL THEN 'not associated'
+    WHEN event = 'associate' THEN 'associated' WHEN event = 'dissociate' THEN 'free' ELSE 'unknown event' END AS outcome
+    FROM q LEFT JOIN (SELECT * FROM receipts WHERE NOT deleted) r ON r.receipt_id = q.doc_id)
+    SELECT receipt_id, event, outcome, CASE WHEN outcome = 'associated' THEN wanted WHEN outcome <> 'free' THEN tx_id END AS tx_id FROM o""")
+def _(t: Ledger) -> DataFrame:
+    return associate.requested(t.receipts, t.transactions, requests(t, "receipt_id"), "receipt_id")
+
+
+MANUAL = f"""{DECIDED}, q AS (SELECT tx_id, CASE WHEN tx_id % 5 = 0 THEN company_id + 1 ELSE company_id END AS company_id,
+    CASE WHEN tx_id % 4 = 0 THEN '9.99' ELSE '4.11' END AS code, 'by hand ' || CAST(tx_id AS VARCHAR) AS description FROM transactions),
+    m AS (SELECT q.tx_id, q.company_id, q.code, q.description, t.history, t.amount, t.dc, t.bank_id, CASE WHEN d.tx_id IS NULL THEN 'unknown decision' WHEN d.result <> 'sem_regra' THEN 'decided already'
+    WHEN t.status <> 'pendente' THEN 'posted already' WHEN (q.company_id, q.code) NOT IN (SELECT (company_id, code) FROM charts WHERE NOT deleted) THEN 'unknown account' ELSE 'associada' END AS outcome
+    FROM q LEFT JOIN decided d ON q.tx_id = d.tx_id AND q.company_id = d.company_id LEFT JOIN transactions t ON q.tx_id = t.tx_id AND q.company_id = t.company_id)"""
+
+
+def by_hand(t: Ledger) -> DataFrame:
+    k = F.col("tx_id")
+    wanted = t.transactions.select(
+        "tx_id",
+        F.when(k % 5 == 0, F.col("company_id") + 1).otherwise(F.col("company_id")).alias("company_id"),
+        F.when(k % 4 == 0, "9.99").otherwise("4.11").alias("code"),
+        F.concat(F.lit("by hand "), k.cast("string")).alias("description"),
+    )
+    return classify.manual(wanted, decided(t), t.transactions, t.charts)
+
+
+@query("cl05_manual_requests", f"WITH {MANUAL} SELECT tx_id, outcome FROM m")
+def _(t: Ledger) -> DataFrame:
+    return by_hand(t).select("tx_id", "outcome")
+
+
+@query("cl05_manual_entries", f"""WITH {MANUAL} SELECT tx_id, history, amount, CASE WHEN main THEN code ELSE '1.1.B.' || left(md5(CAST(bank_id AS VARCHAR)), 16) END AS account,
+    CASE WHEN main THEN description ELSE 'Contrapartida bancária: ' || description END AS text, CASE WHEN main THEN dc WHEN dc = 'D' THEN 'C' ELSE 'D' END AS side
+    FROM m, (VALUES (true), (false)) v(main) WHERE outcome = 'associada'""")
 def _(t: Ledger) -> DataFrame:
-    return associate.receipts(t.transactions, t.receipts)
+    return classify.manual_entries(by_hand(t))
 
 
-@query("as02_invoices_consumed")
+@query("prj08_decision_log", f"""WITH {DECIDED} SELECT d.tx_id, d.rule_id, d.company_id, d.result, d.strategy, bank_id, history, amount, dc, r.description AS rule
+    FROM decided d LEFT JOIN (SELECT tx_id, bank_id, history, amount, dc FROM transactions) USING (tx_id) LEFT JOIN (SELECT rule_id, description FROM rules) r ON d.rule_id = r.rule_id""")
 def _(t: Ledger) -> DataFrame:
-    return associate.invoices(t.transactions, t.invoices, t.companies)
+    return classify.decision_list(decided(t), t.transactions, t.rules)
 
 
-@query("as03_state_transitions", """SELECT invoice_id, CASE WHEN status = 'cancelada' THEN 'refused' WHEN invoice_id % 2 = 0 THEN 'associated' ELSE 'free' END AS outcome FROM invoices""")
+@query("wn04_first_unmatched_decision", f"""WITH {DECIDED}, log AS (SELECT tx_id, run, tx_id * 10 + (7 - run) AS id FROM decided, (VALUES (1), (2), (3)) r(run) WHERE result = 'sem_regra')
+    SELECT tx_id, id FROM (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY run, id) AS n FROM log) WHERE n = 1""")
 def _(t: Ledger) -> DataFrame:
-    event = F.when(F.col("invoice_id") % 2 == 0, "associate").otherwise("dissociate")
-    return associate.transition(t.invoices, event).select("invoice_id", "outcome")
+    runs = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("run")
+    log = decided(t).filter("result = 'sem_regra'").select("tx_id", runs).withColumn("id", F.col("tx_id") * 10 + 7 - F.col("run"))
+    return repair.first_of(log, ["tx_id"], ["run", "id"]).select("tx_id", "id")
 
 
 RUNNING = """p AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS n, CAST(sum(amount) OVER (w ROWS UNBOUNDED PRECEDING) AS DECIMAL(25,2)) AS after
@@ -142,7 +231,7 @@ def _(t: Ledger) -> DataFrame:
 
 
 POSITIONS = f"""WITH s AS (SELECT supplier_id, CAST(sum(debit) AS {D25}) AS debits, CAST(sum(credit) AS {D25}) AS credits, count(*) AS entries_n
-    FROM (SELECT * FROM entries WHERE supplier_id % 10 <> 0) GROUP BY 1),
+    FROM entries GROUP BY 1),
 x AS (SELECT supplier_id, name, CAST(CASE WHEN opening_side = 'D' THEN -abs(opening) ELSE abs(opening) END AS {D25}) AS opening,
     coalesce(debits, 0) AS debits, coalesce(credits, 0) AS credits, coalesce(entries_n, 0) AS entries FROM suppliers LEFT JOIN s USING (supplier_id)),
 y AS (SELECT supplier_id, name, opening, CAST(debits AS {D25}) AS debits, CAST(credits AS {D25}) AS credits, entries,
@@ -153,7 +242,7 @@ positions AS (SELECT *, CASE WHEN payable > 0 THEN 'C' WHEN payable < 0 THEN 'D'
 
 
 def positions(t: Ledger) -> DataFrame:
-    return fifo.positions(t.suppliers, t.entries.filter("supplier_id % 10 <> 0"))
+    return fifo.positions(t.suppliers, t.entries)
 
 
 @query("f06_supplier_position", POSITIONS + "SELECT * FROM positions")
@@ -173,17 +262,14 @@ def _(t: Ledger) -> DataFrame:
     return ranked.offset(5).limit(10).select("supplier_id", "payable")
 
 
-@query("snk05_open_positions", POSITIONS + "SELECT supplier_id, name, payable, status FROM positions WHERE status = 'EM_ABERTO'")
-def _(t: Ledger) -> DataFrame:
-    return positions(t).filter("status = 'EM_ABERTO'").select("supplier_id", "name", "payable", "status")
+DECLARED = f"""s AS (SELECT supplier_id, CAST(sum(debit) AS {D25}) AS debits, CAST(sum(credit) AS {D25}) AS credits FROM entries GROUP BY 1),
+    d AS (SELECT *, CASE WHEN supplier_id % 4 = 0 THEN debits + 1 WHEN supplier_id % 4 = 1 THEN 0 ELSE debits END AS dd, CASE WHEN supplier_id % 6 = 0 THEN credits - 1 ELSE credits END AS dc FROM s),
+    off AS (SELECT supplier_id, concat_ws('; ', CASE WHEN dd > 0 AND abs(debits - dd) > 0.01 THEN 'debits ' || CAST(debits AS VARCHAR) || ' <> ' || CAST(CAST(dd AS {D25}) AS VARCHAR) END,
+    CASE WHEN dc > 0 AND abs(credits - dc) > 0.01 THEN 'credits ' || CAST(credits AS VARCHAR) || ' <> ' || CAST(CAST(dc AS {D25}) AS VARCHAR) END) AS message
+    FROM d WHERE (dd > 0 AND abs(debits - dd) > 0.01) OR (dc > 0 AND abs(credits - dc) > 0.01))"""
 
 
-@query("f07_divergences", f"""WITH s AS (SELECT supplier_id, CAST(sum(debit) AS {D25}) AS debits, CAST(sum(credit) AS {D25}) AS credits FROM entries GROUP BY 1),
-    d AS (SELECT *, CASE WHEN supplier_id % 4 = 0 THEN debits + 1 WHEN supplier_id % 4 = 1 THEN 0 ELSE debits END AS dd, CASE WHEN supplier_id % 6 = 0 THEN credits - 1 ELSE credits END AS dc FROM s)
-    SELECT supplier_id, concat_ws('; ', CASE WHEN dd > 0 AND abs(debits - dd) > 0.01 THEN 'debits ' || CAST(debits AS VARCHAR) || ' <> ' || CAST(CAST(dd AS {D25}) AS VARCHAR) END,
-    CASE WHEN dc > 0 AND abs(credits - dc) > 0.01 THEN 'credits ' || CAST(credits AS VARCHAR) || ' <> ' || CAST(CAST(dc AS {D25}) AS VARCHAR) END) AS message
-    FROM d WHERE (dd > 0 AND abs(debits - dd) > 0.01) OR (dc > 0 AND abs(credits - dc) > 0.01)""")
-def _(t: Ledger) -> DataFrame:
+def divergent(t: Ledger) -> DataFrame:
     k = F.col("supplier_id")
     sums = t.entries.groupBy("supplier_id").agg(F.sum("debit").alias("d"), F.sum("credit").alias("c"))
     declared = sums.select(
@@ -194,6 +280,59 @@ def _(t: Ledger) -> DataFrame:
     return fifo.divergences(declared, t.entries)
 
 
+WORKBOOK = POSITIONS.replace("positions AS", "found AS") + f""", {DECLARED.replace("s AS", "sums AS", 1).replace("FROM s)", "FROM sums)")}, {BOUGHT}, paid AS (SELECT supplier_id, sum(debit) AS total FROM entries WHERE debit > 0 GROUP BY 1),
+    pending AS (SELECT supplier_id, count(*) AS pending FROM bought LEFT JOIN paid USING (supplier_id) WHERE after > coalesce(total, 0) GROUP BY 1)
+    SELECT supplier_id, name, credits, debits, payable, status, coalesce(pending, 0) AS pending, CASE WHEN message IS NULL THEN 'Não' ELSE 'Sim' END AS divergent
+    FROM found LEFT JOIN off USING (supplier_id) LEFT JOIN pending USING (supplier_id)"""
+
+
+def _workbook(which: str, where: str) -> None:
+    @query(f"snk05_positions_{which}", WORKBOOK + where)
+    def _(t: Ledger) -> DataFrame:
+        return exports.positions(positions(t), divergent(t), fifo.pending(fifo.paid_state(*sides(t))), which)
+
+
+for _which, _where in {"completo": "", "em_aberto": " WHERE status = 'EM_ABERTO'", "divergencias": " WHERE message IS NOT NULL"}.items():
+    _workbook(_which, _where)
+
+
+@query("f07_divergences", f"WITH {DECLARED} SELECT * FROM off")
+def _(t: Ledger) -> DataFrame:
+    return divergent(t)
+
+
+@query("jn03_open_divergences", f"WITH {DECLARED} SELECT supplier_id, message, false AS resolved FROM off WHERE supplier_id % 4 = 0 AND supplier_id % 5 <> 0")
+def _(t: Ledger) -> DataFrame:
+    k = F.col("supplier_id")
+    files = t.suppliers.select("supplier_id", (k % 4).alias("file_id"))
+    return fifo.open_divergences(divergent(t).withColumn("resolved", k % 5 == 0), files, 0)
+
+
+@query("ag15_totals_or_declared", f"""WITH s AS (SELECT supplier_id, sum(debit) AS d, sum(credit) AS c FROM entries GROUP BY 1)
+    SELECT n.supplier_id, CAST(CASE WHEN d > 0 THEN d ELSE 7 END AS {D25}) AS debits, CAST(CASE WHEN c > 0 THEN c ELSE 5 END AS {D25}) AS credits
+    FROM (SELECT supplier_id FROM suppliers UNION ALL SELECT -supplier_id FROM suppliers) n LEFT JOIN s ON n.supplier_id = s.supplier_id""")
+def _(t: Ledger) -> DataFrame:
+    k = F.col("supplier_id")
+    declared = t.suppliers.select(F.explode(F.array(k, -k)).alias("supplier_id"), F.lit(7).alias("declared_debits"), F.lit(5).alias("declared_credits"))
+    return fifo.totals(declared, t.entries)
+
+
+@query("prj17_pending_purchases", f"""WITH {BOUGHT}, s AS (SELECT supplier_id, sum(debit) AS total FROM entries WHERE debit > 0 GROUP BY 1)
+    SELECT supplier_id, n, invoice, amount, CAST(amount - greatest(coalesce(total, 0) - (after - amount), 0) AS {D25}) AS open FROM bought LEFT JOIN s USING (supplier_id) WHERE after > coalesce(total, 0)""")
+def _(t: Ledger) -> DataFrame:
+    return fifo.pending(fifo.paid_state(*sides(t))).select("supplier_id", "n", "invoice", "amount", "open")
+
+
+@query("f13_supplier_detail", POSITIONS + f""", {BOUGHT}, spent AS (SELECT sum(debit) AS total FROM entries WHERE supplier_id = 3),
+    e AS (SELECT *, row_number() OVER (ORDER BY moment, invoice, line, part, quantity, credit, debit) AS place FROM entries WHERE supplier_id = 3)
+    SELECT 'position' AS what, 0 AS place, NULL AS invoice, payable AS amount, status FROM positions WHERE supplier_id = 3
+    UNION ALL SELECT 'entry', CAST(place AS INTEGER), invoice, CAST(credit - debit AS {D25}), CASE WHEN debit > 0 THEN 'PAGAMENTO' ELSE 'COMPRA' END FROM e
+    UNION ALL SELECT 'pending', n, invoice, CAST(amount - greatest(coalesce(total, 0) - (after - amount), 0) AS {D25}), CASE WHEN after - amount >= coalesce(total, 0) THEN 'PENDENTE' ELSE 'PARCIAL' END
+    FROM bought, spent WHERE supplier_id = 3 AND after > coalesce(total, 0)""")
+def _(t: Ledger) -> DataFrame:
+    return fifo.detail(positions(t), t.entries, fifo.paid_state(*sides(t)), 3)
+
+
 SERIES = "CASE WHEN line % 2 = 0 THEN '2' ELSE '1' END"
 
 
@@ -229,12 +368,25 @@ def _(t: Ledger) -> DataFrame:
     return cards.invoice_totals(t.card_invoices, t.card_entries)
 
 
-@query("as04_card_settlement", f"""WITH i AS (SELECT card_id, month, CAST(sum(amount) AS {D25}) AS total FROM card_entries WHERE NOT deleted GROUP BY 1, 2),
-    c AS (SELECT i.card_id, month, t.tx_id, count(*) OVER (PARTITION BY i.card_id, month) AS a, count(*) OVER (PARTITION BY t.tx_id) AS b
-    FROM i JOIN transactions t ON t.bank_id = i.card_id AND t.dc = 'D' AND t.amount = i.total)
-    SELECT card_id, month, tx_id FROM c WHERE a = 1 AND b = 1""")
+@query("jn02_invoices_with_card", "SELECT v.card_id, v.month, v.status, c.company_id, c.label FROM card_invoices v JOIN cards c ON v.card_id = c.card_id WHERE v.month <> '1997-05'")
+def _(t: Ledger) -> DataFrame:
+    rows = t.card_invoices.withColumn("deleted", F.col("month") == "1997-05")
+    return cards.with_card(rows, t.cards)
+
+
+@query("as04_card_payments", f"""WITH i AS (SELECT v.card_id, v.month, c.company_id, v.status, CAST(coalesce(sum(e.amount) FILTER (NOT e.deleted), 0) AS {D25}) AS total, min(e.entry_id) AS entry
+        FROM card_invoices v JOIN cards c ON v.card_id = c.card_id JOIN card_entries e ON v.card_id = e.card_id AND v.month = e.month GROUP BY ALL),
+    p AS (SELECT *, CASE WHEN status = 'paga' AND entry % 2 = 0 THEN entry END AS tx_id, CASE WHEN entry % 5 = 0 THEN -entry ELSE entry END AS wanted FROM i)
+    SELECT p.card_id, p.month, p.company_id, p.wanted, CASE WHEN p.tx_id IS NOT NULL THEN 'paid already' WHEN t.tx_id IS NULL THEN 'unknown transaction'
+        WHEN wanted IN (SELECT tx_id FROM p WHERE tx_id IS NOT NULL) THEN 'pays another' WHEN t.dc <> 'D' THEN 'no debit' WHEN t.amount <> p.total THEN 'other amount' ELSE 'paga' END AS outcome
+    FROM p LEFT JOIN transactions t ON t.tx_id = p.wanted AND t.company_id = p.company_id""")
 def _(t: Ledger) -> DataFrame:
-    return cards.settlements(cards.invoice_totals(t.card_invoices, t.card_entries), t.transactions)
+    firsts = t.card_entries.groupBy("card_id", "month").agg(F.min("entry_id").alias("entry"))
+    rows = cards.invoice_totals(t.card_invoices, t.card_entries).join(t.cards.select("card_id", "company_id"), "card_id").join(firsts, ["card_id", "month"])
+    entry = F.col("entry")
+    rows = rows.withColumn("tx_id", F.when((F.col("status") == "paga") & (entry % 2 == 0), entry))
+    wanted = rows.select("card_id", "month", "company_id", F.when(entry % 5 == 0, -entry).otherwise(entry).alias("wanted"))
+    return cards.settled(wanted, rows, t.transactions)
 
 
 TREE = """SELECT DISTINCT left(code, 1) AS code, CAST(NULL AS VARCHAR) AS parent FROM accounts UNION ALL SELECT code, left(code, 1) FROM accounts"""
@@ -257,9 +409,58 @@ def _(t: Ledger) -> DataFrame:
     return accounts.missing_ancestors(wanted, t.accounts)
 
 
-@query("pc03_delete_guards", """SELECT code, code IN (SELECT code FROM postings) AS moved, code IN (SELECT code FROM rules WHERE active) AS ruled FROM accounts""")
+def chart_rows(t: Ledger) -> DataFrame:
+    """Two lines for each account of a company's chart: a child two levels below, and the level between, later for some."""
+    c, k = F.col, F.col("company_id")
+    child = F.struct(F.concat("code", F.lit(".9.1")).alias("code"), F.lit("child").alias("label"), F.lit(" Despesa ").alias("kind"), F.lit("a").alias("kind_sa"))
+    between = F.struct(F.concat("code", F.when(k % 3 == 0, ".8").otherwise(".9")).alias("code"), F.lit("between").alias("label"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("kind_sa"))
+    deep = F.struct(F.concat("code", F.lit(".9.1.1.1.1")).alias("code"), F.when(k % 2 == 0, "deep").otherwise("").alias("label"), F.lit("custo").alias("kind"), F.lit("A").alias("kind_sa"))
+    again = F.struct(c("code"), F.lit("again").alias("label"), F.when(k % 5 == 0, "banco").otherwise("custo").alias("kind"), F.lit("X").alias("kind_sa"))
+    own = F.struct(c("code"), F.lit("own").alias("label"), F.lit("custo").alias("kind"), F.lit("A").alias("kind_sa"))
+    number = F.dense_rank().over(repair.W.partitionBy("company_id").orderBy("code")) * 5
+    rows = t.charts.withColumn("n", number)
+    return rows.select("company_id", "n", F.posexplode(F.array(child, between, deep, again, own)).alias("i", "x")).select("company_id", (F.col("n") + F.col("i")).alias("line"), "x.*")
+
+
+CHART = """chart_rows AS (SELECT company_id, CAST(dense_rank() OVER (PARTITION BY company_id ORDER BY code) AS INTEGER) * 5 + i AS line, deleted,
+        CASE i WHEN 0 THEN code || '.9.1' WHEN 1 THEN code || CASE WHEN company_id % 3 = 0 THEN '.8' ELSE '.9' END WHEN 2 THEN code || '.9.1.1.1.1' ELSE code END AS code, i
+    FROM charts, (VALUES (0), (1), (2), (3), (4)) v(i)),
+    live AS (SELECT company_id, code FROM charts WHERE NOT deleted),
+    done AS (SELECT company_id, line, code, CASE WHEN i = 2 AND company_id % 2 = 1 THEN 'no label' WHEN i = 3 AND company_id % 5 = 0 THEN 'kind' WHEN i = 3 THEN 'kind_sa'
+        WHEN i = 4 AND NOT deleted THEN 'duplicate' WHEN i = 2 THEN 'level' WHEN i = 0 AND company_id % 3 = 0 THEN 'parent ' || left(code, length(code) - 2) WHEN i = 4 THEN 'parent ' || left(code, 1)
+        WHEN i < 2 THEN 'parent ' || left(code, 1) ELSE 'imported' END AS outcome, i FROM chart_rows)"""
+
+
+@query("pc02_chart_import", f"""WITH {CHART}, roots AS (SELECT DISTINCT company_id, left(code, 1) AS code FROM charts)
+    SELECT company_id, line, code, CASE WHEN outcome LIKE 'parent _' THEN 'imported' ELSE outcome END AS outcome,
+    CASE WHEN outcome LIKE 'parent _' THEN regexp_replace(code, '[.][^.]*$', '') END AS parent FROM done""")
+def _(t: Ledger) -> DataFrame:
+    return accounts.imported(chart_rows(t), live_chart(t)).select("company_id", "line", "code", "outcome", "parent")
+
+
+def live_chart(t: Ledger) -> DataFrame:
+    """Live accounts and the roots above them, with parents; none is S before an import."""
+    own = t.charts.filter("NOT deleted").select("company_id", "code", F.left("code", F.lit(1)).alias("parent"))
+    roots = t.charts.select("company_id", F.left("code", F.lit(1)).alias("code"), F.lit(None).cast("string").alias("parent")).distinct()
+    return own.unionByName(roots).withColumn("kind_sa", F.lit("A"))
+
+
+@query("pc02_chart_after_import", f"""WITH {CHART}, rows_after AS (SELECT company_id, code, left(code, 1) AS parent FROM live UNION ALL SELECT DISTINCT company_id, left(code, 1), NULL FROM charts
+        UNION ALL SELECT company_id, code, regexp_replace(code, '[.][^.]*$', '') FROM done WHERE outcome LIKE 'parent _'),
+    has AS (SELECT DISTINCT company_id, regexp_replace(code, '[.][^.]*$', '') AS code FROM done WHERE outcome LIKE 'parent _')
+    SELECT company_id, code, parent, CASE WHEN (company_id, code) IN (SELECT (company_id, code) FROM has) THEN 'S' ELSE 'A' END AS kind_sa FROM rows_after""")
 def _(t: Ledger) -> DataFrame:
-    return accounts.guards(t.accounts, t.postings, t.rules)
+    there = live_chart(t)
+    return accounts.after_import(accounts.imported(chart_rows(t), there), there)
+
+
+@query("pc03_delete_guards", """WITH tree AS (SELECT company_id, code, left(code, 1) AS parent FROM charts WHERE NOT deleted UNION ALL SELECT DISTINCT company_id, left(code, 1), NULL FROM charts)
+    SELECT company_id, code, (company_id, code) IN (SELECT (company_id, parent) FROM tree WHERE parent IS NOT NULL) AS children, (company_id, code) IN (SELECT (company_id, code) FROM rules WHERE active) AS ruled,
+    (company_id, code) IN (SELECT (company_id, code) FROM postings) OR (company_id, code) IN (SELECT (c.company_id, '6.' || right(e.month, 2)) FROM card_entries e JOIN cards c ON e.card_id = c.card_id) AS moved FROM tree""")
+def _(t: Ledger) -> DataFrame:
+    tree = live_chart(t).withColumn("deleted", F.lit(False))
+    spent = t.card_entries.join(t.cards, "card_id").select("company_id", F.concat(F.lit("6."), F.right("month", F.lit(2))).alias("code"))
+    return accounts.guards(tree, t.postings, t.rules, spent)
 
 
 @query("pc04_code_collisions", """WITH d AS (SELECT label, left(code, 1) AS class, row_number() OVER (PARTITION BY left(code, 1) ORDER BY code) AS n, count(*) OVER (PARTITION BY left(code, 1)) AS c, code FROM accounts)
@@ -306,14 +507,28 @@ def _(t: Ledger) -> DataFrame:
     return t.companies.select("company_id", F.sort_array(F.array_except(mine, known)).alias("unknown"))
 
 
-@query("jn15_names_to_tax_ids", """WITH a AS (SELECT company_id, name, tax_id FROM companies WHERE company_id % 5 <> 0), b AS (SELECT company_id AS other_id, lower(name) || ' ' AS other FROM companies)
-    SELECT other_id, tax_id FROM b JOIN a ON trim(upper(other)) = name""")
+@query("jn15_names_to_tax_ids", """WITH a AS (SELECT name, tax_id FROM companies UNION ALL SELECT name, tax_id FROM companies WHERE NOT active),
+    one AS (SELECT name, any_value(tax_id) AS tax_id FROM a GROUP BY 1 HAVING count(*) = 1) SELECT company_id AS other_id, one.tax_id FROM companies c JOIN one ON c.name = one.name""")
 def _(t: Ledger) -> DataFrame:
-    known = t.companies.filter("company_id % 5 <> 0").select("name", "tax_id")
+    known = t.companies.select("name", "tax_id").unionByName(t.companies.filter("NOT active").select("name", "tax_id"))
     open_rows = t.companies.select(F.col("company_id").alias("other_id"), F.concat(F.lower("name"), F.lit(" ")).alias("name"))
     return repair.by_unique_name(open_rows, known).select("other_id", "tax_id")
 
 
+@query("er02_tax_id_proposals", r"""WITH v AS (SELECT name, tax_id, company_id FROM companies WHERE company_id % 4 <> 3),
+    seen AS (SELECT c.name, v.tax_id FROM companies c JOIN v ON v.company_id = c.company_id - 1 WHERE c.company_id % 4 = 3
+        UNION ALL SELECT c.name, '11.222.333/0001-81' FROM companies c WHERE c.company_id % 8 = 3),
+    o AS (SELECT name, count(DISTINCT regexp_replace(tax_id, '\D', '', 'g')) AS n, min(regexp_replace(tax_id, '\D', '', 'g')) AS t FROM seen GROUP BY 1)
+    SELECT company_id, CASE WHEN n = 1 AND t NOT IN (SELECT tax_id FROM v) THEN regexp_replace(t, '^(..)(...)(...)(....)(..)$', '\1.\2.\3/\4-\5') END AS proposed,
+    CASE WHEN n > 1 THEN 'several tax ids' WHEN t IN (SELECT tax_id FROM v) THEN 'in use' END AS reason FROM companies JOIN o USING (name) WHERE company_id % 4 = 3""".replace("\\\\", "\\"))
+def _(t: Ledger) -> DataFrame:
+    k = F.col("company_id")
+    before = t.companies.select((k + 1).alias("company_id"), "tax_id")
+    named = t.companies.filter(k % 4 == 3).select("company_id", F.concat(F.lower("name"), F.lit("  ")).alias("name"))
+    seen = named.join(before, "company_id").select("name", "tax_id").unionByName(named.filter(k % 8 == 3).select("name", F.lit("11.222.333/0001-81").alias("tax_id")))
+    return repair.tax_id_proposals(t.companies, seen)
+
+
 @query("er01_invalid_tax_ids", "SELECT company_id, tax_id FROM companies WHERE company_id % 4 = 3")
 def _(t: Ledger) -> DataFrame:
     return repair.invalid_tax_ids(t.companies)
@@ -333,13 +548,61 @@ def _(t: Ledger) -> DataFrame:
     return repair.changes(before, before.filter("supplier_id % 7 <> 0").select("supplier_id", changed.alias("payable")))
 
 
-@query("ob01_feed_sync", """SELECT 'E' || CAST(event_id AS VARCHAR) AS fitid, user_id AS bank_id, CAST(abs(value) AS DECIMAL(15,2)) AS amount, CASE WHEN value > 0 THEN 'C' ELSE 'D' END AS dc
-    FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND event_id % 10 <> 0""")
+FEED = """feed AS (SELECT user_id % 25 AS company_id, 'item' || CAST(user_id AS VARCHAR) AS item_id, CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS day, CAST(abs(value - 50) AS DECIMAL(15,2)) AS amount,
+    CASE WHEN event_type = 'click' OR value - 50 > 0 THEN 'C' ELSE 'D' END AS dc, CASE WHEN event_id % 3 = 0 THEN 'raw ' || event_type WHEN event_id % 3 = 1 THEN event_type ELSE 'Sem descrição' END AS text, ts FROM events)"""
+SYNC = f"""{FEED}, late AS (SELECT * FROM feed WHERE day BETWEEN CAST(DATE '2024-01-25' - INTERVAL 10 DAY AS DATE) AND DATE '2024-01-25'),
+    fresh AS (SELECT * FROM late WHERE ts >= TIMESTAMP '2024-01-18 12:00:00')"""
+
+
+def feed(t: Ledger) -> DataFrame:
+    k = F.col("event_id")
+    return repair.mapped_feed(t.raw("events").select(
+        (F.col("user_id") % 25).alias("company_id"), F.concat(F.lit("item"), F.col("user_id").cast("string")).alias("item_id"), k.cast("string").alias("id"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), (F.col("value") - 50).alias("amount"), F.when(F.col("event_type") == "click", "CREDIT").alias("type"),
+        F.when(k % 3 == 1, F.col("event_type")).otherwise("").alias("description"), F.when(k % 3 == 0, F.concat(F.lit("raw "), F.col("event_type"))).alias("description_raw"), "ts",
+    ))
+
+
+def synced(t: Ledger) -> DataFrame:
+    rows = feed(t)
+    return repair.synced(rows.unionByName(rows).drop("ts"), rows.filter("ts < TIMESTAMP '2024-01-18 12:00:00'"), "2024-01-25", 10)
+
+
+@query("ob02_feed_mapping", f"WITH {FEED} SELECT id, day, amount, dc, text FROM feed")
+def _(t: Ledger) -> DataFrame:
+    return feed(t).select("id", "day", "amount", "dc", "text")
+
+
+@query("ob01_feed_sync", f"WITH {SYNC} SELECT company_id, sha256(CAST(company_id AS VARCHAR) || item_id || id) AS hash, item_id, id, day, amount, dc, text FROM fresh")
+def _(t: Ledger) -> DataFrame:
+    return synced(t)
+
+
+@query("ob01_connection_states", f"""WITH {SYNC}, c AS (SELECT DISTINCT user_id % 25 AS company_id, 'item' || CAST(user_id AS VARCHAR) AS item_id FROM events),
+    l AS (SELECT company_id, item_id, count(*) * 2 AS seen FROM late GROUP BY ALL), f AS (SELECT company_id, item_id, count(*) AS imported FROM fresh GROUP BY ALL)
+    SELECT company_id, item_id, coalesce(imported, 0) AS imported, coalesce(seen, 0) - coalesce(imported, 0) AS duplicates, 100 + coalesce(imported, 0) AS total_synced, TIMESTAMP '2024-01-25 09:00:00' AS last_sync,
+    TIMESTAMP '2024-01-25 15:00:00' AS next_sync, 'ativa' AS status FROM c LEFT JOIN l USING (company_id, item_id) LEFT JOIN f USING (company_id, item_id)""")
+def _(t: Ledger) -> DataFrame:
+    rows = feed(t)
+    both = rows.unionByName(rows)
+    connections = rows.select("company_id", "item_id").distinct().withColumn("total_synced", F.lit(100).cast("long"))
+    return repair.sync_states(connections, both, synced(t), "2024-01-25 09:00:00", "2024-01-25", 10)
+
+
+DRAWN = "CAST(('0x' || left(md5({0}), 8)) AS BIGINT)"
+
+
+@query("src14_mock_feed", f"""WITH d AS (SELECT 'acc' || CAST(bank_id AS VARCHAR) AS account, CAST(unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-11', INTERVAL 1 DAY)) AS DATE) AS day FROM banks),
+    n AS (SELECT account, day, {DRAWN.format("account || '|' || CAST(day AS VARCHAR)")} % CASE WHEN isodow(day) < 6 THEN 4 ELSE 2 END AS n FROM d),
+    r AS (SELECT account, day, CAST(unnest(range(0, n)) AS VARCHAR) AS i FROM n), k AS (SELECT *, account || '|' || CAST(day AS VARCHAR) || '|' || i AS k FROM r)
+    SELECT account, day, md5(account || CAST(day AS VARCHAR) || i) AS id, CASE WHEN {DRAWN.format("k || '|side'")} % 100 < 65 THEN 'D' ELSE 'C' END AS dc,
+    CAST(CAST(5000 + {DRAWN.format("k || '|amount'")} % 1495001 AS DECIMAL(15,2)) / 100 AS DECIMAL(15,2)) AS amount FROM k""")
 def _(t: Ledger) -> DataFrame:
-    there = t.raw("events").filter("event_id % 10 = 0").select(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("fitid"))
-    return repair.feed(t.raw("events"), there, "2024-01-20")
+    return repair.mock_feed(t.banks.select(F.concat(F.lit("acc"), F.col("bank_id").cast("string")).alias("account")), "2024-01-01", "2024-01-10")
 
 
-@query("ag20_import_summary", "SELECT count(*) AS total, count(DISTINCT tx_id) FILTER (tx_id % 4 <> 0) AS imported, count(*) - count(DISTINCT tx_id) FILTER (tx_id % 4 <> 0) AS duplicates FROM postings")
+@query("ag20_import_summary", """SELECT count(*) AS total, count(DISTINCT tx_id) FILTER (dc = 'C' AND tx_id NOT IN (SELECT tx_id FROM transactions WHERE status = 'processada')) AS imported,
+    count(*) FILTER (dc = 'C') - count(DISTINCT tx_id) FILTER (dc = 'C' AND tx_id NOT IN (SELECT tx_id FROM transactions WHERE status = 'processada')) AS duplicates, count(*) FILTER (dc <> 'C') AS errors FROM postings""")
 def _(t: Ledger) -> DataFrame:
-    return repair.import_summary(t.postings.select(F.col("tx_id").alias("key")), t.transactions.filter("tx_id % 4 = 0").select(F.col("tx_id").alias("key")))
+    batch = t.postings.select(F.col("tx_id").alias("key"), F.when(F.col("dc") != "C", "side").alias("error"))
+    return repair.import_summary(batch, t.transactions.filter("status = 'processada'").select(F.col("tx_id").alias("key")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import Ledger
 from ..functions import numbers
-from ..operators import exports, ledger, repair
+from ..operators import ledger, repair
 from ..sources import invoice_xml, ofx, statement, tables
 from ..streaming import feeds
 from .registry import query
@@ -84,105 +84,143 @@ def _(t: Ledger) -> DataFrame:
     return statement.transactions(statement_lines(t), 2000)
 
 
-@query("f14_statement_complete", """SELECT CAST(bank_id AS VARCHAR) || '/' || strftime(moment, '%Y%m%d') AS file, min(tx_id) % 3 = 0 AS complete FROM transactions GROUP BY 1""")
+@query("f14_statement_complete", """SELECT CAST(bank_id AS VARCHAR) || '/' || strftime(moment, '%Y%m%d') AS file, min(tx_id) % 4 IN (0, 3) AS complete FROM transactions GROUP BY 1""")
 def _(t: Ledger) -> DataFrame:
+    """A day's statement declares its balances, balances that are off, nothing, or its totals."""
     signed = F.when(F.col("dc") == "D", -F.col("amount")).otherwise(F.col("amount"))
     file = F.concat_ws("/", "bank_id", F.date_format("moment", "yyyyMMdd")).alias("file")
-    sums = t.transactions.groupBy(file).agg(F.sum(signed).alias("net"), F.min("tx_id").alias("k"))
-    opening = F.lit(100).cast("decimal(25,2)")
-    none = F.lit(None).cast("decimal(25,2)")
-    off = F.when(F.col("k") % 3 == 1, 1).otherwise(0)
-    declared = sums.select(
-        "file",
-        F.when(F.col("k") % 3 != 2, opening).alias("opening"),
-        F.when(F.col("k") % 3 != 2, (opening + F.col("net") + off).cast("decimal(25,2)")).alias("closing"),
-        none.alias("declared_credits"),
-        none.alias("declared_debits"),
-    )
-    return statement.complete(statement.transactions(statement_lines(t), 2000), declared)
-
-
-@query("src10_card_csv_rows", """SELECT tx_id, CAST(moment AS DATE) AS day, amount AS value, CASE WHEN tx_id % 10 = 3 THEN 'description' END AS error FROM transactions""")
-def _(t: Ledger) -> DataFrame:
-    k = F.col("tx_id") % 2 == 0
+    positive = lambda side: F.sum(F.when(F.col("dc") == side, F.col("amount")).otherwise(0)).cast("decimal(25,2)")
+    sums = t.transactions.groupBy(file).agg(F.sum(signed).cast("decimal(25,2)").alias("net"), positive("C").alias("c"), positive("D").alias("d"), F.min("tx_id").alias("k"), F.max("tx_id").alias("last"))
+    k = F.col("k") % 4
+    closing = F.lit(100).cast("decimal(25,2)") + F.col("net") + F.when(k == 1, 1).otherwise(0)
+    shown = F.when(closing < 0, F.concat(numbers.brazilian(-closing), F.lit(" D"))).otherwise(F.concat(numbers.brazilian(closing), F.lit(" C")))
+    first = F.when(k < 2, F.lit("Saldo anterior 100,00")).when(k == 3, F.concat(F.lit("Total de débitos "), numbers.brazilian(F.col("d")))).otherwise("nothing")
+    last = F.when(k < 2, F.concat(F.lit("Saldo final "), shown)).when(k == 3, F.concat(F.lit("Total de créditos "), numbers.brazilian(F.col("c")))).otherwise("here")
+    ends = sums.select("file", F.inline(F.array(F.struct((F.col("k") * 3 - 1).alias("n"), first.alias("text")), F.struct((F.col("last") * 3 + 3).alias("n"), last.alias("text")))))
+    lines = statement_lines(t)
+    return statement.complete(statement.transactions(lines, 2000), statement.declared(lines.unionByName(ends)))
+
+
+def card_rows(t: Ledger) -> DataFrame:
+    """Lines of card bills: two dialects, own ids for some, no description for others; all lines twice, and a line of another month."""
+    k = F.col("tx_id")
+    even = k % 2 == 0
     rows = t.transactions.select(
+        F.concat_ws("/", "bank_id", F.date_format("moment", "yyyy-MM")).alias("bill"),
         "tx_id",
-        F.when(k, F.date_format("moment", "dd/MM/yyyy")).otherwise(F.date_format("moment", "yyyy-MM-dd")).alias("date"),
-        F.when(F.col("tx_id") % 10 != 3, F.col("history")).alias("description"),
-        F.when(k, F.concat(F.lit("R$ "), numbers.brazilian(F.col("amount")))).otherwise(F.format_number("amount", 2)).alias("amount"),
-        F.col("tx_id").cast("string").alias("id"),
+        F.when(even, F.date_format("moment", "dd/MM/yyyy")).otherwise(F.date_format("moment", "yyyy-MM-dd")).alias("date"),
+        F.when(k % 10 != 3, F.concat_ws("  ", "history", k.cast("string"))).alias("description"),
+        F.when(even, F.concat(F.lit("R$ "), numbers.brazilian(F.col("amount")))).otherwise(F.format_number("amount", 2)).alias("amount"),
+        F.when(k % 4 == 1, F.concat(F.lit("T"), k.cast("string"))).alias("id"),
     )
-    done = tables.card_entries(rows).withColumn("key", F.col("identity"))
-    keys = rows.select("tx_id", F.sha2("id", 256).alias("key"))
-    return keys.join(done, "key").select("tx_id", "day", "value", "error")
+    return rows.select("bill", F.explode(F.array(k * 2, k * 2 + 1)).alias("line"), "date", "description", "amount", "id")
+
 
+CARD_ROWS = """card_rows AS (SELECT CAST(bank_id AS VARCHAR) || '/' || strftime(moment, '%Y-%m') AS bill, tx_id * 2 + again AS line, tx_id, CAST(moment AS DATE) AS day, status,
+    CASE WHEN tx_id % 10 <> 3 THEN history || '  ' || CAST(tx_id AS VARCHAR) END AS description, amount AS value, CASE WHEN tx_id % 10 = 3 THEN 'description' END AS error,
+    CASE WHEN tx_id % 10 <> 3 THEN sha256(CASE WHEN tx_id % 4 = 1 THEN 'externo:T' || CAST(tx_id AS VARCHAR)
+        ELSE strftime(moment, '%Y-%m-%d') || 'T00:00:00+00:00|' || lower(history) || ' ' || CAST(tx_id AS VARCHAR) || '|' || CAST(amount AS VARCHAR) END) END AS identity
+    FROM transactions, (VALUES (0), (1)) v(again))"""
 
-@query("cc02_card_csv_new_entries", "SELECT count(*) AS n FROM (SELECT DISTINCT bank_id, CAST(moment AS DATE), amount FROM transactions WHERE bank_id % 3 <> 0)")
+
+@query("src10_card_csv_rows", f"WITH {CARD_ROWS} SELECT bill, line, day, description, value, identity, error FROM card_rows")
 def _(t: Ledger) -> DataFrame:
-    rows = t.transactions.select(
-        F.date_format("moment", "yyyy-MM-dd").alias("date"),
-        F.concat(F.lit("Loja  "), F.col("bank_id").cast("string")).alias("description"),
-        F.col("amount").cast("string").alias("amount"),
-        F.lit(None).cast("string").alias("id"),
-        "bank_id",
-    )
-    there = tables.card_entries(rows.filter("bank_id % 3 = 0"))
-    return tables.new_entries(tables.card_entries(rows), there).agg(F.count("*").alias("n"))
+    return tables.card_entries(card_rows(t))
 
 
-@query("src11_invoice_xml", """SELECT CAST(invoice_id AS VARCHAR) AS file, kind, number, issuer, recipient, amount, issued,
-    CASE WHEN invoice_id % 11 = 0 THEN 'document type' WHEN kind = 'nfe' AND status = 'cancelada' THEN 'not authorised' END AS error
-    FROM (SELECT invoice_id, CASE WHEN invoice_id % 11 = 0 THEN NULL ELSE kind END AS kind, CASE WHEN invoice_id % 11 = 0 THEN NULL ELSE number END AS number,
-    CASE WHEN invoice_id % 11 = 0 THEN NULL ELSE issuer END AS issuer, CASE WHEN invoice_id % 11 = 0 THEN NULL ELSE recipient END AS recipient,
-    CASE WHEN invoice_id % 11 = 0 THEN NULL ELSE amount END AS amount, CASE WHEN invoice_id % 11 = 0 THEN NULL ELSE issued END AS issued, status FROM invoices)""")
+@query("cc02_card_csv_import", f"""WITH {CARD_ROWS}, bills AS (SELECT CAST(card_id AS VARCHAR) || '/' || month AS bill, status FROM card_invoices)
+    SELECT r.bill, r.line, r.identity, CASE WHEN b.status = 'paga' THEN 'paid bill' WHEN error IS NOT NULL THEN error WHEN r.line % 2 = 1 OR r.status = 'processada' THEN 'duplicate' ELSE 'new' END AS outcome
+    FROM card_rows r JOIN bills b ON r.bill = b.bill""")
 def _(t: Ledger) -> DataFrame:
-    return invoice_xml.invoices(xml_files(t)).select("file", "kind", "number", "issuer", "recipient", "amount", "issued", "error")
+    bills = t.card_invoices.select(F.concat_ws("/", "card_id", "month").alias("bill"), "status")
+    rows = tables.card_entries(card_rows(t))
+    stored = t.transactions.filter("status = 'processada'").select((F.col("tx_id") * 2).alias("line"))
+    return tables.card_import(rows, bills, rows.join(stored, "line")).select("bill", "line", "identity", "outcome")
 
 
 def xml_files(t: Ledger) -> DataFrame:
+    """A document for each live invoice, some of them unsafe, not authorised or without a field."""
     c = F.col
-    at = F.concat(F.date_format("issued", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-00:00"))
+    at = F.concat(F.date_format("issued", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-03:00"))
     key = F.lpad(c("invoice_id").cast("string"), 44, "0")
-    status = F.when(c("status") == "ativa", "100").otherwise("101")
+    code = F.when(c("status") == "cancelada", "101").otherwise("150")
+    proved = F.when(c("invoice_id") % 17 == 0, F.reverse(key)).otherwise(key)
     goods = F.format_string(
-        '<nfeProc xmlns="urn:x"><NFe><infNFe Id="NFe%s"><ide><serie>%s</serie><nNF>%s</nNF><dhEmi>%s</dhEmi></ide><emit><CNPJ>%s</CNPJ></emit>'
-        "<dest><CNPJ>%s</CNPJ></dest><total><ICMSTot><vNF>%s</vNF></ICMSTot></total></infNFe></NFe><protNFe><infProt><cStat>%s</cStat></infProt></protNFe></nfeProc>",
-        key, c("series"), c("number"), at, c("issuer"), c("recipient"), c("amount").cast("string"), status,
+        '<n:nfeProc xmlns:n="urn:x"><n:NFe><n:infNFe Id="NFe%s"><n:ide><n:serie>%s</n:serie><n:nNF>%s</n:nNF><n:dhEmi>%s</n:dhEmi></n:ide><n:emit><n:CNPJ>%s</n:CNPJ><n:xNome>%s</n:xNome></n:emit>'
+        "<n:dest><n:CNPJ>%s</n:CNPJ><n:xNome>buyer</n:xNome></n:dest><n:total><n:ICMSTot><n:vNF>%s</n:vNF></n:ICMSTot></n:total></n:infNFe></n:NFe>"
+        "<n:protNFe><n:infProt><n:cStat>%s</n:cStat><n:nProt>123456789012345</n:nProt><n:dhRecbto>2024-01-02</n:dhRecbto><n:chNFe>%s</n:chNFe></n:infProt></n:protNFe></n:nfeProc>",
+        key, c("series"), c("number"), at, c("issuer"), c("issuer_name"), c("recipient"), c("amount").cast("string"), code, proved,
     )
+    number = F.when(c("invoice_id") % 5 == 4, "").otherwise(c("number"))
     service = F.format_string(
-        "<CompNfse><Nfse><InfNfse><Numero>%s</Numero><DataEmissao>%s</DataEmissao><Servico><Valores><ValorServicos>%s</ValorServicos></Valores></Servico>"
-        "<PrestadorServico><Cnpj>%s</Cnpj></PrestadorServico><TomadorServico><Cnpj>%s</Cnpj></TomadorServico></InfNfse></Nfse></CompNfse>",
-        c("number"), at, c("amount").cast("string"), F.regexp_replace("issuer", "^(..)", "$1."), c("recipient"),
+        "<CompNfse><Nfse><InfNfse><Numero>%s</Numero><CodigoVerificacao>AB</CodigoVerificacao><DataEmissao>%s</DataEmissao><Servico><Valores><ValorServicos>%s</ValorServicos><ValorIss>1.50</ValorIss></Valores></Servico>"
+        "<PrestadorServico><IdentificacaoPrestador><Cnpj>%s</Cnpj></IdentificacaoPrestador><RazaoSocial>%s</RazaoSocial></PrestadorServico>"
+        "<TomadorServico><IdentificacaoTomador><CpfCnpj><Cnpj>%s</Cnpj></CpfCnpj></IdentificacaoTomador></TomadorServico></InfNfse></Nfse></CompNfse>",
+        number, at, c("amount").cast("string"), c("issuer"), c("issuer_name"), c("recipient"),
     )
     text = F.when(c("kind") == "nfe", goods).otherwise(service)
     bad = F.concat(F.lit("<!DOCTYPE x []>"), text)
-    return t.invoices.select(c("invoice_id").cast("string").alias("file"), F.when(c("invoice_id") % 11 == 0, bad).otherwise(text).alias("content"))
+    rows = t.invoices.filter("NOT deleted")
+    return rows.select(c("invoice_id").cast("string").alias("file"), F.when(c("invoice_id") % 11 == 0, bad).otherwise(text).alias("content"))
+
+
+XML = r"""xml AS (SELECT CAST(invoice_id AS VARCHAR) AS file, company_id, kind, access_key AS key, CASE WHEN kind = 'nfse' AND invoice_id % 5 = 4 THEN NULL ELSE number END AS number,
+    CASE WHEN kind = 'nfe' THEN series END AS series, regexp_replace(regexp_replace(issuer, '\D', '', 'g'), '^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$', '\1.\2.\3/\4-\5') AS issuer, issuer_name,
+    regexp_replace(recipient, '^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$', '\1.\2.\3/\4-\5') AS recipient, amount, issued + INTERVAL 3 HOUR AS issued,
+    CASE WHEN kind = 'nfe' THEN 'Destinatário: buyer' ELSE 'ISS: 1.50' END AS note, CASE WHEN invoice_id % 11 = 0 THEN 'document type' WHEN kind = 'nfe' AND status = 'cancelada' THEN 'not authorised'
+    WHEN kind = 'nfe' AND invoice_id % 17 = 0 AND access_key <> reverse(access_key) THEN 'key of protocol' WHEN kind = 'nfse' AND invoice_id % 5 = 4 THEN 'number' END AS error FROM invoices WHERE NOT deleted)""".replace("\\\\", "\\")
+XML_FIELDS = "kind key number series issuer issuer_name recipient amount issued note".split()
 
 
-@query("nf01_importable_invoices", """SELECT company_id, number FROM invoices WHERE invoice_id % 11 <> 0 AND NOT (kind = 'nfe' AND status = 'cancelada')""")
+@query("src11_invoice_xml", f"""WITH {XML} SELECT file, {", ".join(f"CASE WHEN coalesce(error, '') <> 'document type' THEN {f} END AS {f}" for f in XML_FIELDS)}, error FROM xml""")
+def _(t: Ledger) -> DataFrame:
+    return invoice_xml.invoices(xml_files(t))
+
+
+@query("nf01_importable_invoices", rf"""WITH {XML} SELECT x.company_id, number FROM xml x JOIN companies c ON x.company_id = c.company_id
+    WHERE error IS NULL AND regexp_replace(c.tax_id, '\D', '', 'g') IN (regexp_replace(issuer, '\D', '', 'g'), regexp_replace(recipient, '\D', '', 'g'))""".replace("\\\\", "\\"))
 def _(t: Ledger) -> DataFrame:
     return invoice_xml.importable(invoice_xml.invoices(xml_files(t)), t.companies).select("company_id", "number")
 
 
-@query("fn38_unsafe_xml", "SELECT CAST(invoice_id AS VARCHAR) AS file, invoice_id % 11 = 0 AS unsafe FROM invoices")
+@query("fn38_unsafe_xml", "SELECT CAST(invoice_id AS VARCHAR) AS file, invoice_id % 11 = 0 AS unsafe FROM invoices WHERE NOT deleted")
 def _(t: Ledger) -> DataFrame:
     return xml_files(t).select("file", invoice_xml.unsafe(F.col("content")).alias("unsafe"))
 
 
-@query("f08_entries_read_twice", """SELECT supplier_id, count(*) AS n FROM (SELECT DISTINCT supplier_id, CAST(moment AS DATE), debit, credit, part, invoice, line, quantity FROM entries) GROUP BY 1""")
+@query("src12_archive_members", "SELECT CAST(invoice_id AS VARCHAR) || '.zip' AS file, CAST(invoice_id AS VARCHAR) || '.xml' AS name, invoice_id % 11 = 0 AS unsafe FROM invoices WHERE NOT deleted")
+def _(t: Ledger) -> DataFrame:
+    found = tables.members(tables.archived(xml_files(t)))
+    return found.filter("error IS NULL").select("file", "name", invoice_xml.unsafe(F.col("content").cast("string")).alias("unsafe"))
+
+
+@query("f08_entries_read_twice", """WITH e AS (SELECT supplier_id, hash(moment, debit, credit, part, invoice, line, quantity) AS h, line, invoice, debit, credit FROM (SELECT DISTINCT * FROM entries))
+    SELECT supplier_id, count(*) * 2 AS kept, count(*) AS with_invoice, count(*) AS with_lot FROM e GROUP BY 1""")
 def _(t: Ledger) -> DataFrame:
-    rows = t.entries.select(
-        "supplier_id",
-        F.xxhash64("part", "invoice", "line", "quantity").alias("n"),
-        F.to_date("moment").alias("day"),
-        F.lit(None).cast("string").alias("lot"),
-        "debit",
-        "credit",
-        F.xxhash64("part", "invoice", "line", "quantity").cast("decimal(20,0)").alias("balance"),
-        F.lit(None).cast("string").alias("invoice"),
+    """Each entry is read three times: again on its day with an invoice and another lot, and on another day with that lot.
+
+    The second goes and gives its invoice and, to an entry without, its lot.  The third stays, since the second's lot
+    went with it; a fourth on the third's day, with an own lot, goes.
+    """
+    e = t.entries.distinct()
+    day, next_day = F.to_date("moment"), F.date_add(F.to_date("moment"), 1)
+    key = F.row_number().over(ledger.W.partitionBy("supplier_id", F.to_date("moment")).orderBy("moment", "debit", "credit", "part", "invoice", "line", "quantity"))
+    base = e.withColumn("key", F.unix_date(day).cast("long") * 100_000 + key)
+    own = F.concat(F.lit("A"), F.col("key").cast("string"))
+    other = F.concat(F.lit("B"), F.col("key").cast("string"))
+
+    def read(i: int, at, lot, invoice) -> DataFrame:
+        balance = F.col("key").cast("decimal(20,0)").alias("balance")
+        return base.select("supplier_id", (F.col("key") * 4 + i).alias("n"), at.alias("day"), lot.alias("lot"), "debit", "credit", balance, invoice.alias("invoice"))
+
+    none = F.lit(None).cast("string")
+    rows = read(0, day, F.when(F.col("line") % 2 == 0, own), none).union(read(1, day, other, F.lit("77"))).union(read(2, next_day, other, none)).union(read(3, next_day, F.concat(own, F.lit("x")), none))
+    kept = ledger.without_rereads(rows)
+    return kept.groupBy("supplier_id").agg(
+        F.count("*").alias("kept"),
+        F.count_if((F.col("invoice") == "77") & (F.col("n") % 4 == 0)).alias("with_invoice"),
+        F.count_if(F.col("lot").isNotNull() & (F.col("n") % 4 == 0)).alias("with_lot"),
     )
-    again = rows.withColumns({"n": F.col("n") + 1, "invoice": F.lit("77")})
-    return ledger.without_rereads(rows.union(again)).groupBy("supplier_id").agg(F.count("*").alias("n"))
 
 
 @query("wn09_supplier_blocks", """SELECT file, n, CAST(sum(start) OVER (PARTITION BY file ORDER BY n) AS BIGINT) AS block FROM (
@@ -210,23 +248,24 @@ def _(t: Ledger) -> DataFrame:
     return ledger.best_extraction(rows)
 
 
-@query("jn16_fuzzy_company_match", """WITH a AS (SELECT company_id AS id, list_distinct(string_split(name || ' COMERCIO LTDA ' || CAST(company_id AS VARCHAR), ' ')) AS w FROM companies),
-    b AS (SELECT company_id AS other_id, list_distinct(string_split(name || ' COMERCIO LTDA ' || CAST(company_id AS VARCHAR) || CASE WHEN company_id % 2 = 0 THEN ' ME' ELSE ' DE X Y' END, ' ')) AS w FROM companies),
-    s AS (SELECT id, other_id, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) AS score FROM a, b),
-    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS n, lead(score) OVER (PARTITION BY id ORDER BY score DESC, other_id) AS second FROM s)
-    SELECT id, other_id, score FROM r WHERE n = 1 AND score >= 0.75 AND score - coalesce(second, 0) >= 0.10""")
-def _(t: Ledger) -> DataFrame:
-    name = F.concat_ws(" ", "name", F.lit("Comércio ltda"), F.col("company_id").cast("string"))
-    name = F.translate(name, "é", "e")
-    a = t.companies.select(F.col("company_id").alias("id"), name.alias("name"))
-    tail = F.when(F.col("company_id") % 2 == 0, " ME").otherwise(" de x-y")
-    b = t.companies.select(F.col("company_id").alias("other_id"), F.concat(name, tail).alias("name"))
-    return repair.fuzzy_matches(a, b)
+FUZZY = """n AS (SELECT company_id, name || ' COMERCIO LTDA ' || CAST(company_id AS VARCHAR) AS name, tax_id, company_id % 4 = 3 AS wrong FROM companies),
+    a AS (SELECT company_id AS id, name, CASE WHEN company_id % 3 = 0 THEN tax_id END AS tax_id, wrong FROM n),
+    b AS (SELECT company_id AS other_id, CASE company_id % 3 WHEN 0 THEN 'X' ELSE name || CASE company_id % 3 WHEN 1 THEN ' ME' ELSE '' END END AS name, CASE WHEN company_id % 3 = 0 THEN tax_id END AS tax_id FROM n)"""
 
 
-@query("snk10_state_rows", "SELECT bank_id, count(*) AS n FROM transactions GROUP BY 1")
+@query("jn16_company_matches", f"""WITH {FUZZY}, p AS (SELECT id, other_id, a.tax_id AS given, wrong, a.tax_id = b.tax_id AS same, a.name = b.name AS equal,
+        CAST(len(list_intersect(wa, wb)) AS DOUBLE) / len(list_distinct(list_concat(wa, wb))) AS score
+        FROM (SELECT *, list_distinct(string_split(name, ' ')) AS wa FROM a) a, (SELECT *, list_distinct(string_split(name, ' ')) AS wb FROM b) b),
+    r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second, bool_or(equal) OVER (PARTITION BY id) AS named FROM p WHERE given IS NULL WINDOW w AS (PARTITION BY id ORDER BY score DESC, other_id))
+    SELECT id, other_id, 'tax id' AS how FROM p WHERE same AND NOT wrong UNION ALL SELECT id, other_id, 'name' FROM r WHERE equal
+    UNION ALL SELECT id, other_id, 'similar name' FROM r WHERE NOT named AND k = 1 AND score >= 0.75 AND score - coalesce(second, 0) >= 0.10""")
 def _(t: Ledger) -> DataFrame:
-    return t.transactions.groupBy("bank_id").agg(F.count("*").alias("n"))
+    k = F.col("company_id")
+    name = F.concat_ws(" ", "name", F.lit("Comercio ltda"), k.cast("string"))
+    a = t.companies.select(k.alias("id"), name.alias("name"), F.when(k % 3 == 0, F.col("tax_id")).alias("tax_id"))
+    other = F.when(k % 3 == 0, "X").when(k % 3 == 1, F.concat(name, F.lit(" ME"))).otherwise(name)
+    b = t.companies.select(k.alias("other_id"), other.alias("name"), F.when(k % 3 == 0, F.col("tax_id")).alias("tax_id"))
+    return repair.company_matches(a, b)
 
 
 @query("st_hourly_events", """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS value FROM events GROUP BY 1, 2""")
@@ -245,8 +284,3 @@ def _(t: Ledger) -> DataFrame:
 def _(t: Ledger) -> DataFrame:
     found = feeds.drained(feeds.once(feeds.stream(t.spark, f"{t.sf_dir}/events.parquet")).select("event_id", "ts"), "append")
     return found.agg(F.count("*").alias("n"))
-
-
-@query("src12_page_of_batches", "SELECT tx_id FROM (SELECT tx_id FROM transactions ORDER BY tx_id LIMIT 500 OFFSET 500)")
-def _(t: Ledger) -> DataFrame:
-    return exports.page(t.transactions.select("tx_id"), [F.col("tx_id")], 2, 500)

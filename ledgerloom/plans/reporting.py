@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..domain import Ledger
 from ..functions import text
 from ..functions.dates import day_bounds
-from ..operators import exports, reports, stats
+from ..operators import exports, reports, stats, validation
 from .registry import query
 
 FIRST, LAST = "1997-01-01", "1998-12-31"
@@ -119,27 +119,32 @@ def _(t: Ledger) -> DataFrame:
     """WITH a AS (SELECT company_id, count(*) AS transactions,
         count(*) FILTER (tx_id IN (SELECT tx_id FROM postings)) AS reconciled FROM transactions GROUP BY 1),
     b AS (SELECT company_id, count(*) AS postings FROM postings WHERE NOT deleted GROUP BY 1),
-    c AS (SELECT company_id, count(*) AS invoices FROM invoices GROUP BY 1),
-    d AS (SELECT company_id, count(*) AS receipts FROM receipts GROUP BY 1)
+    c AS (SELECT company_id, count(*) AS invoices FROM invoices WHERE NOT deleted GROUP BY 1),
+    d AS (SELECT company_id, count(*) AS receipts FROM receipts WHERE NOT deleted GROUP BY 1)
     SELECT company_id, transactions, reconciled, coalesce(postings, 0) AS postings, coalesce(invoices, 0) AS invoices,
         coalesce(receipts, 0) AS receipts,
         CAST(round_even(CAST(reconciled * 100 AS DOUBLE) / transactions, 1) AS DECIMAL(5,1)) AS percent
     FROM a LEFT JOIN b USING (company_id) LEFT JOIN c USING (company_id) LEFT JOIN d USING (company_id)""",
 )
 def _(t: Ledger) -> DataFrame:
-    return stats.summary(t.transactions, t.postings, t.invoices, t.receipts)
+    return stats.summary(t.transactions, t.postings, reports.live(t.invoices), reports.live(t.receipts))
 
 
 @query(
     "ag09_monthly_counts",
     """WITH months AS (SELECT company_id, strftime(unnest(range(TIMESTAMP '2001-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH)), '%Y-%m') AS month FROM companies),
-    f AS (SELECT company_id, strftime(moment, '%Y-%m') AS month, 1 AS tx, 0 AS p FROM transactions
-          UNION ALL SELECT company_id, strftime(moment, '%Y-%m'), 0, 1 FROM postings WHERE NOT deleted)
-    SELECT company_id, month, CAST(coalesce(sum(tx), 0) AS BIGINT) AS transactions, CAST(coalesce(sum(p), 0) AS BIGINT) AS postings
-    FROM months LEFT JOIN f USING (company_id, month) GROUP BY 1, 2""",
+    f AS (SELECT company_id, moment, 't' AS k FROM transactions UNION ALL SELECT company_id, moment, 'p' FROM postings WHERE NOT deleted
+          UNION ALL SELECT company_id, paid_at, 'r' FROM receipts WHERE NOT deleted UNION ALL SELECT company_id, issued, 'i' FROM invoices WHERE NOT deleted)
+    SELECT m.company_id, m.month, count(*) FILTER (k = 't') AS transactions, count(*) FILTER (k = 'p') AS postings, count(*) FILTER (k = 'r') AS receipts, count(*) FILTER (k = 'i') AS invoices
+    FROM months m LEFT JOIN f ON f.company_id = m.company_id AND strftime(f.moment, '%Y-%m') = m.month GROUP BY 1, 2""",
 )
 def _(t: Ledger) -> DataFrame:
-    facts = {"transactions": (t.transactions, "moment"), "postings": (reports.live(t.postings), "moment")}
+    facts = {
+        "transactions": (t.transactions, "moment"),
+        "postings": (reports.live(t.postings), "moment"),
+        "receipts": (reports.live(t.receipts), "paid_at"),
+        "invoices": (reports.live(t.invoices), "issued"),
+    }
     return stats.monthly(facts, t.companies, "2001-01-01", 12)
 
 
@@ -193,14 +198,14 @@ def _(t: Ledger) -> DataFrame:
     return reports.live(kept).select("tx_id", "moment", "amount", "history")
 
 
-@query("prj04_invoice_list", "SELECT invoice_id, kind, amount FROM invoices WHERE kind = 'nfe' AND status = 'ativa'")
+@query("prj04_invoice_list", "SELECT invoice_id, kind, amount FROM invoices WHERE kind = 'nfe' AND status = 'pendente' AND NOT deleted")
 def _(t: Ledger) -> DataFrame:
-    return t.invoices.filter("kind = 'nfe' AND status = 'ativa'").select("invoice_id", "kind", "amount")
+    return t.invoices.filter("kind = 'nfe' AND status = 'pendente' AND NOT deleted").select("invoice_id", "kind", "amount")
 
 
-@query("prj05_receipts_by_association", "SELECT company_id, count(*) FILTER (tx_id IS NULL) AS free, count(tx_id) AS taken FROM receipts GROUP BY 1")
+@query("prj05_receipts_by_association", "SELECT company_id, count(*) FILTER (tx_id IS NULL) AS free, count(tx_id) AS taken FROM receipts WHERE NOT deleted GROUP BY 1")
 def _(t: Ledger) -> DataFrame:
-    return t.receipts.groupBy("company_id").agg(F.count_if(F.col("tx_id").isNull()).alias("free"), F.count("tx_id").alias("taken"))
+    return reports.live(t.receipts).groupBy("company_id").agg(F.count_if(F.col("tx_id").isNull()).alias("free"), F.count("tx_id").alias("taken"))
 
 
 @query(
@@ -229,23 +234,15 @@ def _(t: Ledger) -> DataFrame:
     return t.accounts.join(moved, "code", "left").filter(~F.col("deleted") | F.col("moved")).select("code")
 
 
-PERMITS = """permits AS (SELECT n_nationkey AS company_id, n_nationkey % 4 AS user_id,
-    CASE n_nationkey % 3 WHEN 0 THEN '*' WHEN 1 THEN 'extrato,neo' ELSE 'notas' END AS modules FROM nation)"""
-
-
-def permits(t: Ledger) -> DataFrame:
-    k = F.col("n_nationkey")
-    modules = F.when(k % 3 == 0, "*").when(k % 3 == 1, "extrato,neo").otherwise("notas")
-    return t.raw("nation").select(k.alias("company_id"), (k % 4).alias("user_id"), modules.alias("modules"))
+@query("prj11_row_level_access", "SELECT tx_id FROM transactions WHERE company_id IN (SELECT company_id FROM permits WHERE user_id = 1 AND (list_contains(string_split(modules, ','), 'extrato') OR modules = '*'))")
+def _(t: Ledger) -> DataFrame:
+    return exports.allowed(t.transactions, t.permits, 1, "extrato").select("tx_id")
 
 
-@query(
-    "prj11_row_level_access",
-    f"WITH {PERMITS} SELECT tx_id FROM transactions WHERE company_id IN (SELECT company_id FROM permits WHERE user_id = 1 "
-    "AND (list_contains(string_split(modules, ','), 'extrato') OR modules = '*'))",
-)
+@query("jn01_company_permits", """SELECT p.company_id, p.user_id, p.modules, user_name FROM permits p JOIN companies c ON p.company_id = c.company_id
+    JOIN users u ON u.user_id = p.user_id AND u.tenant_id = c.tenant_id WHERE c.active""")
 def _(t: Ledger) -> DataFrame:
-    return exports.allowed(t.transactions, permits(t), 1, "extrato").select("tx_id")
+    return exports.permits_of(t.permits, t.users, t.companies)
 
 
 @query("prj12_bank_label", "SELECT bank_id, concat_ws(' ', acronym, branch, number, digit) AS label FROM banks")
@@ -258,11 +255,88 @@ def _(t: Ledger) -> DataFrame:
     return t.accounts.select("code", text.level(F.col("code")).alias("level"))
 
 
-@query("prj16_row_validation", """SELECT invoice_id, (CASE WHEN amount <= 0 THEN 'amount;' ELSE '' END)
-    || (CASE WHEN status <> 'ativa' THEN 'status;' ELSE '' END) || (CASE WHEN length(number) > 4 THEN 'number;' ELSE '' END) AS errors FROM invoices""")
+def sql_errors(rules: dict[str, str]) -> str:
+    """The names of the rules that don't hold, joined by commas."""
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce({ok}, false) THEN '{name}' END" for name, ok in rules.items()) + ")"
+
+
+INVOICE_RULES = {
+    "kind": "lower(trim(kind)) IN ('nfe', 'nfse')", "number": "length(number) BETWEEN 1 AND 50", "series": "series IS NULL OR length(series) <= 10",
+    "issuer": r"length(regexp_replace(issuer, '\D', '', 'g')) = 14", "issuer_name": "issuer_name IS NULL OR length(issuer_name) <= 300",
+    "recipient": r"recipient IS NULL OR length(regexp_replace(recipient, '\D', '', 'g')) = 14", "amount": "amount > 0", "issued": "issued IS NOT NULL",
+    "access_key": r"access_key IS NULL OR length(regexp_replace(access_key, '\D', '', 'g')) = 44",
+}
+
+
+@query("prj16_invoice_rules", f"""SELECT invoice_id, {sql_errors(INVOICE_RULES)} AS errors FROM (SELECT invoice_id, CASE WHEN invoice_id % 5 = 0 THEN ' NFE ' WHEN invoice_id % 5 = 1 THEN 'nf' ELSE kind END AS kind,
+    CASE WHEN invoice_id % 7 = 0 THEN '' ELSE number END AS number, series, CASE WHEN invoice_id % 3 = 1 THEN left(issuer, 9) ELSE issuer END AS issuer, issuer_name,
+    CASE WHEN invoice_id % 4 = 0 THEN NULL ELSE recipient END AS recipient, amount - 1000 AS amount, issued, CASE WHEN invoice_id % 6 = 0 THEN '12' ELSE access_key END AS access_key FROM invoices)""")
+def _(t: Ledger) -> DataFrame:
+    k = F.col("invoice_id")
+    rows = t.invoices.withColumns({
+        "kind": F.when(k % 5 == 0, " NFE ").when(k % 5 == 1, "nf").otherwise(F.col("kind")),
+        "number": F.when(k % 7 == 0, "").otherwise(F.col("number")),
+        "issuer": F.when(k % 3 == 1, F.left("issuer", F.lit(9))).otherwise(F.col("issuer")),
+        "recipient": F.when(k % 4 != 0, F.col("recipient")),
+        "amount": F.col("amount") - 1000,
+        "access_key": F.when(k % 6 == 0, "12").otherwise(F.col("access_key")),
+    })
+    return rows.select("invoice_id", F.array_join(validation.invoice(), ",").alias("errors"))
+
+
+CARD_RULES = {
+    "label": "length(label) BETWEEN 2 AND 200", "brand": "lower(trim(brand)) IN ('visa', 'mastercard', 'elo', 'amex', 'hipercard', 'outros')",
+    "last_digits": "last_digits IS NULL OR regexp_matches(trim(last_digits), '^[0-9]{4}$')", "closing_day": "closing_day BETWEEN 1 AND 28",
+    "due_day": "due_day BETWEEN 1 AND 28", "limit": '"limit" IS NULL OR "limit" >= 0',
+}
+
+
+@query("prj16_card_rules", f"""SELECT card_id, {sql_errors(CARD_RULES)} AS errors FROM (SELECT card_id, label, CASE card_id % 3 WHEN 0 THEN 'Visa' WHEN 1 THEN ' elo ' ELSE 'other' END AS brand,
+    CASE WHEN card_id % 4 <> 0 THEN CAST(card_id AS VARCHAR) END AS last_digits, card_id % 31 AS closing_day, card_id % 29 AS due_day, CASE WHEN card_id % 5 <> 0 THEN card_id % 7 - 1 END AS "limit" FROM cards)""")
+def _(t: Ledger) -> DataFrame:
+    k = F.col("card_id")
+    rows = t.cards.withColumns({
+        "brand": F.when(k % 3 == 0, "Visa").when(k % 3 == 1, " elo ").otherwise("other"),
+        "last_digits": F.when(k % 4 != 0, k.cast("string")), "closing_day": k % 31, "due_day": k % 29, "limit": F.when(k % 5 != 0, k % 7 - 1),
+    })
+    return rows.select("card_id", F.array_join(validation.card(), ",").alias("errors"))
+
+
+@query("prj16_account_rules", f"""SELECT company_id, code, {sql_errors({"code": "length(trim(code)) BETWEEN 1 AND 30 AND regexp_matches(trim(code), '^[0-9]+([.][0-9]+)*$')",
+    "label": "length(trim(label)) BETWEEN 2 AND 300", "kind": "lower(trim(kind)) IN ('ativo', 'passivo', 'patrimonio_liquido', 'receita', 'despesa', 'custo', 'resultado')",
+    "kind_sa": "upper(trim(kind_sa)) IN ('S', 'A')"})} AS errors
+    FROM (SELECT company_id, CASE WHEN company_id % 2 = 0 THEN code || '.' ELSE code END AS code, CASE WHEN company_id % 3 = 0 THEN ' x ' ELSE label END AS label,
+    CASE WHEN company_id % 5 = 0 THEN 'banco' ELSE kind END AS kind, CASE WHEN company_id % 7 = 0 THEN NULL ELSE 's' END AS kind_sa FROM charts)""")
+def _(t: Ledger) -> DataFrame:
+    k = F.col("company_id")
+    rows = t.charts.withColumns({
+        "code": F.when(k % 2 == 0, F.concat("code", F.lit("."))).otherwise(F.col("code")), "label": F.when(k % 3 == 0, " x ").otherwise(F.col("label")),
+        "kind": F.when(k % 5 == 0, "banco").otherwise(F.col("kind")), "kind_sa": F.when(k % 7 != 0, "s"),
+    })
+    return rows.select("company_id", "code", F.array_join(validation.account(), ",").alias("errors"))
+
+
+@query("prj16_bank_and_rule_rules", f"""SELECT 'bank' AS what, bank_id AS id, {sql_errors({"acronym": "length(trim(acronym)) BETWEEN 2 AND 20", "branch": "regexp_matches(trim(branch), '^[0-9]{1,10}$')",
+    "number": "regexp_matches(trim(number), '^[0-9A-Za-z_-]{1,20}$')", "digit": "digit IS NULL OR length(trim(digit)) <= 5"})} AS errors
+    FROM (SELECT bank_id, acronym, CASE WHEN bank_id % 2 = 0 THEN branch || 'x' ELSE branch END AS branch, CASE WHEN bank_id % 3 = 0 THEN number || ' 1' ELSE number END AS number, digit FROM banks)
+    UNION ALL SELECT 'rule', rule_id, {sql_errors({"description": "length(trim(description)) BETWEEN 2 AND 500", "text": "length(trim(text)) BETWEEN 2 AND 500", "dc": "upper(trim(dc)) IN ('D', 'C')",
+    "kind": "lower(trim(kind)) IN ('automatica', 'manual')"})} FROM (SELECT rule_id, description, CASE WHEN rule_id % 2 = 0 THEN 'x' ELSE text END AS text, CASE WHEN rule_id % 3 = 0 THEN 'E' ELSE lower(dc) END AS dc, kind FROM rules)""")
+def _(t: Ledger) -> DataFrame:
+    k, r = F.col("bank_id"), F.col("rule_id")
+    accounts = t.banks.withColumns({
+        "branch": F.when(k % 2 == 0, F.concat("branch", F.lit("x"))).otherwise(F.col("branch")), "number": F.when(k % 3 == 0, F.concat("number", F.lit(" 1"))).otherwise(F.col("number"))
+    })
+    rules = t.rules.withColumns({"text": F.when(r % 2 == 0, "x").otherwise(F.col("text")), "dc": F.when(r % 3 == 0, "E").otherwise(F.lower("dc"))})
+    return accounts.select(F.lit("bank").alias("what"), k.alias("id"), F.array_join(validation.bank_account(), ",").alias("errors")).unionByName(
+        rules.select(F.lit("rule").alias("what"), r.alias("id"), F.array_join(validation.rule(), ",").alias("errors"))
+    )
+
+
+@query("prj15_has_attachment", "SELECT receipt_id, receipt_id % 3 <> 0 AND receipt_id % 3 <> 1 AS attached FROM receipts")
 def _(t: Ledger) -> DataFrame:
-    checks = {"amount": F.col("amount") <= 0, "status": F.col("status") != "ativa", "number": F.length("number") > 4}
-    return t.invoices.select("invoice_id", exports.errors(checks).alias("errors"))
+    k = F.col("receipt_id")
+    rows = t.receipts.select("receipt_id", F.when(k % 3 == 1, "").when(k % 3 == 2, "YQ==").alias("content"))
+    return rows.select("receipt_id", exports.has_attachment(F.col("content")).alias("attached"))
 
 
 @query("st01_page", "SELECT tx_id, moment FROM (SELECT tx_id, moment FROM transactions ORDER BY moment DESC, tx_id LIMIT 50 OFFSET 100)")
@@ -286,10 +360,10 @@ def _(t: Ledger) -> DataFrame:
     return t.charts.select("company_id", "code", F.row_number().over(order).alias("n"))
 
 
-@query("snk01_ledger_export", """SELECT strftime(moment, '%d/%m/%Y') AS date, code, label, dc, amount, CAST(tx_id AS VARCHAR) AS tx
-    FROM postings JOIN accounts USING (code)""")
+@query("snk01_ledger_export", f"""SELECT posting_id, strftime(moment, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS moment, text, history, dc, amount, rule_kind, code, bank_id, CAST(tx_id AS VARCHAR) AS tx_id
+    FROM postings WHERE moment >= TIMESTAMP '{FIRST}' AND moment <= TIMESTAMP '{LAST}'""")
 def _(t: Ledger) -> DataFrame:
-    return exports.ledger(t.postings, t.accounts)
+    return exports.ledger(t.postings, FIRST, LAST)
 
 
 @query("snk02_statement_export", f"""SELECT strftime(moment, '%d/%m/%Y') AS date, concat_ws(' ', acronym, branch, number, digit) AS account,
@@ -298,10 +372,42 @@ def _(t: Ledger) -> DataFrame:
     return exports.statement(t.transactions, t.banks, FIRST, LAST)
 
 
-@query("snk03_invoice_export", """SELECT company_id, invoice_id, CASE WHEN issuer = tax_id THEN 'saida' ELSE 'entrada' END AS direction, number, amount
-    FROM invoices JOIN companies USING (company_id) WHERE kind = 'nfe' AND status = 'ativa'""")
+VALID = "company_id % 4 <> 3"  # tax ids of the others are made wrong
+
+
+def invoice_export(kind: str, party: str) -> str:
+    return rf"""SELECT i.company_id, strftime(issued, '%Y-%m-%d') AS day, number, series, issuer, issuer_name, recipient, i.amount, coalesce(access_key, '') AS access_key, i.status,
+    coalesce(strftime(t.moment, '%Y-%m-%d'), '') AS tx_day, t.amount AS tx_amount FROM invoices i JOIN (SELECT company_id, tax_id FROM companies WHERE {VALID}) c ON i.company_id = c.company_id
+    LEFT JOIN transactions t ON i.tx_id = t.tx_id WHERE i.kind = '{kind}' AND NOT i.deleted AND regexp_replace({party}, '\D', '', 'g') = regexp_replace(c.tax_id, '\D', '', 'g')"""
+
+
+def _invoice_export(name: str) -> None:
+    @query(f"snk03_{name}", invoice_export(*exports.INVOICE_EXPORTS[name]))
+    def _(t: Ledger) -> DataFrame:
+        return exports.invoices(t.invoices, t.companies, t.transactions, name)
+
+
+for _name in exports.INVOICE_EXPORTS:
+    _invoice_export(_name)
+
+
+@query("snk03_refused_companies", f"SELECT company_id, tax_id FROM companies WHERE NOT ({VALID})")
+def _(t: Ledger) -> DataFrame:
+    return exports.refused_companies(t.companies)
+
+
+@query("snk09_insert_statements", """SELECT 'INSERT INTO accounts (company_id, code, label, kind, deleted) VALUES (' || CAST(company_id AS VARCHAR) || ', ''' || code || ''', ''' || label || ''', ''' || kind || ''', '
+    || upper(CAST(deleted AS VARCHAR)) || ') ON CONFLICT (company_id, code) DO NOTHING;' AS statement FROM charts""")
+def _(t: Ledger) -> DataFrame:
+    return exports.inserts(t.charts.select("company_id", "code", "label", "kind", "deleted"), "accounts", "company_id, code")
+
+
+@query("snk10_supplier_state", """SELECT supplier_id, 0 AS place, to_json({'supplier_id': CAST(supplier_id AS VARCHAR), 'name': name, 'opening': CAST(opening AS VARCHAR), 'opening_side': opening_side}) AS state FROM suppliers
+    UNION ALL SELECT supplier_id, CAST(row_number() OVER (PARTITION BY supplier_id ORDER BY moment, invoice, line, part, quantity, credit, debit) AS INTEGER), to_json({'supplier_id': CAST(supplier_id AS VARCHAR),
+    'moment': strftime(moment, '%Y-%m-%d %H:%M:%S'), 'invoice': invoice, 'line': CAST(line AS VARCHAR), 'part': CAST(part AS VARCHAR), 'quantity': CAST(quantity AS VARCHAR), 'credit': CAST(credit AS VARCHAR), 'debit': CAST(debit AS VARCHAR)})
+    FROM entries""")
 def _(t: Ledger) -> DataFrame:
-    return exports.invoices(t.invoices, t.companies, "nfe")
+    return exports.state(t.suppliers, t.entries, ["moment", "invoice", "line", "part", "quantity", "credit", "debit"])
 
 
 CONFERENCE = """i AS (SELECT tx_id, invoice_id, row_number() OVER (PARTITION BY tx_id ORDER BY invoice_id) AS k
@@ -333,9 +439,9 @@ def _(t: Ledger) -> DataFrame:
     return t.transactions.select("tx_id", text.safe_cell(F.concat(lead, F.col("history"))).alias("cell"))
 
 
-@query("snk08_append_unseen", "SELECT tx_id FROM transactions WHERE tx_id % 3 <> 0 AND tx_id NOT IN (SELECT tx_id FROM transactions WHERE tx_id % 2 = 0)")
+@query("snk08_append_unseen", "SELECT tx_id FROM transactions WHERE status = 'pendente'")
 def _(t: Ledger) -> DataFrame:
-    batch, there = t.transactions.filter("tx_id % 3 <> 0"), t.transactions.filter("tx_id % 2 = 0")
+    batch, there = t.transactions.unionByName(t.transactions), t.transactions.filter("status = 'processada'")
     return exports.unseen(batch, there, "tx_id").select("tx_id")
 
 

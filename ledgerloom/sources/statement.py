@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import statement_date
 from ..functions.numbers import statement_amount
-from ..functions.text import stripped
+from ..functions.text import any_word, stripped
 
 # Shapes of lines.
 LINE = r"^(.+?)\s+(-?\d{1,3}(?:\.\d{3})*(?:,\d{2})?)\s+(\d{1,3}(?:\.\d{3})*(?:,\d{2})?)\s*$"
 DATE = r"^(\d{2}[/\-]\d{2}[/\-](?:\d{4}|\d{2}))\s*"
-SKIPPED = r"(?i)^(Data\s|Ag[eê]ncia|Extrato|Total\s|Os dados|Pr[oó]ximo|Cr[eé]dito|D[eé]bito|Saldo \(|REM:\s)"
-BARCODE = r"^\d{18}\s*"
-BALANCE = r"(?i)SALDO"
+SKIPPED = r"(?i)^(Data\s|Ag[eê]ncia|Extrato|Total\s|Os dados|Pr[oó]ximo|^\s*Cr[eé]dito|^\s*D[eé]bito|Saldo \(|REM:\s)"
+BARCODE = r"^\d{17,20}"
+BALANCE = r"(?i)\bSALDO\b|\bBALANCE\b|\bTOTAL\b"
+NUMBER_BEFORE, NUMBER_AFTER = r"^\d{3,8}\s*", r"\s+\d{4,8}\s*$"
+DECLARED = r"(?i)(-?\(?\d[\d.]*,\d{2}\)?)(?:\s*([DC]))?\s*$"
+# What a declared value is, by words in its line.
+OPENING_WORDS, CLOSING_WORDS = ["SALDO ANTERIOR", "SALDO INICIAL"], ["SALDO FINAL", "SALDO ATUAL"]
+DEBIT_WORDS, CREDIT_WORDS = ["DÉBIT", "DEBIT"], ["CRÉDIT", "CREDIT"]
 
 
 def transactions(lines: DataFrame, year: int) -> DataFrame:
@@ -39,12 +44,35 @@ def transactions(lines: DataFrame, year: int) -> DataFrame:
     within = W.partitionBy("file", "part").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("pending", F.last("plain", ignorenulls=True).over(within)).filter("uses = 1")
     rest = stripped(F.regexp_replace(stripped(F.regexp_replace("prefix", DATE, "")), BARCODE, ""))
-    bare = stripped(F.regexp_replace(stripped(F.regexp_replace(rest, r"^\d{3,8}\s*", "")), r"\s+\d{4,8}\s*$", ""))
+    bare = stripped(F.regexp_replace(stripped(F.regexp_replace(rest, NUMBER_BEFORE, "")), NUMBER_AFTER, ""))
     history = F.coalesce("pending", F.nullif(bare, F.lit("")), F.nullif(rest, F.lit("")), F.lit("SEM DESCRIÇÃO"))
     amount = statement_amount(F.regexp_extract("line", LINE, 2))
     return rows.select("file", "n", "date", amount.alias("amount"), F.left(history, F.lit(200)).alias("history")).filter("amount <> 0")
 
 
+def declared(lines: DataFrame) -> DataFrame:
+    """What each file declares: its first opening and last closing balance, and its last totals; null where nothing."""
+    upper = F.upper("text")
+    raw = statement_amount(F.regexp_extract("text", DECLARED, 1)).cast("decimal(25,2)")
+    dc = F.upper(F.regexp_extract("text", DECLARED, 2))
+    value = F.when(dc == "D", -F.abs(raw)).when(dc == "C", F.abs(raw)).otherwise(raw)
+    total = upper.contains("TOTAL")
+    kind = (
+        F.when(any_word(upper, OPENING_WORDS), "opening")
+        .when(any_word(upper, CLOSING_WORDS), "closing")
+        .when(total & any_word(upper, DEBIT_WORDS), "debits")
+        .when(total & any_word(upper, CREDIT_WORDS), "credits")
+    )
+    rows = lines.select("file", "n", F.when(F.col("text").rlike(DECLARED), value).alias("value"), kind.alias("kind"))
+    last = lambda k: F.max_by("value", F.when((F.col("kind") == k) & F.col("value").isNotNull(), F.col("n")))
+    return rows.groupBy("file").agg(
+        F.min_by("value", F.when((F.col("kind") == "opening") & F.col("value").isNotNull(), F.col("n"))).alias("opening"),
+        last("closing").alias("closing"),
+        F.abs(last("credits")).alias("declared_credits"),
+        F.abs(last("debits")).alias("declared_debits"),
+    )
+
+
 def complete(found: DataFrame, declared: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Whether a statement's movements make up its declared balances; one that declares nothing fails."""
     sums = found.groupBy("file").agg(

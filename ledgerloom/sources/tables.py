@@ -6,21 +6,38 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..functions.dates import card_date
 from ..functions.numbers import card_amount
-from ..functions.text import stripped
+from ..functions.text import plain_case, stripped
 
-# Names that a column may have.
-CARD_COLUMNS = {"date": ["data_compra", "date", "data"], "description": ["descricao", "description"], "amount": ["valor", "amount", "value"], "id": ["id"]}
-CHART_COLUMNS = {"code": ["codigo", "code", "classificacao"], "label": ["descricao", "description", "nome"], "kind": ["tipo", "type"], "kind_sa": ["tipo_sa", "sa"]}
-# Limits of an archive.
+# Names that a column may have, in the order in which they count.
+CARD_COLUMNS = {
+    "date": ["data_compra", "data", "date"],
+    "description": ["descricao", "description", "historico"],
+    "amount": ["valor", "value", "amount"],
+    "id": ["id", "identificador", "transaction_id", "transactionid", "purchase_id", "reference", "referencia"],
+}
+CHART_COLUMNS = {
+    "code": ["codigo", "classificacao", "classificação", "code", "cod"],
+    "label": ["descricao", "description", "descrição", "nome"],
+    "kind": ["tipo", "type"],
+    "kind_sa": ["tipo_sa", "sa", "s/a"],
+}
+# Limits of an archive, of a workbook's archive, and of a workbook.
 MOST_FILES, MOST_BYTES, MOST_RATIO, MOST_FILE = 1000, 100 << 20, 100, 10 << 20
+MOST_SHEET_RATIO = 200
+MOST_ROWS, MOST_COLUMNS, MOST_CELLS = 50_000, 100, 500_000
+# Number formats of dates in a workbook that need no definition of their own.
+DATE_FORMATS = [*range(14, 23), *range(45, 48)]
 
 
 def aliased(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
@@ -42,53 +59,189 @@ def read_csv(spark: SparkSession, path: str, names: dict[str, list[str]], sep: s
 
 
 def card_entries(rows: DataFrame) -> DataFrame:
-    """Purchases of a bill: parsed fields, the error that a row has, and its identity."""
-    day, amount = card_date(F.col("date")), card_amount(F.col("amount"))
-    error = (
-        F.when(day.isNull(), "date").when(F.col("description").isNull(), "description").when(amount.isNull() | (amount <= 0), "amount")
+    """Purchases of bills: parsed fields, the error that a row has, and its identity.
+
+    `rows` has the texts date, description, amount and id; other columns stay.
+    """
+    day, amount = card_date(stripped(F.col("date"))), card_amount(F.col("amount"))
+    text = F.nullif(stripped(F.col("description")), F.lit(""))
+    error = F.when(day.isNull(), "date").when(text.isNull(), "description").when(amount.isNull() | (amount <= 0), "amount")
+    identity = hashing.purchase_identity(stripped(F.col("id")), day, plain_case(text), amount)
+    rest = [c for c in rows.columns if c not in ("date", "description", "amount", "id")]
+    return rows.select(
+        *rest, day.cast("date").alias("day"), text.alias("description"), amount.alias("value"),
+        F.when(error.isNull(), identity).alias("identity"), error.alias("error"),
+    )
+
+
+def card_import(rows: DataFrame, bills: DataFrame, there: DataFrame) -> DataFrame:
+    """What becomes of each line of the bills' CSV files: `new`, `duplicate`, its error, or that the bill takes none.
+
+    `rows` are `card_entries` with bill and line, `bills` has bill and status, `there` bill and identity.
+    Of lines with one identity the first of a bill is new, unless an earlier import has it.
+    """
+    first = rows.filter("error IS NULL").groupBy("bill", "identity").agg(F.min("line").alias("_first"))
+    known = there.select("bill", "identity").distinct().withColumn("_known", F.lit(True))
+    state = bills.select("bill", F.col("status").alias("_status"))
+    joined = rows.join(state, "bill", "left").join(first, ["bill", "identity"], "left").join(known, ["bill", "identity"], "left")
+    outcome = (
+        F.when(F.col("_status").isNull(), "unknown bill")
+        .when(F.col("_status") == "paga", "paid bill")
+        .when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("_known") | (F.col("line") > F.col("_first")), "duplicate")
+        .otherwise("new")
     )
-    plain = F.lower(F.regexp_replace("description", r"\s+", " "))
-    identity = F.sha2(F.coalesce("id", F.concat_ws("|", day.cast("date").cast("string"), plain, amount.cast("string"))), 256)
-    return rows.select(day.cast("date").alias("day"), "description", amount.alias("value"), identity.alias("identity"), error.alias("error"))
+    return joined.withColumn("outcome", outcome).drop("_status", "_first", "_known")
+
+
+def _is_date(code: str) -> bool:
+    return bool(re.search(r"[dmyh]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code.lower())))
+
+
+def _tag(element) -> str:
+    return element.tag.rpartition("}")[2]
 
 
-def new_entries(rows: DataFrame, there: DataFrame) -> DataFrame:
-    """Good rows whose identity neither the bill nor an earlier row has."""
-    return rows.filter("error IS NULL").dropDuplicates(["identity"]).join(there.select("identity"), "identity", "left_anti")
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")) for f in root.iter() if _tag(f) == "numFmt" and _is_date(f.get("formatCode", ""))}
+    cells = next((e for e in root if _tag(e) == "cellXfs"), ())
+    return {i for i, x in enumerate(cells) if int(x.get("numFmtId", 0)) in own.union(DATE_FORMATS)}
 
 
-def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str]]:
-    """(row, column, text) of the first sheet of a workbook."""
+def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str, str]]:
+    """(row, column, text, kind) of the first sheet; kind is s for text, n for a number, d for a date as ISO text."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        infos = z.infolist()
+        if len(infos) > MOST_FILES or sum(i.file_size for i in infos) > MOST_BYTES:
+            raise ValueError("too large")
+        if any(i.file_size and (not i.compress_size or i.file_size / i.compress_size > MOST_SHEET_RATIO) for i in infos):
+            raise ValueError("compressed too far")
         names = z.namelist()
         shared: list[str] = []
         if "xl/sharedStrings.xml" in names:
             for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in item.iter() if t.tag.endswith("}t")))
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+                shared.append("".join(t.text or "" for t in item.iter() if _tag(t) == "t"))
+        dates = _date_styles(z)
+        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         for cell in ElementTree.fromstring(z.read(sheet)).iter():
-            if not cell.tag.endswith("}c"):
+            if _tag(cell) != "c":
                 continue
             letters, number = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
             column = 0
             for c in letters:
                 column = column * 26 + ord(c) - 64
-            text = "".join(t.text or "" for t in cell.iter() if t.tag.endswith("}v") or t.tag.endswith("}t"))
+            text = "".join(t.text or "" for t in cell.iter() if _tag(t) in "vt")
+            kind = "s" if cell.get("t") in ("s", "str", "inlineStr") else "n"
             if cell.get("t") == "s" and text:
                 text = shared[int(text)]
+            elif kind == "n" and text and int(cell.get("s", 0)) in dates:
+                kind, text = "d", (datetime(1899, 12, 30) + timedelta(days=float(text))).isoformat(timespec="seconds")
             if text:
-                yield int(number), column, text
+                yield int(number), column, text, kind
+
+
+def sheet_bytes(rows: list[list]) -> bytes:
+    """A workbook of one sheet out of rows of texts, numbers, dates and empty cells (None)."""
+
+    def cell(value, at: str) -> str:
+        if value is None:
+            return ""
+        if isinstance(value, date):
+            gap = datetime(value.year, value.month, value.day) - datetime(1899, 12, 30)
+            return f'<c r="{at}" s="1"><v>{gap.days}</v></c>'
+        if isinstance(value, str):
+            return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+        return f'<c r="{at}"><v>{value}</v></c>'
+
+    def letters(n: int) -> str:
+        return letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n else ""
+
+    body = "".join(
+        f'<row r="{i}">' + "".join(cell(v, f"{letters(j)}{i}") for j, v in enumerate(row, 1)) + "</row>" for i, row in enumerate(rows, 1)
+    )
+    space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="xml" ContentType="application/xml"/>'
+        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/>'
+        f'<Override PartName="/xl/styles.xml" ContentType="{types}.styles+xml"/>'
+        f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{types}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{office}"><sheets><sheet name="1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/>'
+        f'<Relationship Id="r2" Type="{office}/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet xmlns="{space}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
 
 
 def cells(files: DataFrame) -> DataFrame:
-    """file, row, col and text of each cell of each workbook; `files` has file and content (binary)."""
+    """file, row, col, text and kind of each cell of each workbook, or its error; `files` has file and content (binary)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, content in zip(frame["file"], frame["content"], strict=True):
+                try:
+                    rows = [(file, *c, None) for c in sheet_cells(bytes(content))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError) as e:
+                    plain = type(e) is ValueError and str(e).startswith(("too", "compressed"))
+                    rows = [(file, None, None, None, None, str(e) if plain else "no workbook")]
+                yield pd.DataFrame(rows, columns=["file", "row", "col", "text", "kind", "error"], dtype=object)
+
+    return files.select(F.col("file").cast("string"), "content").mapInPandas(run, "file string, row int, col int, text string, kind string, error string")
+
+
+def chart_sheets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, line, code, label, kind, kind_sa) of workbooks with a chart of accounts, and (file, error) of those refused.
+
+    The first row names the columns; rows without code and label are left out.
+    """
+    good = found.filter("error IS NULL")
+    head = good.filter("row = 1").select("file", "col", F.lower(stripped(F.col("text"))).alias("_name"))
+    width = head.groupBy("file").agg(F.max("col").alias("_width"))
+    size = good.groupBy("file").agg((F.max("row") - 1).alias("_rows"))
+    error = (
+        F.when(F.col("_width") > MOST_COLUMNS, "too many columns")
+        .when(F.col("_rows") > MOST_ROWS, "too many rows")
+        .when(F.col("_rows") * F.col("_width") > MOST_CELLS, "too many cells")
+    )
+    refused = size.join(width, "file").select("file", error.alias("error")).filter("error IS NOT NULL")
+    refused = refused.unionByName(found.filter("error IS NOT NULL").select("file", "error"))
+    names = F.create_map(*[F.lit(x) for n, aliases in CHART_COLUMNS.items() for a in aliases for x in (a, n)])
+    named = head.select("file", "col", names[F.col("_name")].alias("_name")).filter("_name IS NOT NULL")
+    rows = good.filter("row > 1").join(named, ["file", "col"]).join(refused, "file", "left_anti")
+    # of several columns with one meaning the one furthest right counts
+    fields = [F.max_by(stripped(F.col("text")), F.when(F.col("_name") == n, F.col("col"))).alias(n) for n in CHART_COLUMNS]
+    table = rows.groupBy("file", F.col("row").alias("line")).agg(*fields)
+    return table.filter("coalesce(code, '') <> '' OR coalesce(label, '') <> ''"), refused
+
+
+def archived(files: DataFrame) -> DataFrame:
+    """An archive, `file`.zip, for each document, which it holds as `file`.xml."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out = []
             for file, content in zip(frame["file"], frame["content"], strict=True):
-                yield pd.DataFrame(((file, *c) for c in sheet_cells(bytes(content))), columns=["file", "row", "col", "text"])
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"{file}.xml", content)
+                out.append((f"{file}.zip", held.getvalue()))
+            yield pd.DataFrame(out, columns=["file", "content"])
 
-    return files.select("file", "content").mapInPandas(run, "file string, row int, col int, text string")
+    return files.select("file", "content").mapInPandas(run, "file string, content binary")
 
 
 def members(files: DataFrame) -> DataFrame:
@@ -118,7 +271,33 @@ def members(files: DataFrame) -> DataFrame:
 
 
 def file_kind(files: DataFrame) -> DataFrame:
-    """What a file is by its first bytes."""
+    """What a file is by its first bytes; an archive with a workbook's parts is one."""
+
+    def workbook(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kinds = []
+            for content in frame["content"]:
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                        kinds.append("xlsx" if {"xl/workbook.xml", "[Content_Types].xml"} & set(z.namelist()) else "zip")
+                except zipfile.BadZipFile:
+                    kinds.append("other")
+            yield pd.DataFrame({"file": frame["file"], "kind": kinds})
+
     head = F.hex(F.substring(F.col("content"), 1, 4))
-    kind = F.when(head == "25504446", "pdf").when(head == "504B0304", "zip").when(F.substring(F.col("content"), 1, 5).cast("string") == "<?xml", "xml").otherwise("other")
-    return files.select("file", kind.alias("kind"))
+    kind = F.when(head == "25504446", "pdf").when(F.substring(F.col("content"), 1, 5).cast("string") == "<?xml", "xml").otherwise("other")
+    packed = F.coalesce(F.left(head, F.lit(4)) == "504B", F.lit(False))
+    rest = files.filter(~packed).select("file", kind.alias("kind"))
+    return rest.unionByName(files.filter(packed).select("file", "content").mapInPandas(workbook, "file string, kind string"))
+
+
+def folders(spark: SparkSession, path: str, name: str = "final.csv") -> DataFrame:
+    """Rows of a CSV file that each company's folder has, with the folder's name as `company`."""
+    rows = spark.read.csv(f"{path}/*/{name}", header=True, escape='"')
+    return rows.withColumn("company", F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{re.escape(name)}$", 1))
+
+
+def chart_json(spark: SparkSession, path: str) -> DataFrame:
+    """Accounts of a JSON dump: a list of companies, each with its list of accounts, one row an account."""
+    found = spark.read.json(path, multiLine=True)
+    return found.select(*[c for c in found.columns if c != "contas"], F.explode("contas").alias("_c")).select("*", "_c.*").drop("_c")

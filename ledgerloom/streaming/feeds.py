@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_folder
+
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files at a path, with the schema of what is there and `ts` as an instant."""
@@ -48,8 +50,7 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataF
 def drained(result: DataFrame, mode: str) -> DataFrame:
     """All that a stream gives for the files there are now, written to the shared folder and read back."""
     spark = result.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
-    folder = f"{base}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write = "overwrite" if mode == "complete" else "append"
     query = (
         result.writeStream.outputMode(mode)

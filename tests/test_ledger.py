@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounts, associate, classify, fifo, ledger, repair, reports
+from ledgerloom.operators import accounts, aligned, associate, classify, fifo, ledger, repair, reports
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -61,8 +61,8 @@ def test_cash_book(spark):
 
 def test_rules(spark):
     rules = spark.createDataFrame(
-        [(1, 1, "boleto", "D", "short", "5.1", False, True), (2, 1, "boleto energia", "D", "long", "5.2", True, True), (3, 1, "x", "C", "other", "4.1", False, True), (4, 1, "boleto energia eletrica", "D", "off", "5.3", False, False)],
-        "rule_id long, bank_id long, text string, dc string, description string, code string, keep_history boolean, active boolean",
+        [(1, 1, "boleto", "D", "short", "5.1", False, True, "automatica"), (2, 1, "boleto energia", "D", "long", "5.2", True, True, "automatica"), (3, 1, "x", "C", "other", "4.1", False, True, "automatica"), (4, 1, "boleto energia eletrica", "D", "off", "5.3", False, False, "automatica"), (5, 1, "boleto energia eletrica", "D", "by hand", "5.4", False, True, "manual")],
+        "rule_id long, bank_id long, text string, dc string, description string, code string, keep_history boolean, active boolean, kind string",
     )
     rows = transactions(spark, [(1, DAY, 10, "D", " BOLETO ENERGIA ELETRICA\t", "pendente"), (2, DAY, 5, "D", "boleto", "pendente"), (3, DAY, 5, "D", "none", "pendente"), (4, DAY, 5, "D", "boleto", "processada")])
     found = classify.matches(rows, rules)
@@ -77,7 +77,7 @@ def test_rules(spark):
 def sequential(txs, docs, days):
     free, out = dict(docs), []
     for i, (m, c) in sorted(txs.items(), key=lambda x: (x[1][0], x[0])):
-        near = [k for k, (n, e) in free.items() if abs(e - c) <= 1 and abs((n - m).days) <= days]
+        near = [k for k, (n, e) in free.items() if abs(e - c) <= 1 and abs((n - m).total_seconds()) <= days * 86_400]
         if len(near) == 1:
             out.append((i, near[0]))
             del free[near[0]]
@@ -168,17 +168,78 @@ def test_rereads_and_lines(spark):
     rows = [(1, 1, "a", None, 5.0, 0.0, 9.0, None), (1, 2, "a", "7", 5.0, 0.0, 9.0, "nf"), (1, 3, "b", "8", 5.0, 0.0, 9.0, None), (1, 4, "c", "8", 5.0, 0.0, 9.0, None), (1, 5, "a", None, 0.0, 0.0, 9.0, None)]
     got = ledger.without_rereads(spark.createDataFrame(rows, cols)).orderBy("n").collect()
     assert [(r.n, r.invoice, r.lot) for r in got] == [(1, "nf", "7"), (3, None, "8"), (5, None, None)]
-    assert ledger.without_repeats("a b c  a b c  a b c  z") == "a b c                z"
-    assert ledger.without_repeats("a b c a b c z") == "a b c a b c z"
-    values = spark.createDataFrame([("f", 1, 20, "1"), ("f", 1, 33, "2"), ("f", 1, 60, "3")], "file string, n int, right int, value string")
-    columns = spark.createDataFrame([("f", "debit", 21), ("f", "credit", 34)], "file string, column string, edge int")
-    assert {(r.value, r.column) for r in ledger.by_right_edge(values, columns).collect()} == {("1", "debit"), ("2", "credit")}
+    line = "20/05/2024 VLR REF PGTO X 1167 VLR REF PGTO X VLR REF PGTO X 9 1.118,34 VLR REF PGTO X 4.095,27C"
+    gone = ledger.without_repeats(line)
+    assert gone.count("VLR REF PGTO X") == 1 and gone.index("1.118,34") == line.index("1.118,34") and len(gone) == len(line)
+    assert ledger.without_repeats("a b c a b c z") == "a b c a b c z"  # fewer than nine words
+    assert ledger.without_repeats("a b c d e a b c d e x y") == "a b c d e a b c d e x y"  # twice only
+    assert ledger.without_repeats("p q r s p q r s p q r s 1 2 3 1 2 3 1 2 3") == "p q r s                 1 2 3 1 2 3 1 2 3"  # one phrase only, the longest
+
+
+def test_rereads_equal_the_rule_in_order(spark):
+    """Against entries taken one after another: any kept entry before with the day or the lot."""
+    rng = random.Random(3)
+    for _ in range(3):
+        rows = [(1, n, rng.choice("abc"), rng.choice([None, "", "7", "8", "9"]), 5.0, 0.0, float(rng.randrange(3)), rng.choice([None, "nf"])) for n in range(60)]
+        kept = []
+        for r in rows:
+            lot = (r[3] or "").strip()
+            day = [k for k in kept if k["day"] == r[2] and k["v"] == r[4:7]]
+            same = day or [k for k in kept if lot and k["own"] == lot and k["v"] == r[4:7]]
+            if same:
+                same[0]["invoice"] = same[0]["invoice"] or r[7]
+                same[0]["lot"] = same[0]["lot"] or r[3]
+            else:
+                kept.append({"n": r[1], "day": r[2], "own": lot, "v": r[4:7], "invoice": r[7], "lot": r[3]})
+        cols = "supplier_id long, n long, day string, lot string, debit double, credit double, balance double, invoice string"
+        got = ledger.without_rereads(spark.createDataFrame(rows, cols)).collect()
+        assert {(r.n, r.invoice, r.lot or None) for r in got} == {(k["n"], k["invoice"], k["lot"] or None) for k in kept}
+
+
+def aligned_lines(spark, *texts):
+    return spark.createDataFrame([("f", 1, i, t) for i, t in enumerate(texts)], "file string, block int, n int, text string")
+
+
+def test_aligned_blocks(spark):
+    head = "Data       Lote   Histórico            Débito Crédito        Saldo"
+    at = {"Débito": head.index("Débito") + 6, "Crédito": head.index("Crédito") + 7, "Saldo": len(head)}
+
+    def entry(text, column, amount, balance):
+        out = f"{text:<30}"
+        out = f"{out[: at[column] - len(amount)]:<{at[column] - len(amount)}}{amount}"
+        return f"{out:<{at['Saldo'] - len(balance)}}{balance}C"
+
+    first = entry("05/01/2024 12     PGTO NF 123456", "Débito", "217,75", "1.000,00")
+    rows = aligned_lines(spark, "Conta: 7", head, "SALDO ANTERIOR      88,77C", first, "  more text", "123", entry("06/01/2024 13     COMPRA", "Crédito", "350,26", "1.350,26"), "Total da conta:   217,75   350,26")
+    got = aligned.entries(rows).orderBy("n").collect()
+    assert [(r.lot, r.history, float(r.debit), float(r.credit), float(r.balance), r.side, r.kind) for r in got] == [
+        ("12", "PGTO NF 123456 more text", 217.75, 0.0, 1000.0, "C", "PAGAMENTO"), ("13", "COMPRA", 0.0, 350.26, 1350.26, "C", "COMPRA"),
+    ]
+    assert got[0].invoice == "123456"
+    proof = aligned.checked(rows, aligned.entries(rows)).first()
+    assert (float(proof.opening), proof.opening_side, proof.entries, proof.proved) == (88.77, "C", 2, True)
+    empty = aligned_lines(spark, head, "Total da conta:   0,00   0,00")
+    assert aligned.checked(empty, aligned.entries(empty)).first().proved
+    unread = aligned_lines(spark, head, "05/01/2024 12   nothing here", "Total da conta:   0,00   0,00")
+    assert not aligned.checked(unread, aligned.entries(unread)).first().proved
+    assert aligned.checked(aligned_lines(spark, "no header", "Total da conta:   0,00   0,00"), aligned.entries(empty)).count() == 0
+    read = spark.createDataFrame([("f", 1, 0, datetime.date(2024, 1, 5), "12", Decimal(0), Decimal("217.75"), "COMPRA"), ("f", 1, 1, datetime.date(2024, 1, 9), "9", Decimal(1), Decimal(0), "X")], "file string, block int, n int, day date, lot string, debit decimal(15,2), credit decimal(15,2), kind string")
+    assert {(r.n, float(r.debit), float(r.credit), r.kind) for r in aligned.by_position(read, rows).collect()} == {(0, 217.75, 0.0, "PAGAMENTO"), (1, 1.0, 0.0, "X")}
 
 
 def test_accounts_and_names(spark):
     wanted = spark.createDataFrame([("1.1.2",), ("2",), ("3.1.1",), ("x",), ("1.1.1.1.1.1",), ("1",)], "code string")
     there = spark.createDataFrame([("1",), ("1.1",), ("3",)], "code string")
-    assert {(r.code, r.error) for r in accounts.import_errors(wanted, there).collect()} == {("3.1.1", "parent 3.1"), ("x", "code"), ("1.1.1.1.1.1", "level"), ("1", "exists")}
+    lines = [(1, i, r.code, "ab", "Ativo ", None) for i, r in enumerate(wanted.collect())] + [(1, 90, "2", "again", "", "s"), (1, 91, "4", " ", "custo", "A"), (1, 92, "2.7", "a child", "", "a"), (1, 93, "5", "xx", "bank", "A")]
+    rows = spark.createDataFrame(lines, "company_id int, line int, code string, label string, kind string, kind_sa string")
+    own = there.selectExpr("1 AS company_id", "code", "cast(null AS string) AS parent", "'A' AS kind_sa")
+    found = accounts.imported(rows, own)
+    assert {(r.line, r.outcome, r.parent) for r in found.collect()} == {
+        (0, "imported", "1.1"), (1, "imported", None), (2, "parent 3.1", None), (3, "code", None), (4, "level", None), (5, "duplicate", None),
+        (90, "duplicate", None), (91, "no label", None), (92, "imported", "2"), (93, "kind", None),
+    }
+    after = {r.code: r.kind_sa for r in accounts.after_import(found, own).collect()}
+    assert after == {"1": "A", "1.1": "S", "3": "A", "1.1.2": "A", "2": "S", "2.7": "A"}
     a = spark.createDataFrame([(1, "Padaria São"), (2, "Dup"), (3, "dup")], "other_id int, name string")
     b = spark.createDataFrame([("PADARIA SAO", "9"), ("DUP", "8")], "name string, tax_id string")
     assert [tuple(r) for r in repair.by_unique_name(a, b).select("other_id", "tax_id").collect()] == [(1, "9")]

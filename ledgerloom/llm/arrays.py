@@ -117,8 +117,30 @@ def lists_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Ar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is set, as in tests, one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    """The shared folder that the cluster names; only on one machine, as in tests, one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
+#: tables that `stored` has written in this process and that `forget` deletes
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables that `stored` has written; for callers who have read their results to the end."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches for texts: a worker holds a batch several times over, as Arrow, as strings and as words."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -129,6 +151,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

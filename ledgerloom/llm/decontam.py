@@ -175,16 +175,17 @@ def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def proximity(docs: DataFrame, first: str, second: str, within: int) -> DataFrame:
-    """Documents and positions where two words stand at most `within` words apart, from the index."""
+    """doc_id, pos and next_pos of all places where two words stand at most `within` words apart, from the index.
+
+    Postings of a document are cut into stretches of `within` + 1 words, and those of the second word also stand in
+    the stretches beside their own: so each pair meets once, and a list is never compared with all of another.
+    """
     rows = keyed(docs)
     lists = tokens(rows).filter(F.col("word").isin(first, second))
-    per_doc = lists.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("list"))
-    # in a sorted list of both words' postings the nearest pairs are neighbours
-    pairs = F.zip_with(
-        "list",
-        F.slice("list", F.lit(2), F.size("list")),
-        lambda a, b: F.struct(a["pos"].alias("pos"), b["pos"].alias("next_pos"), (a["word"] != b["word"]).alias("both")),
-    )
-    near = per_doc.select("doc_key", F.inline(pairs)).filter((F.col("next_pos") - F.col("pos") <= within))
-    near = near.filter("both") if first != second else near.filter("next_pos is not null")
+    stretch = F.floor(F.col("pos") / (within + 1))
+    a = lists.filter(F.col("word") == first).select("doc_key", "pos", stretch.alias("stretch"))
+    b = lists.filter(F.col("word") == second).select("doc_key", F.col("pos").alias("other"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
+    near = a.join(b, ["doc_key", "stretch"]).filter(F.abs(F.col("pos") - F.col("other")) <= within)
+    near = near.filter("pos < other") if first == second else near
+    near = near.select("doc_key", F.least("pos", "other").alias("pos"), F.greatest("pos", "other").alias("next_pos"))
     return rows.select("doc_id", "doc_key").distinct().join(near, "doc_key").select("doc_id", "pos", "next_pos")

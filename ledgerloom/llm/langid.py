@@ -14,7 +14,6 @@ whole; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +41,6 @@ FAMILIES = {
     "semitic": ["ar", "he", "am", "mt"],
     "sino-tibetan": ["zh", "yue", "my", "bo"],
 }
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 _FAMILY_OF = {lang: f for f, langs in FAMILIES.items() for lang in langs}
 
 _KEEP = np.zeros(256, np.uint8)
@@ -131,7 +129,7 @@ def fit(docs: DataFrame, modulus: int = 3, remainder: int = 1, sample: int = SAM
 
 def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     out, score = ["und"] * len(texts), np.zeros(len(texts))
-    rows = [i for i, t in enumerate(texts) if t and _HAS_LETTER.search(t)]
+    rows = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     if not rows or not model:
         return out, score
     x = vectors([texts[i] for i in rows])

@@ -171,3 +171,11 @@ def test_proximity(docs):
     rows = [(1, "a x b"), (2, "a x x x b"), (3, None), (4, "b a"), (5, "a a")]
     assert sorted(map(tuple, decontam.proximity(docs(rows), "a", "b", 2).collect())) == [(1, 0, 2), (4, 0, 1)]
     assert sorted(map(tuple, decontam.proximity(docs(rows), "a", "a", 2).collect())) == [(5, 0, 1)]
+    rng = random.Random(8)
+    many = [(i, " ".join(rng.choices("abc", k=rng.randrange(40)))) for i in range(30)] + [(99, "a a b"), (98, "a b b")]
+    for first, second, within in (("a", "b", 2), ("a", "b", 5), ("a", "a", 3)):
+        want = []
+        for i, t in many:
+            w = t.split()
+            want += [(i, p, q) for p in range(len(w)) for q in range(p + 1, len(w)) if q - p <= within and sorted((w[p], w[q])) == sorted((first, second))]
+        assert sorted(map(tuple, decontam.proximity(docs(many), first, second, within).collect())) == sorted(want)

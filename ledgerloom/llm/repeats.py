@@ -4,12 +4,16 @@
    sequences in every run of SPAN of them.  Equal passages select equal positions, so of any two
    equal passages of `least` words the first position selected is the same, lies at most SPAN - 1
    words in, and at least `least - SPAN + 1` words follow it in both.
-2. The sparse suffix array: suffixes are ordered by the hash of their next `least - SPAN + 1`
-   words, and those equal to a neighbour stay.  Spark's aggregate by that key compares
-   neighbours without a global sort and without putting one key's rows in one task.
+2. The sparse suffix array: suffixes are sorted over all partitions by the hash of their next
+   `least - SPAN + 1` words, then by text and place.  Each is compared with its neighbours, and
+   those stay that another text's suffix with the same beginning stands beside.  Runs that reach
+   the edge of a partition are settled by one row for each edge.
 3. Extension: each suffix that stayed is extended left word by word, and right by as much, to all
-   passages of `least` words around it.  Those that occur twice or more are joined to maximal
-   spans.
+   passages of `least` words around it; these are sorted and compared with their neighbours too.
+   Those that two texts hold are joined to maximal spans.
+
+Words are compared by 64-bit hashes of sequences; n different passages collide with probability
+n^2 / 2^65.
 
 Copies of a whole text count as one text and are one span from end to end.
 
@@ -128,29 +132,98 @@ def passages(texts: DataFrame, least: int) -> DataFrame:
 
 def joined_spans(starts: Column, least: int) -> Column:
     """Sorted starts of passages as maximal spans of words (end exclusive)."""
-    kind = "array<struct<start: int, end: int>>"
-    return F.aggregate(
-        starts,
-        F.array().cast(kind),
-        lambda spans, s: F.when(
-            (F.size(spans) > 0) & (s <= F.element_at(spans, -1)["end"]),
-            F.concat(
-                F.slice(spans, 1, F.size(spans) - 1),
-                F.array(F.struct(F.element_at(spans, -1)["start"].alias("start"), (s + least).alias("end"))),
-            ),
-        ).otherwise(F.concat(spans, F.array(F.struct(s.alias("start"), (s + least).alias("end"))))),
-    )
+    begins = F.filter(starts, lambda s, i: F.coalesce(s - F.get(starts, i - 1) > least, F.lit(True)))
+    ends = F.filter(starts, lambda s, i: F.coalesce(F.get(starts, i + 1) - s > least, F.lit(True)))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), (b + least).alias("end")))
+
+
+def unpacked(packed: DataFrame, values: str, places: str) -> DataFrame:
+    """key, text_key and place of each value of each text."""
+    pairs = F.arrays_zip(F.col(values).alias("key"), F.col(places).alias("place"))
+    return packed.select("text_key", F.inline(pairs)).select("key", "text_key", "place")
+
+
+#: what is known of a sorted row: two texts hold its key; this partition can't tell; only a mark that two texts do
+SHARED, EDGE, MARK = 0, 1, 2
 
 
-def unpacked(packed: DataFrame, values: str, value: str, places: str, place: str) -> DataFrame:
-    pairs = F.arrays_zip(F.col(values).alias(value), F.col(places).alias(place))
-    return packed.select("text_key", F.xxhash64("text_key").alias("text_no"), F.inline(pairs))
+class Run:
+    """Rows of one key at the end of what has been read of a sorted partition."""
 
+    def __init__(self, key: int, text: np.ndarray, first: bool):
+        self.key, self.text, self.first, self.shared, self.held = key, text, first, False, []
 
-def in_two_texts(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that stand in two different texts or more."""
-    ends = rows.groupBy(key).agg(F.min("text_no").alias("low"), F.max("text_no").alias("high"))
-    return stored(ends.filter("low <> high").select(key))
+    def told(self, last: bool) -> Iterator[tuple[pa.RecordBatch, int]]:
+        """What is left to tell once the run has ended: a run at either edge may go on in the next partition."""
+        if (self.first or last) and self.shared:
+            yield self.mark, MARK
+        elif self.first or last:
+            yield from ((rows, EDGE) for rows in self.held)
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by (key, text_key, place) the rows whose key stands beside itself in another text.
+
+    Rows of one key follow one another, so a key is shared if a text in its run differs from the run's first.
+    """
+    run: Run | None = None
+
+    def flagged(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        kinds = pa.array(np.full(rows.num_rows, kind, np.int32))
+        return pa.RecordBatch.from_arrays([*rows.columns, kinds], ["key", "text_key", "place", "kind"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0).to_numpy()
+        texts = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, 2)
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        count = np.diff(np.append(start, len(keys)))
+        goes_on = run is not None and run.key == keys[0]
+        if run is not None and not goes_on:
+            yield from (flagged(*x) for x in run.told(False))
+        lead = texts[start]
+        if goes_on:
+            lead[0] = run.text
+        shared = np.logical_or.reduceat((texts != np.repeat(lead, count, axis=0)).any(axis=1), start)
+        if goes_on and run.shared:
+            shared[0] = True
+        if goes_on and shared[0] and not run.shared:  # what was held back is told now
+            yield from (flagged(rows, SHARED) for rows in run.held)
+            run.held, run.shared, run.mark = [], True, b.slice(0, 1)
+        known = np.flatnonzero(np.repeat(shared, count))
+        if len(known):
+            yield flagged(b.take(pa.array(known)), SHARED)
+        for i in sorted({0, len(start) - 1}):  # the first run may end one and the last begin one
+            rows = b.slice(int(start[i]), int(count[i]))
+            if i or not goes_on:
+                began = Run(int(keys[start[i]]), lead[i].copy(), run is None and i == 0)
+                if shared[i]:
+                    began.shared, began.mark = True, rows.slice(0, 1)
+                else:
+                    began.held.append(rows)
+                if i:  # the first run of this batch has ended
+                    yield from (flagged(*x) for x in run.told(False))
+                run = began
+            elif not shared[0]:
+                run.held.append(rows)
+    if run is not None:
+        yield from (flagged(*x) for x in run.told(True))
+
+
+def in_two_texts(rows: DataFrame) -> DataFrame:
+    """The rows (key, text_key, place) whose key two different texts hold.
+
+    Rows are sorted over all partitions, ties by text and place, so that a key of very many rows is cut like any
+    other; each partition compares neighbours, and runs at its edges, one row or a text's own, are settled by key.
+    """
+    ordered = rows.repartitionByRange("key", "text_key", "place").sortWithinPartitions("key", "text_key", "place")
+    told = stored(ordered.mapInArrow(neighbours, "key long, text_key binary, place int, kind int"))
+    edges = told.filter(F.col("kind") != SHARED)
+    ends = edges.groupBy("key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.max("kind").alias("kind"))
+    more = ends.filter((F.col("low") != F.col("high")) | (F.col("kind") == MARK)).select("key")
+    settled = told.filter(F.col("kind") == EDGE).join(more, "key", "left_semi")
+    return told.filter(F.col("kind") == SHARED).unionByName(settled).drop("kind")
 
 
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -162,15 +235,12 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
         raise ValueError(f"passages must have {SPAN + GRAM} words or more")
     rows = docs.select(text_key().alias("text_key"), "text")
     packed = stored(suffixes(rows, least))
-    found = unpacked(packed, "keys", "key", "places", "place")
-    kept = found.join(in_two_texts(found, "key"), "key", "left_semi")
+    kept = in_two_texts(unpacked(packed, "keys", "places"))
     places = stored(kept.groupBy("text_key").agg(F.collect_set("place").alias("places")))
     # one plan at every size: texts are dealt by key once, never broadcast against
     marked = rows.hint("merge").join(places, "text_key").select("text_key", "text", "places")
-    candidates = stored(passages(marked, least))
-    around = unpacked(candidates, "hashes", "hash", "starts", "start")
-    again = around.join(in_two_texts(around, "hash"), "hash", "left_semi")
-    starts = again.groupBy("text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    again = in_two_texts(unpacked(stored(passages(marked, least)), "hashes", "starts"))
+    starts = again.groupBy("text_key").agg(F.sort_array(F.collect_set("place")).alias("starts"))
     spans = starts.select("text_key", joined_spans(F.col("starts"), least).alias("spans"))
     # a text that whole documents share is one span from end to end
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))

@@ -179,3 +179,27 @@ def test_proximity(docs):
             w = t.split()
             want += [(i, p, q) for p in range(len(w)) for q in range(p + 1, len(w)) if q - p <= within and sorted((w[p], w[q])) == sorted((first, second))]
         assert sorted(map(tuple, decontam.proximity(docs(many), first, second, within).collect())) == sorted(want)
+
+
+def test_sorted_neighbours(spark):
+    """Keys that two texts hold, over many partitions and small batches, with a key that most rows have."""
+    rng = random.Random(14)
+    texts = [hashlib.md5(str(i).encode()).digest() for i in range(30)]
+    rows = [(rng.choice([7, 7, rng.randrange(60)]), bytearray(rng.choice(texts[:5])), i) for i in range(400)]
+    rows += [(1000 + i, bytearray(texts[i % 3]), j) for i in range(40) for j in range(12)]  # one text's own
+    held = {}
+    for k, t, _ in rows:
+        held.setdefault(k, set()).add(bytes(t))
+    want = sorted((k, bytes(t), p) for k, t, p in rows if len(held[k]) > 1)
+    frame = spark.createDataFrame(rows, "key long, text_key binary, place int")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for partitions, batch in ((1, 10_000), (13, 10_000), (13, 7), (40, 1)):
+            for c, v in zip(before, (partitions, batch, "false"), strict=True):
+                spark.conf.set(c, str(v))
+            got = sorted((r.key, bytes(r.text_key), r.place) for r in repeats.in_two_texts(frame).collect())
+            assert got == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert repeats.in_two_texts(frame.limit(0)).count() == 0

@@ -8,6 +8,7 @@ chunk without a Python loop over words.
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -126,21 +127,38 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
-#: tables that `stored` has written in this process and that `forget` deletes
-_WRITTEN: list[str] = []
+#: paths of the tables that `stored` has written in this process
+_WRITTEN: dict[str, None] = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    _WRITTEN.pop(name, None)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of `stored` that nothing will read again."""
+    if table in _PATHS:
+        _delete(table.sparkSession, _PATHS.pop(table))
 
 
 def forget(spark: SparkSession) -> None:
     """Deletes all tables that `stored` has written; for callers who have read their results to the end."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for name in list(_WRITTEN):
+        _delete(spark, name)
+
 
+def tuned(spark: SparkSession, rows: int = 2000) -> None:
+    """Session settings for large texts.
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Smaller Arrow batches for texts: a worker holds a batch several times over, as Arrow, as strings and as words."""
+    Smaller Arrow batches, since a worker holds a batch several times over, as Arrow, as strings and as words; and
+    shuffle files go when their query has ended, since what a later step needs is written down by `stored`.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -151,8 +169,10 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = None
+    _PATHS[table] = path
+    return table
 
 
 def shuffle_width(spark: SparkSession) -> int:

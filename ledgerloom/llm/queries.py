@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, lm, neardup, repeats, secrets, topk, toxicity, urlrules
-from .arrays import bounded_batches
+from .arrays import tuned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -137,9 +137,11 @@ def test_word_restaurants_add_up(docs, spark):
     cells = lm.reseated(first, told.filter("part >= 0"), model, history, lm.BURN_IN, discount)
     n, t = collections.Counter(), collections.Counter()
     for r in cells.collect():
-        of_cell = np.zeros(len(np.frombuffer(r.fans, np.int32)), np.int64)
-        cell = np.repeat(np.arange(len(of_cell)), np.frombuffer(r.fans, np.int32))
-        for i, c, k, s in zip(cell, *(np.frombuffer(x, d) for x, d in ((r.contexts, np.uint64), (r.tokens, np.int64), (r.tables, np.int32))), strict=True):
+        fans = np.frombuffer(r.fans, np.int32)
+        of_cell = np.zeros(len(fans), np.int64)
+        cell = np.repeat(np.arange(len(of_cell)), fans)
+        contexts = lm.uncut(r.contexts, np.frombuffer(r.cells, np.uint64), fans)
+        for i, c, k, s in zip(cell, contexts, *(np.frombuffer(x, d) for x, d in ((r.tokens, np.int64), (r.tables, np.int32))), strict=True):
             assert 1 <= s <= k
             n[int(c)] += int(k)
             t[int(c)] += int(s)

@@ -2,6 +2,10 @@
 
 Each stage takes all that the one before kept.  Stages that filter return the columns of
 documents; the last one returns token counts and digests.
+
+Defined results, as of the operators: null and empty texts stay and have no tokens; null ids are documents of their
+own; columns beyond those of documents, whatever their names, pass through all stages but the last; empty tables give
+empty results, and without labels or benchmark items nothing is rejected for them; texts of any length are read whole.
 """
 
 from __future__ import annotations

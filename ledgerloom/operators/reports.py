@@ -88,12 +88,16 @@ def opening_balances(transactions: DataFrame, first: str) -> DataFrame:
 
 def cash_book(transactions: DataFrame, first: str, last: str) -> DataFrame:
     """Running balance of each bank account by (time, id), from its opening balance on."""
-    rows = live(transactions).filter(day_bounds(F.col("moment"), first, last))
-    running = W.partitionBy("bank_id").orderBy("moment", "tx_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = live(transactions).filter(day_bounds(F.col("moment"), first, last)).withColumn("_day", F.to_date("moment"))
+    # sums of the days before, and a window within the day: no task orders more than an account's day
+    earlier = W.partitionBy("bank_id").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    days = rows.groupBy("bank_id", "_day").agg(total(signed()).alias("_sum"))
+    days = days.select("bank_id", "_day", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).cast(TOTAL).alias("_before"))
+    running = W.partitionBy("bank_id", "_day").orderBy("moment", "tx_id").rowsBetween(W.unboundedPreceding, 0)
     opening = F.coalesce("opening", F.lit(0).cast(TOTAL))
-    return rows.join(opening_balances(transactions, first), "bank_id", "left").select(
-        "bank_id", "tx_id", "moment", "dc", "amount", (opening + F.sum(signed()).over(running)).cast(TOTAL).alias("balance")
-    )
+    found = rows.join(days, ["bank_id", "_day"]).join(opening_balances(transactions, first), "bank_id", "left")
+    balance = opening + F.col("_before") + F.sum(signed()).over(running)
+    return found.select("bank_id", "tx_id", "moment", "dc", "amount", balance.cast(TOTAL).alias("balance"))
 
 
 def cash_totals(transactions: DataFrame, first: str, last: str) -> DataFrame:

@@ -14,10 +14,11 @@ UNCLOSED = r"(?is)<STMTTRN>(.*?)(?=<STMTTRN>|</BANKTRANLIST>|$)"
 
 
 def read(spark: SparkSession, path: str, longest: int = 25 << 20) -> DataFrame:
-    """file and content of each file up to a size; UTF-8, or else Latin-1."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= longest)
+    """file, content and error of each file; UTF-8, or else Latin-1; one over a size has only an error."""
+    files = spark.read.format("binaryFile").load(path)
+    fits = F.col("length") <= longest
     content = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.select(F.col("path").alias("file"), content.alias("content"))
+    return files.select(F.col("path").alias("file"), F.when(fits, content).alias("content"), F.when(~fits, "too large").alias("error"))
 
 
 def tag(name: str) -> Column:

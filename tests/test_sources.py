@@ -39,6 +39,7 @@ def test_ofx_encodings(spark, tmp_path):
     for name, code in (("u.ofx", "utf-8"), ("l.ofx", "latin-1")):
         (tmp_path / name).write_bytes((HEAD + block(DTPOSTED="20240131", TRNAMT="1", FITID="x", MEMO="ação")).encode(code))
     assert {r.history for r in ofx.transactions(ofx.read(spark, str(tmp_path))).collect()} == {"ação"}
+    assert {(r.content, r.error) for r in ofx.read(spark, str(tmp_path), longest=10).collect()} == {(None, "too large")}
 
 
 def test_statement(spark):

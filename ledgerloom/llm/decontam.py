@@ -170,8 +170,11 @@ def report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents in which no window of any item occurs."""
-    found = stored(occurrences(keyed(docs), items, size).select(F.col("doc_key").alias("__found")).distinct())
-    return docs.join(found, doc_key() == F.col("__found"), "left_anti")
+    name = "__found"
+    while name in map(str.lower, docs.columns):  # a name that the documents lack
+        name += "_"
+    found = stored(occurrences(keyed(docs), items, size).select(F.col("doc_key").alias(name)).distinct())
+    return docs.join(found, doc_key() == F.col(name), "left_anti")
 
 
 def proximity(docs: DataFrame, first: str, second: str, within: int) -> DataFrame:

@@ -35,15 +35,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KEY_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 WINDOW = 20
-#: bits a character that the best window of a run must reach, by the run's class; None: never a secret
-THRESHOLDS = {"digits": None, "letters": None, "hex": 3.0, "mixed": 3.7}
+#: bits a character that the best window of a run must reach, by the run's class; None: never a secret, as
+#: digits alone are numbers of things.  `letters` are of one case but for capitals that begin words, `cased` of two.
+THRESHOLDS = {"digits": None, "letters": 4.05, "cased": 3.9, "hex": 3.0, "mixed": 3.7}
+#: names out of words of fewer letters than this aren't secrets, whatever their entropy
+WORD = 12
 #: runs that are never secrets by themselves: fixed values
 ALLOWED = [
     re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(rb"(?i).*(example|placeholder|changeme|xxxx|your[_-]?(key|token)).*"),
-    re.compile(rb"[A-Za-z]+([/_+-][A-Za-z]+)*[/_-]?[0-9]{0,4}"),
     re.compile(rb"[0-9]+([/_+-][0-9]+)*"),
 ]
+#: letters, perhaps in several words, with a few digits at the end: held to the thresholds of letters
+WORDS = re.compile(rb"[A-Za-z]+([/_+-][A-Za-z]+)*[/_-]?[0-9]{0,4}")
 
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
@@ -61,10 +65,16 @@ def runs(data: np.ndarray, members: np.ndarray, least: int) -> list[tuple[int, i
     return list(zip(start[long].tolist(), end[long].tolist(), strict=True))
 
 
+def letters_of(run: bytes) -> str:
+    """Whether capitals stand within words, not only where one begins."""
+    inner = sum(65 <= b <= 90 and 97 <= a <= 122 for a, b in zip(run, run[1:], strict=False))
+    return "cased" if inner >= 3 else "letters"
+
+
 def class_of(run: bytes) -> str:
     digits = sum(48 <= c <= 57 for c in run)
     if digits == 0:
-        return "letters"
+        return letters_of(run)
     if digits == sum(c not in b"+/_-" for c in run):
         return "digits"
     return "hex" if all(c in b"0123456789abcdefABCDEF" for c in run) else "mixed"
@@ -91,7 +101,12 @@ def best_entropy(run: bytes, window: int = WINDOW) -> float:
 
 
 def is_secret_run(run: bytes) -> bool:
-    least = THRESHOLDS[class_of(run)]
+    kind = class_of(run)
+    if WORDS.fullmatch(run):
+        if max(map(len, re.split(rb"[^A-Za-z]+", run))) < WORD:
+            return False
+        kind = letters_of(run)
+    least = THRESHOLDS[kind]
     return least is not None and best_entropy(run) >= least and not any(p.fullmatch(run) for p in ALLOWED)
 
 

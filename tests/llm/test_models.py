@@ -218,3 +218,29 @@ def test_pipeline(spark, tmp_path):
     run = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert run == {i: r.ids_sha256 for i, r in seen["byte_bpe"].items()}
     assert neardup and secrets
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, and empty tables."""
+    plain = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, None), (None, plain + " x"), (2, ""), (3, plain), (3, plain), (4, plain), (5, "w " * 60_000), (6, "api_key=abcdefgh12")]
+    extra = {"score": 1.0, "spans": "s", "__found": 1, "component_id": 2, "kept": None, "ids": "i", "label": 3, "held_out": None}
+    names = ["doc_id", "text", "lang", "source", "n_chars", *extra]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, __found int, component_id long, kept boolean, ids string, label int, held_out boolean"
+    full = [(i, t, None, None, None, *extra.values()) for i, t in rows]
+    empty = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for k, kept in enumerate((full, [])):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame(kept, kinds).write.parquet(f"{folder}/documents.parquet")
+        for name, schema in empty.items():
+            spark.createDataFrame([(None, None, None)[: len(schema.split(","))]] if k == 0 else [], schema).write.parquet(f"{folder}/{name}.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for j, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            if name != "byte_bpe":
+                assert out.columns == names
+            out.write.parquet(f"{folder}/{j}")
+            docs = spark.read.parquet(f"{folder}/{j}")
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+        # a repeated row is one document, and of equal texts the smallest id stays
+        assert {i for none, i in ids if not none} == ({1, 2, 3, 5, 6} if k == 0 else set())

@@ -82,6 +82,39 @@ def test_entropy_by_steps_equals_entropy_of_windows():
         assert abs(secrets.best_entropy(run) - whole) < 1e-9
 
 
+def test_entropy_spans_by_an_independent_scan(docs):
+    """Each maximal run is judged by the entropy of all its windows, apart from the operator's code."""
+
+    def bits(w):
+        return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+
+    rng = random.Random(21)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [letters, letters + letters.upper(), letters + letters.upper() + digits, digits, letters + digits + "-_/+", "abc" + digits]
+    texts = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(15, 60))) + rng.choice(["", " é ", "."]) + "some_kebab-case_name-of-words" for _ in range(300)]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(texts)).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        base = [s for s in got[i] if s.kind != "entropy"]
+        mine = {(s.start, s.end) for s in got[i] if s.kind == "entropy"}
+        for m in re.finditer(r"[0-9A-Za-z+/_-]{20,}", t):
+            run = m[0]
+            inner = len(re.findall("(?<=[a-z])[A-Z]", run))
+            words = re.fullmatch(r"[A-Za-z]+([/_+-][A-Za-z]+)*[/_-]?\d{0,4}", run)
+            if re.fullmatch(r"[\d+/_-]+", run):
+                least = 99
+            elif words or not re.search(r"\d", run):
+                least = 99 if words and max(map(len, re.findall("[A-Za-z]+", run))) < 12 else 3.9 if inner >= 3 else 4.05
+            else:
+                least = 3.0 if re.fullmatch("[0-9a-fA-F]+", run) else 3.7
+            best = max(bits(run[k : k + 20]) for k in range(len(run) - 19))
+            clear = not any(s.start < m.end() and m.start() < s.end for s in base)
+            if abs(best - least) > 1e-9:
+                assert (m.span() in mine) == (best > least and clear), run
+                found += best > least and clear
+    assert found > 50
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return queries.tokenizer()

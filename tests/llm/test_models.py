@@ -244,3 +244,19 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         ids = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
         # a repeated row is one document, and of equal texts the smallest id stays
         assert {i for none, i in ids if not none} == ({1, 2, 3, 5, 6} if k == 0 else set())
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    rows = [(i, f"word{i % 7} the sch ung w{i % 3}", "de" if i % 2 else "en") for i in range(60)]
+    frame = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    for got in (langid.report(frame).collect(), lm.report(frame).collect(), toxicity.report(frame, labels).collect()):
+        assert len(got) == 80 and len({tuple(r) for r in got}) == 60
+
+
+def test_tied_votes_go_to_the_better_margins():
+    """Three machines that each beat another: the class with the larger sum of margins wins, always the same one."""
+    one = np.ones(1, np.float32)
+    machines = [(0, 1, 2 * one, 0.0), (1, 2, one, 0.0), (0, 2, -one, 0.0)]
+    best, sure = langid.vote((["a", "b", "c"], machines), np.ones((2, 1), np.float32))
+    assert best.tolist() == [0, 0] and (sure >= 0).all()

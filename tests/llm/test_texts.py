@@ -183,3 +183,18 @@ def test_top_k_prunes_where_vectors_form_clusters(spark):
     score[np.arange(len(asked)), asked] = -np.inf
     want = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :10]
     assert (got[1].reshape(-1, 10) == want).all() and got[3] < 0.4 * score.size
+
+
+def test_repeated_rows_and_clashing_columns(docs, ranks):
+    rows = [(1, "password = hunter22 é"), (1, "password = hunter22 é"), (2, None)]
+    frame = docs(rows, "spans string, ids string, kind string, n_tokens long, start long, end long")
+    for got in (secrets.report(frame).collect(), bpe.digests(frame, *ranks).collect()):
+        assert sorted(r.doc_id for r in got) == [1, 1, 2] and len({tuple(r) for r in got}) == 2
+    assert sorted(r.text or "" for r in secrets.redact(frame).collect()) == ["", *["password = [secret] é"] * 2]
+
+
+def test_very_long_urls(spark):
+    host, path = "a." * 10_000 + "example.com", "/en/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, f"http://{host}{path}?q#f"), (2, "x" * 100_000), (1, f"http://{host}{path}?q#f")], "page_id long, url string")
+    got = sorted(map(tuple, urlrules.judge(pages, urlrules.rules_frame(spark, urlrules.RULES)).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert got == [(1, host, path, "example.com/en/", "block")] * 2 + [(2, "", "", None, "allow")]

@@ -139,17 +139,27 @@ def state(suppliers: DataFrame, entries: DataFrame, order: list[str]) -> DataFra
 
 
 def conference(transactions: DataFrame, invoices: DataFrame, receipts: DataFrame) -> DataFrame:
-    """The k-th invoice beside the k-th receipt of each transaction, one row at least; its own columns on the first."""
+    """The k-th live invoice beside the k-th live receipt of each transaction, one row at least.
 
-    def numbered(df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn("k", F.row_number().over(W.partitionBy("tx_id").orderBy(key)))
+    The transaction's own columns, and whether it has both kinds, one or none, stand on its first row only.
+    """
 
-    zipped = numbered(invoices, "invoice_id").join(numbered(receipts, "receipt_id"), ["tx_id", "k"], "full")
-    rows = transactions.select("tx_id", "history", "amount").join(zipped, "tx_id", "left").withColumn("row_no", F.coalesce("k", F.lit(1)))
-    first = F.col("row_no") == 1
-    return rows.select(
-        "tx_id", "row_no", F.when(first, F.col("history")).alias("history"), F.when(first, F.col("amount")).alias("amount"), "invoice_id", "receipt_id"
-    )
+    def numbered(df: DataFrame, key: str, *columns) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("tx_id").orderBy(key))
+        return live(df).filter("tx_id IS NOT NULL").select("tx_id", place.alias("k"), *columns)
+
+    a = numbered(invoices, "invoice_id", F.col("number").alias("invoice"), F.col("kind").alias("invoice_kind"), F.col("amount").alias("invoice_amount"), F.lit(True).alias("_i"))
+    b = numbered(receipts, "receipt_id", "payee", F.col("paid").alias("paid"), F.lit(True).alias("_r"))
+    zipped = a.join(b, ["tx_id", "k"], "full")
+    rows = transactions.select("tx_id", "moment", "history", "dc", "amount", "status").join(zipped, "tx_id", "left")
+    rows = rows.withColumn("row_no", F.coalesce("k", F.lit(1)))
+    first = F.col("row_no") == 1  # both kinds begin there, so it tells what the transaction has
+    both = F.col("_i").cast("int"), F.col("_r").cast("int")
+    n = sum(F.coalesce(x, F.lit(0)) for x in both)
+    state = F.when(n == 2, "Conciliado").when(n == 1, "Parcial").otherwise("Pendente")
+    on_first = {"day": iso_day(F.col("moment")), "history": F.col("history"), "dc": F.col("dc"), "amount": F.col("amount"), "status": F.col("status"), "state": state}
+    own = [F.when(first, c).alias(name) for name, c in on_first.items()]
+    return rows.select("tx_id", "row_no", *own, "invoice", "invoice_kind", "invoice_amount", "payee", "paid")
 
 
 def unseen(batch: DataFrame, there: DataFrame, key: str) -> DataFrame:

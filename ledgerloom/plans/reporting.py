@@ -410,24 +410,27 @@ def _(t: Ledger) -> DataFrame:
     return exports.state(t.suppliers, t.entries, ["moment", "invoice", "line", "part", "quantity", "credit", "debit"])
 
 
-CONFERENCE = """i AS (SELECT tx_id, invoice_id, row_number() OVER (PARTITION BY tx_id ORDER BY invoice_id) AS k
-    FROM (SELECT invoice_id - invoice_id % 12 AS tx_id, invoice_id FROM invoices)),
-r AS (SELECT tx_id, receipt_id, row_number() OVER (PARTITION BY tx_id ORDER BY receipt_id) AS k
-    FROM (SELECT receipt_id - receipt_id % 12 AS tx_id, receipt_id FROM receipts)),
-z AS (SELECT coalesce(i.tx_id, r.tx_id) AS tx_id, coalesce(i.k, r.k) AS k, invoice_id, receipt_id FROM i FULL JOIN r ON i.tx_id = r.tx_id AND i.k = r.k)"""
+CONFERENCE = """i AS (SELECT invoice_id - invoice_id % 12 AS tx_id, number, kind, amount, row_number() OVER (PARTITION BY invoice_id - invoice_id % 12 ORDER BY invoice_id) AS k
+    FROM invoices WHERE NOT deleted AND status <> 'cancelada'),
+r AS (SELECT receipt_id - receipt_id % 12 AS tx_id, payee, paid, row_number() OVER (PARTITION BY receipt_id - receipt_id % 12 ORDER BY receipt_id) AS k FROM receipts WHERE NOT deleted AND tx_id IS NULL),
+z AS (SELECT coalesce(i.tx_id, r.tx_id) AS tx_id, coalesce(i.k, r.k) AS k, number, kind, amount, payee, paid, i.k IS NOT NULL AS has_i, r.k IS NOT NULL AS has_r FROM i FULL JOIN r ON i.tx_id = r.tx_id AND i.k = r.k)"""
 
 
 @query(
     "jn09_conference",
-    f"""WITH {CONFERENCE} SELECT t.tx_id, CAST(coalesce(k, 1) AS INTEGER) AS row_no, CASE WHEN coalesce(k, 1) = 1 THEN history END AS history,
-    CASE WHEN coalesce(k, 1) = 1 THEN amount END AS amount, invoice_id, receipt_id FROM transactions t LEFT JOIN z ON t.tx_id = z.tx_id""",
+    f"""WITH {CONFERENCE} SELECT t.tx_id, CAST(coalesce(k, 1) AS INTEGER) AS row_no, {", ".join(f"CASE WHEN coalesce(k, 1) = 1 THEN {c} END AS {n}" for n, c in
+        {"day": "strftime(moment, '%Y-%m-%d')", "history": "history", "dc": "dc", "amount": "t.amount", "status": "t.status",
+         "state": "CASE WHEN has_i AND has_r THEN 'Conciliado' WHEN has_i OR has_r THEN 'Parcial' ELSE 'Pendente' END"}.items())},
+    z.number AS invoice, z.kind AS invoice_kind, z.amount AS invoice_amount, payee, paid FROM transactions t LEFT JOIN z ON t.tx_id = z.tx_id""",
 )
 def _(t: Ledger) -> DataFrame:
+    """Twelve neighbours' documents belong to one transaction, so that some have many and most none."""
+
     def at(c: str) -> DataFrame:
-        return (F.col(c) - F.col(c) % 12).alias("tx_id")
+        return F.col(c) - F.col(c) % 12
 
-    left = t.invoices.select(at("invoice_id"), "invoice_id")
-    right = t.receipts.select(at("receipt_id"), "receipt_id")
+    left = t.invoices.filter("status <> 'cancelada'").withColumn("tx_id", at("invoice_id"))
+    right = t.receipts.filter("tx_id IS NULL").withColumn("tx_id", at("receipt_id"))
     return exports.conference(t.transactions, left, right)
 
 

@@ -44,8 +44,6 @@ BINS = 128
 BAND_ROWS = 4
 #: members of a bucket up to which those outside its largest component meet all others
 SMALL = 16
-#: pairs of one node that meet one copy of its set, about
-SPREAD = 500
 #: first keys of a node that its rows carry, so that a pair is known to meet at its first common one
 HEAD = 32
 
@@ -213,21 +211,14 @@ def fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return stored(sets.dropDuplicates(["node", "set_key"]).drop("set_key"))
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    """Pairs with the set of one side; a node of many pairs has its set in several copies, each for a part of them."""
-    copies = stored(pairs.groupBy(key).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("copies")).filter("copies > 1"))
-    one = F.coalesce("copies", F.lit(1))
-    dealt = pairs.join(copies, key, "left").withColumn("copy", F.pmod(F.xxhash64(other), one).cast("int")).drop("copies")
-    own = sets.select(F.col("node").alias(key), F.col("shingles").alias(name)).join(copies, key, "left")
-    own = own.select(key, name, F.explode(F.sequence(F.lit(0), one - 1)).alias("copy"))
-    return dealt.join(own, [key, "copy"]).drop("copy")
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The rows with pairs (a, b) whose full sets are similar enough."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     percent = round(threshold * 100)
     return (
-        with_sets(with_sets(pairs, sets, "a", "b", "x"), sets, "b", "a", "y")
+        pairs.join(left, "a")
+        .join(right, "b")
         .select(*pairs.columns, F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
         .filter(f"100 * both >= {percent} * (nx + ny - both)")
         .select(*pairs.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import taxid
 from ..functions.numbers import sheet_cell
 from ..functions.text import invoice_number, stripped
+from ..scratch import stored
 
 # Labels of the columns, in the order in which they count.
 LABELS = {
@@ -57,7 +58,7 @@ def side(balance: Column) -> Column:
 
 def rows_of(cells: DataFrame) -> DataFrame:
     """One row for each row of each sheet with its named cells, its first cell, and the number of its block (0 before the first)."""
-    good = cells.filter("error IS NULL")
+    good = stored(cells.filter("error IS NULL"))  # workbooks are opened once, whatever is asked of their cells
     named = good.join(columns(good), ["file", "col"], "left")
     values = [F.max(F.when(F.col("name") == n, F.struct("text", "kind"))).alias(n) for n in LABELS]
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "s", F.struct("col", "text")))), lambda x: x["text"]), " ")
@@ -69,7 +70,7 @@ def rows_of(cells: DataFrame) -> DataFrame:
     starts = F.coalesce(stripped(F.col("c1.text")).startswith("Conta:"), F.lit(False))
     rows = rows.withColumn("starts", starts)
     order = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("block", F.sum(F.col("starts").cast("int")).over(order))
+    return stored(rows.withColumn("block", F.sum(F.col("starts").cast("int")).over(order)))
 
 
 def value(name: str) -> Column:

@@ -18,6 +18,7 @@ from ..functions import hashing
 from ..functions.dates import card_date
 from ..functions.numbers import card_amount
 from ..functions.text import plain_case, stripped
+from ..scratch import stored
 
 # Names that a column may have, in the order in which they count.
 CARD_COLUMNS = {
@@ -208,6 +209,7 @@ def chart_sheets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The first row names the columns; rows without code and label are left out.
     """
+    found = stored(found)
     good = found.filter("error IS NULL")
     head = good.filter("row = 1").select("file", "col", F.lower(stripped(F.col("text"))).alias("_name"))
     width = head.groupBy("file").agg(F.max("col").alias("_width"))

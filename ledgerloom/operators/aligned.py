@@ -184,7 +184,7 @@ def by_position(read: DataFrame, lines: DataFrame) -> DataFrame:
     changed = (d != F.coalesce("debit", F.lit(0))) | (c != F.coalesce("credit", F.lit(0)))
     kind = (
         F.when(changed & (F.col("kind") == "COMPRA") & (d > 0), "PAGAMENTO")
-        .when(changed & (F.col("kind") == "PAGAMENTO") & (d <= 0) & (c > 0), "COMPRA")
+        .when(changed & (F.col("kind") == "PAGAMENTO") & (c > 0), "COMPRA")
         .otherwise(F.col("kind"))
     )
     return found.withColumns({"debit": d, "credit": c, "kind": kind}).select(*read.columns)

@@ -26,9 +26,8 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def near_amounts(rows: DataFrame, amount: str) -> DataFrame:
-    """Rows at each amount within a cent of theirs, so that a band join is a join by equality."""
-    return rows.withColumn("cents", F.explode(F.array(*[cents(F.col(amount)) + d for d in (-1, 0, 1)])))
+#: documents of one cell that one task meets
+LANE = 1000
 
 
 def apart(a: str, b: str, days: int) -> Column:
@@ -36,15 +35,68 @@ def apart(a: str, b: str, days: int) -> Column:
     return F.abs(micros(F.col(a)) - micros(F.col(b))) <= days * DAY
 
 
+def gridded(rows: DataFrame, moment: str, days: int, around: bool) -> DataFrame:
+    """Rows in cells of cents and spans of `days`: their own cell, or also those next to it in both directions."""
+    rows = rows.withColumn("cell", F.floor(micros(F.col(moment)) / (days * DAY)))
+    if not around:
+        return rows
+    near = lambda c: F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)]))
+    return rows.withColumn("cents", near("cents")).withColumn("cell", near("cell"))
+
+
+def met(transactions: DataFrame, documents: DataFrame, keys: list[str], at: str, days: int) -> DataFrame:
+    """Transactions with each document within a cent and some days; both sides have `cents`.
+
+    Only documents in a transaction's own cell are met, so rows are few more than pairs however common an
+    amount is.  Cells with many documents are split into lanes, to each of which their transactions go.
+    """
+    cell = [*keys, "cents", "cell"]
+    asked, there = gridded(transactions, "moment", days, False), gridded(documents, at, days, True)
+    lanes = there.groupBy(*cell).agg(F.ceil(F.count("*") / LANE).cast("int").alias("lanes")).filter("lanes > 1")
+    many = F.coalesce("lanes", F.lit(1))
+    asked = asked.join(lanes, cell, "left").withColumn("lane", F.explode(F.sequence(F.lit(1), many))).drop("lanes")
+    there = there.join(lanes, cell, "left").withColumn("lane", F.pmod(F.xxhash64(*documents.columns), many).cast("int") + 1).drop("lanes")
+    return asked.join(there, [*cell, "lane"]).filter(apart("moment", at, days)).drop("cell", "lane")
+
+
+def only_ones(transactions: DataFrame, documents: DataFrame, keys: list[str], at: str, key: str, days: int) -> DataFrame:
+    """tx_id and the document of each transaction that has exactly one within a cent and some days.
+
+    No pairs are made: along the times of a cell, documents so far are counted and their numbers summed.  The
+    difference between the end and the beginning of a transaction's span is how many it has, and which one.
+    """
+    reach = days * DAY
+    cell = [*keys, "cents", "cell"]
+    asked = gridded(transactions.filter("moment IS NOT NULL"), "moment", days, False)
+    ends = F.array(F.struct((micros(F.col("moment")) - reach).alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")), F.struct((micros(F.col("moment")) + reach).alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("sign")))
+    asked = asked.select(*cell, "tx_id", F.inline(ends), F.lit(0).alias("n"), F.lit(0).cast("decimal(38,0)").alias("sum"))
+    # equal documents of one moment are one row
+    there = documents.groupBy(*keys, "cents", at).agg(F.count("*").alias("n"), F.sum(F.col(key).cast("decimal(38,0)")).alias("sum"))
+    there = gridded(there, at, days, True).select(*cell, micros(F.col(at)).alias("at"), F.lit(1).alias("turn"), "n", "sum")
+    upto = W.partitionBy(*cell).orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
+    rows = asked.unionByName(there, allowMissingColumns=True).withColumns({"n": F.sum("n").over(upto), "sum": F.sum("sum").over(upto)})
+    found = rows.filter("tx_id IS NOT NULL").groupBy("tx_id").agg(F.sum(F.col("n") * F.col("sign")).alias("n"), F.sum(F.col("sum") * F.col("sign")).alias(key))
+    return found.filter("n = 1").select("tx_id", F.col(key).cast(dict(documents.dtypes)[key]))
+
+
 def free_receipts(receipts: DataFrame) -> DataFrame:
     return receipts.filter("tx_id IS NULL AND NOT deleted").drop("tx_id", "deleted")
 
 
+def receipt_sides(transactions: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Debits and free receipts of a company, of whatever bank account, with their cents."""
+    free = free_receipts(receipts).drop("bank_id").withColumn("cents", cents(F.col("paid")))
+    return transactions.filter("dc = 'D'").withColumn("cents", cents(F.col("amount"))), free
+
+
 def receipt_candidates(transactions: DataFrame, receipts: DataFrame, days: int = 3) -> DataFrame:
-    """Free receipts of the company, of whatever bank account, within a cent and some days of a debit."""
-    free = near_amounts(free_receipts(receipts).drop("bank_id"), "paid")
-    debits = transactions.filter("dc = 'D'").withColumn("cents", cents(F.col("amount")))
-    return debits.join(free, ["company_id", "cents"]).filter(apart("moment", "paid_at", days))
+    """Free receipts of the company within a cent and some days of a debit."""
+    return met(*receipt_sides(transactions, receipts), ["company_id"], "paid_at", days)
+
+
+def only_receipts(transactions: DataFrame, receipts: DataFrame, days: int = 3) -> DataFrame:
+    """The receipt of each debit that has just one candidate."""
+    return only_ones(*receipt_sides(transactions, receipts), ["company_id"], "paid_at", "receipt_id", days)
 
 
 def directed(invoices: DataFrame, companies: DataFrame) -> DataFrame:
@@ -60,14 +112,9 @@ def directed(invoices: DataFrame, companies: DataFrame) -> DataFrame:
 
 def invoice_candidates(transactions: DataFrame, invoices: DataFrame, companies: DataFrame, days: int = 7) -> DataFrame:
     """Free invoices within a cent and some days of a transaction on their side."""
-    sides = near_amounts(directed(invoices, companies).withColumnRenamed("amount", "billed"), "billed")
+    sides = directed(invoices, companies).withColumnRenamed("amount", "billed").withColumn("cents", cents(F.col("billed")))
     rows = transactions.drop("status").withColumn("cents", cents(F.col("amount")))
-    return rows.join(sides, ["company_id", "dc", "cents"]).filter(apart("moment", "issued", days))
-
-
-def only_candidates(pairs: DataFrame, key: str) -> DataFrame:
-    """The candidate of each transaction that has just one."""
-    return pairs.groupBy("tx_id").agg(F.count("*").alias("n"), F.min(key).alias(key)).filter("n = 1").drop("n")
+    return met(rows, sides, ["company_id", "dc"], "issued", days)
 
 
 def islands(rows: DataFrame, group: list[str], along: str, gap: int, name: str, width: int) -> DataFrame:

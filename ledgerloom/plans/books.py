@@ -101,7 +101,7 @@ def _(t: Ledger) -> DataFrame:
 
 @query("as01_receipts_once", f"WITH c AS ({RECEIPT_PAIRS}) SELECT tx_id, min(receipt_id) AS receipt_id FROM c GROUP BY tx_id HAVING count(*) = 1")
 def _(t: Ledger) -> DataFrame:
-    return associate.only_candidates(associate.receipt_candidates(t.transactions, t.receipts), "receipt_id")
+    return associate.only_receipts(t.transactions, t.receipts)
 
 
 @query("as01_receipts_consumed", f"{RECEIPTS_TAKEN} SELECT * FROM taken")

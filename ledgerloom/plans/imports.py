@@ -17,13 +17,13 @@ from .registry import query
 
 #: entries of a supplier that stand in one made file
 FILED = 40
-NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY moment, invoice, line, part, quantity, credit, debit) - 1 AS k FROM entries WHERE credit + debit < 100000)"""
+NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY supplier_id ORDER BY moment, invoice, line, part, quantity, credit, debit) - 1 AS k FROM entries)"""
 
 
 def numbered(t: Ledger) -> DataFrame:
     """Entries of each supplier with their place and the made file that they stand in."""
     order = W.partitionBy("supplier_id").orderBy("moment", "invoice", "line", "part", "quantity", "credit", "debit")
-    return t.entries.filter("credit + debit < 100000").withColumn("k", F.row_number().over(order) - 1)
+    return t.entries.withColumn("k", F.row_number().over(order) - 1)
 
 
 def sheets(t: Ledger) -> DataFrame:

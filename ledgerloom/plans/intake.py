@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..domain import Ledger
 from ..functions import numbers
 from ..operators import ledger, repair
+from ..scratch import stored
 from ..sources import invoice_xml, ofx, statement, tables
 from ..streaming import feeds
 from .registry import query
@@ -194,10 +195,14 @@ def _(t: Ledger) -> DataFrame:
     return found.filter("error IS NULL").select("file", "name", invoice_xml.unsafe(F.col("content").cast("string")).alias("unsafe"))
 
 
-@query("f08_entries_read_twice", """WITH e AS (SELECT supplier_id, hash(moment, debit, credit, part, invoice, line, quantity) AS h, line, invoice, debit, credit FROM (SELECT DISTINCT * FROM entries))
-    SELECT supplier_id, count(*) * 2 AS kept, count(*) AS with_invoice, count(*) AS with_lot FROM e GROUP BY 1""")
+READ = """e AS (SELECT DISTINCT * FROM entries), k AS (SELECT *, CAST(CAST(moment AS DATE) - DATE '1970-01-01' AS BIGINT) * 100000
+    + row_number() OVER (PARTITION BY supplier_id, CAST(moment AS DATE) ORDER BY moment, debit, credit, part, invoice, line, quantity) AS key FROM e)"""
+
+
+@query("f08_entries_read_twice", f"""WITH {READ} SELECT supplier_id, key * 4 + i AS n, CASE WHEN i = 0 THEN '77' END AS invoice,
+    CASE WHEN i = 0 AND line % 2 = 0 THEN 'A' ELSE 'B' END || CAST(key AS VARCHAR) AS lot FROM k, (VALUES (0), (2)) v(i)""")
 def _(t: Ledger) -> DataFrame:
-    """Each entry is read three times: again on its day with an invoice and another lot, and on another day with that lot.
+    """Each entry is read four times: again on its day with an invoice and another lot, and on another day with that lot.
 
     The second goes and gives its invoice and, to an entry without, its lot.  The third stays, since the second's lot
     went with it; a fourth on the third's day, with an own lot, goes.
@@ -208,19 +213,34 @@ def _(t: Ledger) -> DataFrame:
     base = e.withColumn("key", F.unix_date(day).cast("long") * 100_000 + key)
     own = F.concat(F.lit("A"), F.col("key").cast("string"))
     other = F.concat(F.lit("B"), F.col("key").cast("string"))
+    none = F.lit(None).cast("string")
 
-    def read(i: int, at, lot, invoice) -> DataFrame:
-        balance = F.col("key").cast("decimal(20,0)").alias("balance")
-        return base.select("supplier_id", (F.col("key") * 4 + i).alias("n"), at.alias("day"), lot.alias("lot"), "debit", "credit", balance, invoice.alias("invoice"))
+    def read(i: int, at, lot, invoice):
+        return F.struct((F.col("key") * 4 + i).alias("n"), at.alias("day"), lot.alias("lot"), invoice.alias("invoice"))
 
-    none = F.lit(None).cast("string")
-    rows = read(0, day, F.when(F.col("line") % 2 == 0, own), none).union(read(1, day, other, F.lit("77"))).union(read(2, next_day, other, none)).union(read(3, next_day, F.concat(own, F.lit("x")), none))
-    kept = ledger.without_rereads(rows)
-    return kept.groupBy("supplier_id").agg(
-        F.count("*").alias("kept"),
-        F.count_if((F.col("invoice") == "77") & (F.col("n") % 4 == 0)).alias("with_invoice"),
-        F.count_if(F.col("lot").isNotNull() & (F.col("n") % 4 == 0)).alias("with_lot"),
-    )
+    reads = F.array(
+        read(0, day, F.when(F.col("line") % 2 == 0, own), none), read(1, day, other, F.lit("77")), read(2, next_day, other, none),
+        read(3, next_day, F.concat(own, F.lit("x")), none),
+    )
+    rows = base.select("supplier_id", "debit", "credit", F.col("key").cast("decimal(20,0)").alias("balance"), F.inline(reads))
+    return ledger.without_rereads(stored(rows)).select("supplier_id", "n", "invoice", "lot")
+
+
+@query("f08_chains", f"""WITH {READ} SELECT supplier_id, key AS n, CASE WHEN row_number() OVER w < count(*) OVER (PARTITION BY supplier_id) THEN 'NF' || CAST(lead(key) OVER w AS VARCHAR) END AS invoice
+    FROM k WINDOW w AS (PARTITION BY supplier_id ORDER BY key) QUALIFY row_number() OVER w % 2 = 1""")
+def _(t: Ledger) -> DataFrame:
+    """All entries of a supplier form one chain: each shares its lot with the one before and its day with the one after, or the other way round."""
+    e = t.entries.distinct()
+    key = F.row_number().over(ledger.W.partitionBy("supplier_id", F.to_date("moment")).orderBy("moment", "debit", "credit", "part", "invoice", "line", "quantity"))
+    base = e.select("supplier_id", (F.unix_date(F.to_date("moment")).cast("long") * 100_000 + key).alias("n"))
+    place = F.row_number().over(ledger.W.partitionBy("supplier_id").orderBy("n"))
+    rows = base.withColumn("k", place).select(
+        "supplier_id", "n", F.date_add(F.lit("2000-01-01").cast("date"), F.floor(F.col("k") / 2).cast("int")).alias("day"),
+        F.concat(F.lit("L"), F.floor((F.col("k") + 1) / 2).cast("string")).alias("lot"), F.lit(5).cast("decimal(15,2)").alias("debit"),
+        F.lit(0).cast("decimal(15,2)").alias("credit"), F.lit(1).cast("decimal(15,2)").alias("balance"),
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit("NF"), F.col("n").cast("string"))).alias("invoice"),
+    )
+    return ledger.without_rereads(stored(rows)).select("supplier_id", "n", "invoice")
 
 
 @query("wn09_supplier_blocks", """SELECT file, n, CAST(sum(start) OVER (PARTITION BY file ORDER BY n) AS BIGINT) AS block FROM (

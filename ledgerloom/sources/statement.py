@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import statement_date
 from ..functions.numbers import statement_amount
 from ..functions.text import any_word, stripped
+from ..operators.scans import with_last
 
 # Shapes of lines.
 LINE = r"^(.+?)\s+(-?\d{1,3}(?:\.\d{3})*(?:,\d{2})?)\s+(\d{1,3}(?:\.\d{3})*(?:,\d{2})?)\s*$"
@@ -24,10 +24,7 @@ DEBIT_WORDS, CREDIT_WORDS = ["DÉBIT", "DEBIT"], ["CRÉDIT", "CREDIT"]
 
 
 def transactions(lines: DataFrame, year: int) -> DataFrame:
-    """file, n, date, amount and history of each movement; `lines` has file, n and text.
-
-    Windows run over one file's lines, whose number a statement bounds.
-    """
+    """file, n, date, amount and history of each movement; `lines` has file, n and text."""
     rows = lines.withColumn("line", stripped(F.col("text"))).filter("line <> ''")
     rows = rows.filter(~F.col("line").rlike(SKIPPED)).filter(~(F.col("line").rlike(BALANCE) & ~F.col("line").rlike(r"-\d")))
     is_data = F.col("line").rlike(LINE)
@@ -35,17 +32,14 @@ def transactions(lines: DataFrame, year: int) -> DataFrame:
     own = F.when(prefix.rlike(DATE), statement_date(F.regexp_extract(prefix, DATE, 1), year))
     plain = stripped(F.regexp_replace("line", BARCODE, ""))
     text = F.when(~is_data & (plain != "") & ~plain.rlike(r"^\d+$"), plain)
-    upto = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({"is_data": is_data, "prefix": prefix, "own": own, "plain": text})
-    rows = rows.withColumn("date", F.last("own", ignorenulls=True).over(upto))
-    uses = F.col("is_data") & F.col("date").isNotNull()
-    rows = rows.withColumn("uses", uses.cast("int")).withColumn("part", F.coalesce(F.sum("uses").over(before), F.lit(0)))
-    within = W.partitionBy("file", "part").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("pending", F.last("plain", ignorenulls=True).over(within)).filter("uses = 1")
+    rows = with_last(rows, "file", "n", F.col("own"), "date")
+    rows = rows.withColumn("uses", F.col("is_data") & F.col("date").isNotNull())
+    # a movement takes the text that came last, unless another movement stands between
+    rows = with_last(rows, "file", "n", F.when(F.col("uses"), "").otherwise(F.col("plain")), "pending", own=False).filter("uses")
     rest = stripped(F.regexp_replace(stripped(F.regexp_replace("prefix", DATE, "")), BARCODE, ""))
     bare = stripped(F.regexp_replace(stripped(F.regexp_replace(rest, NUMBER_BEFORE, "")), NUMBER_AFTER, ""))
-    history = F.coalesce("pending", F.nullif(bare, F.lit("")), F.nullif(rest, F.lit("")), F.lit("SEM DESCRIÇÃO"))
+    history = F.coalesce(F.nullif(F.col("pending"), F.lit("")), F.nullif(bare, F.lit("")), F.nullif(rest, F.lit("")), F.lit("SEM DESCRIÇÃO"))
     amount = statement_amount(F.regexp_extract("line", LINE, 2))
     return rows.select("file", "n", "date", amount.alias("amount"), F.left(history, F.lit(200)).alias("history")).filter("amount <> 0")
 

@@ -223,6 +223,11 @@ def test_aligned_blocks(spark):
     unread = aligned_lines(spark, head, "05/01/2024 12   nothing here", "Total da conta:   0,00   0,00")
     assert not aligned.checked(unread, aligned.entries(unread)).first().proved
     assert aligned.checked(aligned_lines(spark, "no header", "Total da conta:   0,00   0,00"), aligned.entries(empty)).count() == 0
+    both = f"{entry('07/01/2024 14     X', 'Débito', '5,00', '1,00')}"
+    both = both[: at["Crédito"] - 4] + "4,00" + both[at["Crédito"] :]
+    sides = spark.createDataFrame([("f", 1, 0, datetime.date(2024, 1, 7), "14", Decimal(0), Decimal(4), k) for k in ("PAGAMENTO",)], "file string, block int, n int, day date, lot string, debit decimal(15,2), credit decimal(15,2), kind string")
+    line = aligned.by_position(sides, aligned_lines(spark, "Conta: 7", head, both)).first()
+    assert (float(line.debit), float(line.credit), line.kind) == (5.0, 4.0, "COMPRA")
     read = spark.createDataFrame([("f", 1, 0, datetime.date(2024, 1, 5), "12", Decimal(0), Decimal("217.75"), "COMPRA"), ("f", 1, 1, datetime.date(2024, 1, 9), "9", Decimal(1), Decimal(0), "X")], "file string, block int, n int, day date, lot string, debit decimal(15,2), credit decimal(15,2), kind string")
     assert {(r.n, float(r.debit), float(r.credit), r.kind) for r in aligned.by_position(read, rows).collect()} == {(0, 217.75, 0.0, "PAGAMENTO"), (1, 1.0, 0.0, "X")}
 

@@ -190,6 +190,8 @@ class Ledger:
             F.col("s_name").alias("name"),
             money(F.col("s_acctbal")).alias("opening"),
             F.when(F.col("s_suppkey") % 3 == 0, "D").otherwise("C").alias("opening_side"),
+            F.concat(F.lit("2.1.3."), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("account"),
+            F.lpad((F.col("s_suppkey") * 97).cast("string"), 14, "0").alias("tax_id"),
         )
 
     @cached_property
@@ -306,7 +308,8 @@ SQL = {
         CASE WHEN l_linestatus = 'O' THEN CAST(0 AS DECIMAL(15,2)) ELSE CAST(l_extendedprice AS DECIMAL(15,2)) END AS debit
         FROM lineitem""",
     "suppliers": """SELECT s_suppkey AS supplier_id, s_name AS name, CAST(s_acctbal AS DECIMAL(15,2)) AS opening,
-        CASE WHEN s_suppkey % 3 = 0 THEN 'D' ELSE 'C' END AS opening_side FROM supplier""",
+        CASE WHEN s_suppkey % 3 = 0 THEN 'D' ELSE 'C' END AS opening_side, '2.1.3.' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS account, lpad(CAST(s_suppkey * 97 AS VARCHAR), 14, '0') AS tax_id
+        FROM supplier""",
     "users": """SELECT s_suppkey AS user_id, n_regionkey AS tenant_id, s_name AS user_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "permits": """SELECT s_suppkey AS user_id, CAST((s_suppkey + 7 * i) % 25 AS INTEGER) AS company_id,
         CASE (s_suppkey + i) % 3 WHEN 0 THEN '*' WHEN 1 THEN 'extrato,neo' ELSE 'notas' END AS modules FROM supplier, (VALUES (0), (1), (2)) v(i)""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def _money(c: Column) -> Column:
     return F.bround(c.try_cast("decimal(25,6)"), 2).cast(MONEY)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once; columns that use another many times, nested, outgrow generated code."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ledger_text(c: Column) -> Column:
     """Points group, a comma is decimal; what isn't a number is 0."""
     clean = F.regexp_replace(_swap(stripped(c)), r"[^\d.-]", "")
@@ -28,19 +35,23 @@ def ledger_text(c: Column) -> Column:
 def sheet_cell(c: Column) -> Column:
     """The separator more to the right is decimal; a lone one groups unless one or two digits follow;
     brackets are negative; what isn't a number is 0."""
-    clean = F.regexp_replace(stripped(c), r"[^\d,().+-]", "")
-    negative = clean.startswith("(") & clean.endswith(")")
-    bare = F.regexp_replace(clean, r"^[()]+|[()]+$", "")
-    comma, point = F.length(F.substring_index(bare, ",", -1)), F.length(F.substring_index(bare, ".", -1))
-    one = (
-        F.when(bare.contains(",") & bare.contains("."), F.when(comma < point, _swap(bare)).otherwise(F.replace(bare, F.lit(","), F.lit(""))))
-        .when(bare.rlike(r"^[^,]*,[^,]{1,2}$"), F.replace(bare, F.lit(","), F.lit(".")))
-        .when(bare.contains(","), F.replace(bare, F.lit(","), F.lit("")))
-        .when(bare.contains(".") & ~bare.rlike(r"^[^.]*\.[^.]{1,2}$"), F.replace(bare, F.lit("."), F.lit("")))
-        .otherwise(bare)
-    )
-    signed = F.when(negative & ~one.startswith("-"), F.concat(F.lit("-"), one)).otherwise(one)
-    return F.coalesce(_money(signed), F.lit(0).cast(MONEY))
+
+    def with_point(bare: Column) -> Column:
+        comma, point = F.length(F.substring_index(bare, ",", -1)), F.length(F.substring_index(bare, ".", -1))
+        return (
+            F.when(bare.contains(",") & bare.contains("."), F.when(comma < point, _swap(bare)).otherwise(F.replace(bare, F.lit(","), F.lit(""))))
+            .when(bare.rlike(r"^[^,]*,[^,]{1,2}$"), F.replace(bare, F.lit(","), F.lit(".")))
+            .when(bare.contains(","), F.replace(bare, F.lit(","), F.lit("")))
+            .when(bare.contains(".") & ~bare.rlike(r"^[^.]*\.[^.]{1,2}$"), F.replace(bare, F.lit("."), F.lit("")))
+            .otherwise(bare)
+        )
+
+    def signed(clean: Column) -> Column:
+        negative = clean.startswith("(") & clean.endswith(")")
+        one = _let(F.regexp_replace(clean, r"^[()]+|[()]+$", ""), with_point)
+        return _let(one, lambda x: F.when(negative & ~x.startswith("-"), F.concat(F.lit("-"), x)).otherwise(x))
+
+    return F.coalesce(_money(_let(F.regexp_replace(stripped(c), r"[^\d,().+-]", ""), signed)), F.lit(0).cast(MONEY))
 
 
 def card_amount(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import taxid
 from ..functions.dates import day_bounds
 from ..functions.text import digits_only, safe_cell
+from ..sources.packed import register
 from .reports import live
 
 
@@ -39,23 +40,31 @@ def iso_day(c: Column) -> Column:
 
 
 def ledger(postings: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
-    """The ten columns of the ledger export, deleted postings too; both bounds are moments that count themselves."""
+    """The ten columns of the ledger export by moment, deleted postings too; both bounds are moments that count themselves."""
     rows = postings
     if first:
         rows = rows.filter(F.col("moment") >= F.lit(first).cast("timestamp"))
     if last:
         rows = rows.filter(F.col("moment") <= F.lit(last).cast("timestamp"))
     moment = F.concat(F.date_format("moment", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    return rows.select(
+    return rows.orderBy(F.col("moment"), "posting_id").select(
         "posting_id", moment.alias("moment"), "text", "history", "dc", "amount", "rule_kind", "code", "bank_id", F.coalesce(F.col("tx_id").cast("string"), F.lit("")).alias("tx_id")
     )
 
 
-def statement(transactions: DataFrame, banks: DataFrame, first: str, last: str) -> DataFrame:
+def statement(transactions: DataFrame, banks: DataFrame, first: str | None = None, last: str | None = None, bank: int | None = None, status: str | None = None) -> DataFrame:
+    """Live transactions by moment and id, as the list on screen with the same filters: bank account, status, days."""
     label = F.concat_ws(" ", "acronym", "branch", "number", "digit")
-    rows = live(transactions).filter(day_bounds(F.col("moment"), first, last))
-    return rows.join(banks.select("bank_id", label.alias("account")), "bank_id").select(
-        shown_date(F.col("moment")).alias("date"), "account", "history", "dc", "amount", "status"
+    rows = live(transactions)
+    if first or last:
+        rows = rows.filter(day_bounds(F.col("moment"), first, last))
+    if bank is not None:
+        rows = rows.filter(F.col("bank_id") == bank)
+    if status:
+        rows = rows.filter(F.col("status") == status)
+    named = rows.join(banks.select("bank_id", label.alias("account")), "bank_id", "left")
+    return named.orderBy("moment", "tx_id").select(
+        shown_date(F.col("moment")).alias("date"), F.coalesce("account", F.lit("")).alias("account"), "history", "dc", "amount", "status"
     )
 
 
@@ -70,37 +79,58 @@ def refused_companies(companies: DataFrame) -> DataFrame:
 
 def invoices(rows: DataFrame, companies: DataFrame, transactions: DataFrame, name: str) -> DataFrame:
     """An invoice export of all companies with a valid tax id: live invoices of a kind that the company issued or
-    received, with the transaction that each is associated with."""
+    received, by day of issue, with the transaction that each is associated with."""
     kind, party = INVOICE_EXPORTS[name]
     own = companies.filter(taxid.is_valid(F.col("tax_id"))).select("company_id", digits_only(F.col("tax_id")).alias("_own"))
     kept = live(rows).filter(F.col("kind") == kind).join(own, "company_id")
     kept = kept.filter(digits_only(F.coalesce(party, F.lit(""))) == F.col("_own"))
     tx = transactions.select("tx_id", iso_day(F.col("moment")).alias("tx_day"), F.col("amount").alias("tx_amount"))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return kept.join(tx, "tx_id", "left").select(
+    return kept.join(tx, "tx_id", "left").orderBy("company_id", "issued", "invoice_id").select(
         "company_id", F.coalesce(iso_day(F.col("issued")), F.lit("")).alias("day"), blank("number"), blank("series"), blank("issuer"),
         blank("issuer_name"), blank("recipient"), "amount", blank("access_key"), blank("status"), blank("tx_day"), "tx_amount",
     )
 
 
-def positions(found: DataFrame, divergent: DataFrame, pending: DataFrame, which: str = "completo") -> DataFrame:
-    """Rows of the supplier workbook in order: all, those that are open, or those that diverge.
+#: headers of the supplier workbook's ten columns: fixed values
+POSITION_HEADERS = {
+    "code": "Código", "account": "Conta Contábil", "name": "Fornecedor", "tax_id": "CNPJ", "credits": "Total Compras", "debits": "Total Pagamentos",
+    "payable": "Saldo a Pagar", "status": "Status", "pending": "NFs Pendentes", "divergent": "Divergência",
+}
 
-    `divergent` has supplier_id, `pending` supplier_id and open purchases, as `fifo` gives them.
+
+def positions(found: DataFrame, suppliers: DataFrame, divergent: DataFrame, pending: DataFrame, which: str = "completo") -> DataFrame:
+    """Rows of the supplier workbook, what is payable most first: all, those that are open, or those that diverge.
+
+    `found` are positions, `suppliers` has account and tax_id, `divergent` supplier_id, `pending` supplier_id and
+    open purchases, as `fifo` gives them.
     """
     off = divergent.select("supplier_id").distinct().withColumn("_off", F.lit(True))
     left = pending.groupBy("supplier_id").agg(F.count("*").alias("pending"))
-    rows = found.join(off, "supplier_id", "left").join(left, "supplier_id", "left")
+    own = suppliers.select("supplier_id", "account", "tax_id")
+    rows = found.join(own, "supplier_id", "left").join(off, "supplier_id", "left").join(left, "supplier_id", "left")
     if which == "em_aberto":
         rows = rows.filter("status = 'EM_ABERTO'")
     elif which == "divergencias":
         rows = rows.filter("_off")
+    text = lambda c: safe_cell(F.col(c).cast("string"))
     return rows.orderBy(F.desc("payable"), "supplier_id").select(
-        "supplier_id", safe_cell(F.col("name")).alias("name"), "credits", "debits", "payable", safe_cell(F.col("status")).alias("status"),
+        text("supplier_id").alias("code"), text("account").alias("account"), text("name").alias("name"), text("tax_id").alias("tax_id"),
+        "credits", "debits", "payable", text("status").alias("status"),
         F.coalesce("pending", F.lit(0)).alias("pending"), F.when(F.col("_off"), "Sim").otherwise("Não").alias("divergent"),
     )
 
 
+def write_workbook(rows: DataFrame, path: str, headers: dict[str, str] | None = None, overwrite: bool = True) -> None:
+    """Workbooks of the rows in their order, a file for each partition, committed once; decimals become numbers.
+
+    An export that is one file is `rows.coalesce(1)`.
+    """
+    register(rows.sparkSession)
+    named = rows.withColumnsRenamed({k: v for k, v in (headers or {}).items() if k in rows.columns})
+    named.write.format("workbook").mode("overwrite" if overwrite else "append").option("path", path).save()
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV files with a header, each beginning with the mark of UTF-8; the mark is part of the first column's name."""
     first, *rest = rows.columns
@@ -159,7 +189,7 @@ def conference(transactions: DataFrame, invoices: DataFrame, receipts: DataFrame
     state = F.when(n == 2, "Conciliado").when(n == 1, "Parcial").otherwise("Pendente")
     on_first = {"day": iso_day(F.col("moment")), "history": F.col("history"), "dc": F.col("dc"), "amount": F.col("amount"), "status": F.col("status"), "state": state}
     own = [F.when(first, c).alias(name) for name, c in on_first.items()]
-    return rows.select("tx_id", "row_no", *own, "invoice", "invoice_kind", "invoice_amount", "payee", "paid")
+    return rows.orderBy(F.col("moment"), "tx_id", "row_no").select("tx_id", "row_no", *own, "invoice", "invoice_kind", "invoice_amount", "payee", "paid")
 
 
 def unseen(batch: DataFrame, there: DataFrame, key: str) -> DataFrame:

@@ -54,3 +54,12 @@ def by_account(transactions: DataFrame, postings: DataFrame, banks: DataFrame) -
     return banks.filter("active").join(counts, "bank_id", "left").select(
         "bank_id", label.alias("label"), F.coalesce("reconciled", F.lit(0)).alias("reconciled"), F.coalesce("open", F.lit(0)).alias("open")
     )
+
+
+def month_series(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """key, month and n: rows of each month from a key's first to its last one, 0 where there are none."""
+    month = F.trunc(at, "month")
+    counted = rows.groupBy(key, month.alias("m")).agg(F.count("*").alias("n"))
+    ends = counted.groupBy(key).agg(F.sequence(F.min("m"), F.max("m"), F.expr("INTERVAL 1 MONTH")).alias("all"))
+    grid = ends.select(key, F.explode("all").alias("m"))
+    return grid.join(counted, [key, "m"], "left").select(key, F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import Ledger
 from ..operators import accounts, associate, cards, classify, exports, fifo, repair
-from .registry import query
+from .registry import query, read_back
 
 D25 = "DECIMAL(25,2)"
 MATCHED = """hit AS (SELECT t.*, r.rule_id, r.description, r.code, r.keep_history, r.text AS rule_text,
@@ -282,14 +282,14 @@ def divergent(t: Ledger) -> DataFrame:
 
 WORKBOOK = POSITIONS.replace("positions AS", "found AS") + f""", {DECLARED.replace("s AS", "sums AS", 1).replace("FROM s)", "FROM sums)")}, {BOUGHT}, paid AS (SELECT supplier_id, sum(debit) AS total FROM entries WHERE debit > 0 GROUP BY 1),
     pending AS (SELECT supplier_id, count(*) AS pending FROM bought LEFT JOIN paid USING (supplier_id) WHERE after > coalesce(total, 0) GROUP BY 1)
-    SELECT supplier_id, name, credits, debits, payable, status, coalesce(pending, 0) AS pending, CASE WHEN message IS NULL THEN 'Não' ELSE 'Sim' END AS divergent
-    FROM found LEFT JOIN off USING (supplier_id) LEFT JOIN pending USING (supplier_id)"""
+    SELECT CAST(supplier_id AS VARCHAR) AS code, s.account, name, s.tax_id, credits, debits, payable, status, coalesce(pending, 0) AS pending, CASE WHEN message IS NULL THEN 'Não' ELSE 'Sim' END AS divergent
+    FROM found LEFT JOIN (SELECT supplier_id, account, tax_id FROM suppliers) s USING (supplier_id) LEFT JOIN off USING (supplier_id) LEFT JOIN pending USING (supplier_id)"""
 
 
 def _workbook(which: str, where: str) -> None:
     @query(f"snk05_positions_{which}", WORKBOOK + where)
     def _(t: Ledger) -> DataFrame:
-        return exports.positions(positions(t), divergent(t), fifo.pending(fifo.paid_state(*sides(t))), which)
+        return exports.positions(positions(t), t.suppliers, divergent(t), fifo.pending(fifo.paid_state(*sides(t))), which)
 
 
 for _which, _where in {"completo": "", "em_aberto": " WHERE status = 'EM_ABERTO'", "divergencias": " WHERE message IS NOT NULL"}.items():
@@ -495,9 +495,11 @@ def _(t: Ledger) -> DataFrame:
     return repair.events(t.entries)
 
 
-@query("so03_missing_codes", "SELECT code FROM accounts EXCEPT SELECT code FROM postings WHERE company_id = 3")
+@query("so03_missing_codes", "SELECT company_id, code FROM charts EXCEPT SELECT company_id, code FROM postings WHERE moment >= TIMESTAMP '1995-03-01' AND moment < TIMESTAMP '1995-04-01'")
 def _(t: Ledger) -> DataFrame:
-    return t.accounts.select("code").exceptAll(t.postings.filter("company_id = 3").select("code").distinct())
+    """Accounts of a company's chart that nothing was posted to in a month."""
+    month = t.postings.filter("moment >= '1995-03-01' AND moment < '1995-04-01'")
+    return t.charts.select("company_id", "code").subtract(month.select("company_id", "code"))
 
 
 @query("so05_unknown_modules", "SELECT company_id, list_sort(list_filter(['neo', CASE WHEN company_id % 2 = 0 THEN 'x' ELSE 'notas' END, 'y'], lambda m: m NOT IN ('neo', 'notas', 'extrato'))) AS unknown FROM companies")
@@ -534,9 +536,10 @@ def _(t: Ledger) -> DataFrame:
     return repair.invalid_tax_ids(t.companies)
 
 
-@query("er03_rows_out_of_scope", "SELECT rule_id FROM rules WHERE code NOT IN (SELECT code FROM accounts)")
+@query("er03_rows_out_of_scope", "SELECT rule_id FROM rules WHERE (company_id, code) NOT IN (SELECT (company_id, code) FROM charts)")
 def _(t: Ledger) -> DataFrame:
-    return t.rules.join(t.accounts.select("code"), "code", "left_anti").select("rule_id")
+    """Rules that post to an account which their company's chart doesn't have."""
+    return t.rules.join(t.charts.select("company_id", "code"), ["company_id", "code"], "left_anti").select("rule_id")
 
 
 @query("er04_payable_changes", POSITIONS + """, n AS (SELECT supplier_id, CASE WHEN supplier_id % 3 = 0 THEN payable + 1 ELSE payable END AS payable FROM positions WHERE supplier_id % 7 <> 0)
@@ -606,3 +609,11 @@ def _(t: Ledger) -> DataFrame:
 def _(t: Ledger) -> DataFrame:
     batch = t.postings.select(F.col("tx_id").alias("key"), F.when(F.col("dc") != "C", "side").alias("error"))
     return repair.import_summary(batch, t.transactions.filter("status = 'processada'").select(F.col("tx_id").alias("key")))
+
+
+@query("snk05_workbook_round_trip", WORKBOOK)
+def _(t: Ledger) -> DataFrame:
+    """The supplier workbook written, read cell by cell, and put together again under its headers."""
+    rows = exports.positions(positions(t), t.suppliers, divergent(t), fifo.pending(fifo.paid_state(*sides(t))))
+    back = read_back(t, rows, exports.POSITION_HEADERS)
+    return back.select("code", "account", "name", "tax_id", *[F.col(c).cast("decimal(25,2)").alias(c) for c in ("credits", "debits", "payable")], "status", F.col("pending").cast("long").alias("pending"), "divergent")

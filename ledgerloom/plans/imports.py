@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..domain import Ledger
 from ..functions import dates, hashing, numbers, text
 from ..operators import aligned, ledger, uploads
-from ..sources import ledger_sheet, model_items, tables
+from ..scratch import folder, stored
+from ..sources import ledger_sheet, model_items, packed, tables
 from .registry import query
 
 #: entries of a supplier that stand in one made file
@@ -34,7 +35,8 @@ def sheets(t: Ledger) -> DataFrame:
     )
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = [["Empresa:", None, "Made"], [], ["Data", "Número", "Histórico", "Cta.C.Part.", "Débito", "Crédito", "Saldo-Exercício"]]
+        name = int(frame["file"].iloc[0])
+        out: list[list] = [["Empresa:", None, f"Made {name}", "Folha: 1"], [f"C.N.P.J.: {abs(name):014d}"], ["Período: 01/01/2024 - 31/12/2024"], ["Data", "Número", "Histórico", "Cta.C.Part.", "Débito", "Crédito", "Saldo-Exercício"]]
         for supplier, block in frame.sort_values(["supplier_id", "k"]).groupby("supplier_id"):
             out.append(["Conta:", int(supplier), "2.1.3", None, "A NAME", "1.2"])
             out.append([None, None, "SALDO ANTERIOR", None, None, None, -10.5])
@@ -43,7 +45,7 @@ def sheets(t: Ledger) -> DataFrame:
             # the totals of every third supplier are off
             off = 1 if supplier % 3 == 0 else 0
             out.append(["Total da conta:", None, None, None, block["debit"].sum() + off, block["credit"].sum()])
-        return pd.DataFrame({"file": [int(frame["file"].iloc[0])], "content": [tables.sheet_bytes(out)]})
+        return pd.DataFrame({"file": [name], "content": [tables.sheet_bytes(out)]})
 
     return rows.groupBy("file").applyInPandas(build, "file long, content binary")
 
@@ -65,6 +67,30 @@ def _(t: Ledger) -> DataFrame:
     return ledger_sheet.suppliers(rows, ledger_sheet.entries(rows)).drop("file", "block")
 
 
+def on_disk(t: Ledger, files: DataFrame, ending: str) -> str:
+    """The folder that the files of (file, content) have been written to."""
+    packed.register(t.spark)
+    path = folder(t.spark)
+    named = files.select(F.concat(F.col("file").cast("string"), F.lit(ending)).alias("file"), "content")
+    named.write.format("files").mode("append").option("path", path).save()
+    return path
+
+
+def workbooks_on_disk(t: Ledger) -> DataFrame:
+    return t.spark.read.format("workbook").option("path", on_disk(t, sheets(t), ".xlsx")).load()
+
+
+@query("src08_workbooks_on_disk", f"""WITH {NUMBERED}, s AS (SELECT supplier_id, CAST(floor((supplier_id - 1) / 2.0) AS BIGINT) * 1000000 + k // {FILED} AS f, count(*) FILTER (debit + credit > 0) AS n FROM numbered GROUP BY ALL)
+    SELECT CAST(f AS VARCHAR) || '.xlsx' AS file, CAST(supplier_id AS VARCHAR) AS code, n AS entries, 'Made ' || CAST(f AS VARCHAR) AS company, lpad(CAST(abs(f) AS VARCHAR), 14, '0') AS tax_id,
+    DATE '2024-01-01' AS first, DATE '2024-12-31' AS last, supplier_id % 3 <> 0 AS closes FROM s""")
+def _(t: Ledger) -> DataFrame:
+    """Workbooks as files: heads and blocks of what a folder holds."""
+    cells = stored(workbooks_on_disk(t))
+    rows = ledger_sheet.rows_of(cells)
+    found = ledger_sheet.suppliers(rows, ledger_sheet.entries(rows)).select("file", "code", "entries", "closes")
+    return found.join(ledger_sheet.heads(cells), "file")
+
+
 def chart_workbooks(t: Ledger) -> DataFrame:
     """Each company's chart as a workbook, with one of the headers that are known."""
 

@@ -11,6 +11,7 @@ from ..operators import ledger, repair
 from ..scratch import stored
 from ..sources import invoice_xml, ofx, statement, tables
 from ..streaming import feeds
+from .imports import on_disk
 from .registry import query
 
 
@@ -199,6 +200,15 @@ READ = """e AS (SELECT DISTINCT * FROM entries), k AS (SELECT *, CAST(CAST(momen
     + row_number() OVER (PARTITION BY supplier_id, CAST(moment AS DATE) ORDER BY moment, debit, credit, part, invoice, line, quantity) AS key FROM e)"""
 
 
+@query("src12_archives_on_disk", "SELECT CAST(invoice_id // 100 AS VARCHAR) || '.zip' AS file, CAST(invoice_id AS VARCHAR) || '.xml' AS name, invoice_id % 11 = 0 AS unsafe FROM invoices WHERE NOT deleted")
+def _(t: Ledger) -> DataFrame:
+    """Archives of up to a hundred documents as files, opened by their members."""
+    documents = xml_files(t).withColumn("archive", F.floor(F.col("file").cast("long") / 100))
+    path = on_disk(t, tables.archives(documents, "archive"), ".zip")
+    found = t.spark.read.format("archive").option("path", path).load()
+    return found.filter("error IS NULL").select("file", "name", invoice_xml.unsafe(F.col("content").cast("string")).alias("unsafe"))
+
+
 @query("f08_entries_read_twice", f"""WITH {READ} SELECT supplier_id, key * 4 + i AS n, CASE WHEN i = 0 THEN '77' END AS invoice,
     CASE WHEN i = 0 AND line % 2 = 0 THEN 'A' ELSE 'B' END || CAST(key AS VARCHAR) AS lot FROM k, (VALUES (0), (2)) v(i)""")
 def _(t: Ledger) -> DataFrame:

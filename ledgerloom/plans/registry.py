@@ -3,8 +3,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..domain import Ledger, cte
+from ..operators import exports
+from ..scratch import folder
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +26,18 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+def read_back(t: Ledger, rows: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+    """Rows written as workbooks, read cell by cell and put together by the headers in each file's first row; all as texts."""
+    path = folder(t.spark)
+    exports.write_workbook(rows, path, headers)
+    cells = t.spark.read.format("workbook").option("path", path).load()
+    names = {(headers or {}).get(c, c): c for c in rows.columns}
+    place = {c: i for i, c in enumerate(names, 1)}
+    values = [F.max(F.when(F.col("col") == place[h], F.col("text"))).alias(c) for h, c in names.items()]
+    # headers must stand where they were written
+    heads = F.create_map(*[F.lit(x) for h, i in place.items() for x in (i, h)])
+    right = F.min(F.when(F.col("row") == 1, F.col("text") == heads[F.col("col")]).otherwise(True)).over(W.partitionBy("file"))
+    sound = cells.filter("error IS NULL").withColumn("_right", right).filter("_right AND row > 1")
+    return sound.groupBy("file", "row").agg(*values).drop("file", "row")

@@ -10,7 +10,7 @@ from ..domain import Ledger
 from ..functions import text
 from ..functions.dates import day_bounds
 from ..operators import exports, reports, stats, validation
-from .registry import query
+from .registry import query, read_back
 
 FIRST, LAST = "1997-01-01", "1998-12-31"
 INSIDE = f"moment >= TIMESTAMP '{FIRST}' AND moment < TIMESTAMP '{LAST}' + INTERVAL 1 DAY"
@@ -148,10 +148,12 @@ def _(t: Ledger) -> DataFrame:
     return stats.monthly(facts, t.companies, "2001-01-01", 12)
 
 
-@query("ag10_month_series", "SELECT strftime(unnest(range(TIMESTAMP '2023-11-01', TIMESTAMP '2024-05-01', INTERVAL 1 MONTH)), '%Y-%m') AS month")
+@query("ag10_month_series", """WITH s AS (SELECT bank_id, date_trunc('month', min(moment)) AS a, date_trunc('month', max(moment)) AS b FROM transactions GROUP BY 1),
+    m AS (SELECT bank_id, unnest(range(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS m FROM s),
+    n AS (SELECT bank_id, date_trunc('month', moment) AS m, count(*) AS n FROM transactions GROUP BY 1, 2)
+    SELECT m.bank_id, strftime(m.m, '%Y-%m') AS month, coalesce(n, 0) AS n FROM m LEFT JOIN n ON m.bank_id = n.bank_id AND m.m = n.m""")
 def _(t: Ledger) -> DataFrame:
-    one = t.spark.range(1).select(F.explode(stats.months("2023-11-01", 6)).alias("m"))
-    return one.select(F.date_format("m", "yyyy-MM").alias("month"))
+    return stats.month_series(t.transactions, "bank_id", "moment")
 
 
 @query(
@@ -372,6 +374,20 @@ def _(t: Ledger) -> DataFrame:
     return exports.statement(t.transactions, t.banks, FIRST, LAST)
 
 
+@query("snk02_statement_filtered", f"""SELECT strftime(moment, '%d/%m/%Y') AS date, concat_ws(' ', acronym, branch, number, digit) AS account,
+    history, dc, amount, status FROM transactions JOIN banks USING (bank_id) WHERE NOT deleted AND status = 'pendente' AND {INSIDE}""")
+def _(t: Ledger) -> DataFrame:
+    return exports.statement(t.transactions, t.banks, FIRST, LAST, status="pendente")
+
+
+@query("snk01_workbook_round_trip", f"""SELECT posting_id, strftime(moment, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS moment, text, history, dc, amount, rule_kind, code, bank_id, CAST(tx_id AS VARCHAR) AS tx_id
+    FROM postings WHERE moment >= TIMESTAMP '{FIRST}' AND moment <= TIMESTAMP '{LAST}'""")
+def _(t: Ledger) -> DataFrame:
+    """The ledger export as workbooks, read cell by cell and put together again."""
+    back = read_back(t, exports.ledger(t.postings, FIRST, LAST))
+    return back.withColumns({"amount": F.col("amount").cast("decimal(15,2)"), "bank_id": F.col("bank_id").cast("long")})
+
+
 VALID = "company_id % 4 <> 3"  # tax ids of the others are made wrong
 
 
@@ -407,7 +423,7 @@ def _(t: Ledger) -> DataFrame:
     'moment': strftime(moment, '%Y-%m-%d %H:%M:%S'), 'invoice': invoice, 'line': CAST(line AS VARCHAR), 'part': CAST(part AS VARCHAR), 'quantity': CAST(quantity AS VARCHAR), 'credit': CAST(credit AS VARCHAR), 'debit': CAST(debit AS VARCHAR)})
     FROM entries""")
 def _(t: Ledger) -> DataFrame:
-    return exports.state(t.suppliers, t.entries, ["moment", "invoice", "line", "part", "quantity", "credit", "debit"])
+    return exports.state(t.suppliers.drop("account", "tax_id"), t.entries, ["moment", "invoice", "line", "part", "quantity", "credit", "debit"])
 
 
 CONFERENCE = """i AS (SELECT invoice_id - invoice_id % 12 AS tx_id, number, kind, amount, row_number() OVER (PARTITION BY invoice_id - invoice_id % 12 ORDER BY invoice_id) AS k

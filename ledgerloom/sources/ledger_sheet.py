@@ -22,18 +22,19 @@ LABELS = {
     "balance": ["saldo-exercício", "saldo-exercicio", "saldo exercício", "saldo"],
 }
 HEADER_WITHIN = 60
+# Words and shapes of a sheet's first lines.
+HEAD_WITHIN = 15
+COMPANY, TAX_ID, PERIOD = "Empresa:", "C.N.P.J.", "Período:"
+TAX_ID_SHAPE, PERIOD_SHAPE = r"[\d.]{2,}[\d./-]+", r"(\d{2}/\d{2}/\d{4})\s*-\s*(\d{2}/\d{2}/\d{4})"
 TOLERANCE = 0.01
 ZERO = "CAST(0 AS DECIMAL(15,2))"
 
 
 def columns(cells: DataFrame) -> DataFrame:
     """file, name and col of the columns that the first header row names."""
-    label = F.lower(stripped(F.col("text")))
-    pairs = [(x, n, i) for n, labels in LABELS.items() for i, x in enumerate(labels)]
-    name = F.create_map(*[F.lit(v) for x, n, _ in pairs for v in (x, n)])[label]
-    place = F.create_map(*[F.lit(v) for x, _, i in pairs for v in (x, i)])[label]
-    head = cells.filter((F.col("row") <= HEADER_WITHIN) & (F.col("kind") == "s")).select("file", "row", "col", name.alias("name"), place.alias("place"))
-    head = head.filter("name IS NOT NULL")
+    labels = cells.sparkSession.createDataFrame([(x, n, i) for n, own in LABELS.items() for i, x in enumerate(own)], "label string, name string, place int")
+    texts = cells.filter((F.col("row") <= HEADER_WITHIN) & (F.col("kind") == "s")).select("file", "row", "col", F.lower(stripped(F.col("text"))).alias("label"))
+    head = texts.join(F.broadcast(labels), "label")  # one row for each fixed label
     rows = head.groupBy("file", "row").agg(F.collect_set("name").alias("names"))
     both = F.array_contains("names", "debit") & F.array_contains("names", "credit")
     first = rows.filter(both).groupBy("file").agg(F.min("row").alias("row"))
@@ -70,11 +71,13 @@ def rows_of(cells: DataFrame) -> DataFrame:
     starts = F.coalesce(stripped(F.col("c1.text")).startswith("Conta:"), F.lit(False))
     rows = rows.withColumn("starts", starts)
     order = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    return stored(rows.withColumn("block", F.sum(F.col("starts").cast("int")).over(order)))
+    # amounts are worked out once; written down, the long expressions aren't repeated in all that builds on them
+    amounts = {f"{n}_value": number(F.col(f"{n}.text"), F.col(f"{n}.kind")) for n in ("debit", "credit", "balance")}
+    return stored(rows.withColumn("block", F.sum(F.col("starts").cast("int")).over(order)).withColumns(amounts))
 
 
 def value(name: str) -> Column:
-    return number(F.col(f"{name}.text"), F.col(f"{name}.kind"))
+    return F.col(f"{name}_value")
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -123,6 +126,31 @@ def suppliers(rows: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def heads(cells: DataFrame) -> DataFrame:
+    """file, company, tax_id, first and last day of each workbook, from its first lines; what isn't there is empty or null.
+
+    The company is the first text beside its label that is no page mark; of several periods the last counts.
+    """
+    top = cells.filter((F.col("error").isNull()) & (F.col("row") <= HEAD_WITHIN)).select("file", "row", "col", stripped(F.col("text")).alias("text"))
+    files = cells.filter("error IS NULL").select("file").distinct()
+    beside = (F.col("col") > 1) & ~F.col("text").startswith("Folha")
+    lines = top.filter("text <> ''").groupBy("file", "row").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " ").alias("line"),
+        F.min_by("text", F.when(beside, F.col("col"))).alias("beside"),
+    )
+    line = F.col("line")
+    after = F.when(F.instr(line, ":") > 0, F.expr("substring(line, instr(line, ':') + 1)")).otherwise(line)
+    tax_id = F.when(line.contains(TAX_ID), F.nullif(stripped(F.regexp_extract(after, TAX_ID_SHAPE, 0)), F.lit("")))
+    company = F.when(line.startswith(COMPANY), F.col("beside"))
+    period = line.startswith(PERIOD) & line.rlike(PERIOD_SHAPE)
+    day = lambda i: F.try_to_timestamp(F.regexp_extract(line, PERIOD_SHAPE, i), F.lit("dd/MM/yyyy")).cast("date")
+    found = lines.select("file", "row", company.alias("company"), tax_id.alias("tax_id"), period.alias("period"), day(1).alias("first"), day(2).alias("last"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row")))
+    last = lambda c: F.max_by(c, F.when(F.col("period"), F.col("row")))
+    told = found.groupBy("file").agg(first("company").alias("company"), first("tax_id").alias("tax_id"), last("first").alias("first"), last("last").alias("last"))
+    return files.join(told, "file", "left").select("file", F.coalesce("company", F.lit("")).alias("company"), F.coalesce("tax_id", F.lit("")).alias("tax_id"), "first", "last")
+
+
 def without_header(cells: DataFrame) -> DataFrame:
     """Files in which no row names both a debit and a credit column, or that are no workbooks, and why."""
     files = cells.filter("error IS NULL").select("file").distinct()

@@ -37,6 +37,8 @@ CHART_COLUMNS = {
 MOST_FILES, MOST_BYTES, MOST_RATIO, MOST_FILE = 1000, 100 << 20, 100, 10 << 20
 MOST_SHEET_RATIO = 200
 MOST_ROWS, MOST_COLUMNS, MOST_CELLS = 50_000, 100, 500_000
+#: bytes of files that are opened for one frame of rows
+FRAME = 4 << 20
 # Number formats of dates in a workbook that need no definition of their own.
 DATE_FORMATS = [*range(14, 23), *range(45, 48)]
 
@@ -145,63 +147,117 @@ def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str, str]]:
                 yield int(number), column, text, kind
 
 
-def sheet_bytes(rows: list[list]) -> bytes:
-    """A workbook of one sheet out of rows of texts, numbers, dates and empty cells (None)."""
+_SPACE = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_TYPES = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+#: parts of a workbook of one sheet beside the sheet itself; style 1 shows dates
+_PARTS = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="xml" ContentType="application/xml"/>'
+    '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    f'<Override PartName="/xl/workbook.xml" ContentType="{_TYPES}.sheet.main+xml"/>'
+    f'<Override PartName="/xl/styles.xml" ContentType="{_TYPES}.styles+xml"/>'
+    f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_TYPES}.worksheet+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": f'<workbook xmlns="{_SPACE}" xmlns:r="{_OFFICE}"><sheets><sheet name="1" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/>'
+    f'<Relationship Id="r2" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>',
+    "xl/styles.xml": f'<styleSheet xmlns="{_SPACE}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+}
+
+
+def column_letters(n: int) -> str:
+    return column_letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n else ""
+
 
-    def cell(value, at: str) -> str:
+class SheetWriter:
+    """A workbook of one sheet, written row by row; cells are texts, numbers, booleans, dates or empty (None)."""
+
+    def __init__(self, target):
+        self.target, self.archive, self.n = target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED), 0
+        for name, text in _PARTS.items():
+            self.archive.writestr(name, text)
+        self.sheet = self.archive.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
+        self.sheet.write(f'<worksheet xmlns="{_SPACE}"><sheetData>'.encode())
+        self.letters: list[str] = []
+
+    def cell(self, value, place: str) -> str:
         if value is None:
             return ""
+        if isinstance(value, datetime):
+            value = value.isoformat(sep=" ")
         if isinstance(value, date):
             gap = datetime(value.year, value.month, value.day) - datetime(1899, 12, 30)
-            return f'<c r="{at}" s="1"><v>{gap.days}</v></c>'
+            return f'<c r="{place}" s="1"><v>{gap.days}</v></c>'
         if isinstance(value, str):
-            return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
-        return f'<c r="{at}"><v>{value}</v></c>'
+            return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(_UNWRITABLE.sub("", value))}</t></is></c>'
+        return f'<c r="{place}"><v>{int(value) if isinstance(value, bool) else value}</v></c>'
 
-    def letters(n: int) -> str:
-        return letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n else ""
+    def row(self, values: list) -> None:
+        self.n += 1
+        while len(self.letters) < len(values):
+            self.letters.append(column_letters(len(self.letters) + 1))
+        body = "".join(self.cell(v, f"{x}{self.n}") for v, x in zip(values, self.letters, strict=False))
+        self.sheet.write(f'<row r="{self.n}">{body}</row>'.encode())
 
-    body = "".join(
-        f'<row r="{i}">' + "".join(cell(v, f"{letters(j)}{i}") for j, v in enumerate(row, 1)) + "</row>" for i, row in enumerate(rows, 1)
-    )
-    space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
-    types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    parts = {
-        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="xml" ContentType="application/xml"/>'
-        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-        f'<Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/>'
-        f'<Override PartName="/xl/styles.xml" ContentType="{types}.styles+xml"/>'
-        f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{types}.worksheet+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{office}"><sheets><sheet name="1" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/>'
-        f'<Relationship Id="r2" Type="{office}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet xmlns="{space}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><sheetData>{body}</sheetData></worksheet>',
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
+    def close(self) -> None:
+        self.sheet.write(b"</sheetData></worksheet>")
+        self.sheet.close()
+        self.archive.close()
+        self.target.close()
 
 
-def cells(files: DataFrame) -> DataFrame:
-    """file, row, col, text and kind of each cell of each workbook, or its error; `files` has file and content (binary)."""
+#: characters that XML can't hold
+_UNWRITABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+class _Kept(io.BytesIO):
+    """Bytes that outlive the closing of their file."""
+
+    def close(self) -> None:
+        self.content = self.getvalue()
+        super().close()
+
+
+def sheet_bytes(rows: list[list]) -> bytes:
+    """A small workbook as bytes."""
+    out = _Kept()
+    sheet = SheetWriter(out)
+    for r in rows:
+        sheet.row(r)
+    sheet.close()
+    return out.content
+
+
+def cells_or_error(content: bytes) -> Iterator[tuple]:
+    """(row, col, text, kind, None) of each cell of a workbook, or one row with an error."""
+    try:
+        yield from [(*c, None) for c in sheet_cells(content)]
+    except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError) as e:
+        plain = type(e) is ValueError and str(e).startswith(("too", "compressed"))
+        yield None, None, None, None, str(e) if plain else "no workbook"
+
+
+def opened(files: DataFrame, rows_of, names: list[str], schema: str) -> DataFrame:
+    """The rows that `rows_of(content)` gives for each file, `names` beside the file; frames hold about FRAME bytes of content."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            held, size = [], 0
             for file, content in zip(frame["file"], frame["content"], strict=True):
-                try:
-                    rows = [(file, *c, None) for c in sheet_cells(bytes(content))]
-                except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError) as e:
-                    plain = type(e) is ValueError and str(e).startswith(("too", "compressed"))
-                    rows = [(file, None, None, None, None, str(e) if plain else "no workbook")]
-                yield pd.DataFrame(rows, columns=["file", "row", "col", "text", "kind", "error"], dtype=object)
+                held += [(file, *r) for r in rows_of(bytes(content))]
+                size += len(content)
+                if size > FRAME:
+                    yield pd.DataFrame(held, columns=["file", *names], dtype=object)
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=["file", *names], dtype=object)
+
+    return files.select(F.col("file").cast("string"), "content").mapInPandas(run, schema)
 
-    return files.select(F.col("file").cast("string"), "content").mapInPandas(run, "file string, row int, col int, text string, kind string, error string")
+
+def cells(files: DataFrame) -> DataFrame:
+    """file, row, col, text and kind of each cell of each workbook, or its error; `files` has file and content (binary)."""
+    return opened(files, cells_or_error, ["row", "col", "text", "kind", "error"], "file string, row int, col int, text string, kind string, error string")
 
 
 def chart_sheets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -246,30 +302,46 @@ def archived(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(run, "file string, content binary")
 
 
-def members(files: DataFrame) -> DataFrame:
-    """file, name, content and error of each XML in each archive; archives beyond a limit give only an error."""
+def archives(documents: DataFrame, key: str) -> DataFrame:
+    """file and content of an archive for each value of a key, which holds its documents (file, content) as XML."""
 
-    def opened(file: str, content: bytes) -> list[tuple]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                infos = [i for i in z.infolist() if not i.is_dir()]
-                size = sum(i.file_size for i in infos)
-                if len(infos) > MOST_FILES:
-                    return [(file, None, None, "too many files")]
-                if size > MOST_BYTES or any(i.file_size > MOST_FILE for i in infos):
-                    return [(file, None, None, "too large")]
-                if any(i.file_size > MOST_RATIO * max(1, i.compress_size) for i in infos):
-                    return [(file, None, None, "compressed too far")]
-                return [(file, i.filename, z.read(i), None) for i in infos if i.filename.lower().endswith(".xml")]
-        except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
-            return [(file, None, None, "no archive")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
             for file, content in zip(frame["file"], frame["content"], strict=True):
-                yield pd.DataFrame(opened(file, bytes(content)), columns=["file", "name", "content", "error"])
+                z.writestr(f"{file}.xml", content)
+        return pd.DataFrame({"file": [str(frame[key].iloc[0])], "content": [held.getvalue()]})
+
+    return documents.groupBy(key).applyInPandas(pack, "file string, content binary")
+
 
-    return files.select("file", "content").mapInPandas(run, "file string, name string, content binary, error string")
+def members_or_error(source, first: int | None = None, last: int | None = None) -> Iterator[tuple]:
+    """(name, content, None) of the XMLs of an archive, of members first to last, or one row with an error.
+
+    Limits hold for the whole archive, by what it declares.
+    """
+    try:
+        with zipfile.ZipFile(source) as z:
+            everything = z.infolist()
+            infos = [i for i in everything if not i.is_dir()]
+            if len(infos) > MOST_FILES:
+                error = "too many files"
+            elif sum(i.file_size for i in infos) > MOST_BYTES or any(i.file_size > MOST_FILE for i in infos):
+                error = "too large"
+            elif any(i.file_size > MOST_RATIO * max(1, i.compress_size) for i in infos):
+                error = "compressed too far"
+            else:
+                yield from [(i.filename, z.read(i), None) for i in everything[first:last] if i.filename.lower().endswith(".xml")]
+                return
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+        error = "no archive"
+    if not first:  # one row an archive, however many tasks read it
+        yield None, None, error
+
+
+def members(files: DataFrame) -> DataFrame:
+    """file, name, content and error of each XML in each archive; archives beyond a limit give only an error."""
+    return opened(files, lambda content: members_or_error(io.BytesIO(content)), ["name", "content", "error"], "file string, name string, content binary, error string")
 
 
 def file_kind(files: DataFrame) -> DataFrame:

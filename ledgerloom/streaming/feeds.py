@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_folder
+from ..scratch import folder as new_folder
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +48,7 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataF
 def drained(result: DataFrame, mode: str) -> DataFrame:
     """All that a stream gives for the files there are now, written to the shared folder and read back."""
     spark = result.sparkSession
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     write = "overwrite" if mode == "complete" else "append"
     query = (
         result.writeStream.outputMode(mode)

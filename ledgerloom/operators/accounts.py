@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import level, stripped
+from ..scratch import stored
 from . import validation
 
 DEEPEST = 5
 
 
-def tree(rows: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """code, path and depth of each account below a root; depth is bounded, so are the self joins."""
-    level = rows.filter("parent IS NULL").select("code", F.col("code").alias("path"))
-    levels = [level.withColumn("depth", F.lit(1))]
-    children = rows.filter("parent IS NOT NULL").select("code", "parent")
-    for depth in range(2, deepest + 1):
-        above = level.select(F.col("code").alias("parent"), F.col("path").alias("above"))
-        level = children.join(above, "parent").select("code", F.concat_ws(">", "above", "code").alias("path"))
-        levels.append(level.withColumn("depth", F.lit(depth)))
-    return reduce(DataFrame.unionByName, levels)
+def tree(rows: DataFrame) -> DataFrame:
+    """code, path, depth and error of each account, from the roots (no parent) down, however deep they go.
+
+    What no root leads to, as accounts that are their own ancestors or have an unknown parent, has an error instead.
+    """
+    spark = rows.sparkSession
+    for most in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        spark.conf.set(most, "-1")  # an account isn't met again on its own path, so recursion ends
+    rows = stored(rows.select("code", "parent"))  # each level joins it
+    found = spark.sql(
+        """WITH RECURSIVE below(code, path, depth) AS (
+            SELECT code, array(code), 1 FROM {rows} WHERE parent IS NULL
+            UNION ALL
+            SELECT r.code, array_append(b.path, r.code), b.depth + 1 FROM below b JOIN {rows} r ON r.parent = b.code WHERE NOT array_contains(b.path, r.code))
+        SELECT code, array_join(path, '>') AS path, depth, CAST(NULL AS STRING) AS error FROM below""",
+        rows=rows,
+    )
+    none = F.lit(None)
+    lost = rows.filter("parent IS NOT NULL").select("code").distinct().join(found.select("code"), "code", "left_anti")
+    return found.unionByName(lost.select("code", none.cast("string").alias("path"), none.cast("int").alias("depth"), F.lit("no root").alias("error")))
 
 
 def ancestors(code: Column) -> Column:

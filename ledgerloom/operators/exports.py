@@ -20,6 +20,16 @@ def allowed(rows: DataFrame, permits: DataFrame, user: int, module: str) -> Data
     return rows.join(mine.select("company_id"), "company_id", "left_semi")
 
 
+def laid_out(rows: DataFrame, path: str) -> DataFrame:
+    """The rows written in a folder for each company, and read back.
+
+    A join with few companies, as `allowed` makes it, then opens only their folders: Spark prunes by the permits
+    that it finds at run time.  Files of a company are split by size, so a large one has many.
+    """
+    rows.hint("rebalance", "company_id").write.partitionBy("company_id").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def permits_of(permits: DataFrame, users: DataFrame, companies: DataFrame) -> DataFrame:
     """Who may see an active company: permits of users of the company's own tenant."""
     own = companies.filter("active").select("company_id", "tenant_id")

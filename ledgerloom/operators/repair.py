@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -197,3 +197,17 @@ def import_summary(batch: DataFrame, there: DataFrame) -> DataFrame:
     fresh = unseen(batch.filter(~bad), there, "key").agg(F.count("*").alias("imported"))
     total = batch.agg(F.count("*").alias("total"), F.count_if(bad).alias("errors"))
     return total.join(fresh).select("total", "imported", (F.col("total") - F.col("imported") - F.col("errors")).alias("duplicates"), "errors")
+
+
+def imported(batch: DataFrame, there: DataFrame, path: str) -> DataFrame:
+    """The figures of `import_summary`, of a batch whose new rows are appended to the table at `path`.
+
+    They are observed as rows pass by on their way to the table, so the batch is read once.
+    """
+    bad = F.col("error").isNotNull()
+    read, new = Observation(), Observation()
+    rows = batch.observe(read, F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("errors"))
+    fresh = unseen(rows.filter(~bad), there, "key").observe(new, F.count(F.lit(1)).alias("imported"))
+    fresh.write.mode("append").parquet(path)
+    total, errors, imported = read.get["total"], read.get["errors"], new.get["imported"]
+    return batch.sparkSession.createDataFrame([(total, imported, total - imported - errors, errors)], "total long, imported long, duplicates long, errors long")

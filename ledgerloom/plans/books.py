@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..domain import Ledger
 from ..operators import accounts, associate, cards, classify, exports, fifo, repair
+from ..scratch import folder, stored
+from ..streaming import association, feeds
 from .registry import query, read_back
 
 D25 = "DECIMAL(25,2)"
@@ -114,13 +117,34 @@ def _(t: Ledger) -> DataFrame:
     return associate.invoices(matched(t), t.invoices, t.companies)
 
 
+def as_they_arrive(t: Ledger, transactions: DataFrame, documents: DataFrame, keys: list[str], days: int) -> DataFrame:
+    """The pairs that a stream of both sides gives, year after year and out of order within each; a last event far ahead decides what is left."""
+    events = stored(association.both_sides(transactions, documents, keys).withColumn("year", F.year("moment")))
+    path = folder(t.spark)
+    years = sorted(r.year for r in events.select("year").distinct().collect())  # one for each year of the data
+    end = events.limit(1).select(*keys, F.lit("2200-01-01").cast("timestamp").alias("moment"), F.lit(-9).cast("long").alias("cents"), F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("id"), F.lit(0).alias("is_tx"))
+    for year in years:
+        events.filter(F.col("year") == year).drop("year").write.mode("append").parquet(path)
+    end.write.mode("append").parquet(path)
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = t.spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 64).parquet(path)
+    return feeds.drained(association.associated(stream, keys, days, "10 days"), "append")
+
+
+@query("as01_receipts_streamed", f"{RECEIPTS_TAKEN} SELECT * FROM taken")
+def _(t: Ledger) -> DataFrame:
+    debits, free = associate.receipt_sides(matched(t), t.receipts)
+    rows = free.select("company_id", "cents", F.col("paid_at").alias("moment"), F.col("receipt_id").alias("doc_id"))
+    return as_they_arrive(t, debits, rows, ["company_id"], 3).withColumnRenamed("doc_id", "receipt_id")
+
+
 @query("cl06_run_summary", f"""{RECEIPTS_TAKEN.replace("play AS", "play_r AS").replace("FROM play ", "FROM play_r ").replace("turns", "turns_r").replace("taken AS", "taken_r AS").replace("pairs AS", "pairs_r AS").replace("JOIN pairs ", "JOIN pairs_r ")},
     {INVOICES_TAKEN.split("AS strategy FROM hit WHERE place = 1), ", 1)[1]}, {DECIDED.split("AS strategy FROM hit WHERE place = 1), ", 1)[1]}
     SELECT company_id, count(*) AS total, count(*) FILTER (result = 'processada') AS processed, count(*) FILTER (result = 'sem_regra') AS without_rule,
     count(*) FILTER (result = 'erro') AS errors, count(*) FILTER (tx_id IN (SELECT tx_id FROM taken_r)) AS receipts, count(*) FILTER (tx_id IN (SELECT tx_id FROM taken)) AS invoices
     FROM decided GROUP BY 1""")
 def _(t: Ledger) -> DataFrame:
-    found = matched(t)
+    found = stored(matched(t))  # three branches build on it
     return classify.summary(decided(t), associate.receipts(found, t.receipts), associate.invoices(found, t.invoices, t.companies))
 
 
@@ -390,6 +414,9 @@ def _(t: Ledger) -> DataFrame:
 
 
 TREE = """SELECT DISTINCT left(code, 1) AS code, CAST(NULL AS VARCHAR) AS parent FROM accounts UNION ALL SELECT code, left(code, 1) FROM accounts"""
+#: chains of the bank accounts of a company, and one account that is its own ancestor
+CHAINS = """SELECT CAST(bank_id AS VARCHAR) AS code, CAST(lag(bank_id) OVER (PARTITION BY company_id, bank_id % 31 ORDER BY bank_id) AS VARCHAR) AS parent FROM banks
+    UNION ALL SELECT 'x' || CAST(company_id AS VARCHAR), 'x' || CAST(company_id AS VARCHAR) FROM companies"""
 
 
 @query("pc01_account_tree", f"""WITH RECURSIVE tree AS ({TREE}), paths AS (SELECT code, code AS path, 1 AS depth FROM tree WHERE parent IS NULL
@@ -398,7 +425,17 @@ TREE = """SELECT DISTINCT left(code, 1) AS code, CAST(NULL AS VARCHAR) AS parent
 def _(t: Ledger) -> DataFrame:
     leaves = t.accounts.select("code", F.left("code", F.lit(1)).alias("parent"))
     roots = leaves.select(F.col("parent").alias("code"), F.lit(None).cast("string").alias("parent")).distinct()
-    return accounts.tree(roots.unionByName(leaves))
+    return accounts.tree(roots.unionByName(leaves)).select("code", "path", "depth")
+
+
+@query("pc01_deep_tree", f"""WITH RECURSIVE tree AS ({CHAINS}), paths AS (SELECT code, code AS path, 1 AS depth FROM tree WHERE parent IS NULL
+    UNION ALL SELECT t.code, p.path || '>' || t.code, p.depth + 1 FROM tree t JOIN paths p ON t.parent = p.code)
+    SELECT code, path, CAST(depth AS INTEGER) AS depth, CAST(NULL AS VARCHAR) AS error FROM paths UNION ALL SELECT code, NULL, NULL, 'no root' FROM tree WHERE code = parent""")
+def _(t: Ledger) -> DataFrame:
+    before = F.lag("bank_id").over(W.partitionBy("company_id", F.col("bank_id") % 31).orderBy("bank_id"))
+    chains = t.banks.select(F.col("bank_id").cast("string").alias("code"), before.cast("string").alias("parent"))
+    own = F.concat(F.lit("x"), F.col("company_id").cast("string"))
+    return accounts.tree(chains.unionByName(t.companies.select(own.alias("code"), own.alias("parent"))))
 
 
 @query("pc02_import_missing_parents", """WITH w AS (SELECT code || '.' || '9' || '.1' AS code FROM accounts WHERE NOT deleted),
@@ -604,6 +641,14 @@ def _(t: Ledger) -> DataFrame:
     return repair.mock_feed(t.banks.select(F.concat(F.lit("acc"), F.col("bank_id").cast("string")).alias("account")), "2024-01-01", "2024-01-10")
 
 
+@query("ag20_observed_import", """SELECT count(*) AS total, count(DISTINCT tx_id) FILTER (dc = 'C' AND tx_id NOT IN (SELECT tx_id FROM transactions WHERE status = 'processada')) AS imported,
+    count(*) FILTER (dc = 'C') - count(DISTINCT tx_id) FILTER (dc = 'C' AND tx_id NOT IN (SELECT tx_id FROM transactions WHERE status = 'processada')) AS duplicates, count(*) FILTER (dc <> 'C') AS errors FROM postings""")
+def _(t: Ledger) -> DataFrame:
+    """The same figures, counted while the new rows are written."""
+    batch = t.postings.select(F.col("tx_id").alias("key"), F.when(F.col("dc") != "C", "side").alias("error"))
+    return repair.imported(batch, t.transactions.filter("status = 'processada'").select(F.col("tx_id").alias("key")), folder(t.spark))
+
+
 @query("ag20_import_summary", """SELECT count(*) AS total, count(DISTINCT tx_id) FILTER (dc = 'C' AND tx_id NOT IN (SELECT tx_id FROM transactions WHERE status = 'processada')) AS imported,
     count(*) FILTER (dc = 'C') - count(DISTINCT tx_id) FILTER (dc = 'C' AND tx_id NOT IN (SELECT tx_id FROM transactions WHERE status = 'processada')) AS duplicates, count(*) FILTER (dc <> 'C') AS errors FROM postings""")
 def _(t: Ledger) -> DataFrame:

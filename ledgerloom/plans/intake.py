@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..domain import Ledger
 from ..functions import numbers
 from ..operators import ledger, repair
-from ..scratch import stored
+from ..scratch import folder, stored
 from ..sources import invoice_xml, ofx, statement, tables
 from ..streaming import feeds
 from .imports import on_disk
@@ -135,9 +135,9 @@ def _(t: Ledger) -> DataFrame:
     FROM card_rows r JOIN bills b ON r.bill = b.bill""")
 def _(t: Ledger) -> DataFrame:
     bills = t.card_invoices.select(F.concat_ws("/", "card_id", "month").alias("bill"), "status")
-    rows = tables.card_entries(card_rows(t))
-    stored = t.transactions.filter("status = 'processada'").select((F.col("tx_id") * 2).alias("line"))
-    return tables.card_import(rows, bills, rows.join(stored, "line")).select("bill", "line", "identity", "outcome")
+    rows = stored(tables.card_entries(card_rows(t)))  # parsed once for both sides
+    known = t.transactions.filter("status = 'processada'").select((F.col("tx_id") * 2).alias("line"))
+    return tables.card_import(rows, bills, rows.join(known, "line")).select("bill", "line", "identity", "outcome")
 
 
 def xml_files(t: Ledger) -> DataFrame:
@@ -307,10 +307,19 @@ def _(t: Ledger) -> DataFrame:
     b AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM a)
     SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM b GROUP BY user_id, k""")
 def _(t: Ledger) -> DataFrame:
-    return feeds.sessions(t.raw("events"))
+    return feeds.drained(feeds.sessions(feeds.stream(t.spark, f"{t.sf_dir}/events.parquet")), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 
 
 @query("st_events_once", "SELECT count(DISTINCT event_id) AS n FROM events")
 def _(t: Ledger) -> DataFrame:
     found = feeds.drained(feeds.once(feeds.stream(t.spark, f"{t.sf_dir}/events.parquet")).select("event_id", "ts"), "append")
     return found.agg(F.count("*").alias("n"))
+
+
+@query("st_events_appended", "SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id FROM events) GROUP BY 1")
+def _(t: Ledger) -> DataFrame:
+    """Events appended to a table twice, by two streams that know nothing of one another."""
+    target = folder(t.spark)
+    for _ in range(2):
+        feeds.appended(feeds.stream(t.spark, f"{t.sf_dir}/events.parquet"), target, "event_id")
+    return t.spark.read.parquet(target).groupBy("event_id").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from ..domain import Ledger
 from ..functions import text
 from ..functions.dates import day_bounds
 from ..operators import exports, reports, stats, validation
+from ..scratch import folder
 from .registry import query, read_back
 
 FIRST, LAST = "1997-01-01", "1998-12-31"
@@ -241,6 +242,13 @@ def _(t: Ledger) -> DataFrame:
     return exports.allowed(t.transactions, t.permits, 1, "extrato").select("tx_id")
 
 
+@query("prj11_pruned_access", "SELECT tx_id, company_id FROM transactions WHERE company_id IN (SELECT company_id FROM permits WHERE user_id = 1 AND (list_contains(string_split(modules, ','), 'extrato') OR modules = '*'))")
+def _(t: Ledger) -> DataFrame:
+    """The same access over a layout by company."""
+    laid = exports.laid_out(t.transactions, folder(t.spark))
+    return exports.allowed(laid, t.permits, 1, "extrato").select("tx_id", "company_id")
+
+
 @query("jn01_company_permits", """SELECT p.company_id, p.user_id, p.modules, user_name FROM permits p JOIN companies c ON p.company_id = c.company_id
     JOIN users u ON u.user_id = p.user_id AND u.tenant_id = c.tenant_id WHERE c.active""")
 def _(t: Ledger) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.exports import unseen
 from ..scratch import folder as new_folder
 
 
@@ -45,6 +46,25 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataF
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def appended(events: DataFrame, target: str, key: str) -> None:
+    """Appends all that a stream has now to the table at `target`, each key once for ever.
+
+    A batch meets the keys that are stored by other batches, however long ago, and overwrites its own folder, so
+    that a batch that is run again, after a failure or by a stream without its checkpoint, changes nothing.
+    """
+    spark = events.sparkSession
+    schema = f"{key} {dict(events.dtypes)[key]}, batch long"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        there = spark.read.schema(schema).option("basePath", target).parquet(target).filter(F.col("batch") != batch)
+        unseen(rows, there, key).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    query = events.writeStream.option("checkpointLocation", f"{new_folder(spark)}/state").foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def drained(result: DataFrame, mode: str) -> DataFrame:
     """All that a stream gives for the files there are now, written to the shared folder and read back."""
     spark = result.sparkSession

@@ -33,9 +33,9 @@ ADVANCE_WORDS = ["ADTO", "ADIANTAMENTO"]
 
 # Bank codes and acronyms.
 BANKS = {
-    "001": "BB", "033": "SANTANDER", "077": "INTER", "084": "UNIPRIME", "104": "CEF", "237": "BRADESCO", "260": "NU",
-    "290": "PAGSEGURO", "336": "C6", "341": "ITAU", "356": "BMG", "389": "MERCANTIL", "422": "SAFRA", "745": "CITIBANK",
-    "748": "SICREDI", "756": "SICOOB",
+    "001": "BB", "033": "SANTANDER", "077": "INTER", "104": "CEF", "237": "BRADESCO", "341": "ITAU", "356": "BMG",
+    "389": "MERCANTIL", "422": "SAFRA", "745": "CITIBANK", "756": "SICOOB", "084": "UNIPRIME", "748": "SICREDI", "336": "C6",
+    "260": "NU", "290": "PAGSEGURO",
 }
 
 # Account kind by the first digit of a legacy code.

@@ -83,6 +83,18 @@ def imported(rows: DataFrame, there: DataFrame, deepest: int = DEEPEST) -> DataF
     return joined.select("company_id", "line", "code", "label", "kind", "kind_sa", outcome.alias("outcome"), parent.alias("parent"))
 
 
+def account_number(c: Column) -> Column:
+    """An account's number as an import gives it: a whole number, or null where it is none."""
+    text = F.regexp_replace(stripped(c.cast("string")), r"(?<=\d)_(?=\d)", "")
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+
+
+def numbered(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Imported accounts with the number that their line has: company_id, code and number; `rows` has company_id, line and number."""
+    own = rows.select("company_id", "line", account_number(F.col("number")).alias("number"))
+    return found.filter("outcome = 'imported'").join(own, ["company_id", "line"]).select("company_id", "code", "number")
+
+
 def after_import(found: DataFrame, there: DataFrame) -> DataFrame:
     """company_id, code, parent and kind_sa of a chart after an import; accounts that get children become `S`.
 

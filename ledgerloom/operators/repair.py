@@ -173,6 +173,20 @@ def sync_states(connections: DataFrame, mapped: DataFrame, fresh: DataFrame, now
     )
 
 
+#: characters of a failure's message that are kept: a fixed value
+MESSAGE = 500
+
+
+def failed_syncs(connections: DataFrame, failures: DataFrame) -> DataFrame:
+    """Connections whose provider failed, with the beginning of its message; what was synced before stays as it was.
+
+    `failures` has company_id, item_id and message; of several the least counts.
+    """
+    keys = ["company_id", "item_id"]
+    told = failures.groupBy(*keys).agg(F.left(F.min(F.coalesce("message", F.lit(""))), F.lit(MESSAGE)).alias("error"))
+    return connections.drop("status", "error").join(told, keys).withColumn("status", F.lit("erro"))
+
+
 def mock_feed(accounts: DataFrame, first: str, last: str) -> DataFrame:
     """Made transactions of each account: up to three on a weekday and one on others, the same ones on every run."""
     days = accounts.select("account", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))

@@ -491,6 +491,15 @@ def _(t: Ledger) -> DataFrame:
     return accounts.after_import(accounts.imported(chart_rows(t), there), there)
 
 
+@query("pc02_account_numbers", f"""WITH {CHART} SELECT company_id, code, CASE WHEN line % 3 = 0 THEN line WHEN line % 3 = 1 THEN -line END AS number FROM done WHERE outcome = 'imported' OR outcome LIKE 'parent _'""")
+def _(t: Ledger) -> DataFrame:
+    """Numbers with a sign and blanks, and texts that are none."""
+    rows = chart_rows(t)
+    line = F.col("line").cast("string")
+    given = F.when(F.col("line") % 3 == 0, F.concat(F.lit(" +"), line, F.lit(" "))).when(F.col("line") % 3 == 1, F.concat(F.lit("-"), line)).otherwise(F.concat(line, F.lit(".5")))
+    return accounts.numbered(accounts.imported(rows, live_chart(t)), rows.withColumn("number", given))
+
+
 @query("pc03_delete_guards", """WITH tree AS (SELECT company_id, code, left(code, 1) AS parent FROM charts WHERE NOT deleted UNION ALL SELECT DISTINCT company_id, left(code, 1), NULL FROM charts)
     SELECT company_id, code, (company_id, code) IN (SELECT (company_id, parent) FROM tree WHERE parent IS NOT NULL) AS children, (company_id, code) IN (SELECT (company_id, code) FROM rules WHERE active) AS ruled,
     (company_id, code) IN (SELECT (company_id, code) FROM postings) OR (company_id, code) IN (SELECT (c.company_id, '6.' || right(e.month, 2)) FROM card_entries e JOIN cards c ON e.card_id = c.card_id) AS moved FROM tree""")
@@ -632,6 +641,16 @@ def _(t: Ledger) -> DataFrame:
 DRAWN = "CAST(('0x' || left(md5({0}), 8)) AS BIGINT)"
 
 
+@query("ob01_failed_syncs", """WITH c AS (SELECT DISTINCT user_id % 25 AS company_id, 'item' || CAST(user_id AS VARCHAR) AS item_id, user_id FROM events)
+    SELECT company_id, item_id, 'erro' AS status, left('provider ' || repeat('x', CAST(user_id % 700 AS INTEGER)), 500) AS error, TIMESTAMP '2024-01-20 08:00:00' AS last_sync FROM c WHERE user_id % 3 = 0""")
+def _(t: Ledger) -> DataFrame:
+    users = t.raw("events").select("user_id").distinct()
+    own = users.select((F.col("user_id") % 25).alias("company_id"), F.concat(F.lit("item"), F.col("user_id").cast("string")).alias("item_id"), "user_id")
+    connections = own.select("company_id", "item_id", F.lit("ativa").alias("status"), F.lit("2024-01-20 08:00:00").cast("timestamp_ntz").alias("last_sync"))
+    failures = own.filter("user_id % 3 = 0").select("company_id", "item_id", F.concat(F.lit("provider "), F.repeat(F.lit("x"), (F.col("user_id") % 700).cast("int"))).alias("message"))
+    return repair.failed_syncs(connections, failures)
+
+
 @query("src14_mock_feed", f"""WITH d AS (SELECT 'acc' || CAST(bank_id AS VARCHAR) AS account, CAST(unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-11', INTERVAL 1 DAY)) AS DATE) AS day FROM banks),
     n AS (SELECT account, day, {DRAWN.format("account || '|' || CAST(day AS VARCHAR)")} % CASE WHEN isodow(day) < 6 THEN 4 ELSE 2 END AS n FROM d),
     r AS (SELECT account, day, CAST(unnest(range(0, n)) AS VARCHAR) AS i FROM n), k AS (SELECT *, account || '|' || CAST(day AS VARCHAR) || '|' || i AS k FROM r)

@@ -140,6 +140,17 @@ def _(t: Ledger) -> DataFrame:
     return tables.card_import(rows, bills, rows.join(known, "line")).select("bill", "line", "identity", "outcome")
 
 
+@query("cc02_purchase_ids", f"""WITH {CARD_ROWS}, bills AS (SELECT CAST(card_id AS VARCHAR) || '/' || month AS bill, status FROM card_invoices),
+    h AS (SELECT r.bill, r.identity, sha1(unhex(md5(r.bill)) || encode(r.identity)) AS h FROM card_rows r JOIN bills b ON r.bill = b.bill
+        WHERE b.status <> 'paga' AND error IS NULL AND r.line % 2 = 0)
+    SELECT bill, identity, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', CAST((instr('0123456789abcdef', h[17]) - 1) % 4 AS INTEGER) + 1, 1) || h[18:20] || '-' || h[21:32] AS purchase_id FROM h""")
+def _(t: Ledger) -> DataFrame:
+    bills = t.card_invoices.select(F.concat_ws("/", "card_id", "month").alias("bill"), "status")
+    rows = stored(tables.card_entries(card_rows(t)))
+    uuids = bills.select("bill", F.regexp_replace(F.md5("bill"), r"^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-").alias("uuid"))
+    return tables.purchases(tables.card_import(rows, bills, rows.limit(0)), uuids).select("bill", "identity", "purchase_id")
+
+
 def xml_files(t: Ledger) -> DataFrame:
     """A document for each live invoice, some of them unsafe, not authorised or without a field."""
     c = F.col

@@ -3,7 +3,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..domain import Ledger, cte
@@ -36,8 +35,10 @@ def read_back(t: Ledger, rows: DataFrame, headers: dict[str, str] | None = None)
     names = {(headers or {}).get(c, c): c for c in rows.columns}
     place = {c: i for i, c in enumerate(names, 1)}
     values = [F.max(F.when(F.col("col") == place[h], F.col("text"))).alias(c) for h, c in names.items()]
+    rows = cells.groupBy("file", "row").agg(*values)
     # headers must stand where they were written
-    heads = F.create_map(*[F.lit(x) for h, i in place.items() for x in (i, h)])
-    right = F.min(F.when(F.col("row") == 1, F.col("text") == heads[F.col("col")]).otherwise(True)).over(W.partitionBy("file"))
-    sound = cells.filter("error IS NULL").withColumn("_right", right).filter("_right AND row > 1")
-    return sound.groupBy("file", "row").agg(*values).drop("file", "row")
+    right = F.lit(True)
+    for h, c in names.items():
+        right &= F.col(c).eqNullSafe(F.lit(h))
+    entry = F.when(F.col("row") > 1, True).otherwise(F.when(right, False).otherwise(F.raise_error(F.lit("other headers")).cast("boolean")))
+    return rows.filter(entry).drop("file", "row")

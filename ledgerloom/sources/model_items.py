@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ def transactions(items: DataFrame, year: int) -> DataFrame:
     raw = first_of(item, AMOUNT_NAMES)
     plain = F.bround(F.regexp_replace(F.replace(raw, F.lit("R$"), F.lit("")), "[  ]", "").try_cast("decimal(25,6)"), 2).cast("decimal(15,2)")
     rows = rows.select("file", "n", "_i", F.coalesce(iso, statement_date(day, year)).alias("date"), F.coalesce(plain, statement_amount(raw)).alias("amount"))
-    side = F.upper(F.coalesce(*[item[n] for n in SIDE_NAMES]))
+    # the first of these names that an item has counts, even where it holds nothing
+    side = F.upper(reduce(lambda rest, n: F.when(F.map_contains_key(item, n), item[n]).otherwise(rest), reversed(SIDE_NAMES), F.lit(None).cast("string")))
     amount = F.col("amount")
     signed = F.when(side.isin(*DEBIT_WORDS) & (amount > 0), -amount).when(side.isin(*CREDIT_WORDS) & (amount < 0), -amount).otherwise(amount)
     history = F.coalesce(first_of(item, TEXT_NAMES), F.lit(NO_TEXT))

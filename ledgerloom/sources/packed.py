@@ -30,8 +30,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from . import tables
 
-#: bytes of files that one task reads, and of values in one batch of rows
-TASK_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+#: bytes of files that one task reads at most and at least, and tasks that a small folder is dealt to
+TASK_BYTES, LEAST_BYTES, TASKS = 32 << 20, 64 << 10, 64
+#: bytes of values in one batch of rows
+BATCH_BYTES = 4 << 20
 #: rows of a written sheet; further rows go to another file
 SHEET_ROWS = 1_000_000
 CELLS = "file string, row int, col int, text string, kind string, error string"
@@ -59,7 +61,8 @@ class Share(InputPartition):
 
 
 def dealt(files: list[tuple[str, int]], parts=None) -> list[Share]:
-    """Tasks of about TASK_BYTES; `parts` gives the pieces of a file that is larger."""
+    """Tasks of equal size, TASK_BYTES at most; `parts` gives the pieces of a file that is larger than that."""
+    share = min(TASK_BYTES, max(LEAST_BYTES, sum(n for _, n in files) // TASKS))
     out: list[Share] = []
     held: list[tuple[str, int | None, int | None]] = []
     size = 0
@@ -69,7 +72,7 @@ def dealt(files: list[tuple[str, int]], parts=None) -> list[Share]:
             continue
         held.append((path, None, None))
         size += n
-        if size >= TASK_BYTES:
+        if size >= share:
             out.append(Share(held))
             held, size = [], 0
     return [*out, Share(held)] if held else out

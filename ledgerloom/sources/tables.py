@@ -97,6 +97,15 @@ def card_import(rows: DataFrame, bills: DataFrame, there: DataFrame) -> DataFram
     return joined.withColumn("outcome", outcome).drop("_status", "_first", "_known")
 
 
+def purchases(imported: DataFrame, bills: DataFrame) -> DataFrame:
+    """New lines of a card import with the purchase's id: a UUID of its identity in the space of its bill's UUID.
+
+    `imported` is what `card_import` gives, `bills` has bill and uuid.
+    """
+    new = imported.filter("outcome = 'new'").join(bills.select("bill", "uuid"), "bill")
+    return new.withColumn("purchase_id", hashing.name_uuid(F.col("uuid"), F.col("identity"))).drop("uuid")
+
+
 def _is_date(code: str) -> bool:
     return bool(re.search(r"[dmyh]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code.lower())))
 
@@ -130,21 +139,34 @@ def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str, str]]:
                 shared.append("".join(t.text or "" for t in item.iter() if _tag(t) == "t"))
         dates = _date_styles(z)
         sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-        for cell in ElementTree.fromstring(z.read(sheet)).iter():
-            if _tag(cell) != "c":
+        root = ElementTree.fromstring(z.read(sheet))
+        space = root.tag[: -len(_tag(root))]
+        numbers: dict[str, int] = {}
+        for cell in root.iter(f"{space}c"):
+            place, kind = cell.get("r"), cell.get("t")
+            letters = place.rstrip("0123456789")
+            if letters not in numbers:
+                numbers[letters] = column_number(letters)
+            value = cell.find(f"{space}v")
+            text = (value.text or "" if value is not None else "") + "".join(t.text or "" for t in cell.iter(f"{space}t"))
+            if not text:
                 continue
-            letters, number = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
-            column = 0
-            for c in letters:
-                column = column * 26 + ord(c) - 64
-            text = "".join(t.text or "" for t in cell.iter() if _tag(t) in "vt")
-            kind = "s" if cell.get("t") in ("s", "str", "inlineStr") else "n"
-            if cell.get("t") == "s" and text:
+            if kind == "s":
                 text = shared[int(text)]
-            elif kind == "n" and text and int(cell.get("s", 0)) in dates:
-                kind, text = "d", (datetime(1899, 12, 30) + timedelta(days=float(text))).isoformat(timespec="seconds")
+            elif kind not in ("str", "inlineStr"):
+                if int(cell.get("s", 0)) in dates:
+                    yield int(place[len(letters) :]), numbers[letters], (datetime(1899, 12, 30) + timedelta(days=float(text))).isoformat(timespec="seconds"), "d"
+                    continue
+                kind = None
             if text:
-                yield int(number), column, text, kind
+                yield int(place[len(letters) :]), numbers[letters], text, "s" if kind else "n"
+
+
+def column_number(letters: str) -> int:
+    out = 0
+    for c in letters:
+        out = out * 26 + ord(c) - 64
+    return out
 
 
 _SPACE = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"

@@ -32,7 +32,7 @@ def test_a_hot_set_of_values_is_small_before_it_is_put_in_order(spark):
     frame = spark.createDataFrame(rows, READ)
     assert sorted(r.n for r in ledger.without_rereads(frame).collect()) == list(range(7))
     lot = F.nullif(F.trim("lot"), F.lit(""))
-    named = frame.withColumns({"_set": F.lit("x"), "_on": F.col("day").cast("string"), "_in": lot, "_lot_or_day": F.coalesce(F.concat(F.lit("="), lot), F.col("day").cast("string"))})
+    named = frame.withColumns({"_in": lot, "_lot": F.coalesce(F.concat(F.lit("="), lot), F.col("day").cast("string"))})
     assert ledger.kept_pairs(named).count() == 7
 
 

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks
-from .linear import bounded_sample, held_out, svm
+from .linear import bounded_sample, distinct_sample, held_out, svm
 
-#: rows of each language to learn from, at most (about)
-SAMPLE = 1500
+#: rows of each language to learn from, at most (about), of all languages together, and of each however many there are
+SAMPLE, TOTAL, LEAST = 1500, 24_000, 30
 BITS = 11
 #: languages by family; a language not listed is a family of its own: fixed values
 FAMILIES = {
@@ -103,7 +103,9 @@ def fit(docs: DataFrame, modulus: int = 3, remainder: int = 1, sample: int = SAM
     rows = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", modulus, remainder)
     )
-    rows = bounded_sample(rows, sample, F.col("doc_id"), F.col("lang")).coalesce(8)
+    langs = docs.filter("lang IS NOT NULL").agg(F.count_distinct("lang").alias("n")).first().n
+    sample = min(sample, max(LEAST, TOTAL // max(1, langs)))
+    rows = distinct_sample(bounded_sample(rows, sample, F.col("doc_id"), F.col("lang")), sample, F.col("lang")).coalesce(8)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

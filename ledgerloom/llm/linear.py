@@ -26,6 +26,14 @@ def bounded_sample(rows: DataFrame, n: int, by: Column, strata: Column | None =
     return stored(rows.join(stored(share), "stratum").filter(cut < F.col("share")).drop("share", "stratum"))
 
 
+def distinct_sample(rows: DataFrame, n: int, strata: Column | None = None) -> DataFrame:
+    """About `n` (of each stratum) of the distinct rows of a sample by doc_id, with doc_id and text.
+
+    The sample is bounded by its ids; where ids or rows repeat, it is bounded again by what is left once equal rows are one.
+    """
+    return bounded_sample(rows.distinct(), n, F.xxhash64("doc_id", "text"), strata)
+
+
 def descend(gradient, size: int, step: float, rounds: int) -> np.ndarray:
     """Accelerated gradient descent from zero."""
     w = v = np.zeros(size)

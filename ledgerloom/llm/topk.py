@@ -27,6 +27,7 @@ for |component| up to about 2 ** 20.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -269,11 +270,19 @@ def by_length(batch: pa.RecordBatch, size: int = 4096):
             yield int(dim), some, matrix(batch.column("v").take(pa.array(some)), len(some))
 
 
+def candidates(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of each ball, once for every block of queries of which one reaches the ball; other rows are left behind.
+
+    The pairs of blocks and balls are no more than the balls, whose number is bounded, times the blocks.
+    """
+    wanted = chosen.select(F.col("query_block").alias("asked_by"), F.explode("cells").alias("cell")).distinct()
+    return rows.join(wanted, "cell")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score over (vec_id, v); `is_query` says which rows are queries."""
     n = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("v")).alias("dim")).first()
     block = block or max(256, BLOCK_NUMBERS // max(1, n.dim or 1))
-    query_blocks = max(1, -(-n.q // block))
     cut = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / max(1, n.n))))
     cells = Cells(vectors.select("vec_id", "v").filter(cut).limit(2 * SAMPLE).collect(), n.n, block)
 
@@ -288,11 +297,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int | None =
     salt = F.floor(F.rand(20240229) * (1 << 30))  # equal rows are dealt apart; what was drawn is written down
     rows = vectors.select("vec_id", "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"), salt.alias("salt"))
     placed = stored(rows.mapInArrow(place, "vec_id long, v array<double>, dim int, asks boolean, salt long, pivot int, away double"))
-    found = placed.groupBy("dim", "pivot").agg(F.max("away").alias("away"), F.count("*").alias("rows")).orderBy("dim", "pivot").collect()
+    found = placed.groupBy("dim", "pivot").agg(F.max("away").alias("away"), F.count("*").alias("rows"), F.count_if("asks").alias("asks"))
+    found = found.orderBy("dim", "pivot").collect()
     cells.measured(found)
     blocks = F.array(*[F.lit(max(1, -(-r.rows // block))) for r in found]) if found else F.array(F.lit(1))
     spark = vectors.sparkSession
-    numbered = spark.createDataFrame([(r.dim, r.pivot, i) for i, r in enumerate(found)], "dim int, pivot int, cell int")
+    # queries before each ball's own: those of neighbouring places fill a block together, those of a large ball several
+    before = itertools.accumulate((r.asks for r in found), initial=0)
+    balls = [(r.dim, r.pivot, i, o, max(1, r.asks)) for i, (r, o) in enumerate(zip(found, before, strict=False))]
+    numbered = spark.createDataFrame(balls, "dim int, pivot int, cell int, before long, asks_here long")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,23 +314,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int | None =
                 floors = cells.floors(dim, x, ids[at], k)
                 row, cell = cells.reached(dim, x, floors)
                 counts = np.bincount(row, minlength=len(at))
-                columns = [pa.array(ids[at]), b.column("v").take(pa.array(at)), pa.array(floors), lists_of(cell.astype(np.int32), counts, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "floor", "cells"])
-
-    queries = placed.filter("asks").select("vec_id", "v", "dim").mapInArrow(choose, "vec_id long, v array<double>, floor double, cells array<int>")
-    queries = queries.select("vec_id", "v", "floor", F.explode("cells").alias("cell"))
+                own = [b.column(c).take(pa.array(at)) for c in ("v", "query_block")]
+                columns = [pa.array(ids[at]), *own, pa.array(floors), lists_of(cell.astype(np.int32), counts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "query_block", "floor", "cells"])
+
+    asking = placed.filter("asks").join(F.broadcast(numbered), ["dim", "pivot"])  # at most PIVOTS rows a length
+    at = F.col("before") + F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("asks_here"))
+    asking = asking.select("vec_id", "v", "dim", F.floor(at / block).cast("int").alias("query_block"))
+    chosen = stored(asking.mapInArrow(choose, "vec_id long, v array<double>, query_block int, floor double, cells array<int>"))
+    queries = chosen.select("vec_id", "v", "floor", "query_block", F.explode("cells").alias("cell"))
     queries = queries.select(
         "cell",
         F.explode(F.sequence(F.lit(0).cast("long"), F.get(blocks, F.col("cell")).cast("long") - 1)).alias("block"),
-        F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("query_block"),
+        "query_block",
         "vec_id",
         "v",
         "floor",
     )
-    data = placed.join(F.broadcast(numbered), ["dim", "pivot"]).select(
+    data = candidates(placed.join(F.broadcast(numbered.select("dim", "pivot", "cell")), ["dim", "pivot"]), chosen).select(
         "cell",
         F.pmod("salt", F.get(blocks, F.col("cell")).cast("long")).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
+        F.col("asked_by").alias("query_block"),
         "vec_id",
         "v",
     )

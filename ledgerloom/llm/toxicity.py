@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _BYTE_WEIGHTS, _powers, chunks, mix, power_size, stored
-from .linear import Presence, bounded_sample, held_out, logistic
+from .linear import Presence, bounded_sample, distinct_sample, held_out, logistic
 
 #: labelled rows to learn from, at most (about)
 SAMPLE = 15_000
@@ -98,12 +98,12 @@ def counterfactuals(text: str, groups: list[list[str]]) -> list[str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """A bounded sample of (text, label) whose ids aren't held out."""
+    """A bounded sample of distinct (doc_id, text, label) whose ids aren't held out; an id may stand for any number of rows."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id", modulus, remainder))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     # ids are sampled before texts are met, so that few enough are left for Spark to broadcast them
     chosen = bounded_sample(known, sample, F.col("doc_id"))
-    return stored(docs.select("doc_id", "text").join(chosen, "doc_id"))
+    return distinct_sample(stored(docs.select("doc_id", "text").join(chosen, "doc_id")), sample)
 
 
 def presence(rows: DataFrame) -> DataFrame:

@@ -292,3 +292,96 @@ def test_long_conversations_are_cut_into_segments(spark):
     rows = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"{t}.") for t in range(3000)], "conv_id long, turn long, role string, text string")
     found = dialogue.segments(dialogue.faults(dialogue.damaged(rows)))
     assert found.agg(F.max("turns")).first()[0] <= dialogue.SPAN and found.count() == -(-3000 // dialogue.SPAN)
+
+
+# ---- rounds of earlier operators: bounded samples, and what is dropped before a shuffle
+
+
+def test_samples_are_bounded_by_rows_however_ids_repeat(spark):
+    """One id on thousands of rows, with one text or with many, brings no more rows than the sample has."""
+    from ledgerloom.llm import langid, linear, toxicity
+
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[0], "same text here", "en")] * 3000 + [(ids[1], f"text {i}", "en") for i in range(3000)] + [(i, f"plain {i}", "de") for i in ids[2:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(k % 2)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled(docs, labels, sample=40).count() <= 90
+    known = docs.filter("lang IS NOT NULL")
+    held = linear.distinct_sample(linear.bounded_sample(known, 40, F.col("doc_id"), F.col("lang")), 40, F.col("lang"))
+    assert held.groupBy("lang").count().agg(F.max("count")).first()[0] <= 90
+    assert langid.fit(docs, sample=40)
+
+
+def test_fit_equals_a_dense_solver():
+    """Weights of the toxicity model are those of a plain Newton iteration on the same loss, to 1e-6."""
+    from ledgerloom.llm.linear import Presence, logistic
+
+    rng = np.random.default_rng(5)
+    dense = (rng.random((200, 8)) < 0.3).astype(float)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(dense @ rng.normal(0, 2, 8) - 0.5)))).astype(float)
+    half = rng.normal(0, 0.3, (8, 8))
+    penalty, ridge = half @ half.T, 1e-2
+    x = Presence(np.nonzero(dense)[1], dense.sum(axis=1).astype(int), 8)
+    w, bias = logistic(x, y, ridge, penalty, rounds=20_000)
+    full, v = np.hstack([dense, np.ones((200, 1))]), np.zeros(9)
+    curve = np.zeros((9, 9))
+    curve[:8, :8] = 2 * penalty + ridge * np.eye(8)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-full @ v))
+        v -= np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) / 200 + curve, full.T @ (p - y) / 200 + curve @ v)
+    assert np.abs(np.append(w, bias) - v).max() < 1e-6
+
+
+def test_votes_equal_a_plain_loop():
+    """Winners by pairs, ties by the sum of margins, and the score of the closest pair."""
+    from ledgerloom.llm import langid
+
+    rng = np.random.default_rng(6)
+    classes = ["a", "b", "c", "d"]
+    machines = [(a, b, rng.normal(size=5).astype(np.float32), float(rng.normal())) for a, b in itertools.combinations(range(4), 2)]
+    x = rng.normal(size=(50, 5)).astype(np.float32)
+    best, sure = langid.vote((classes, machines), x)
+    for row, got, score in zip(x, best, sure, strict=True):
+        wins, total, margin = [0] * 4, [0.0] * 4, {}
+        for a, b, w, bias in machines:
+            m = float(row @ w + bias)
+            wins[a if m > 0 else b] += 1
+            total[a] += m
+            total[b] -= m
+            margin[a, b], margin[b, a] = m, -m
+        want = max(range(4), key=lambda c: (wins[c], total[c]))
+        assert got == want
+        closest = min(margin[want, o] for o in range(4) if o != want)
+        assert score == pytest.approx(1 / (1 + math.exp(-4 * closest)), rel=1e-4)
+
+
+def test_balls_are_left_behind_before_vectors_move(spark):
+    """On clustered vectors most rows never meet a block of queries; the results are those of brute force."""
+    from ledgerloom.llm import topk
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 100, (40, 6))
+    v = np.floor(np.repeat(centres, 50, axis=0) + rng.normal(0, 1, (2000, 6)))
+    # queries lie in a few clusters
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    met = []
+    plain = topk.candidates
+
+    def counted(left, chosen):
+        out = plain(left, chosen)
+        met.append((left.count(), chosen.select("query_block").distinct().count(), out.count()))
+        return out
+
+    topk.candidates = counted
+    try:
+        got = {}
+        for r in topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5, block=8).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    finally:
+        topk.candidates = plain
+    ((n, blocks, out),) = met
+    assert n == 2000 and blocks > 2 and out < 0.5 * n * blocks
+    for q in range(0, 2000, 50):
+        score = (v @ v[q]).astype(np.int64)
+        order = [i for i in sorted(range(2000), key=lambda i: (-score[i], i)) if i != q][:5]
+        assert sorted(got[q]) == [(k, i, score[i]) for k, i in enumerate(order, 1)]

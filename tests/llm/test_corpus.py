@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from ledgerloom.llm import decontam, neardup, repeats
 
 
@@ -203,3 +205,25 @@ def test_sorted_neighbours(spark):
         for c, v in before.items():
             spark.conf.set(c, v)
     assert repeats.in_two_texts(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small, head", [(1, 32), (3, 1), (16, 32), (1000, 2)])
+def test_no_link_depends_on_how_full_a_bucket_is(docs, monkeypatch, small, head):
+    """Chains and hubs in buckets on both sides of the sizes at which the way of meeting changes."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "HEAD", head)
+    rng, rows = random.Random(17), []
+    for size in (2, 15, 16, 17, 40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        for k in range(size):
+            if k % 3:  # a chain, whose far ends are unlike
+                words = list(words)
+                words[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+        hub = list(words)
+        for _ in range(size):  # spokes about the threshold from their hub
+            spoke = list(hub)
+            for i in rng.sample(range(80), 2):
+                spoke[i] = f"y{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(spoke)))
+    assert sorted(map(tuple, neardup.classes(docs(rows)).collect())) == brute_classes(rows)

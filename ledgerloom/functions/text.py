@@ -31,6 +31,9 @@ PURCHASE_WORDS = [
 ]
 ADVANCE_WORDS = ["ADTO", "ADIANTAMENTO"]
 
+# Fixed value: an invoice's series.
+SERIES = r"(?i)\bS[ÉE]R(?:IE|\.)?\s*(?:N[ºO]\s*)?[:#-]?\s*([A-Z0-9][A-Z0-9./-]*)"
+
 # Bank codes and acronyms.
 BANKS = {
     "001": "BB", "033": "SANTANDER", "077": "INTER", "104": "CEF", "237": "BRADESCO", "341": "ITAU", "356": "BMG",
@@ -84,8 +87,7 @@ def invoice_number(history: Column) -> Column:
 
 
 def invoice_series(history: Column) -> Column:
-    pattern = r"(?i)\bS[ÉE]R(?:IE|\.)?\s*(?:N[ºO]\s*)?[:#-]?\s*([A-Z0-9][A-Z0-9./-]*)"
-    return F.upper(F.regexp_extract(F.coalesce(history, F.lit("")), pattern, 1))
+    return F.upper(F.regexp_extract(F.coalesce(history, F.lit("")), SERIES, 1))
 
 
 def any_word(upper: Column, words: list[str]) -> Column:

@@ -18,6 +18,7 @@ from ..scratch import stored
 # Shapes of header labels, amounts and entry lines.
 LABEL = r"Débito|Crédito|Saldo-Exercício|Saldo"
 AMOUNT = r"(\d{1,3}(?:\.\d{3})*,\d{2})([CD])?"
+DATED = r"^\s*\d{2}/\d{2}/\d{4}"
 ENTRY = r"^\s*(\d{2}/\d{2}/\d{4})\s+(\S+)"
 TOTALS = r"Total da conta:\s*(\d{1,3}(?:\.\d{3})*,\d{2})\s+(\d{1,3}(?:\.\d{3})*,\d{2})"
 OPENING = r"(?i)SALDO ANTERIOR.*?(\d{1,3}(?:\.\d{3})*,\d{2})([CD])?"
@@ -100,7 +101,7 @@ def entries(lines: DataFrame) -> DataFrame:
     valued = amounts.select(*BLOCK, "n").distinct().withColumn("_valued", F.lit(True))
     rows = rows.join(sums, [*BLOCK, "n"], "left").join(valued, [*BLOCK, "n"], "left")
     plain = stripped(F.col("text"))
-    loose = (plain != "") & ~F.col("text").rlike(r"^\s*\d{2}/\d{2}/\d{4}") & ~F.col("text").contains("Total da conta") & ~plain.startswith("Conta:") & F.col("_valued").isNull()
+    loose = (plain != "") & ~F.col("text").rlike(DATED) & ~F.col("text").contains("Total da conta") & ~plain.startswith("Conta:") & F.col("_valued").isNull()
     order = W.partitionBy(*BLOCK).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("entry", F.last(F.when(F.col("debit").isNotNull(), F.col("n")), ignorenulls=True).over(order)).filter("entry IS NOT NULL")
     own = F.col("debit").isNotNull()
@@ -134,7 +135,7 @@ def checked(lines: DataFrame, found: DataFrame) -> DataFrame:
     head = F.max((F.col("text").contains("Débito") & F.col("text").contains("Crédito")).cast("int"))
     rows = lines.groupBy(*BLOCK).agg(
         first(TOTALS, 1).alias("d"), first(TOTALS, 2).alias("c"), first(OPENING, 1).alias("o"), first(OPENING, 2).alias("opening_side"),
-        F.max(F.col("text").rlike(r"^\s*\d{2}/\d{2}/\d{4}").cast("int")).alias("dated"), head.alias("head"),
+        F.max(F.col("text").rlike(DATED).cast("int")).alias("dated"), head.alias("head"),
     )
     sums = found.groupBy(*BLOCK).agg(F.sum("debit").alias("sd"), F.sum("credit").alias("sc"), F.count("*").alias("entries"))
     zero = F.lit(0).cast("decimal(25,2)")

@@ -142,7 +142,7 @@ def _(t: Ledger) -> DataFrame:
     CAST(sum(debit) + CASE WHEN supplier_id % 3 = 0 THEN 1 ELSE 0 END AS DECIMAL(25,2)) AS debits, CAST(sum(credit) AS DECIMAL(25,2)) AS credits, count(*) FILTER (debit + credit > 0) AS entries, supplier_id % 3 <> 0 AS proved
     FROM numbered GROUP BY supplier_id, k // {FILED}""")
 def _(t: Ledger) -> DataFrame:
-    lines = printed(t)
+    lines = stored(printed(t))  # read for its entries and for what it declares
     return aligned.checked(lines, aligned.entries(lines)).drop("block")
 
 
@@ -151,10 +151,10 @@ def _(t: Ledger) -> DataFrame:
 def _(t: Ledger) -> DataFrame:
     """A model has taken every debit for a credit."""
     lines = printed(t)
-    found = aligned.entries(lines)
+    found = stored(aligned.entries(lines).select("file", "block", "n", "day", "lot", "debit", "credit"))
     zero = F.lit(0).cast("decimal(15,2)")
     read = found.select("file", "block", "n", "day", "lot", zero.alias("debit"), (F.col("debit") + F.col("credit")).cast("decimal(15,2)").alias("credit"), F.lit("COMPRA").alias("kind"))
-    return aligned.by_position(read, lines).select("file", "lot", "debit", "credit", "kind")
+    return aligned.by_position(read, lines, found).select("file", "lot", "debit", "credit", "kind")
 
 
 @query("fn32_repeated_phrases", """SELECT tx_id, h || ' ' || CAST(tx_id AS VARCHAR) || repeat(' ', length(h) + 2) || '9' || CASE WHEN tx_id % 2 = 0 THEN repeat(' ', length(h) + 2) || '1,00C' ELSE '' END AS text

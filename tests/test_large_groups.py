@@ -2,12 +2,14 @@
 
 import datetime
 import random
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import associate, ledger, scans
+from ledgerloom import scratch
+from ledgerloom.operators import aligned, associate, ledger, scans
 from ledgerloom.sources import statement
 
 READ = "supplier_id long, n long, day date, lot string, debit decimal(15,2), credit decimal(15,2), balance decimal(15,2), invoice string"
@@ -148,3 +150,19 @@ def test_one_long_file_is_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(spread) > 1 and max(r["count"] for r in spread) < 400_000
+
+
+def exchanges(frame):
+    return len(set(re.findall(r"\((\d+)\) Exchange", frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted"))))
+
+
+def test_lines_of_ledgers_are_dealt_once(spark):
+    """Header, amounts and continuations meet in one order of the lines, and nothing is written between."""
+    head = "Data       Lote   Histórico                Cta.C.Part.        Débito       Crédito    Saldo-Exercício"
+    entry = "05/01/2024 12     NF 7                      55" + "1.234,50".rjust(head.index("Débito") + 6 - 46)
+    texts = [(f"f{f}", 1, n, x) for f in range(3) for n, x in enumerate([head, entry, "   goes on", "x 9,99"])]
+    lines = spark.createDataFrame(texts, "file string, block int, n int, text string")
+    before = len(scratch._WRITTEN)
+    found = aligned.entries(lines)
+    assert len(scratch._WRITTEN) == before and exchanges(found) == 1
+    assert {(r.file, r.n, float(r.debit), float(r.credit), r.history) for r in found.collect()} == {(f"f{f}", 1, 1234.5, 0.0, "NF 7 goes on x 9,99") for f in range(3)}

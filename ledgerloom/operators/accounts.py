@@ -12,16 +12,29 @@ from . import validation
 DEEPEST = 5
 
 
+#: levels of a tree whose codes are put together before they meet the path above them
+LEVELS = 32
+
+
 def tree(rows: DataFrame) -> DataFrame:
     """code, path, depth and error of each account, from the roots (no parent) down, however deep they go.
 
     What no root leads to, as accounts that are their own ancestors or have an unknown parent, has an error instead.
     """
+    rows = stored(rows.select("code", "parent"))
+    plain = rows.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1 OR code IS NULL").isEmpty()
+    found = forest(rows) if plain else all_paths(rows)
+    none = F.lit(None)
+    lost = rows.filter("parent IS NOT NULL").select("code").distinct().join(found.select("code"), "code", "left_anti")
+    return found.unionByName(lost.select("code", none.cast("string").alias("path"), none.cast("int").alias("depth"), F.lit("no root").alias("error")))
+
+
+def all_paths(rows: DataFrame) -> DataFrame:
+    """Every path from a root, level by level, where a code may stand under several parents."""
     spark = rows.sparkSession
     for most in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
         spark.conf.set(most, "-1")  # an account isn't met again on its own path, so recursion ends
-    rows = stored(rows.select("code", "parent"))  # each level joins it
-    found = spark.sql(
+    return spark.sql(
         """WITH RECURSIVE below(code, path, depth) AS (
             SELECT code, array(code), 1 FROM {rows} WHERE parent IS NULL
             UNION ALL
@@ -29,9 +42,45 @@ def tree(rows: DataFrame) -> DataFrame:
         SELECT code, array_join(path, '>') AS path, depth, CAST(NULL AS STRING) AS error FROM below""",
         rows=rows,
     )
-    none = F.lit(None)
-    lost = rows.filter("parent IS NOT NULL").select("code").distinct().join(found.select("code"), "code", "left_anti")
-    return found.unionByName(lost.select("code", none.cast("string").alias("path"), none.cast("int").alias("depth"), F.lit("no root").alias("error")))
+
+
+def climbed(state: DataFrame, **columns: Column) -> DataFrame:
+    """Accounts that still look up to another (`up`) take over what that one has: its `up`, and `columns` of both.
+
+    So each step doubles how far an account has looked.  `columns` see the account above under the name `o`.
+    """
+    above = state.select([F.col(c).alias(f"_{c}") for c in state.columns])
+    step = state.filter("up IS NOT NULL").join(above, F.col("up") == F.col("_code"))
+    moved = step.select("code", F.col("_up").alias("up"), *[c.alias(n) for n, c in columns.items()])
+    return stored(state.filter("up IS NULL").unionByName(moved))
+
+
+def forest(rows: DataFrame) -> DataFrame:
+    """Paths where each code has one parent, in as many steps as doubling needs.
+
+    First depths alone climb to the roots.  Then the codes of LEVELS levels are put together, the path above each such
+    range is put together from whole ranges, and both meet once.  So long paths are made where they are returned;
+    what is written before is one path in LEVELS of them.
+    """
+    state = stored(rows.select("code", F.col("parent").alias("up"), F.lit(1).alias("depth")))
+    before, done = -1, state.filter("up IS NULL").count()
+    while done > before:  # no account ends at this distance, so none does beyond: what is left has no root
+        state = climbed(state, depth=F.col("depth") + F.col("_depth"))
+        before, done = done, state.filter("up IS NULL").count()
+    depths = state.filter("up IS NULL").select("code", "depth")
+    first = (F.col("depth") - 1) % LEVELS == 0
+    joined = F.concat_ws(">", "_path", "path")
+    parts = rows.join(depths, "code").select(
+        "code", F.when(~first, F.col("parent")).alias("up"), F.col("code").alias("path"), "depth", F.when(first, F.col("parent")).alias("base")
+    )
+    parts = stored(parts)
+    for _ in range((LEVELS - 1).bit_length()):
+        parts = climbed(parts, path=joined, depth=F.col("depth"), base=F.col("_base"))
+    ranges = stored(parts.filter(F.col("depth") % LEVELS == 0).select("code", F.col("base").alias("up"), "path"))
+    while not ranges.filter("up IS NOT NULL").isEmpty():
+        ranges = climbed(ranges, path=joined)
+    above = ranges.select(F.col("code").alias("base"), F.col("path").alias("_path"))
+    return parts.join(above, "base", "left").select("code", joined.alias("path"), "depth", F.lit(None).cast("string").alias("error"))
 
 
 def ancestors(code: Column) -> Column:

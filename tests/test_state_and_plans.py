@@ -145,3 +145,19 @@ def test_sheet_cells(spark, value, want):
     from ledgerloom.functions.numbers import sheet_cell
 
     assert str(spark.createDataFrame([(value,)], "v string").select(sheet_cell(F.col("v")).alias("v")).first().v) == want
+
+
+def test_a_tree_of_many_levels_takes_few_steps(spark):
+    """Branches at all depths, levels around the ranges of 32, and accounts that no root leads to."""
+    parents = {f"a{i}": f"a{i - 1}" if i else None for i in range(200)}
+    parents |= {f"b{i}": f"a{i}" for i in range(200)} | {f"c{i}": f"b{i}" for i in range(0, 200, 7)} | {"r": None, "s": "r", "x": "y", "y": "x", "z": "z", "w": "nobody", "u": "w"}
+
+    def path(code):
+        return [code] if parents[code] is None else [*path(parents[code]), code]
+
+    lost = {"x", "y", "z", "w", "u"}
+    rows = spark.createDataFrame(list(parents.items()), "code string, parent string")
+    found = accounts.tree(rows)
+    assert "UnionLoop" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.code: (r.path, r.depth, r.error) for r in found.collect()}
+    assert got == {c: (None, None, "no root") if c in lost else (">".join(path(c)), len(path(c)), None) for c in parents}

@@ -34,8 +34,9 @@ from . import tables
 TASK_BYTES, LEAST_BYTES, TASKS = 32 << 20, 64 << 10, 64
 #: bytes of values in one batch of rows
 BATCH_BYTES = 4 << 20
-#: rows of a written sheet; further rows go to another file
-SHEET_ROWS = 1_000_000
+#: rows and bytes of a written sheet, far within the limits of reading and small enough to be read in one go;
+#: further rows go to another file
+SHEET_ROWS, SHEET_BYTES = 1_000_000, 16 << 20
 CELLS = "file string, row int, col int, text string, kind string, error string"
 MEMBERS = "file string, name string, content binary, error string"
 FILES = "file string, content binary"
@@ -236,22 +237,23 @@ class FileWriter(Staged):
 
 
 class WorkbookWriter(Staged):
-    """One workbook for each partition that has rows, and another after every SHEET_ROWS of them."""
+    """One workbook for each partition that has rows, and another after every SHEET_ROWS or SHEET_BYTES of them."""
 
     def __init__(self, path: str, overwrite: bool, names: list[str]):
         super().__init__(path, overwrite)
         self.names = names
 
     def task(self, rows: Iterator, put, number: int) -> None:
-        sheet, n = None, 0
+        sheet, files = None, 0
         for r in rows:
-            if n % SHEET_ROWS == 0:
-                if sheet:
-                    sheet.close()
-                sheet = tables.SheetWriter(put(f"part-{number:05d}-{n // SHEET_ROWS:03d}.xlsx"))
+            if sheet and (sheet.n > SHEET_ROWS or sheet.size >= SHEET_BYTES):
+                sheet.close()
+                sheet = None
+            if not sheet:
+                sheet = tables.SheetWriter(put(f"part-{number:05d}-{files:03d}.xlsx"))
                 sheet.row(self.names)
+                files += 1
             sheet.row(list(r))
-            n += 1
         if sheet:
             sheet.close()
 

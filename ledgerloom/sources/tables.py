@@ -196,7 +196,7 @@ class SheetWriter:
     """A workbook of one sheet, written row by row; cells are texts, numbers, booleans, dates or empty (None)."""
 
     def __init__(self, target):
-        self.target, self.archive, self.n = target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED), 0
+        self.target, self.archive, self.n, self.size = target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED), 0, 0
         for name, text in _PARTS.items():
             self.archive.writestr(name, text)
         self.sheet = self.archive.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
@@ -220,7 +220,9 @@ class SheetWriter:
         while len(self.letters) < len(values):
             self.letters.append(column_letters(len(self.letters) + 1))
         body = "".join(self.cell(v, f"{x}{self.n}") for v, x in zip(values, self.letters, strict=False))
-        self.sheet.write(f'<row r="{self.n}">{body}</row>'.encode())
+        line = f'<row r="{self.n}">{body}</row>'.encode()
+        self.size += len(line)
+        self.sheet.write(line)
 
     def close(self) -> None:
         self.sheet.write(b"</sheetData></worksheet>")

@@ -3,6 +3,7 @@
 import datetime
 import io
 import os
+import random
 import zipfile
 from decimal import Decimal
 
@@ -143,3 +144,17 @@ def test_scratch_tables_can_be_deleted(sources):
     assert not scratch._WRITTEN
     with pytest.raises(Exception):  # noqa: B017  the files are gone
         kept.collect()
+
+
+def test_written_sheets_stay_within_the_limits_of_reading():
+    """Rows of more bytes than a workbook may have go to several, each of which can be read."""
+    rng = random.Random(3)
+    kept, texts = [], [rng.randbytes(500_000).hex() for _ in range(110)]
+
+    def put(name):
+        kept.append(tables._Kept())
+        return kept[-1]
+
+    packed.WorkbookWriter("unused", False, ["text"]).task(iter([(x,) for x in texts]), put, 0)
+    read = [[c[2] for c in tables.sheet_cells(f.content)] for f in kept]
+    assert [x for own in read for x in own[1:]] == texts and {own[0] for own in read} == {"text"}

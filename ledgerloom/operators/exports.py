@@ -87,16 +87,27 @@ def refused_companies(companies: DataFrame) -> DataFrame:
     return companies.filter(~taxid.is_valid(F.col("tax_id"))).select("company_id", "tax_id")
 
 
+def with_transactions(kept: DataFrame, tx: DataFrame) -> DataFrame:
+    """Invoices beside the transaction that each is associated with, if any.
+
+    Most have none; by a second key, 0 for the others, those are not all dealt to one task.
+    """
+    spread = F.when(F.col("tx_id").isNull(), F.xxhash64("invoice_id")).otherwise(0)
+    return kept.withColumn("_spread", spread).join(tx.withColumn("_spread", F.lit(0).cast("long")), ["tx_id", "_spread"], "left").drop("_spread")
+
+
 def invoices(rows: DataFrame, companies: DataFrame, transactions: DataFrame, name: str) -> DataFrame:
     """An invoice export of all companies with a valid tax id: live invoices of a kind that the company issued or
     received, by day of issue, with the transaction that each is associated with."""
     kind, party = INVOICE_EXPORTS[name]
-    own = companies.filter(taxid.is_valid(F.col("tax_id"))).select("company_id", digits_only(F.col("tax_id")).alias("_own"))
+    # grouped, since Spark would infer the check of digits, written out over the company's key, for every row that joins it
+    own = companies.groupBy("company_id").agg(F.any_value("tax_id").alias("_tax_id")).filter(taxid.is_valid(F.col("_tax_id")))
+    own = own.select("company_id", digits_only(F.col("_tax_id")).alias("_own"))
     kept = live(rows).filter(F.col("kind") == kind).join(own, "company_id")
     kept = kept.filter(digits_only(F.coalesce(party, F.lit(""))) == F.col("_own"))
     tx = transactions.select("tx_id", iso_day(F.col("moment")).alias("tx_day"), F.col("amount").alias("tx_amount"))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return kept.join(tx, "tx_id", "left").orderBy("company_id", "issued", "invoice_id").select(
+    return with_transactions(kept, tx).orderBy("company_id", "issued", "invoice_id").select(
         "company_id", F.coalesce(iso_day(F.col("issued")), F.lit("")).alias("day"), blank("number"), blank("series"), blank("issuer"),
         blank("issuer_name"), blank("recipient"), "amount", blank("access_key"), blank("status"), blank("tx_day"), "tx_amount",
     )

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import scratch
-from ledgerloom.operators import aligned, associate, ledger, scans
+from ledgerloom.domain import Ledger
+from ledgerloom.operators import aligned, associate, exports, ledger, scans
 from ledgerloom.sources import statement
 
 READ = "supplier_id long, n long, day date, lot string, debit decimal(15,2), credit decimal(15,2), balance decimal(15,2), invoice string"
@@ -166,3 +167,19 @@ def test_lines_of_ledgers_are_dealt_once(spark):
     found = aligned.entries(lines)
     assert len(scratch._WRITTEN) == before and exchanges(found) == 1
     assert {(r.file, r.n, float(r.debit), float(r.credit), r.history) for r in found.collect()} == {(f"f{f}", 1, 1234.5, 0.0, "NF 7 goes on x 9,99") for f in range(3)}
+
+
+def test_invoices_without_a_transaction_are_dealt_to_all_tasks(spark):
+    kept = spark.range(4000).select(F.col("id").alias("invoice_id"), F.when(F.col("id") % 100 == 0, F.col("id")).alias("tx_id"))
+    tx = spark.range(0, 4000, 200).select(F.col("id").alias("tx_id"), F.lit("x").alias("tx_day"))
+    found = exports.with_transactions(kept, tx.hint("merge"))
+    assert sorted((r.invoice_id, r.tx_day) for r in found.collect()) == [(i, "x" if i % 200 == 0 else None) for i in range(4000)]
+    assert re.search(r"Join LeftOuter, .*_spread", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_tax_ids_are_checked_once_for_each_company(spark):
+    """Their check isn't inferred for the customers and orders that join companies."""
+    t = Ledger(spark, "/root/testdata/sf0.001")
+    plan = exports.invoices(t.invoices, t.companies, t.transactions, "nfse_tomado")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x and "c_nationkey" in x]
+    assert filters and not any("aggregate(" in x for x in filters)

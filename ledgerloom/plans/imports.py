@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,20 +35,23 @@ def sheets(t: Ledger) -> DataFrame:
         "supplier_id", "k", F.to_date("moment").alias("day"), F.concat(F.lit("NF "), F.lpad("invoice", 6, "0")).alias("history"), "debit", "credit",
     )
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        name = int(frame["file"].iloc[0])
+    def build(held: pa.Table) -> pa.Table:
+        name = held["file"][0].as_py()
+        entries = sorted(zip(*(held[c].to_pylist() for c in ("supplier_id", "k", "day", "history", "debit", "credit")), strict=True), key=lambda r: r[:2])
         out: list[list] = [["Empresa:", None, f"Made {name}", "Folha: 1"], [f"C.N.P.J.: {abs(name):014d}"], ["Período: 01/01/2024 - 31/12/2024"], ["Data", "Número", "Histórico", "Cta.C.Part.", "Débito", "Crédito", "Saldo-Exercício"]]
-        for supplier, block in frame.sort_values(["supplier_id", "k"]).groupby("supplier_id"):
-            out.append(["Conta:", int(supplier), "2.1.3", None, "A NAME", "1.2"])
+        for supplier, block in groupby(entries, key=lambda r: r[0]):
+            out.append(["Conta:", supplier, "2.1.3", None, "A NAME", "1.2"])
             out.append([None, None, "SALDO ANTERIOR", None, None, None, -10.5])
-            for r in block.itertuples():
-                out.append([date.fromisoformat(str(r.day)), float(r.k), r.history, 5, str(r.debit) if r.debit else None, r.credit or None, 1])
+            debits = credits = 0
+            for _, k, day, history, debit, credit in block:
+                out.append([day, float(k), history, 5, str(debit) if debit else None, credit or None, 1])
+                debits, credits = debits + debit, credits + credit
             # the totals of every third supplier are off
             off = 1 if supplier % 3 == 0 else 0
-            out.append(["Total da conta:", None, None, None, block["debit"].sum() + off, block["credit"].sum()])
-        return pd.DataFrame({"file": [name], "content": [tables.sheet_bytes(out)]})
+            out.append(["Total da conta:", None, None, None, debits + off, credits])
+        return pa.table({"file": pa.array([name], pa.int64()), "content": pa.array([tables.sheet_bytes(out)], pa.binary())})
 
-    return rows.groupBy("file").applyInPandas(build, "file long, content binary")
+    return rows.groupBy("file").applyInArrow(build, "file long, content binary")
 
 
 @query("src08_workbook_entries", f"""WITH {NUMBERED} SELECT CAST(supplier_id AS VARCHAR) AS code, CAST(moment AS DATE) AS day, CAST(k AS VARCHAR) AS lot, 'NF ' || lpad(invoice, 6, '0') AS history, '5' AS counterpart,

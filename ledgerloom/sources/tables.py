@@ -141,14 +141,20 @@ def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str, str]]:
         sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         root = ElementTree.fromstring(z.read(sheet))
         space = root.tag[: -len(_tag(root))]
+        value_tag, text_tag = f"{space}v", f"{space}t"
         numbers: dict[str, int] = {}
         for cell in root.iter(f"{space}c"):
             place, kind = cell.get("r"), cell.get("t")
             letters = place.rstrip("0123456789")
             if letters not in numbers:
                 numbers[letters] = column_number(letters)
-            value = cell.find(f"{space}v")
-            text = (value.text or "" if value is not None else "") + "".join(t.text or "" for t in cell.iter(f"{space}t"))
+            value, texts = None, []
+            for part in cell:
+                if part.tag != value_tag:
+                    texts += [t.text or "" for t in part.iter(text_tag)]
+                elif value is None:
+                    value = part.text or ""
+            text = (value or "") + "".join(texts)
             if not text:
                 continue
             if kind == "s":

@@ -220,6 +220,13 @@ def _(t: Ledger) -> DataFrame:
     return found.filter("error IS NULL").select("file", "name", invoice_xml.unsafe(F.col("content").cast("string")).alias("unsafe"))
 
 
+def keyed_entries(t: Ledger, *dealt: str) -> DataFrame:
+    """Distinct entries with their day and a key of day and number in it; all steps find them dealt by supplier_id, or it and day."""
+    e = t.entries.withColumn("day", F.to_date("moment")).repartition(*dealt).distinct()
+    number = F.row_number().over(ledger.W.partitionBy("supplier_id", "day").orderBy("moment", "debit", "credit", "part", "invoice", "line", "quantity"))
+    return e.withColumn("key", F.unix_date("day").cast("long") * 100_000 + number)
+
+
 @query("f08_entries_read_twice", f"""WITH {READ} SELECT supplier_id, key * 4 + i AS n, CASE WHEN i = 0 THEN '77' END AS invoice,
     CASE WHEN i = 0 AND line % 2 = 0 THEN 'A' ELSE 'B' END || CAST(key AS VARCHAR) AS lot FROM k, (VALUES (0), (2)) v(i)""")
 def _(t: Ledger) -> DataFrame:
@@ -228,10 +235,8 @@ def _(t: Ledger) -> DataFrame:
     The second goes and gives its invoice and, to an entry without, its lot.  The third stays, since the second's lot
     went with it; a fourth on the third's day, with an own lot, goes.
     """
-    e = t.entries.distinct()
-    day, next_day = F.to_date("moment"), F.date_add(F.to_date("moment"), 1)
-    key = F.row_number().over(ledger.W.partitionBy("supplier_id", F.to_date("moment")).orderBy("moment", "debit", "credit", "part", "invoice", "line", "quantity"))
-    base = e.withColumn("key", F.unix_date(day).cast("long") * 100_000 + key)
+    base = keyed_entries(t, "supplier_id", "day")
+    day, next_day = F.col("day"), F.date_add("day", 1)
     own = F.concat(F.lit("A"), F.col("key").cast("string"))
     other = F.concat(F.lit("B"), F.col("key").cast("string"))
     none = F.lit(None).cast("string")
@@ -251,9 +256,7 @@ def _(t: Ledger) -> DataFrame:
     FROM k WINDOW w AS (PARTITION BY supplier_id ORDER BY key) QUALIFY row_number() OVER w % 2 = 1""")
 def _(t: Ledger) -> DataFrame:
     """All entries of a supplier form one chain: each shares its lot with the one before and its day with the one after, or the other way round."""
-    e = t.entries.distinct()
-    key = F.row_number().over(ledger.W.partitionBy("supplier_id", F.to_date("moment")).orderBy("moment", "debit", "credit", "part", "invoice", "line", "quantity"))
-    base = e.select("supplier_id", (F.unix_date(F.to_date("moment")).cast("long") * 100_000 + key).alias("n"))
+    base = keyed_entries(t, "supplier_id").select("supplier_id", F.col("key").alias("n"))
     place = F.row_number().over(ledger.W.partitionBy("supplier_id").orderBy("n"))
     rows = base.withColumn("k", place).select(
         "supplier_id", "n", F.date_add(F.lit("2000-01-01").cast("date"), F.floor(F.col("k") / 2).cast("int")).alias("day"),

@@ -183,3 +183,41 @@ def test_tax_ids_are_checked_once_for_each_company(spark):
     plan = exports.invoices(t.invoices, t.companies, t.transactions, "nfse_tomado")._jdf.queryExecution().optimizedPlan().toString()
     filters = [x for x in plan.splitlines() if "Filter" in x and "c_nationkey" in x]
     assert filters and not any("aggregate(" in x for x in filters)
+
+
+def shuffles(frame):
+    return len(re.findall(r"\bExchange (?:hash|range|round|single)", frame._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_rereads_are_dealt_once_unless_sets_are_large(spark, monkeypatch):
+    """Sets of values of a bounded size take one shuffle; both ways give the rows that a plain loop gives."""
+    rng = random.Random(3)
+    values = [(s, Decimal(d), Decimal(c), b) for s in (1, 2, None) for d, c in ((5, 0), (0, 5), (0, 0)) for b in (Decimal(1), None)]
+    lots, invoices = (None, "", " ", "A", "B", "C", " A"), (None, "", " ", "7", "8")
+    rows = [(v[0], n, rng.choice([None, day(0), day(1), day(2)]), rng.choice(lots), *v[1:], rng.choice(invoices)) for n in range(600) for v in [rng.choice(values)]]
+    want, kept = [], {}
+    for s, n, at, lot, d, c, b, invoice in rows:
+        if not d and not c:
+            want.append([s, n, at, lot, d, c, b, invoice])
+            continue
+        of = kept.setdefault((s, d, c, b), [])
+        name = (lot or "").strip(" ")
+        into = next((k for k in of if k[0] == at), None) or next((k for k in of if name and k[1] == name), None)
+        if into is None:
+            of.append((at, name, row := [s, n, at, lot or None, d, c, b, invoice or None]))
+            want.append(row)
+        else:
+            for place, x in ((3, lot), (7, invoice)):
+                if into[2][place] is None and (x or "").strip(" "):
+                    into[2][place] = x
+    frame = spark.createDataFrame(rows, READ)
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    expected = sorted(key([*r[:4], *[None if x is None else x.quantize(Decimal("0.01")) for x in r[4:7]], r[7]]) for r in want)
+    small = ledger.without_rereads(frame)
+    assert shuffles(small) == 1
+    assert sorted(map(key, small.collect())) == expected
+    monkeypatch.setattr(ledger, "LARGE", 40)
+    monkeypatch.setattr(ledger, "BUCKETS", 7)
+    assert sorted(map(key, ledger.without_rereads(frame).collect())) == expected
+    monkeypatch.setattr(ledger, "LARGE", 0)
+    assert sorted(map(key, ledger.without_rereads(frame).collect())) == expected

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import statement_date
 from ..functions.numbers import statement_amount
 from ..functions.text import any_word, stripped
-from ..operators.scans import with_last
+from ..operators.scans import divided, with_last
+from ..scratch import stored
 
 # Shapes of lines.
 LINE = r"^(.+?)\s+(-?\d{1,3}(?:\.\d{3})*(?:,\d{2})?)\s+(\d{1,3}(?:\.\d{3})*(?:,\d{2})?)\s*$"
@@ -23,32 +24,56 @@ OPENING_WORDS, CLOSING_WORDS = ["SALDO ANTERIOR", "SALDO INICIAL"], ["SALDO FINA
 DEBIT_WORDS, CREDIT_WORDS = ["DÉBIT", "DEBIT"], ["CRÉDIT", "CREDIT"]
 
 
-def transactions(lines: DataFrame, year: int) -> DataFrame:
-    """file, n, date, amount and history of each movement; `lines` has file, n and text."""
-    rows = lines.withColumn("line", stripped(F.col("text"))).filter("line <> ''")
-    rows = rows.filter(~F.col("line").rlike(SKIPPED)).filter(~(F.col("line").rlike(BALANCE) & ~F.col("line").rlike(r"-\d")))
-    is_data = F.col("line").rlike(LINE)
-    prefix = F.when(is_data, F.regexp_extract("line", LINE, 1))
-    own = F.when(prefix.rlike(DATE), statement_date(F.regexp_extract(prefix, DATE, 1), year))
-    plain = stripped(F.regexp_replace("line", BARCODE, ""))
-    text = F.when(~is_data & (plain != "") & ~plain.rlike(r"^\d+$"), plain)
-    rows = rows.withColumns({"is_data": is_data, "prefix": prefix, "own": own, "plain": text})
-    rows = with_last(rows, "file", "n", F.col("own"), "date")
-    rows = rows.withColumn("uses", F.col("is_data") & F.col("date").isNotNull())
-    # a movement takes the text that came last, unless another movement stands between
-    rows = with_last(rows, "file", "n", F.when(F.col("uses"), "").otherwise(F.col("plain")), "pending", own=False).filter("uses")
+#: lines beyond which files whose hashes share one of BUCKETS are scanned in ranges
+LARGE, BUCKETS = 200_000, 1 << 16
+
+
+def read(lines: DataFrame, year: int) -> DataFrame:
+    """What each line says by itself: file, n, is_data, and its day, amount and text if it is a movement, else its text."""
+    told = lambda x: (x != "") & ~x.rlike(SKIPPED) & ~(x.rlike(BALANCE) & ~x.rlike(r"-\d"))
+    # filters of a column would be pushed below it and strip the text again for each pattern; those of an array aren't
+    rows = lines.select("file", "n", F.explode(F.filter(F.array(stripped(F.col("text"))), told)).alias("line"))
+    rows = rows.withColumns({"prefix": F.regexp_extract("line", LINE, 1), "plain": stripped(F.regexp_replace("line", BARCODE, ""))})
+    is_data = F.col("prefix") != ""
     rest = stripped(F.regexp_replace(stripped(F.regexp_replace("prefix", DATE, "")), BARCODE, ""))
-    bare = stripped(F.regexp_replace(stripped(F.regexp_replace(rest, NUMBER_BEFORE, "")), NUMBER_AFTER, ""))
-    history = F.coalesce(F.nullif(F.col("pending"), F.lit("")), F.nullif(bare, F.lit("")), F.nullif(rest, F.lit("")), F.lit("SEM DESCRIÇÃO"))
-    amount = statement_amount(F.regexp_extract("line", LINE, 2))
-    return rows.select("file", "n", "date", amount.alias("amount"), F.left(history, F.lit(200)).alias("history")).filter("amount <> 0")
+    # each step's columns are used several times by the next one's
+    rows = rows.select(
+        "file", "n", is_data.alias("is_data"), F.when(~is_data & (F.col("plain") != "") & ~F.col("plain").rlike(r"^\d+$"), F.col("plain")).alias("plain"),
+        F.when(is_data, F.regexp_extract("prefix", DATE, 1)).alias("day"), F.when(is_data, F.regexp_extract("line", LINE, 2)).alias("raw"),
+        F.when(is_data, rest).alias("rest"),
+    )
+    bare = stripped(F.regexp_replace(stripped(F.regexp_replace("rest", NUMBER_BEFORE, "")), NUMBER_AFTER, ""))
+    own = F.when(F.col("day") != "", statement_date(F.col("day"), year))
+    text = F.coalesce("plain", F.nullif(bare, F.lit("")), F.nullif(F.col("rest"), F.lit("")))
+    return rows.select("file", "n", "is_data", own.alias("own"), statement_amount(F.col("raw")).alias("amount"), text.alias("said"))
+
+
+def movements(rows: DataFrame, short: bool) -> DataFrame:
+    """Movements of the lines that `read` gives, of files that are all short, or of any length."""
+    rows = with_last(rows, "file", "n", F.col("own"), "date", short=short)
+    uses = F.col("is_data") & F.col("date").isNotNull()
+    # a movement takes the text that came last, unless another movement stands between
+    plain = F.when(~F.col("is_data"), F.col("said"))
+    rows = with_last(rows, "file", "n", F.when(uses, "").otherwise(plain), "pending", own=False, short=short).filter(uses)
+    history = F.coalesce(F.nullif(F.col("pending"), F.lit("")), F.col("said"), F.lit("SEM DESCRIÇÃO"))
+    return rows.select("file", "n", "date", "amount", F.left(history, F.lit(200)).alias("history")).filter("amount <> 0")
+
+
+def transactions(lines: DataFrame, year: int) -> DataFrame:
+    """file, n, date, amount and history of each movement; `lines` has file, n and text.
+
+    Lines are read once; files are then dealt whole, but for those that are long, whose ranges are.
+    """
+    rows = stored(read(lines, year).filter("is_data OR said IS NOT NULL"))
+    short, long = divided(rows, ["file"], LARGE, BUCKETS)
+    found = movements(short, True)
+    return found if long is None else found.unionByName(movements(long, False))
 
 
 def declared(lines: DataFrame) -> DataFrame:
     """What each file declares: its first opening and last closing balance, and its last totals; null where nothing."""
     upper = F.upper("text")
-    raw = statement_amount(F.regexp_extract("text", DECLARED, 1)).cast("decimal(25,2)")
-    dc = F.upper(F.regexp_extract("text", DECLARED, 2))
+    raw, dc = statement_amount(F.col("raw")).cast("decimal(25,2)"), F.col("dc")
     value = F.when(dc == "D", -F.abs(raw)).when(dc == "C", F.abs(raw)).otherwise(raw)
     total = upper.contains("TOTAL")
     kind = (
@@ -57,7 +82,10 @@ def declared(lines: DataFrame) -> DataFrame:
         .when(total & any_word(upper, DEBIT_WORDS), "debits")
         .when(total & any_word(upper, CREDIT_WORDS), "credits")
     )
-    rows = lines.select("file", "n", F.when(F.col("text").rlike(DECLARED), value).alias("value"), kind.alias("kind"))
+    # only lines of a kind are looked at for a value
+    rows = lines.select("file", "n", F.when(kind.isNotNull(), F.col("text")).alias("text"), kind.alias("kind"))
+    rows = rows.withColumns({"raw": F.regexp_extract("text", DECLARED, 1), "dc": F.upper(F.regexp_extract("text", DECLARED, 2))})
+    rows = rows.select("file", "n", "kind", F.when(F.col("raw") != "", value).alias("value"))
     last = lambda k: F.max_by("value", F.when((F.col("kind") == k) & F.col("value").isNotNull(), F.col("n")))
     return rows.groupBy("file").agg(
         F.min_by("value", F.when((F.col("kind") == "opening") & F.col("value").isNotNull(), F.col("n"))).alias("opening"),

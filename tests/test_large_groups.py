@@ -221,3 +221,17 @@ def test_rereads_are_dealt_once_unless_sets_are_large(spark, monkeypatch):
     assert sorted(map(key, ledger.without_rereads(frame).collect())) == expected
     monkeypatch.setattr(ledger, "LARGE", 0)
     assert sorted(map(key, ledger.without_rereads(frame).collect())) == expected
+
+
+def test_statement_files_are_dealt_once_unless_they_are_long(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["Extrato", " ", "05/01/2024 TED joão 10,00 1,00", "7/1 x 1,00", "SALDO 3,00 4,00", "pix recebido", "123456", "12/02 4803 -2,50 9,99", "boleto 00 1.234,56 0,00", "0,00 0,00 0,00", None, "12345678901234567 x", "31/02/2024 y 5,00 1,00"]
+    lines = spark.createDataFrame([(f"f{k % 9}", k, rng.choice(texts)) for k in range(3000)], "file string, n long, text string")
+    frame = statement.transactions(lines, 2024)
+    assert shuffles(frame) == 1
+    short = sorted(map(tuple, frame.collect()))
+    assert len(short) > 500
+    monkeypatch.setattr(statement, "LARGE", 350)
+    monkeypatch.setattr(statement, "BUCKETS", 5)
+    monkeypatch.setattr(scans, "SPAN", 64)
+    assert sorted(map(tuple, statement.transactions(lines, 2024).collect())) == short

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import stripped
+from .text import let, stripped
 
 
 def _try(c: Column, guard: str, pattern: str) -> Column:
@@ -19,14 +19,17 @@ def month_key(c: Column) -> Column:
 def ofx_timestamp(c: Column) -> Column:
     """8, 12 or 14 digits, an optional fraction and an offset such as [-3:BRT]; UTC without one."""
     shape = r"^(\d{14}|\d{12}|\d{8})(?:\.(\d+))?(?:\[([+-]?\d+(?:\.\d+)?):[^\]]+\])?$"
-    s = stripped(c)
-    ok = s.rlike(shape)
-    base = F.regexp_extract(s, shape, 1)
-    at = F.try_to_timestamp(F.rpad(base, 14, "0"), F.lit("yyyyMMddHHmmss"))
-    micro = F.rpad(F.left(F.regexp_extract(s, shape, 2), F.lit(6)), 6, "0").cast("long")
-    hours = F.coalesce(F.regexp_extract(s, shape, 3).try_cast("double"), F.lit(0.0))
-    shifted = F.timestamp_micros(F.unix_micros(at) + micro - (hours * 3_600_000_000).cast("long"))
-    return F.when(ok, shifted)
+
+    def moment(s: Column) -> Column:
+        ok = s.rlike(shape)
+        base = F.regexp_extract(s, shape, 1)
+        at = F.try_to_timestamp(F.rpad(base, 14, "0"), F.lit("yyyyMMddHHmmss"))
+        micro = F.rpad(F.left(F.regexp_extract(s, shape, 2), F.lit(6)), 6, "0").cast("long")
+        hours = F.coalesce(F.regexp_extract(s, shape, 3).try_cast("double"), F.lit(0.0))
+        shifted = F.timestamp_micros(F.unix_micros(at) + micro - (hours * 3_600_000_000).cast("long"))
+        return F.when(ok, shifted)
+
+    return let(stripped(c), moment)
 
 
 def card_date(c: Column) -> Column:
@@ -44,14 +47,18 @@ def statement_date(c: Column, year: int) -> Column:
     """dd/MM/yyyy, dd/MM/yy or dd/MM of the year given; / or - between."""
     full = r"(\d{2})[/\-](\d{2})[/\-](\d{4}|\d{2})"
     short = r"(\d{2})[/\-](\d{2})"
-    y = F.regexp_extract(c, full, 3)
-    long_year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    whole = F.concat_ws("-", long_year, F.regexp_extract(c, full, 2), F.regexp_extract(c, full, 1))
-    part = F.concat_ws("-", F.lit(str(year)), F.regexp_extract(c, short, 2), F.regexp_extract(c, short, 1))
-    return F.coalesce(
-        F.when(c.rlike(full), F.try_to_timestamp(whole, F.lit("yyyy-MM-dd"))),
-        F.when(c.rlike(short), F.try_to_timestamp(part, F.lit("yyyy-MM-dd"))),
-    ).cast("date")
+
+    def day(c: Column) -> Column:
+        y = F.regexp_extract(c, full, 3)
+        long_year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+        whole = F.concat_ws("-", long_year, F.regexp_extract(c, full, 2), F.regexp_extract(c, full, 1))
+        part = F.concat_ws("-", F.lit(str(year)), F.regexp_extract(c, short, 2), F.regexp_extract(c, short, 1))
+        return F.coalesce(
+            F.when(c.rlike(full), F.try_to_timestamp(whole, F.lit("yyyy-MM-dd"))),
+            F.when(c.rlike(short), F.try_to_timestamp(part, F.lit("yyyy-MM-dd"))),
+        ).cast("date")
+
+    return let(c, day)
 
 
 def model_date(c: Column) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import stripped
+from .text import let, stripped
 
 MONEY = "decimal(15,2)"
 
@@ -21,11 +19,6 @@ def _money(c: Column) -> Column:
     return F.bround(c.try_cast("decimal(25,6)"), 2).cast(MONEY)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with the value worked out once; columns that use another many times, nested, outgrow generated code."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def ledger_text(c: Column) -> Column:
     """Points group, a comma is decimal; what isn't a number is 0."""
     clean = F.regexp_replace(_swap(stripped(c)), r"[^\d.-]", "")
@@ -48,10 +41,10 @@ def sheet_cell(c: Column) -> Column:
 
     def signed(clean: Column) -> Column:
         negative = clean.startswith("(") & clean.endswith(")")
-        one = _let(F.regexp_replace(clean, r"^[()]+|[()]+$", ""), with_point)
-        return _let(one, lambda x: F.when(negative & ~x.startswith("-"), F.concat(F.lit("-"), x)).otherwise(x))
+        one = let(F.regexp_replace(clean, r"^[()]+|[()]+$", ""), with_point)
+        return let(one, lambda x: F.when(negative & ~x.startswith("-"), F.concat(F.lit("-"), x)).otherwise(x))
 
-    return F.coalesce(_money(_let(F.regexp_replace(stripped(c), r"[^\d,().+-]", ""), signed)), F.lit(0).cast(MONEY))
+    return F.coalesce(_money(let(F.regexp_replace(stripped(c), r"[^\d,().+-]", ""), signed)), F.lit(0).cast(MONEY))
 
 
 def card_amount(c: Column) -> Column:
@@ -63,15 +56,18 @@ def card_amount(c: Column) -> Column:
 
 def statement_amount(c: Column) -> Column:
     """Leading minus or bracket is negative; 1,234.56 is read as such, else a comma is decimal; null if no number."""
-    clean = F.regexp_replace(F.replace(stripped(c), F.lit("R$"), F.lit("")), "[  ]", "")
-    negative = clean.rlike(r"^[-(]")
-    bare = F.regexp_replace(F.regexp_replace(clean, r"^[-(]+", ""), r"\)+$", "")
-    value = _money(
-        F.when(bare.rlike(r"^\d{1,3}(,\d{3})*\.\d{2}$"), F.replace(bare, F.lit(","), F.lit("")))
-        .when(bare.contains(",") & bare.contains("."), _swap(bare))
-        .otherwise(F.replace(bare, F.lit(","), F.lit(".")))
-    )
-    return F.when(negative, -value).otherwise(value).cast(MONEY)
+    def with_point(bare: Column) -> Column:
+        return (
+            F.when(bare.rlike(r"^\d{1,3}(,\d{3})*\.\d{2}$"), F.replace(bare, F.lit(","), F.lit("")))
+            .when(bare.contains(",") & bare.contains("."), _swap(bare))
+            .otherwise(F.replace(bare, F.lit(","), F.lit(".")))
+        )
+
+    def signed(clean: Column) -> Column:
+        value = _money(let(F.regexp_replace(F.regexp_replace(clean, r"^[-(]+", ""), r"\)+$", ""), with_point))
+        return F.when(clean.rlike(r"^[-(]"), -value).otherwise(value).cast(MONEY)
+
+    return let(F.regexp_replace(F.replace(stripped(c), F.lit("R$"), F.lit("")), "[  ]", ""), signed)
 
 
 def ofx_amount(c: Column) -> Column:

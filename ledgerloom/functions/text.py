@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ KIND_BY_DIGIT = {
 }
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once, outside generated code, which nested columns outgrow: Java doesn't compile long methods."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def digits_only(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 

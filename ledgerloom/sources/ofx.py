@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ofx_timestamp
 from ..functions.numbers import ofx_amount
-from ..functions.text import stripped
+from ..functions.text import let, stripped
 
 CLOSED = r"(?is)<STMTTRN>(.*?)</STMTTRN>"
+LAST_END = r"(?is)^.*</STMTTRN>"
 UNCLOSED = r"(?is)<STMTTRN>(.*?)(?=<STMTTRN>|</BANKTRANLIST>|$)"
 
 
@@ -24,7 +25,7 @@ def read(spark: SparkSession, path: str, longest: int = 25 << 20) -> DataFrame:
 def tag(name: str) -> Column:
     """A tag's value up to the next tag or line end; null if empty."""
     value = stripped(F.regexp_extract("block", rf"(?i)<{name}>([^<\r\n]*)", 1))
-    return F.when(value != "", value)
+    return let(value, lambda x: F.when(x != "", x))
 
 
 def is_xml(content: Column) -> Column:
@@ -34,8 +35,13 @@ def is_xml(content: Column) -> Column:
 def transactions(files: DataFrame) -> DataFrame:
     """One row for each transaction block: fields, or the error that it has."""
     text = F.regexp_replace(F.regexp_replace("content", "^﻿", ""), r"\r\n?", "\n")
-    closed = F.regexp_extract_all(text, F.lit(CLOSED), F.lit(1))
-    blocks = F.when(F.size(closed) > 0, closed).otherwise(F.regexp_extract_all(text, F.lit(UNCLOSED), F.lit(1)))
+
+    def found(text: Column) -> Column:
+        # only up to the last end, since each block beyond it would look for one through the rest of the file
+        closed = F.regexp_extract_all(F.regexp_extract(text, LAST_END, 0), F.lit(CLOSED), F.lit(1))
+        return let(closed, lambda x: F.when(F.size(x) > 0, x).otherwise(F.regexp_extract_all(text, F.lit(UNCLOSED), F.lit(1))))
+
+    blocks = let(text, found)
     rows = files.select("file", is_xml(F.col("content")).alias("xml"), F.posexplode(blocks).alias("n", "block"))
     fields = rows.select(
         "file",

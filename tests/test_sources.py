@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import io
+import time
 import uuid
 import zipfile
 from decimal import Decimal
@@ -168,3 +169,16 @@ def test_streams(spark, tmp_path):
     assert feeds.drained(feeds.hourly(events), "complete").groupBy().sum("n").first()[0] == 50
     assert feeds.drained(feeds.once(events), "append").count() == 40
     assert feeds.sessions(spark.read.parquet(f"{tmp_path}/events.parquet")).groupBy().sum("n").first()[0] == 50
+
+
+def test_ofx_blocks_without_ends_are_found_in_one_look(spark):
+    """Each of 20,000 blocks without an end once looked for one through the rest of its file."""
+    block = "<STMTTRN>\n<FITID>{0}\n<TRNAMT>{0}.5\n<DTPOSTED>20240105\n<MEMO>m\n"
+    open_ = "<OFX>" + "".join(block.format(k) for k in range(20_000)) + "</BANKTRANLIST>"
+    mixed = "<ofx>" + block.format(1) + "</stmttrn>" + block.format(2) + "</STMTTRN>\n" + block.format(3)
+    files = spark.createDataFrame([("open", open_), ("mixed", mixed), ("none", "x"), ("null", None)], "file string, content string")
+    start = time.perf_counter()
+    found = ofx.transactions(files)
+    assert [(r.file, r["count"]) for r in found.filter("error IS NULL").groupBy("file").count().orderBy("file").collect()] == [("mixed", 2), ("open", 20_000)]
+    assert time.perf_counter() - start < 12
+    assert sorted(r.fitid for r in found.filter("file = 'mixed'").collect()) == ["1", "2"]

@@ -15,17 +15,16 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import re
 import xxhash
 from pyspark.sql import DataFrame
 
-#: pre-tokens, first pieces and later pieces between spaces that a worker remembers, of each; only speed and memory depend on it
-MEMO = 200_000
-_TOUCHING_SPACE = re.compile(r" \s|\s |\A | \Z")
+#: pre-tokens that a worker remembers; only speed and memory depend on it
+MEMO = 500_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -85,36 +84,42 @@ class Codec:
     def __init__(self, tokens: list[bytes], pattern: str, table: PerfectHash | None = None):
         self.tokens, self.table = tokens, table or PerfectHash(tokens)
         self.rank = {t: i for i, t in enumerate(tokens)}
+        #: those of two bytes apart, which stay in the processor's cache
+        self.rank_of_two = {t: i for t, i in self.rank.items() if len(t) == 2}
         self.split = regex.compile(pattern)
         self.text_of = [str(i) for i in range(len(tokens))]
+        #: what recent pre-tokens became, and those before them
         self.words: dict[str, tuple] = {}
-        self.pieces: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})
+        self.earlier: dict[str, tuple] = {}
 
     def merge(self, b: bytes) -> list[int]:
         """Heap over linked bytes: start[i] begins a part that ends where the next one begins."""
-        n, rank = len(b), self.rank
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        of_pair = [rank.get(b[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        heap = [r * n + i for i, r in enumerate(of_pair) if r >= 0]
+        n, rank, get, of_two = len(b), self.rank, self.rank.get, self.rank_of_two.get
+        of_pair = [of_two(b[i : i + 2], -1) for i in range(n - 1)] + [-1]
+        bits = n.bit_length()  # entries are rank << bits | place
+        place = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(of_pair) if r >= 0]
         heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            r, i = divmod(heappop(heap), n)
-            if of_pair[i] != r:
+            least = heappop(heap)
+            i = least & place
+            if of_pair[i] != least >> bits:
                 continue
             gone = after[i]
             of_pair[gone] = -1
             end = after[i] = after[gone]
             if end < n:
                 before[end] = i
-                of_pair[i] = s = rank.get(b[i : after[end]], -1)
+                of_pair[i] = s = get(b[i : after[end]], -1)
                 if s >= 0:
-                    heappush(heap, s * n + i)
+                    heappush(heap, s << bits | i)
             else:
                 of_pair[i] = -1
             if (p := before[i]) >= 0:
-                of_pair[p] = s = rank.get(b[p:end], -1)
+                of_pair[p] = s = get(b[p:end], -1)
                 if s >= 0:
-                    heappush(heap, s * n + p)
+                    heappush(heap, s << bits | p)
         out, i = [], 0
         while i < n:
             out.append(rank[b[i : after[i]]])
@@ -128,39 +133,23 @@ class Codec:
         return (i,) if self.tokens[i] == b else tuple(self.merge(b))
 
     def word(self, w: str) -> tuple:
-        ids = self.words.get(w)
-        if ids is None:
-            ids = self.resolved(w)
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            if len(w) < 64:
-                self.words[w] = ids
+        """Ids of a pre-token that isn't among the recent ones."""
+        ids = self.earlier.get(w) or self.resolved(w)
+        if len(self.words) >= MEMO // 2:
+            self.earlier, self.words = self.words, {}
+        if len(w) < 64:
+            self.words[w] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text.  A single space between two other characters always begins a
-        pre-token, so pieces between such spaces are encoded apart and remembered."""
-        out: list[int] = []
-        if not text:
-            return out
-        if _TOUCHING_SPACE.search(text):
-            for w in self.split.findall(text):
-                out += self.word(w)
-            return out
-        memo, lead = self.pieces[0], ""
-        for piece in text.split(" "):
-            ids = memo.get(piece)
-            if ids is None:
-                found = self.split.findall(lead + piece)
-                # a piece of one pre-token is remembered as a piece alone
-                ids = self.resolved(found[0]) if len(found) == 1 else tuple([i for w in found for i in self.word(w)])
-                if len(memo) >= MEMO:
-                    memo.clear()
-                if len(piece) < 64:
-                    memo[piece] = ids
-            out += ids
-            memo, lead = self.pieces[1], " "
-        return out
+        """Ids of a text: its pre-tokens are looked up together, and those not found one by one."""
+        words = self.split.findall(text)
+        found = list(map(self.words.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self.words.get(words[i]) or self.word(words[i])
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -141,6 +141,23 @@ def test_bpe_equals_tiktoken(docs, ranks):
     assert bpe.digests(docs([]), tokens, pattern).count() == 0
 
 
+def test_bpe_merges_a_pre_token_once(ranks, monkeypatch):
+    tokens, pattern = ranks
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    c, merged = bpe.Codec(tokens, pattern), []
+    merge = c.merge
+    monkeypatch.setattr(c, "merge", lambda b: merged.append(b) or merge(b))
+    text = "y zqxvjk, y zqxvjk y zqxvjk\n y zqxvjk."
+    assert c.encode(text) == theirs.encode_ordinary(text) and merged == [b" zqxvjk"]
+    # a frequent one outlives the rare ones that pass
+    monkeypatch.setattr(bpe, "MEMO", 8)
+    del merged[:]
+    for i in range(50):
+        text = f"y zqxvjk qzx{chr(97 + i % 26)}wv{chr(97 + i // 26)}kj"
+        assert c.encode(text) == theirs.encode_ordinary(text)
+    assert len(c.words) + len(c.earlier) <= 12 and b" zqxvjk" not in merged
+
+
 def test_bpe_small_vocabularies():
     for tokens in ([b"a"], [b"a", b"b", b"ab"], [bytes([i]) for i in range(256)]):
         table = bpe.PerfectHash(tokens)

@@ -22,14 +22,15 @@ def running(entries: DataFrame, side: str) -> DataFrame:
     # totals of the days before, and within the day: no task orders more than a supplier's day
     earlier = W.partitionBy("of").orderBy("on").rowsBetween(W.unboundedPreceding, -1)
     days = rows.groupBy(F.col("supplier_id").alias("of"), F.col("day").alias("on")).agg(total(F.col("amount")).alias("sum"), F.count("*").alias("count"))
-    days = days.select("of", "on", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("sum"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("count"))
-    rows = rows.join(days, F.col("supplier_id").eqNullSafe(F.col("of")) & F.col("day").eqNullSafe(F.col("on")))
-    order = W.partitionBy("supplier_id", "day").orderBy(*ORDER)
-    after = (F.col("sum") + F.sum("amount").over(order.rowsBetween(W.unboundedPreceding, 0))).cast(TOTAL)
-    number = (F.col("count") + F.row_number().over(order)).cast("int")
-    return rows.select("supplier_id", *ORDER, number.alias("n"), after.alias("after")).withColumn(
-        "before", (F.col("after") - F.col("amount")).cast(TOTAL)
-    )
+    days = days.select("of", "on", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("carried"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("count"))
+    # what a day carries over stands before its rows, so that these are dealt once and joined with nothing
+    carried = days.select(F.col("of").alias("supplier_id"), F.col("on").alias("day"), "carried", "count")
+    order = W.partitionBy("supplier_id", "day").orderBy(F.col("count").isNull(), *ORDER)
+    dealt = rows.select("supplier_id", "day", *ORDER).unionByName(carried, allowMissingColumns=True)
+    after = F.sum(F.coalesce("carried", "amount")).over(order.rowsBetween(W.unboundedPreceding, 0)).cast(TOTAL)
+    number = (F.sum("count").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.row_number().over(order) - 1).cast("int")
+    dealt = dealt.select("supplier_id", *ORDER, "count", number.alias("n"), after.alias("after")).filter("count IS NULL").drop("count")
+    return dealt.withColumn("before", (F.col("after") - F.col("amount")).cast(TOTAL))
 
 
 def paid_state(purchases: DataFrame, payments: DataFrame) -> DataFrame:
@@ -45,10 +46,10 @@ def paid_state(purchases: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
-def slices_of(purchases: DataFrame, payments: DataFrame, least: int) -> DataFrame:
-    """Total of each supplier's purchases, and the ranges that it is cut into."""
+def slices_of(purchases: DataFrame, payments: DataFrame, least: int, top: Column | None = None) -> DataFrame:
+    """Total of each supplier's purchases (their last running total, if `top` doesn't say otherwise), and the ranges that it is cut into."""
     paid = payments.groupBy("supplier_id").agg(F.count("*").alias("payments"))
-    ends = purchases.groupBy("supplier_id").agg(F.max("after").alias("top"), F.count("*").alias("purchases"))
+    ends = purchases.groupBy("supplier_id").agg((F.max("after") if top is None else top).alias("top"), F.count("*").alias("purchases"))
     rows = F.col("purchases") + F.coalesce("payments", F.lit(0))
     slices = F.greatest(F.lit(least), F.ceil(rows / SLICED)).alias("slices")
     return ends.join(paid, "supplier_id", "left").select("supplier_id", "top", slices)
@@ -60,21 +61,23 @@ def pairs(purchases: DataFrame, payments: DataFrame, slices: int = 64) -> DataFr
     Intervals of a supplier are cut into equal ranges of its total, `slices` or one for every SLICED of its rows; both sides are dealt to the
     ranges that they touch and meet there only, so a large supplier is spread and nothing is compared with all.
     """
-    ends = slices_of(purchases, payments, slices)
+    # the last running total is the sum, for which nothing has to be put in order
+    ends = slices_of(purchases, payments, slices, total(F.col("amount")))
     width = F.greatest(F.ceil(F.col("top") / F.col("slices")), F.lit(1)).cast(TOTAL)
 
     def dealt(rows: DataFrame, n: str) -> DataFrame:
         cut = rows.join(ends, "supplier_id").withColumn("width", width).filter(F.col("before") < F.col("top"))
-        low, high = F.floor(F.col("before") / F.col("width")), F.ceil(F.least("after", "top") / F.col("width")) - 1
-        return cut.select(
-            "supplier_id", F.col("n").alias(n), F.col("before").alias(f"{n}_from"), F.col("after").alias(f"{n}_to"), "width",
-            F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("slice"),
+        low, high = F.floor(F.col("before") / F.col("width")).cast("int"), F.ceil(F.least("after", "top") / F.col("width")) - 1
+        cut = cut.select(
+            "supplier_id", F.col("n").alias(n), F.col("before").alias(f"{n}_from"), F.col("amount").alias(f"{n}_amount"),
+            low.alias(f"{n}_low"), F.explode(F.sequence(low, high.cast("int"))).alias("slice"),
         )
+        return cut.withColumn(f"{n}_begins", F.col(f"{n}_low") == F.col("slice")).drop(f"{n}_low")
 
-    a, b = dealt(purchases, "purchase"), dealt(payments, "payment").drop("width")
-    start = F.greatest("purchase_from", "payment_from")
-    both = F.least("purchase_to", "payment_to") - start
-    first = F.floor(start / F.col("width")) == F.col("slice")  # an overlap is told in the range where it begins
+    a, b = dealt(purchases, "purchase"), dealt(payments, "payment")
+    ending = lambda n: F.col(f"{n}_from") + F.col(f"{n}_amount")
+    both = F.least(ending("purchase"), ending("payment")) - F.greatest("purchase_from", "payment_from")
+    first = F.col("purchase_begins") | F.col("payment_begins")  # an overlap is told in the range where it begins
     return a.join(b, ["supplier_id", "slice"]).filter((both > 0) & first).select("supplier_id", "purchase", "payment", both.cast(TOTAL).alias("paid"))
 
 

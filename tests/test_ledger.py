@@ -156,6 +156,18 @@ def test_fifo_equals_a_queue(spark, rows):
     assert {(r.supplier_id, r.purchase, r.payment): int(r.paid * 100) for r in got} == want
 
 
+def test_fifo_deals_rows_once(spark):
+    """Running totals join rows with nothing, and what a supplier's ranges need is summed without an order."""
+    rows = entries_of(spark, [(1, 1, 100, 0), (None, 1, 300, 0), (1, 1, 50, 0), (None, 2, 400, 0), (1, 3, 25, 0), (1, 2, 0, 120)])
+    a, b = fifo.running(rows, "credit"), fifo.running(rows, "debit")
+    got = {(r.supplier_id, r.n, int(r.before * 100), int(r.after * 100)) for r in a.collect()}
+    assert got == {(1, 1, 0, 100), (1, 2, 100, 150), (1, 3, 150, 175), (None, 1, 0, 300), (None, 2, 300, 700)}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(a)
+    assert sum("Window [" in line and "moment" in line for line in plan(fifo.pairs(a, b)).splitlines()) == 2
+    assert [(r.purchase, r.payment, int(r.paid * 100)) for r in fifo.pairs(a, b).orderBy("purchase").collect()] == [(1, 1, 100), (2, 1, 20)]
+
+
 def test_positions(spark):
     suppliers = spark.createDataFrame([(1, "a", Decimal(100), "C"), (2, "b", Decimal(10000), "C"), (3, "c", Decimal(10000), "D"), (4, "d", Decimal(0), "C")], "supplier_id long, name string, opening decimal(15,2), opening_side string")
     rows = entries_of(spark, [(1, 1, 0, 4000), (1, 2, 2000, 0)])

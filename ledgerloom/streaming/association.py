@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,29 +23,50 @@ TAKEN = "tx_id long, doc_id long"
 Event = tuple[int, int, int, int]
 
 
-def decide(events: list[Event], reach: int, until: int | None) -> tuple[list[tuple[int, int]], list[Event]]:
+#: events handed to the state at a time
+SENT = 10_000
+
+
+def settled(events: np.ndarray, reach: int, until: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the transactions that can be decided when all before `until` is there, and the events still needed.
 
+    Events are rows of cents, at, id and is_tx; they stay in arrays, 32 bytes each, however many a key has.
     Transactions are taken in order; `until` None decides all.
     """
-    due = sorted((at, i, cents) for cents, at, i, is_tx in events if is_tx and (until is None or at + reach < until))
-    free: dict[int, dict[int, int]] = {}
-    for cents, at, i, is_tx in events:
-        if not is_tx:
-            free.setdefault(cents, {})[i] = at
+    is_tx = events[:, 3] != 0
+    txs, docs = events[is_tx], events[~is_tx]
+    ready = np.ones(len(txs), bool) if until is None else txs[:, 1] + reach < until
+    due = txs[ready]
+    due = due[np.lexsort((due[:, 0], due[:, 2], due[:, 1]))]
+    # of a document that is there twice the last counts
+    docs = docs[np.lexsort((docs[:, 2], docs[:, 0]))]
+    docs = docs[np.append((docs[1:, [0, 2]] != docs[:-1, [0, 2]]).any(axis=1), np.ones(min(1, len(docs)), bool))]
+    docs = docs[np.lexsort((docs[:, 1], docs[:, 0]))]
+    at, free = docs[:, 1], np.ones(len(docs), bool)
+    # documents of one cent less, of the same and of one more stand between these
+    bounds = np.stack([np.searchsorted(docs[:, 0], due[:, 0] + k) for k in (-1, 0, 1, 2)], axis=1)
+    some = np.flatnonzero(bounds[:, 3] > bounds[:, 0])
     pairs = []
-    for at, tx, cents in due:
-        near = [(c, i) for c in (cents - 1, cents, cents + 1) for i, t in free.get(c, {}).items() if abs(t - at) <= reach]
+    for when, tx, cut in zip(due[some, 1], due[some, 2], bounds[some], strict=True):
+        near = []
+        for low, high in zip(cut[:-1], cut[1:], strict=True):
+            if low < high:
+                first, last = low + np.searchsorted(at[low:high], when - reach), low + np.searchsorted(at[low:high], when + reach, "right")
+                near += (first + np.flatnonzero(free[first:last])[:2]).tolist()
         if len(near) == 1:
-            ((c, i),) = near
-            del free[c][i]
-            pairs.append((tx, i))
+            free[near[0]] = False
+            pairs.append((tx, docs[near[0], 2]))
+    pairs = np.array(pairs, np.int64).reshape(-1, 2)
     if until is None:
-        return pairs, []
+        return pairs, events[:0]
     # transactions to come are at `until` or later, those that wait are less than the reach before it
-    left = [e for e in events if e[3] and e[1] + reach >= until]
-    left += [(c, at, i, 0) for c, own in free.items() for i, at in own.items() if at + 2 * reach >= until]
-    return pairs, left
+    return pairs, np.concatenate((txs[~ready], docs[free & (at + 2 * reach >= until)]))
+
+
+def decide(events: list[Event], reach: int, until: int | None) -> tuple[list[tuple[int, int]], list[Event]]:
+    """`settled` for lists of events."""
+    pairs, left = settled(np.array(events, np.int64).reshape(-1, 4), reach, until)
+    return list(map(tuple, pairs.tolist())), list(map(tuple, left.tolist()))
 
 
 class Association(StatefulProcessor):
@@ -55,24 +77,23 @@ class Association(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", EVENT)
 
-    def settle(self, events: list[Event], watermark: int) -> Iterator[pd.DataFrame]:
+    def settle(self, events: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
         """Writes down what still waits, with a timer for the first transaction of it."""
-        pairs, left = decide(events, self.reach, watermark * 1000)
-        if left:
-            self.waiting.put(left)
-        else:
-            self.waiting.clear()
-        deadlines = [(at + self.reach) // 1000 + 1 for _, at, _, is_tx in left if is_tx]
-        if deadlines:
-            self.handle.registerTimer(max(min(deadlines), watermark + 1))
-        yield pd.DataFrame(pairs, columns=["tx_id", "doc_id"]).astype("int64")
-
-    def held(self) -> list[Event]:
-        return [tuple(map(int, r)) for r in self.waiting.get()]
+        pairs, left = settled(events, self.reach, watermark * 1000)
+        self.waiting.clear()
+        for k in range(0, len(left), SENT):
+            self.waiting.appendList(list(map(tuple, left[k : k + SENT].tolist())))
+        waits = left[left[:, 3] != 0, 1]
+        if len(waits):
+            self.handle.registerTimer(max((int(waits.min()) + self.reach) // 1000 + 1, watermark + 1))
+        yield pd.DataFrame(pairs, columns=["tx_id", "doc_id"])
+
+    def held(self) -> np.ndarray:
+        return np.fromiter((int(x) for r in self.waiting.get() for x in r), np.int64).reshape(-1, 4)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(map(int, r)) for frame in rows for r in frame[["cents", "at", "id", "is_tx"]].itertuples(index=False)]
-        yield from self.settle(self.held() + new, max(0, timerValues.getCurrentWatermarkInMs()))
+        new = [frame[["cents", "at", "id", "is_tx"]].to_numpy(np.int64) for frame in rows]
+        yield from self.settle(np.concatenate((self.held(), *new)), max(0, timerValues.getCurrentWatermarkInMs()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.settle(self.held(), max(0, timerValues.getCurrentWatermarkInMs()))

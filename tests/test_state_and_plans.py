@@ -2,7 +2,9 @@
 
 import datetime
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,25 @@ def test_decisions_in_parts_equal_all_at_once():
         assert set(pairs) == in_order(events, reach) and len(pairs) == len(set(pairs))
 
 
+def test_events_of_a_key_take_little_memory():
+    """A year of one company: what deciding holds beyond the events themselves is a few numbers for each."""
+    n = 100_000
+    rng = random.Random(4)
+    events = np.array([(rng.randrange(10**7), rng.randrange(365) * associate.DAY, i, i % 2) for i in range(n)], np.int64)
+    tracemalloc.start()
+    pairs, left = association.settled(events, 3 * associate.DAY, 0)
+    waiting = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    pairs, none = association.settled(events, 3 * associate.DAY, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(left) == n and len(none) == 0 and 0 < len(pairs) < n // 100
+    assert waiting < 160 * n and peak < 240 * n
+    # a document that is there twice is one, and the last of it counts
+    twice = np.array([(5, 0, 1, 1), (5, 9 * associate.DAY, 7, 0), (5, 0, 7, 0), (6, 9 * associate.DAY, 8, 0)], np.int64)
+    assert association.settled(twice, associate.DAY, None)[0].tolist() == [[1, 7]]
+
+
 def test_documents_that_arrive_late(spark, tmp_path):
     """Batch and stream give the same pairs when documents come days after their transactions."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

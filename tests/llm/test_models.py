@@ -184,6 +184,102 @@ def test_seats_follow_the_restaurant_process():
     assert lm.seated(np.array([0, 1]), np.ones(2), 0.5, rng).tolist() == [0, 1]
 
 
+def exact_tables(tokens, parent, discounts, base, sweeps, rng):
+    """Mean number of tables of each level by Gibbs' sampler with one customer taken out and seated at a time; tokens are (context, word)."""
+    sizes, customers, tables = collections.defaultdict(list), collections.Counter(), collections.Counter()
+
+    def prob(level, context, word):
+        if level < 0:
+            return base
+        own = sizes[level, context, word]
+        d, above = discounts[level], prob(level - 1, parent(level, context), word)
+        return (sum(own) - d * len(own) + (1 + d * tables[level, context]) * above) / (1 + customers[level, context])
+
+    def add(level, context, word):
+        own, d = sizes[level, context, word], discounts[level]
+        new = (1 + d * tables[level, context]) * prob(level - 1, parent(level, context), word)
+        at = rng.choices(range(len(own) + 1), [n - d for n in own] + [new])[0]
+        customers[level, context] += 1
+        if at < len(own):
+            own[at] += 1
+            return
+        own.append(1)
+        tables[level, context] += 1
+        if level:
+            add(level - 1, parent(level, context), word)
+
+    def remove(level, context, word):
+        own = sizes[level, context, word]
+        at = rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        customers[level, context] -= 1
+        if not own[at]:
+            del own[at]
+            tables[level, context] -= 1
+            if level:
+                remove(level - 1, parent(level, context), word)
+
+    for context, word in tokens:
+        add(3, context, word)
+    total = np.zeros(4)
+    for k in range(sweeps):
+        for context, word in tokens:
+            remove(3, context, word)
+            add(3, context, word)
+        if k >= sweeps // 5:
+            for (level, _), n in tables.items():
+                total[level] += n
+    return total / (sweeps - sweeps // 5)
+
+
+def test_sweeps_agree_with_a_sampler_of_single_customers():
+    rng = random.Random(17)
+    words = ["red", "bed", "blue", "true", "a", "of"]
+    texts = [" ".join(rng.choices(words, [6, 1, 3, 1, 2, 4], k=12)).encode() for _ in range(40)]
+    found = lm.Tokens(texts)
+    fans, before, n = found.bigrams()
+    contexts = found.context[before]
+    cell = np.repeat(np.arange(len(fans)), fans)
+    discounts = (0.3, 0.5, 0.6, 0.7)  # from the root on
+    model = lm.Model(discounts[2::-1], len(found.words))
+    again = n > 1
+    singles = np.bincount(cell[~again], minlength=len(fans))
+    r = lm.Range(0, found.cells.tobytes(), fans.astype(np.int64).tobytes())
+    every, of_context = np.unique(contexts, return_inverse=True)
+    tables, got, sweeps = np.ones(int(again.sum()), np.int64), np.zeros(4), 1200
+    for k in range(sweeps):
+        now = np.bincount(of_context, minlength=len(every)) + np.bincount(of_context[again], weights=tables - 1, minlength=len(every))
+        held = lm.Repeated(n[again], tables, cell[again], singles, now[of_context[again]], lm.WORD_STRENGTH, discounts[3])
+        r.sweep(model, k, r.totals(), held)
+        tables = held.tables
+        assert (tables >= 1).all() and (tables <= n[again]).all() and (r.t2 <= r.c2).all() and (r.t1 <= r.c1).all() and (r.t0 <= r.c0).all()
+        if k >= 300:
+            got += [r.t0.sum(), r.t1.sum(), r.t2.sum(), tables.sum() + (~again).sum()]
+    kinds = {int(x): int(x) & lm.PAIRS - 1 for x in contexts}
+    tokens = [(int(x), int(w) >> lm.PAIR_BITS) for x, w, c in zip(contexts, found.cells[cell], n, strict=True) for _ in range(c)]
+    parent = lambda level, x: kinds[x] if level == 3 else x >> lm.BYTE_BITS if level == 2 else 0
+    want = exact_tables(tokens, parent, discounts, model.base, 300, rng)
+    assert np.abs(got / (sweeps - 300) / want - 1).max() < 0.08, (got / (sweeps - 300), want)
+
+
+def test_tables_are_drawn_by_stirling_numbers():
+    """Exact frequencies of small cells, and ratios of large ones against the recursion in logarithms."""
+    d, n, pull, left, t, size = 0.7, 7, 2.5, 3, 4, 9.0
+    logs = np.full((4001, 4002), -np.inf)
+    logs[1, 1] = 0
+    for m in range(1, 4000):
+        logs[m + 1, 1 : m + 2] = logs[m, : m + 1]
+        logs[m + 1, 1 : m + 1] = np.logaddexp(logs[m + 1, 1 : m + 1], np.log(m - d * np.arange(1, m + 1)) + logs[m, 1 : m + 1])
+    j = np.arange(1, n)
+    weight = np.exp(logs[n, 1 : n + 1] + np.concatenate(([0], np.cumsum(np.log((pull + d * j) / (size + j - 1))))))
+    weight *= np.exp(logs[left + np.arange(n), t])  # its parent has at least four customers, as it has tables
+    x = lm.drawn(np.full(200_000, n), np.full(200_000, pull), d, lm.Above(*(np.full(200_000, x) for x in (left, t, size)), d), np.random.default_rng(3))
+    assert np.abs(np.bincount(x, minlength=n + 1)[1:] / 200_000 - weight / weight.sum()).max() < 0.005
+    t = np.array([1, 2, 5, 20, 100, 400, 1000, 3000])
+    assert np.abs(lm.stirling_ratio(np.full(8, 4000), t, d) / np.exp(logs[4000, t + 1] - logs[4000, t]) - 1).max() < 0.02
+    assert lm.drawn(np.array([0, 1]), np.ones(2), d, lm.Uniform(0.5), np.random.default_rng(3)).tolist() == [0, 1]
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(14)
     rows, labels = [], []

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -35,39 +37,41 @@ def sheets(t: Ledger) -> DataFrame:
         "supplier_id", "k", F.to_date("moment").alias("day"), F.concat(F.lit("NF "), F.lpad("invoice", 6, "0")).alias("history"), "debit", "credit",
     )
 
-    def build(held: pa.Table) -> pa.Table:
-        name = held["file"][0].as_py()
-        entries = sorted(zip(*(held[c].to_pylist() for c in ("supplier_id", "k", "day", "history", "debit", "credit")), strict=True), key=lambda r: r[:2])
+    def book(name: int, entries: list[tuple]) -> bytes:
         out: list[list] = [["Empresa:", None, f"Made {name}", "Folha: 1"], [f"C.N.P.J.: {abs(name):014d}"], ["Período: 01/01/2024 - 31/12/2024"], ["Data", "Número", "Histórico", "Cta.C.Part.", "Débito", "Crédito", "Saldo-Exercício"]]
-        for supplier, block in groupby(entries, key=lambda r: r[0]):
+        for supplier, block in groupby(entries, key=itemgetter(1)):
             out.append(["Conta:", supplier, "2.1.3", None, "A NAME", "1.2"])
             out.append([None, None, "SALDO ANTERIOR", None, None, None, -10.5])
             debits = credits = 0
-            for _, k, day, history, debit, credit in block:
+            for _, _, k, day, history, debit, credit in block:
                 out.append([day, float(k), history, 5, str(debit) if debit else None, credit or None, 1])
                 debits, credits = debits + debit, credits + credit
             # the totals of every third supplier are off
             off = 1 if supplier % 3 == 0 else 0
             out.append(["Total da conta:", None, None, None, debits + off, credits])
-        return pa.table({"file": pa.array([name], pa.int64()), "content": pa.array([tables.sheet_bytes(out)], pa.binary())})
+        return tables.sheet_bytes(out)
 
-    return rows.groupBy("file").applyInArrow(build, "file long, content binary")
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        books = ((name, book(name, list(own))) for name, own in groupby(entries, key=itemgetter(0)))
+        return packed.batches(books, pa.schema([("file", pa.int64()), ("content", pa.binary())]))
+
+    # a file's rows are dealt to one task and stand together there
+    return rows.repartition("file").sortWithinPartitions("file", "supplier_id", "k").mapInArrow(build, "file long, content binary")
 
 
 @query("src08_workbook_entries", f"""WITH {NUMBERED} SELECT CAST(supplier_id AS VARCHAR) AS code, CAST(moment AS DATE) AS day, CAST(k AS VARCHAR) AS lot, 'NF ' || lpad(invoice, 6, '0') AS history, '5' AS counterpart,
     debit, credit, CAST(1 AS DECIMAL(15,2)) AS balance, 'D' AS side, lpad(invoice, 6, '0') AS invoice, CASE WHEN debit > 0 THEN 'PAGAMENTO' ELSE 'COMPRA' END AS kind FROM numbered WHERE debit + credit > 0""")
 def _(t: Ledger) -> DataFrame:
-    rows = ledger_sheet.rows_of(tables.cells(sheets(t)))
-    found = ledger_sheet.entries(rows)
-    heads = ledger_sheet.suppliers(rows, found).select("file", "block", "code")
-    return found.join(heads, ["file", "block"]).select("code", "day", "lot", "history", "counterpart", "debit", "credit", "balance", "side", "invoice", "kind")
+    found = ledger_sheet.entries(ledger_sheet.rows_of(tables.lines(sheets(t))))
+    return found.select("code", "day", "lot", "history", "counterpart", "debit", "credit", "balance", "side", "invoice", "kind")
 
 
 @query("src08_workbook_suppliers", f"""WITH {NUMBERED}, s AS (SELECT supplier_id, k // {FILED} AS part, sum(debit) AS d, sum(credit) AS c, count(*) FILTER (debit + credit > 0) AS n FROM numbered GROUP BY ALL)
     SELECT CAST(supplier_id AS VARCHAR) AS code, '2.1.3' AS account, 'A NAME' AS name, CAST(10.5 AS DECIMAL(15,2)) AS opening, 'C' AS opening_side,
     CAST(d + CASE WHEN supplier_id % 3 = 0 THEN 1 ELSE 0 END AS DECIMAL(25,2)) AS debits, CAST(c AS DECIMAL(25,2)) AS credits, n AS entries, supplier_id % 3 <> 0 AS closes FROM s""")
 def _(t: Ledger) -> DataFrame:
-    rows = ledger_sheet.rows_of(tables.cells(sheets(t)))
+    rows = ledger_sheet.rows_of(tables.lines(sheets(t)))
     return ledger_sheet.suppliers(rows, ledger_sheet.entries(rows)).drop("file", "block")
 
 
@@ -81,7 +85,7 @@ def on_disk(t: Ledger, files: DataFrame, ending: str) -> str:
 
 
 def workbooks_on_disk(t: Ledger) -> DataFrame:
-    return t.spark.read.format("workbook").option("path", on_disk(t, sheets(t), ".xlsx")).load()
+    return t.spark.read.format("workbook_lines").option("path", on_disk(t, sheets(t), ".xlsx")).load()
 
 
 @query("src08_workbooks_on_disk", f"""WITH {NUMBERED}, s AS (SELECT supplier_id, CAST(floor((supplier_id - 1) / 2.0) AS BIGINT) * 1000000 + k // {FILED} AS f, count(*) FILTER (debit + credit > 0) AS n FROM numbered GROUP BY ALL)
@@ -89,10 +93,9 @@ def workbooks_on_disk(t: Ledger) -> DataFrame:
     DATE '2024-01-01' AS first, DATE '2024-12-31' AS last, supplier_id % 3 <> 0 AS closes FROM s""")
 def _(t: Ledger) -> DataFrame:
     """Workbooks as files: heads and blocks of what a folder holds."""
-    cells = stored(workbooks_on_disk(t))
-    rows = ledger_sheet.rows_of(cells)
+    rows = ledger_sheet.rows_of(workbooks_on_disk(t))
     found = ledger_sheet.suppliers(rows, ledger_sheet.entries(rows)).select("file", "code", "entries", "closes")
-    return found.join(ledger_sheet.heads(cells), "file")
+    return found.join(ledger_sheet.heads(rows), "file")
 
 
 def chart_workbooks(t: Ledger) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import taxid
 from ..functions.numbers import sheet_cell
-from ..functions.text import invoice_number, stripped
+from ..functions.text import invoice_number, let, stripped
 from ..scratch import stored
+from .tables import lines_of
 
 # Labels of the columns, in the order in which they count.
 LABELS = {
@@ -30,22 +31,41 @@ TOLERANCE = 0.01
 ZERO = "CAST(0 AS DECIMAL(15,2))"
 
 
-def columns(cells: DataFrame) -> DataFrame:
-    """file, name and col of the columns that the first header row names."""
-    labels = cells.sparkSession.createDataFrame([(x, n, i) for n, own in LABELS.items() for i, x in enumerate(own)], "label string, name string, place int")
-    texts = cells.filter((F.col("row") <= HEADER_WITHIN) & (F.col("kind") == "s")).select("file", "row", "col", F.lower(stripped(F.col("text"))).alias("label"))
-    head = texts.join(F.broadcast(labels), "label")  # one row for each fixed label
-    rows = head.groupBy("file", "row").agg(F.collect_set("name").alias("names"))
-    both = F.array_contains("names", "debit") & F.array_contains("names", "credit")
-    first = rows.filter(both).groupBy("file").agg(F.min("row").alias("row"))
-    # an earlier label goes before a later one, and of equal labels the one furthest right
-    return head.join(first, ["file", "row"]).groupBy("file", "name").agg(F.min_by("col", F.struct("place", -F.col("col"))).alias("col"))
+#: words without which a row is neither a header nor an opening balance nor a total
+TELLING = "(?iu)" + "|".join([*LABELS["debit"], "anterior", "conta"])
+
+
+def texts_of(cells: Column) -> Column:
+    """Texts of a row in one; empty where none of the words that tell what a row is stands in it, as in most."""
+    return F.when(F.array_join(cells["text"], " ").rlike(TELLING), _texts(cells)).otherwise("")
+
+
+def _texts(cells: Column) -> Column:
+    return F.array_join(F.reverse(F.transform(F.filter(cells, lambda c: c["kind"] == "s"), lambda c: c["text"])), " ")
+
+
+def header(cells: Column, texts: Column) -> Column:
+    """Columns by name that a row with labels of a debit and a credit column names; null for other rows.
+
+    An earlier label goes before a later one, and of equal labels the one furthest right.
+    """
+    places = F.create_map(*[F.lit(x) for n, own in LABELS.items() for i, label in enumerate(own) for x in (f"{n}/{label}", i)])
+    labels = F.transform(F.filter(cells, lambda c: c["kind"] == "s"), lambda c: F.struct(F.lower(stripped(c["text"])).alias("label"), c["col"].alias("col")))
+
+    def col(labels: Column, name: str) -> Column:
+        found = F.transform(labels, lambda c: F.struct(places[F.concat(F.lit(f"{name}/"), c["label"])].alias("place"), (-c["col"]).alias("col")))
+        return -F.array_min(F.filter(found, lambda c: c["place"].isNotNull()))["col"]
+
+    # most rows are told by a look at their texts
+    may = lambda n: texts.rlike("(?iu)" + "|".join(LABELS[n]))
+    named = F.when(may("debit") & may("credit"), let(labels, lambda x: F.struct(*[col(x, n).alias(n) for n in LABELS])))
+    return F.when(texts != "", let(named, lambda h: F.when(h["debit"].isNotNull() & h["credit"].isNotNull(), h)))
 
 
 def number(text: Column, kind: Column) -> Column:
     """Amount of a cell, 0 where there is none."""
     plain = F.bround(text.try_cast("decimal(30,10)"), 2).cast("decimal(15,2)")
-    return F.coalesce(F.when(kind == "n", plain).otherwise(sheet_cell(text)), F.expr(ZERO))
+    return F.coalesce(F.when(kind == "n", plain).when(text.isNotNull(), sheet_cell(text)), F.expr(ZERO))
 
 
 def whole(text: Column, kind: Column) -> Column:
@@ -58,60 +78,69 @@ def side(balance: Column) -> Column:
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
-    """One row for each row of each sheet with its named cells, its first cell, and the number of its block (0 before the first)."""
-    good = stored(cells.filter("error IS NULL"))  # workbooks are opened once, whatever is asked of their cells
-    named = good.join(columns(good), ["file", "col"], "left")
-    values = [F.max(F.when(F.col("name") == n, F.struct("text", "kind"))).alias(n) for n in LABELS]
-    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "s", F.struct("col", "text")))), lambda x: x["text"]), " ")
-    at = {i: F.max(F.when(F.col("col") == i, F.struct("text", "kind"))) for i in (1, 2, 3)}
-    # the name is the last text of the row that isn't a code
-    is_name = (F.col("col") > 2) & (F.col("kind") == "s") & (stripped(F.col("text")) != "") & ~stripped(F.col("text")).rlike(r"^[\d.]+$")
-    title = F.max_by(stripped(F.col("text")), F.when(is_name, F.col("col")))
-    rows = named.groupBy("file", "row").agg(*values, texts.alias("texts"), *[c.alias(f"c{i}") for i, c in at.items()], title.alias("title"))
-    starts = F.coalesce(stripped(F.col("c1.text")).startswith("Conta:"), F.lit(False))
-    rows = rows.withColumn("starts", starts)
-    order = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    # amounts are worked out once; written down, the long expressions aren't repeated in all that builds on them
-    amounts = {f"{n}_value": number(F.col(f"{n}.text"), F.col(f"{n}.kind")) for n in ("debit", "credit", "balance")}
-    return stored(rows.withColumn("block", F.sum(F.col("starts").cast("int")).over(order)).withColumns(amounts))
-
+    """One row for each row of each sheet with its named cells, what it is, and the number and code of its block (0 before the first).
 
-def value(name: str) -> Column:
-    return F.col(f"{name}_value")
+    `cells` are those of `tables.cells`, or rows of `tables.lines`; `top` has the cells of a sheet's first rows.
+    """
+    found = lines_of(cells).filter("error IS NULL").select("file", "row", "cells")
+    sheet = W.partitionBy("file").orderBy("row")
+    up_to, whole_sheet = sheet.rowsBetween(W.unboundedPreceding, 0), sheet.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    cell = lambda c: F.get("cells", F.array_position("cells.col", c) - 1)
+    starts = F.coalesce(stripped(cell(F.lit(1))["text"]).startswith("Conta:"), F.lit(False))
+    found = found.withColumns({"starts": starts, "texts": texts_of(F.col("cells"))})
+    head = F.when(F.col("row") <= HEADER_WITHIN, header(F.col("cells"), F.col("texts")))
+    own_code = F.when(F.col("starts"), F.struct(let(cell(F.lit(2)), lambda c: whole(c["text"], c["kind"])).alias("code")))
+    found = found.withColumns({"head": head, "own_code": own_code})
+    found = found.withColumns({
+        "head": F.first("head", ignorenulls=True).over(whole_sheet),
+        "block": F.sum(F.col("starts").cast("int")).over(up_to),
+        "code": F.last("own_code", ignorenulls=True).over(up_to)["code"],
+    })
+    opening = ~F.col("starts") & F.upper("texts").contains("SALDO ANTERIOR")
+    totals = ~F.col("starts") & ~F.col("opening") & F.col("texts").contains("Total da conta")
+    # the name is the last text of the row that isn't a code
+    is_name = lambda c: (c["col"] > 2) & (c["kind"] == "s") & (stripped(c["text"]) != "") & ~stripped(c["text"]).rlike(r"^[\d.]+$")
+    title = stripped(F.get(F.filter("cells", is_name), F.lit(0))["text"])
+    account = stripped(cell(F.lit(3))["text"])
+    found = found.withColumn("opening", opening).withColumn("totals", totals).select(
+        "file", "row", "starts", "block", "code", "opening", "totals",
+        F.when(F.col("starts"), title).alias("title"), F.when(F.col("starts"), account).alias("account"),
+        *[cell(F.col(f"head.{n}")).alias(n) for n in LABELS],
+        F.when(F.col("row") <= HEAD_WITHIN, F.col("cells")).alias("top"),
+    )
+    text, kind = (lambda n: F.col(f"{n}.text")), (lambda n: F.col(f"{n}.kind"))
+    values = {n: whole(text(n), kind(n)) for n in ("lot", "counterpart")} | {n: number(text(n), kind(n)) for n in ("debit", "credit", "balance")}
+    # values are worked out once; written down, the long expressions aren't repeated in all that builds on them
+    return stored(found.withColumns({"day": F.when(kind("day") == "d", text("day")), "history": stripped(text("history")), **values}))
 
 
 def entries(rows: DataFrame) -> DataFrame:
     """Entries of the blocks: rows with a date and an amount."""
-    opening = F.upper("texts").contains("SALDO ANTERIOR")
-    kept = rows.filter((F.col("block") > 0) & ~F.col("starts") & ~opening & ~F.col("texts").contains("Total da conta") & (F.col("day.kind") == "d"))
-    history = stripped(F.coalesce("history.text", F.lit("")))
-    found = kept.select(
-        "file", "block", "row",
-        F.to_date(F.left("day.text", F.lit(10))).alias("day"),
-        F.coalesce(whole(F.col("lot.text"), F.col("lot.kind")), F.lit("")).alias("lot"),
-        history.alias("history"),
-        F.nullif(whole(F.col("counterpart.text"), F.col("counterpart.kind")), F.lit("")).alias("counterpart"),
-        value("debit").alias("debit"), value("credit").alias("credit"),
-        F.abs(value("balance")).alias("balance"), side(value("balance")).alias("side"),
-        invoice_number(history).alias("invoice"), taxid.in_text(history).alias("tax_id"),
+    kept = rows.filter((F.col("block") > 0) & ~F.col("starts") & ~F.col("opening") & ~F.col("totals") & F.col("day").isNotNull())
+    kept = kept.filter("debit <> 0 OR credit <> 0").withColumn("history", F.coalesce("history", F.lit("")))
+    return kept.select(
+        "file", "block", "code", "row",
+        F.to_date(F.left("day", F.lit(10))).alias("day"),
+        F.coalesce("lot", F.lit("")).alias("lot"),
+        "history",
+        F.nullif("counterpart", F.lit("")).alias("counterpart"),
+        "debit", "credit",
+        F.abs("balance").alias("balance"), side(F.col("balance")).alias("side"),
+        let(F.col("history"), invoice_number).alias("invoice"), taxid.in_text(F.col("history")).alias("tax_id"),
+        F.when(F.col("debit") > 0, "PAGAMENTO").otherwise("COMPRA").alias("kind"),
     )
-    found = found.filter("debit <> 0 OR credit <> 0")
-    return found.withColumn("kind", F.when(F.col("debit") > 0, "PAGAMENTO").otherwise("COMPRA"))
 
 
 def suppliers(rows: DataFrame, found: DataFrame) -> DataFrame:
     """One row for each block: account, name, opening balance, totals, and whether declared totals are those of the entries."""
-    inside = rows.filter("block > 0")
-    opening = ~F.col("starts") & F.upper("texts").contains("SALDO ANTERIOR")
-    totals = ~F.col("starts") & ~opening & F.col("texts").contains("Total da conta")
-    last = lambda c, when: F.max_by(c, F.when(when, F.col("row")))  # noqa: E731  a later row of the kind wins
-    blocks = inside.groupBy("file", "block").agg(
-        last(whole(F.col("c2.text"), F.col("c2.kind")), F.col("starts")).alias("code"),
-        last(stripped(F.col("c3.text")), F.col("starts")).alias("account"),
-        last(F.col("title"), F.col("starts")).alias("name"),
-        last(value("balance"), opening).alias("opening"),
-        last(value("debit"), totals).alias("declared_debits"),
-        last(value("credit"), totals).alias("declared_credits"),
+    last = lambda c, when: F.max_by(c, F.when(F.col(when), F.col("row")))  # noqa: E731  a later row of the kind wins
+    blocks = rows.filter("block > 0").groupBy("file", "block").agg(
+        F.first("code").alias("code"),
+        last("account", "starts").alias("account"),
+        last("title", "starts").alias("name"),
+        last("balance", "opening").alias("opening"),
+        last("debit", "totals").alias("declared_debits"),
+        last("credit", "totals").alias("declared_credits"),
     )
     sums = found.groupBy("file", "block").agg(F.sum("debit").alias("d"), F.sum("credit").alias("c"), F.count("*").alias("entries"))
     zero = F.lit(0).cast("decimal(25,2)")
@@ -130,29 +159,32 @@ def heads(cells: DataFrame) -> DataFrame:
     """file, company, tax_id, first and last day of each workbook, from its first lines; what isn't there is empty or null.
 
     The company is the first text beside its label that is no page mark; of several periods the last counts.
+    `cells` are those of `tables.cells`, rows of `tables.lines`, or what `rows_of` gives.
     """
-    top = cells.filter((F.col("error").isNull()) & (F.col("row") <= HEAD_WITHIN)).select("file", "row", "col", stripped(F.col("text")).alias("text"))
-    files = cells.filter("error IS NULL").select("file").distinct()
-    beside = (F.col("col") > 1) & ~F.col("text").startswith("Folha")
-    lines = top.filter("text <> ''").groupBy("file", "row").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " ").alias("line"),
-        F.min_by("text", F.when(beside, F.col("col"))).alias("beside"),
-    )
+    if "top" in cells.columns:
+        top = cells.select("file", "row", F.col("top").alias("cells"))
+    else:
+        top = lines_of(cells).filter("error IS NULL").select("file", "row", F.when(F.col("row") <= HEAD_WITHIN, F.col("cells")).alias("cells"))
+    texts = F.transform("cells", lambda c: F.struct(c["col"].alias("col"), stripped(c["text"]).alias("text")))
+    found = top.withColumn("texts", F.reverse(F.filter(texts, lambda c: c["text"] != "")))
+    beside = F.filter("texts", lambda c: (c["col"] > 1) & ~c["text"].startswith("Folha"))
+    lines = found.select("file", "row", F.when(F.size("texts") > 0, F.array_join("texts.text", " ")).alias("line"), F.get(beside, F.lit(0))["text"].alias("beside"))
     line = F.col("line")
     after = F.when(F.instr(line, ":") > 0, F.expr("substring(line, instr(line, ':') + 1)")).otherwise(line)
     tax_id = F.when(line.contains(TAX_ID), F.nullif(stripped(F.regexp_extract(after, TAX_ID_SHAPE, 0)), F.lit("")))
     company = F.when(line.startswith(COMPANY), F.col("beside"))
     period = line.startswith(PERIOD) & line.rlike(PERIOD_SHAPE)
-    day = lambda i: F.try_to_timestamp(F.regexp_extract(line, PERIOD_SHAPE, i), F.lit("dd/MM/yyyy")).cast("date")
-    found = lines.select("file", "row", company.alias("company"), tax_id.alias("tax_id"), period.alias("period"), day(1).alias("first"), day(2).alias("last"))
+    day = lambda i: F.when(period, F.try_to_timestamp(F.regexp_extract(line, PERIOD_SHAPE, i), F.lit("dd/MM/yyyy")).cast("date"))
+    told = lines.select("file", "row", company.alias("company"), tax_id.alias("tax_id"), period.alias("period"), day(1).alias("first"), day(2).alias("last"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row")))
     last = lambda c: F.max_by(c, F.when(F.col("period"), F.col("row")))
-    told = found.groupBy("file").agg(first("company").alias("company"), first("tax_id").alias("tax_id"), last("first").alias("first"), last("last").alias("last"))
-    return files.join(told, "file", "left").select("file", F.coalesce("company", F.lit("")).alias("company"), F.coalesce("tax_id", F.lit("")).alias("tax_id"), "first", "last")
+    empty = lambda c: F.coalesce(first(c), F.lit("")).alias(c)
+    return told.groupBy("file").agg(empty("company"), empty("tax_id"), last("first").alias("first"), last("last").alias("last"))
 
 
 def without_header(cells: DataFrame) -> DataFrame:
     """Files in which no row names both a debit and a credit column, or that are no workbooks, and why."""
-    files = cells.filter("error IS NULL").select("file").distinct()
-    bare = files.join(columns(cells.filter("error IS NULL")).select("file"), "file", "left_anti").select("file", F.lit("no header").alias("error"))
-    return bare.unionByName(cells.filter("error IS NOT NULL").select("file", "error"))
+    lines = lines_of(cells).withColumn("texts", texts_of(F.col("cells")))
+    head = F.when(F.col("row") <= HEADER_WITHIN, header(F.col("cells"), F.col("texts")))
+    found = lines.select("file", "error", head.isNotNull().alias("has")).groupBy("file", "error").agg(F.max("has").alias("has"))
+    return found.filter("error IS NOT NULL OR NOT has").select("file", F.coalesce("error", F.lit("no header")).alias("error"))

@@ -1,9 +1,10 @@
 """Spark data sources for files that hold tables inside: workbooks and archives, read in parts and written in parts.
 
-`register(spark)` makes three formats known:
+`register(spark)` makes four formats known:
 
 * `workbook` reads the cells of all workbooks under a path (file, row, col, text, kind, error), and writes rows of
   any columns as workbooks, one for each partition, in the order of the rows;
+* `workbook_lines` reads their rows (file, row, cells, error), from the last cell of a row to the first;
 * `archive` reads the XML members of all archives under a path (file, name, content, error);
 * `files` writes rows of (file, content).
 
@@ -97,7 +98,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class Folder(DataSource):
-    """Shared by the three: options and paths."""
+    """Shared by the formats: options and paths."""
 
     @property
     def path(self) -> str:
@@ -129,6 +130,20 @@ class Cells(DataSourceReader):
         return batches(rows(), self.schema)
 
 
+class Lines(Cells):
+    """Rows of workbooks instead of cells."""
+
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        store, base = at(self.path)
+
+        def files() -> Iterator[tuple[str, bytes]]:
+            for path, _, _ in share.files:
+                with store.open_input_file(path) as f:
+                    yield posixpath.relpath(path, base), f.read()
+
+        return tables.line_batches(files())
+
+
 class Members(DataSourceReader):
     schema = pa.schema([("file", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
@@ -273,6 +288,18 @@ class Workbook(Folder):
         return WorkbookWriter(self.path, overwrite, schema.names)
 
 
+class WorkbookLines(Folder):
+    @classmethod
+    def name(cls) -> str:
+        return "workbook_lines"
+
+    def schema(self) -> str:
+        return tables.LINES
+
+    def reader(self, schema) -> DataSourceReader:
+        return Lines(self.path)
+
+
 class Archive(Folder):
     @classmethod
     def name(cls) -> str:
@@ -298,5 +325,5 @@ class Files(Folder):
 
 
 def register(spark: SparkSession) -> None:
-    for kind in (Workbook, Archive, Files):
+    for kind in (Workbook, WorkbookLines, Archive, Files):
         spark.dataSource.register(kind)

@@ -5,12 +5,16 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import date, datetime, timedelta
+from decimal import Decimal
+from functools import lru_cache
 from xml.etree import ElementTree
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,33 +143,85 @@ def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str, str]]:
                 shared.append("".join(t.text or "" for t in item.iter() if _tag(t) == "t"))
         dates = _date_styles(z)
         sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-        root = ElementTree.fromstring(z.read(sheet))
-        space = root.tag[: -len(_tag(root))]
-        value_tag, text_tag = f"{space}v", f"{space}t"
         numbers: dict[str, int] = {}
-        for cell in root.iter(f"{space}c"):
-            place, kind = cell.get("r"), cell.get("t")
-            letters = place.rstrip("0123456789")
-            if letters not in numbers:
-                numbers[letters] = column_number(letters)
-            value, texts = None, []
-            for part in cell:
-                if part.tag != value_tag:
-                    texts += [t.text or "" for t in part.iter(text_tag)]
-                elif value is None:
-                    value = part.text or ""
-            text = (value or "") + "".join(texts)
+        for letters, row, style, kind, text in _cells(z.read(sheet)):
             if not text:
                 continue
+            if letters not in numbers:
+                numbers[letters] = column_number(letters)
             if kind == "s":
                 text = shared[int(text)]
             elif kind not in ("str", "inlineStr"):
-                if int(cell.get("s", 0)) in dates:
-                    yield int(place[len(letters) :]), numbers[letters], (datetime(1899, 12, 30) + timedelta(days=float(text))).isoformat(timespec="seconds"), "d"
+                if int(style or 0) in dates:
+                    yield int(row), numbers[letters], _moment(text), "d"
                     continue
                 kind = None
             if text:
-                yield int(place[len(letters) :]), numbers[letters], text, "s" if kind else "n"
+                yield int(row), numbers[letters], text, "s" if kind else "n"
+
+
+@lru_cache(maxsize=10_000)
+def _moment(days: str) -> str:
+    return (datetime(1899, 12, 30) + timedelta(days=float(days))).isoformat(timespec="seconds")
+
+
+#: what stands before a sheet's elements, a cell of one value or text, and the other tags of rows, as programs write them
+_OPENING = re.compile(r'(?:<\?xml version="1\.0"(?: encoding="(?:UTF|utf)-8")?(?: standalone="(?:yes|no)")?\?>\s*)?<worksheet(?:\s[^<>]*)?>')
+_TOKEN = re.compile(
+    r'(<c r="([A-Z]+)([0-9]+)"(?: s="([0-9]+)")?(?: t="(\w+)")?'
+    r'(?:/>|>(?:<f[^<>]*(?:/>|>[^<]*</f>))?(?:<v>([^<]*)</v>|<is><t(?: xml:space="preserve")?>([^<]*)</t></is>)?</c>)|<row[^<>]*>|</row>)'
+)
+_CELL_TAG = re.compile(r"<(?:[^<>\s/]*:)?c[\s/>]")
+_REFERENCE = re.compile(r"&(?:#x([0-9A-Fa-f]+)|#([0-9]+)|(\w+));")
+_NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+def _resolved(text: str) -> str:
+    return _REFERENCE.sub(lambda m: chr(int(m[1], 16)) if m[1] else chr(int(m[2])) if m[2] else _NAMED[m[3]], text)
+
+
+def _cells(data: bytes) -> Iterable[tuple[str, str, str | None, str | None, str]]:
+    """(letters, row, style, kind, text) of each cell of a sheet's XML."""
+    found = _plain_cells(data)
+    return _parsed_cells(data) if found is None else found
+
+
+def _plain_cells(data: bytes) -> list[tuple[str, str, str, str, str]] | None:
+    """The same for well-formed sheets whose rows are nothing but tags and cells of the usual form; None for others."""
+    try:
+        expat.ParserCreate(None, "}").Parse(data, True)
+        text = data.decode()
+    except (expat.ExpatError, ValueError):
+        return None
+    opening, start, stop = _OPENING.match(text), text.find("<sheetData>"), text.rfind("</sheetData>")
+    if not opening or stop < 0 or start < opening.end() or "\r" in text or "<!" in text:
+        return None
+    body, head, rest = text[start + len("<sheetData>") : stop], text[opening.end() : start], text[stop:]
+    if "xmlns" in body or "xmlns=" in head or _CELL_TAG.search(head) or _CELL_TAG.search(rest):
+        return None
+    found = _TOKEN.findall(body)
+    if sum([len(x[0]) for x in found]) < len(body):
+        return None
+    if "&" in body:
+        return [(x[1], x[2], x[3], x[4], _resolved(x[5] or x[6])) for x in found if x[1]]
+    return [(x[1], x[2], x[3], x[4], x[5] or x[6]) for x in found if x[1]]
+
+
+def _parsed_cells(data: bytes) -> Iterator[tuple[str, str, str | None, str | None, str]]:
+    """The same for any sheet."""
+    root = ElementTree.fromstring(data)
+    space = root.tag[: -len(_tag(root))]
+    value_tag, text_tag = f"{space}v", f"{space}t"
+    for cell in root.iter(f"{space}c"):
+        place = cell.get("r")
+        letters = place.rstrip("0123456789")
+        value, texts = None, []
+        for part in cell:
+            if part.tag != value_tag:
+                texts += [t.text or "" for t in part.iter(text_tag)]
+            elif value is None:
+                value = part.text or ""
+        yield letters, place[len(letters) :], cell.get("s"), cell.get("t"), (value or "") + "".join(texts)
 
 
 def column_number(letters: str) -> int:
@@ -208,37 +264,51 @@ class SheetWriter:
         self.sheet = self.archive.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
         self.sheet.write(f'<worksheet xmlns="{_SPACE}"><sheetData>'.encode())
         self.letters: list[str] = []
+        self.lines: list[bytes] = []
 
     def cell(self, value, place: str) -> str:
-        if value is None:
-            return ""
+        if type(value) in _NUMBERS:
+            return f'<c r="{place}"><v>{value}</v></c>'
         if isinstance(value, datetime):
             value = value.isoformat(sep=" ")
-        if isinstance(value, date):
-            gap = datetime(value.year, value.month, value.day) - datetime(1899, 12, 30)
-            return f'<c r="{place}" s="1"><v>{gap.days}</v></c>'
         if isinstance(value, str):
-            return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(_UNWRITABLE.sub("", value))}</t></is></c>'
+            if _SPECIAL.search(value):
+                value = escape(_UNWRITABLE.sub("", value))
+            return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{value}</t></is></c>'
+        if isinstance(value, date):
+            return f'<c r="{place}" s="1"><v>{value.toordinal() - _DAY_0}</v></c>'
         return f'<c r="{place}"><v>{int(value) if isinstance(value, bool) else value}</v></c>'
 
     def row(self, values: list) -> None:
         self.n += 1
         while len(self.letters) < len(values):
             self.letters.append(column_letters(len(self.letters) + 1))
-        body = "".join(self.cell(v, f"{x}{self.n}") for v, x in zip(values, self.letters, strict=False))
+        body = "".join([self.cell(v, f"{x}{self.n}") for v, x in zip(values, self.letters, strict=False) if v is not None])
         line = f'<row r="{self.n}">{body}</row>'.encode()
         self.size += len(line)
-        self.sheet.write(line)
+        self.lines.append(line)
+        if len(self.lines) >= 100:
+            self.write()
+
+    def write(self) -> None:
+        self.sheet.write(b"".join(self.lines))
+        self.lines = []
 
     def close(self) -> None:
+        self.write()
         self.sheet.write(b"</sheetData></worksheet>")
         self.sheet.close()
         self.archive.close()
         self.target.close()
 
 
+_NUMBERS = {int, float, Decimal}
+#: day 0 of a workbook
+_DAY_0 = date(1899, 12, 30).toordinal()
 #: characters that XML can't hold
 _UNWRITABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+#: these, and characters that it has names for
+_SPECIAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff&<>]")
 
 
 class _Kept(io.BytesIO):
@@ -259,13 +329,76 @@ def sheet_bytes(rows: list[list]) -> bytes:
     return out.content
 
 
-def cells_or_error(content: bytes) -> Iterator[tuple]:
-    """(row, col, text, kind, None) of each cell of a workbook, or one row with an error."""
+def _cells_or_error(content: bytes) -> tuple[list[tuple[int, int, str, str]], str | None]:
     try:
-        yield from [(*c, None) for c in sheet_cells(content)]
+        return list(sheet_cells(content)), None
     except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError) as e:
         plain = type(e) is ValueError and str(e).startswith(("too", "compressed"))
-        yield None, None, None, None, str(e) if plain else "no workbook"
+        return [], str(e) if plain else "no workbook"
+
+
+def cells_or_error(content: bytes) -> Iterator[tuple]:
+    """(row, col, text, kind, None) of each cell of a workbook, or one row with an error."""
+    found, error = _cells_or_error(content)
+    yield from [(*c, None) for c in found] if error is None else [(None, None, None, None, error)]
+
+
+#: rows of workbooks; cells stand from the last column to the first
+LINES = "file string, row int, cells array<struct<col int, text string, kind string>>, error string"
+#: bytes of texts in one batch of lines
+LINES_BYTES = 4 << 20
+
+
+def line_batches(files: Iterable[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of LINES: the rows of each workbook (file, content), or one row with an error."""
+    names, rows, starts, errors, cols, texts, kinds = ([] for _ in range(7))
+    size = 0
+
+    def held() -> pa.RecordBatch:
+        cells = pa.StructArray.from_arrays([pa.array(cols, pa.int32()), pa.array(texts, pa.string()), pa.array(kinds, pa.string())], ["col", "text", "kind"])
+        values = [pa.array(names, pa.string()), pa.array(rows, pa.int32()), pa.ListArray.from_arrays(pa.array([*starts, len(cols)], pa.int32()), cells), pa.array(errors, pa.string())]
+        return pa.RecordBatch.from_arrays(values, ["file", "row", "cells", "error"])
+
+    for file, content in files:
+        found, error = _cells_or_error(content)
+        # from the last row to the first
+        found.sort(reverse=True)
+        first = [i for i, c in enumerate(found) if not i or c[0] != found[i - 1][0]]
+        own = [found[i][0] for i in first] if error is None else [None]
+        starts += [len(cols) + i for i in first] if error is None else [len(cols)]
+        rows += own
+        names += [file] * len(own)
+        errors += [error] * len(own)
+        for c in found:
+            cols.append(c[1])
+            texts.append(c[2])
+            kinds.append(c[3])
+            size += len(c[2])
+        size += 64 * len(own)
+        if size >= LINES_BYTES:
+            yield held()
+            for x in (names, rows, starts, errors, cols, texts, kinds):
+                x.clear()
+            size = 0
+    if names:
+        yield held()
+
+
+def lines(files: DataFrame) -> DataFrame:
+    """file, row and cells of each row of each workbook, or its error; `files` has file and content (binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return line_batches((file, content) for b in batches for file, content in zip(b["file"].to_pylist(), b["content"].to_pylist(), strict=True))
+
+    return files.select(F.col("file").cast("string"), "content").mapInArrow(run, LINES)
+
+
+def lines_of(found: DataFrame) -> DataFrame:
+    """The same of what `cells` gives."""
+    if "cells" in found.columns:
+        return found
+    cell = F.when(F.col("error").isNull(), F.struct("col", "text", "kind"))
+    return found.groupBy("file", "row", "error").agg(F.sort_array(F.collect_list(cell), asc=False).alias("cells")).select("file", "row", "cells", "error")
 
 
 def opened(files: DataFrame, rows_of, names: list[str], schema: str) -> DataFrame:
